@@ -40,6 +40,18 @@ def every(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
+def either(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, terms)
+
+
+def by_case(cases: list[tuple[Column, Column]]) -> Column:
+    """The value of the first condition that holds; the last one is the default."""
+    out = cases[-1][1]
+    for cond, value in reversed(cases[:-1]):
+        out = F.when(cond, value).otherwise(out)
+    return out
+
+
 # F1
 def reverse_complement(seq: Column | str) -> Column:
     """Reverse complement over IUPAC letters; letters outside them pass through."""

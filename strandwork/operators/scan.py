@@ -45,6 +45,18 @@ def _positions(chunks: DataFrame, window: int) -> DataFrame:
     return chunks.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("bases") - (window - 1))))
 
 
+def with_other_strand(chunks: DataFrame) -> DataFrame:
+    """Adds the chunk's reverse complement, so that '-' windows are slices too."""
+    return chunks.withColumn("rc_bases", S.reverse_complement(F.col("bases").cast("string")).cast("binary"))
+
+
+def oriented(strand: Column, at: Column, width: Column) -> Column:
+    """The window at `at` as read on its strand."""
+    mirror = F.length("rc_bases") - at - width + 2
+    return F.when(strand == "+", F.substring("bases", at, width)).otherwise(
+        F.substring("rc_bases", mirror, width)).cast("string")
+
+
 def _tile(patterns: list[str]) -> int | None:
     """Chunk size at which the rarest-case `rlike` prefilter skips most chunks, if any."""
     rate = sum(math.prod(len(S.IUPAC[c]) / 4 for c in p) for p in patterns)
@@ -77,30 +89,22 @@ def motif_hits(
     if tile:
         either = "|".join(sorted({S.iupac_regex(p) for _, p in strands}))
         chunks = chunks.where(bases.cast("string").rlike(either))
-    spots = _positions(chunks, width)
+    spots = _positions(with_other_strand(chunks), width)
 
     if max_mismatches == 0:
-        tests = {s: S.matches_at(bases, at, p) for s, p in strands}
-        counts: dict[str, Column] = {s: F.lit(0) for s in tests}
+        tests = [(s, F.lit(0), S.matches_at(bases, at, p)) for s, p in strands]
     else:
-        counts = {s: S.mismatches_at(bases, at, p) for s, p in strands}
-        tests = {s: c <= max_mismatches for s, c in counts.items()}
-    any_hit = tests["+"] if len(tests) == 1 else tests["+"] | tests["-"]
-    found = spots.where(any_hit).select(
-        "contig_id",
-        (F.col("offset") + at).cast("bigint").alias("start"),
-        (F.col("offset") + at + (width - 1)).cast("bigint").alias("end"),
-        F.substring("bases", at, F.lit(width)).cast("string").alias("window_seq"),
-        F.explode(F.array_compact(F.array(*[
-            F.when(tests[s], F.struct(F.lit(s).alias("strand"), counts[s].cast("int").alias("mismatches")))
-            for s in tests
-        ]))).alias("hit"),
-    )
+        tests = [(s, c, c <= max_mismatches) for s, c in ((s, S.mismatches_at(bases, at, p)) for s, p in strands)]
+    any_hit = S.either([ok for _, _, ok in tests])
+    on = F.col("strand")
+    # The strand is exploded only at positions that hit, and tested again there.
+    found = spots.where(any_hit).withColumn("strand", F.explode(F.array(*[F.lit(s) for s, _, _ in tests])))
+    found = found.where(S.by_case([(on == s, ok) for s, _, ok in tests]))
     return found.select(
-        "contig_id", "start", "end", "hit.strand", F.lit(pattern).alias("pattern"),
-        F.when(F.col("hit.strand") == "+", F.col("window_seq"))
-        .otherwise(S.reverse_complement("window_seq")).alias("found_seq"),
-        "hit.mismatches",
+        "contig_id", (F.col("offset") + at).cast("bigint").alias("start"),
+        (F.col("offset") + at + (width - 1)).cast("bigint").alias("end"), "strand", F.lit(pattern).alias("pattern"),
+        oriented(on, at, F.lit(width)).alias("found_seq"),
+        S.by_case([(on == s, count) for s, count, _ in tests]).cast("int").alias("mismatches"),
     )
 
 
@@ -173,25 +177,25 @@ def batch_motif_hits(
         .select("contig_id", "contig_len", "offset",
                 F.substring("whole", F.col("offset") + 1, F.lit(CORE + longest - 1)).alias("bases"))
     )
-    spots = chunks.withColumn("at", F.explode(F.sequence(
+    spots = with_other_strand(chunks).withColumn("at", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(CORE), F.col("contig_len") - F.col("offset") - (shortest - 1)))))
-    hits = []
-    for name, strand, pattern, scanned in tests:
-        width = len(pattern)
+    rows = []
+    for i, (name, strand, pattern, scanned) in enumerate(tests):
         count = F.lit(0) if max_mismatches == 0 else S.mismatches_at(bases, at, scanned)
         ok = S.matches_at(bases, at, scanned) if max_mismatches == 0 else count <= max_mismatches
-        window = F.substring(bases, at, F.lit(width)).cast("string")
-        hits.append(F.when(
-            (pos + (width - 1) <= F.col("contig_len")) & ok,
-            F.struct(F.lit(name).alias("query"), F.lit(strand).alias("strand"),
-                     F.lit(pattern).alias("pattern"), F.lit(width).alias("width"),
-                     (window if strand == "+" else S.reverse_complement(window)).alias("found_seq"),
-                     count.cast("int").alias("mismatches")),
-        ))
-    return spots.select(
-        "contig_id", pos.cast("bigint").alias("start"), F.explode(F.array_compact(F.array(*hits))).alias("h")
-    ).select("h.query", "contig_id", "start", (F.col("start") + F.col("h.width") - 1).cast("bigint").alias("end"),
-             "h.strand", "h.pattern", "h.found_seq", "h.mismatches")
+        rows.append((i, name, strand, pattern, count, (pos + (len(pattern) - 1) <= F.col("contig_len")) & ok))
+    which = F.col("which")
+    found = spots.where(S.either([r[5] for r in rows])).withColumn("which", F.explode(F.array(*[F.lit(r[0]) for r in rows])))
+    found = found.where(S.by_case([(which == r[0], r[5]) for r in rows]))
+    pick = lambda j: S.by_case([(which == r[0], F.lit(r[j])) for r in rows])
+    found = found.select(
+        pick(1).alias("query"), "contig_id", pos.cast("bigint").alias("start"), pick(2).alias("strand"),
+        pick(3).alias("pattern"), S.by_case([(which == r[0], r[4]) for r in rows]).cast("int").alias("mismatches"),
+        "bases", "rc_bases", "at")
+    width = F.length("pattern")
+    return found.select(
+        "query", "contig_id", "start", (F.col("start") + width - 1).cast("bigint").alias("end"), "strand", "pattern",
+        oriented(F.col("strand"), at, width).alias("found_seq"), "mismatches")
 
 
 def batch_motif_join(
@@ -303,8 +307,8 @@ def region_palindromes(
                 F.explode(F.sequence(F.lit(0), n - min_length, F.lit(4096))).alias("offset"))
         .select("contig_id", "contig_len", "offset",
                 F.substring("whole", F.col("offset") + 1, F.lit(4096 + max_length - 1)).alias("bases"))
-        .withColumn("rc_bases", S.reverse_complement(F.col("bases").cast("string")).cast("binary"))
     )
+    chunks = with_other_strand(chunks)
     bases, rc, at, size = F.col("bases"), F.col("rc_bases"), F.col("at"), F.col("size")
     spots = (
         chunks.withColumn("size", F.explode(F.sequence(F.lit(min_length), F.lit(max_length))))
@@ -319,18 +323,12 @@ def region_palindromes(
     else:
         count = S.palindrome_mismatches_at(bases, rc, at, size, max_length)
         spots = spots.where(count <= max_mismatches)
-    hit = spots.select(
+    on = F.col("strand")
+    return spots.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).select(
         "contig_id", (F.col("offset") + at + (start - 1)).cast("bigint").alias("start"),
-        (F.col("offset") + at + size + (start - 2)).cast("bigint").alias("end"),
-        F.substring("bases", at, size).cast("string").alias("window_seq"), count.cast("int").alias("mismatches"),
-    )
-    return hit.select(
-        "contig_id", "start", "end", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"),
-        F.lit("Palindrome").alias("pattern"), "window_seq", "mismatches",
-    ).select(
-        "contig_id", "start", "end", "strand", "pattern",
-        F.when(F.col("strand") == "+", F.col("window_seq"))
-        .otherwise(S.reverse_complement("window_seq")).alias("found_seq"), "mismatches",
+        (F.col("offset") + at + size + (start - 2)).cast("bigint").alias("end"), "strand",
+        F.lit("Palindrome").alias("pattern"), oriented(on, at, size).alias("found_seq"),
+        count.cast("int").alias("mismatches"),
     )
 
 

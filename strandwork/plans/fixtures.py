@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread_small
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -131,14 +133,19 @@ class Fixtures:
         if name.startswith("_") or (name not in VIEWS and name not in TABLES):
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = (
-                self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else self.sql(VIEWS[name]))
+            if name in TABLES:
+                made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name == "contigs":
+                made = self.sql(VIEWS[name], documents=spread_small(self.documents, "doc_id"))
+            else:
+                made = self.sql(VIEWS[name])
+            self._made[name] = made
         return self._made[name]
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
         text = text.replace("$g", "").replace("VARCHAR(20)", "STRING").replace("VARCHAR(5)", "STRING") \
             .replace("VARCHAR(2)", "STRING").replace("VARCHAR", "STRING")
-        return self.spark.sql(text, **{r: getattr(self, r) for r in _refs(text)})
+        return self.spark.sql(text, **{r: given.get(r) or getattr(self, r) for r in _refs(text)})
 
 
 def duckdb(text: str, **ctes: str) -> str:
