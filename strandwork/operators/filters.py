@@ -54,19 +54,23 @@ def by_position(hits: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 # W6
-def numbered(hits: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """1-based number of each hit in (start, strand) order of its contig.
+def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str = "match_no", block: int = 1 << 20) -> DataFrame:
+    """1-based number of each row within its key, in `order`, whose first column is an integer.
 
-    Numbers are counted inside position blocks and shifted by the sizes of earlier blocks,
-    so a long contig is not ordered in a single task.
+    Numbers are counted inside blocks of that column and shifted by the sizes of earlier
+    blocks, so a key that holds most rows is not ordered in a single task.
     """
-    keyed = hits.withColumn("_blk", F.floor(F.col("start") / block))
-    sizes = keyed.groupBy("contig_id", "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("contig_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("contig_id", "_blk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    w = Window.partitionBy("contig_id", "_blk").orderBy("start", "strand", "pattern")
-    return keyed.withColumn("_in", F.row_number().over(w)).join(shift, ["contig_id", "_blk"]).withColumn(
-        "match_no", F.col("_in") + F.col("_shift")).drop("_blk", "_in", "_shift")
+    keyed = rows.withColumn("_blk", F.floor(F.col(order[0]) / block))
+    sizes = keyed.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, "_blk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    return keyed.withColumn("_in", F.row_number().over(w)).join(shift, [*keys, "_blk"]).withColumn(
+        out, F.col("_in") + F.col("_shift")).drop("_blk", "_in", "_shift")
+
+
+def number_hits(hits: DataFrame, block: int = 1 << 20) -> DataFrame:
+    return numbered(hits, ["contig_id"], ["start", "strand", "pattern"], "match_no", block)
 
 
 def every_nth(numbered_hits: DataFrame, n: int = 10) -> DataFrame:

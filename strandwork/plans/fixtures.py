@@ -1,7 +1,8 @@
 """Genomics-shaped views over the provided tables.
 
 One SQL text per view serves Spark and DuckDB; only the regex-replace flag differs.
-Placeholders such as {orders} are tables or earlier views.
+Placeholders such as {orders} are tables or earlier views. Lines of an order are not unique in
+(order, line number), so row numbers carry the values that decide ties.
 """
 from __future__ import annotations
 
@@ -32,8 +33,35 @@ SELECT event_id % (SELECT count(*) FROM {documents}) AS contig_id, 1 + (user_id
 FROM {events}""",
     "expression": """
 SELECT concat(CASE WHEN l_linenumber = 1 THEN 'G' ELSE 'g' END, l_orderkey) AS gene,
-       round((l_discount - 0.05) * 40, 6) AS log2fc, l_tax AS p, l_orderkey * 10 + l_linenumber AS row_no
+       round((l_discount - 0.05) * 40, 6) AS log2fc, l_tax AS p,
+       (((l_orderkey * 8 + l_linenumber) * 10000 + l_partkey % 10000) * 100 + CAST(round(l_discount * 100) AS BIGINT)) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS row_no
 FROM {lineitem}""",
+    # Fold changes on coordinates; later rows overwrite earlier ones of the same gene.
+    "gene_values": """
+SELECT contig_id, g.gene, g_start, g_end, strand, round((l_discount - 0.05) * 40, 6) AS value, l_returnflag AS dataset,
+       ((l_orderkey * 8 + l_linenumber) * 10000 + l_partkey % 10000) * 100 + CAST(round(l_discount * 100) AS BIGINT) AS ordinal
+FROM {lineitem} JOIN {genes} g ON g.gene = concat('g', l_orderkey)""",
+    # An upload before cleaning: blank genes, blank and unreadable numbers, null tokens.
+    "upload": """
+SELECT CASE WHEN l_linenumber = 7 THEN ' ' ELSE concat(' ', CASE l_returnflag WHEN 'A' THEN 'Syn' ELSE 'g' END, l_orderkey) END AS gene_text,
+       CASE l_linenumber WHEN 6 THEN '' WHEN 5 THEN 'abc' ELSE CAST(l_quantity AS VARCHAR) END AS fc_text,
+       CASE WHEN l_linestatus = 'O' THEN 'NA' WHEN l_linenumber = 4 THEN 'low' ELSE CAST(l_tax AS VARCHAR) END AS p_text,
+       ((l_orderkey * 8 + l_linenumber) * 10000 + l_partkey % 10000) * 100 + CAST(l_quantity AS BIGINT) AS row_no
+FROM {lineitem}""",
+    "cluster_names": """
+SELECT DISTINCT gene FROM {clusters} UNION SELECT concat('Syn', o_orderkey) FROM {orders} WHERE o_orderstatus = 'P'""",
+    "alias_rows": """
+SELECT concat('g', o_orderkey) AS name, concat('Syn', o_orderkey) AS s1, concat('BSU', o_orderkey) AS subtilist,
+       CASE WHEN o_orderstatus = 'O' THEN concat('G', o_orderkey, '_x_1') END AS browser, o_orderkey AS ordinal FROM {orders}""",
+    "raw_complexes": """
+SELECT concat('cx', o_orderkey) AS name, CASE substr(o_orderpriority, 1, 1)
+    WHEN '1' THEN concat('["g', o_orderkey, '","g', o_custkey, '","g', o_custkey, '"]')
+    WHEN '2' THEN concat(chr(123), '"genes":["g', o_custkey, '"]', chr(125))
+    WHEN '3' THEN concat(chr(123), '"members":["g', o_orderkey, '","m', o_custkey, '"]', chr(125))
+    WHEN '4' THEN concat('g', o_custkey) END AS value FROM {orders}""",
+    "regulon_text": """
+SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN concat('Kind: ', p_type, '; Function: ', p_name, ' ; end')
+       WHEN p_size % 3 = 1 THEN concat(p_name, '; second part') ELSE '' END AS description FROM {part}""",
     "memberships": """
 SELECT DISTINCT concat('cat_', l_suppkey % 12) AS category, concat('g', l_orderkey) AS gene FROM {lineitem}""",
     "categories": """

@@ -502,14 +502,14 @@ def _(fx):
 SELECT contig_id, start, strand, no AS match_no, replace(replace(replace(replace(concat('Match_', no, '_', location), '[', ''), ']', ''), '(', '_'), ')', '') AS name
 FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY start, strand) AS no FROM {loc})""", **LOC_CTES)
 def _(fx):
-    return filters.numbered(_located(fx)).select("contig_id", "start", "strand", "match_no", filters.match_name().alias("name"))
+    return filters.number_hits(_located(fx)).select("contig_id", "start", "strand", "match_no", filters.match_name().alias("name"))
 
 
 @query("w6_every_tenth", """
 SELECT contig_id, start, strand, no AS match_no FROM (
   SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY start, strand) AS no FROM {hits}) WHERE (no - 1) % 10 = 0""", **HIT_CTES)
 def _(fx):
-    return filters.every_nth(filters.numbered(exact_hits(fx), 100)).select("contig_id", "start", "strand", "match_no")
+    return filters.every_nth(filters.number_hits(exact_hits(fx), 100)).select("contig_id", "start", "strand", "match_no")
 
 
 @query("w7_display_limit", "SELECT * FROM {hits} ORDER BY contig_id, start, strand LIMIT 50", **HIT_CTES)
