@@ -7,18 +7,12 @@ from ..operators import graph as N
 from .registry import query
 
 NODES = [5, 17, 42, 99, 123]
-IN_NODES = "(5, 17, 42, 99, 123)"
-DIRECTED = """
-SELECT src, dst, arg_max(mode, ordinal) AS m0, max(ordinal) AS ordinal FROM {regulations} WHERE dst IS NOT NULL GROUP BY src, dst"""
 KEPT = """
 SELECT src, dst, mode, effect, mechanism, ordinal FROM (
   SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ordinal DESC) AS r FROM {regulations} WHERE dst IS NOT NULL) WHERE r = 1"""
 EDGES = "SELECT DISTINCT src, dst FROM {regulations} WHERE dst IS NOT NULL"
 CHOSEN = "SELECT * FROM (VALUES (5, 0), (17, 1), (42, 2), (99, 3), (123, 4)) t(node, ordinal)"
 WALK_LEN = 4
-# Every walk of up to four edges from a chosen node that does not come back to it.
-WALKS = f"""
-SELECT source, path[len(path)] AS node, len(path) - 1 AS d, path FROM {{walk}}"""
 
 
 def chosen(fx):
@@ -98,8 +92,8 @@ WITH RECURSIVE walk(source, path, closed) AS (
   UNION ALL
   SELECT source, CASE WHEN dst = source THEN path ELSE list_append(path, dst) END, dst = source
   FROM walk JOIN {edges} ON src = path[len(path)] WHERE NOT closed AND len(path) <= 4 AND (dst = source OR (NOT list_contains(path, dst) AND len(path) < 4)))
-SELECT DISTINCT len(path) AS length, array_to_string(list_concat(path[at:len(path)], path[1:at - 1]), ' -> ') AS loop
-FROM (SELECT path, list_position(path, list_min(path)) AS at FROM walk WHERE closed)""", **GRAPH)
+SELECT DISTINCT len(path) AS length, array_to_string(list_concat(path[lo:len(path)], path[1:lo - 1]), ' -> ') AS loop
+FROM (SELECT path, list_position(path, list_min(path)) AS lo FROM walk WHERE closed)""", **GRAPH)
 def _(fx):
     return N.feedback_loops(N.directed_graph(fx.regulations), chosen(fx), 4)
 
@@ -132,18 +126,18 @@ def _(fx):
 
 @query("g11_centrality", """
 WITH RECURSIVE reach(s, v, d) AS (
-  SELECT DISTINCT src, src, 0 FROM {both} UNION SELECT s, dst, d + 1 FROM reach JOIN {both} ON src = v WHERE d < 12),
+  SELECT DISTINCT src, src, 0 FROM {linked} UNION SELECT s, dst, d + 1 FROM reach JOIN {linked} ON src = v WHERE d < 12),
 dist AS MATERIALIZED (SELECT s, v, min(d) AS d FROM reach GROUP BY s, v),
 path(s, v, d) AS (
-  SELECT DISTINCT src, src, 0 FROM {both} UNION ALL
-  SELECT p.s, dst, p.d + 1 FROM path p JOIN {both} ON src = p.v JOIN dist t ON t.s = p.s AND t.v = dst AND t.d = p.d + 1),
+  SELECT DISTINCT src, src, 0 FROM {linked} UNION ALL
+  SELECT p.s, dst, p.d + 1 FROM path p JOIN {linked} ON src = p.v JOIN dist t ON t.s = p.s AND t.v = dst AND t.d = p.d + 1),
 sigma AS MATERIALIZED (SELECT s, v, d, count(*) AS n FROM path GROUP BY s, v, d)
 SELECT k.node, round(coalesce(b, 0), 6) AS betweenness, round(coalesce(c, 0), 6) AS closeness
-FROM (SELECT DISTINCT src AS node FROM {both}) k
+FROM (SELECT DISTINCT src AS node FROM {linked}) k
 LEFT JOIN (SELECT x.v AS node, sum(x.n * y.n / z.n::DOUBLE) AS b FROM sigma x JOIN sigma y ON y.s = x.v JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
            WHERE x.v <> x.s AND x.v <> y.v GROUP BY x.v) t1 ON t1.node = k.node
 LEFT JOIN (SELECT v AS node, sum(1.0::DOUBLE / d) AS c FROM dist WHERE d > 0 GROUP BY v) t2 ON t2.node = k.node""",
-       both="SELECT DISTINCT a AS src, b AS dst FROM {supplier_links} WHERE a <> b UNION SELECT b, a FROM {supplier_links} WHERE a <> b")
+       linked="SELECT DISTINCT a AS src, b AS dst FROM {supplier_links} WHERE a <> b UNION SELECT b, a FROM {supplier_links} WHERE a <> b")
 def _(fx):
     links = fx.supplier_links
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()

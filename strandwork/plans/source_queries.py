@@ -8,17 +8,7 @@ from ..sources import fasta, gff, json_cache, tables
 from ..streaming import enrich
 from .registry import query
 
-NL = "chr(10)"
 TAB = "chr(9)"
-# One FASTA record per document, as the reader would cut it: header, then the text in two lines.
-RECORDS = f"""
-SELECT concat('contig', doc_id, ' source=', source, {NL}, replace(replace(substr(text, 1, 40), {NL}, ''), ' ', ''), {NL}, 'acgtu', {NL}, substr(text, 41)) AS value,
-       doc_id AS record_no FROM {{documents}}"""
-WS = "'\\s'"
-
-
-def _text(fx, sql):
-    return fx.sql(sql)
 
 
 @query("s1_fasta_contigs", f"""
