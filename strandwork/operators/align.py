@@ -62,36 +62,79 @@ def top_targets(scored: DataFrame, n: int = 100, name: str = "name") -> DataFram
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _align(a: str, b: str) -> tuple[str, str, int]:
-    """Global alignment; the row recurrence is vectorised with a running maximum."""
-    x = np.frombuffer(a.encode(), dtype=np.uint8)
-    y = np.frombuffer(b.encode(), dtype=np.uint8)
-    table = np.empty((len(x) + 1, len(y) + 1), dtype=np.int32)
-    slope = np.arange(len(y) + 1, dtype=np.int32) * GAP
-    table[0] = slope
-    for i in range(1, len(x) + 1):
-        row = table[i]
-        row[0] = i * GAP
-        row[1:] = np.maximum(table[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH), table[i - 1, 1:] + GAP)
-        np.maximum.accumulate(row - slope, out=row)
+# Cells of the score tables held at once: 64 MB of int32.
+_CELLS = 1 << 24
+
+
+def _padded(texts: list[str], fill: int) -> np.ndarray:
+    width = max(map(len, texts))
+    flat = b"".join(t.encode().ljust(width, bytes([fill])) for t in texts)
+    return np.frombuffer(flat, dtype=np.uint8).reshape(len(texts), width)
+
+
+def _align_group(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
+    """Align many pairs at once: every step works on one row (or one move) of all of them."""
+    x, y = _padded(a, 0), _padded(b, 1)
+    count, n, m = len(a), x.shape[1], y.shape[1]
+    slope = np.arange(m + 1, dtype=np.int32) * GAP
+    table = np.empty((count, n + 1, m + 1), dtype=np.int32)
+    table[:, 0] = slope
+    for i in range(1, n + 1):
+        above, row = table[:, i - 1], table[:, i]
+        row[:, 0] = i * GAP
+        row[:, 1:] = np.maximum(above[:, :-1] + np.where(y == x[:, i - 1, None], MATCH, MISMATCH), above[:, 1:] + GAP)
+        # A run of gaps in `a` is a running maximum once the gap slope is taken out.
+        row -= slope
+        np.maximum.accumulate(row, axis=1, out=row)
         row += slope
-    i, j = len(x), len(y)
-    top, bottom = [], []
-    while i or j:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (MATCH if x[i - 1] == y[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-            top.append(a[i])
-            bottom.append(b[j])
-        elif i and (not j or here == table[i - 1, j] + GAP):
-            i -= 1
-            top.append(a[i])
-            bottom.append("-")
-        else:
-            j -= 1
-            top.append("-")
-            bottom.append(b[j])
-    return "".join(reversed(top)), "".join(reversed(bottom)), int(table[-1, -1])
+    r = np.arange(count)
+    i = np.array([len(t) for t in a])
+    j = np.array([len(t) for t in b])
+    score = table[r, i, j]
+    top = np.full((count, n + m), ord("-"), dtype=np.uint8)
+    bottom = top.copy()
+    used = np.zeros(count, dtype=np.int64)
+    at = n + m
+    while True:
+        live = (i > 0) | (j > 0)
+        if not live.any():
+            break
+        at -= 1
+        used += live
+        pi, pj = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        xa, yb, here = x[r, pi], y[r, pj], table[r, i, j]
+        both = (i > 0) & (j > 0) & (here == table[r, pi, pj] + np.where(xa == yb, MATCH, MISMATCH))
+        first = live & ~both & (i > 0) & ((j == 0) | (here == table[r, pi, j] + GAP))
+        second = live & ~both & ~first
+        top[:, at] = np.where(both | first, xa, top[:, at])
+        bottom[:, at] = np.where(both | second, yb, bottom[:, at])
+        i = i - (both | first)
+        j = j - (both | second)
+    end = n + m
+    return [
+        (top[k, end - used[k]:].tobytes().decode(), bottom[k, end - used[k]:].tobytes().decode(), int(score[k]))
+        for k in range(count)
+    ]
+
+
+def _align_all(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
+    """Pairs of similar length go together; a group's tables stay within `_CELLS`."""
+    order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
+    out: list = [None] * len(a)
+    group: list[int] = []
+    wide = 0
+    for k in order:
+        reach = max(wide, len(b[k]))
+        if group and (len(group) + 1) * (len(a[k]) + 1) * (reach + 1) > _CELLS:
+            for g, res in zip(group, _align_group([a[g] for g in group], [b[g] for g in group])):
+                out[g] = res
+            group, reach = [], len(b[k])
+        group.append(k)
+        wide = reach
+    if group:
+        for g, res in zip(group, _align_group([a[g] for g in group], [b[g] for g in group])):
+            out[g] = res
+    return out
 
 
 _ALIGNED = T.StructType([
@@ -101,14 +144,14 @@ _ALIGNED = T.StructType([
 
 @F.pandas_udf(_ALIGNED)
 def _align_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_align(x, y) for x, y in zip(a, b)], columns=["aligned_a", "aligned_b", "score"])
+    return pd.DataFrame(_align_all(list(a), list(b)), columns=["aligned_a", "aligned_b", "score"])
 
 
 # M16
 def pairwise_align(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", spread: int | None = None) -> DataFrame:
     """Global alignment of each row's two sequences; adds aligned_a, aligned_b, score.
 
-    The cost of a row grows with the product of its lengths. `spread` shuffles the rows into
+    The cost and memory of a row grow with the product of its lengths. `spread` shuffles the rows into
     that many round-robin partitions when long pairs are clustered in the input.
     """
     rows = pairs.repartition(spread) if spread else pairs

@@ -40,19 +40,23 @@ def srna_seeds(srnas: DataFrame, seed: int, wobble: bool = True) -> DataFrame:
     return base.select("srna_id", "srna", "s_start", F.explode(spelled).alias("kmer"))
 
 
-# M10
-def seed_index(srnas: DataFrame, seed: int) -> DataFrame:
-    """Reverse complement of each sRNA k-mer and its position; k-mers with other letters are skipped."""
+def _exact_seeds(srnas: DataFrame, seed: int) -> DataFrame:
     return (
         srnas.select("srna_id", F.upper("srna").alias("srna"))
         .where(F.length("srna") >= seed)
         .withColumn("s_start", F.explode(F.sequence(F.lit(1), F.length("srna") - (seed - 1))))
         .withColumn("kmer", F.substring("srna", F.col("s_start"), F.lit(seed)))
         .where(F.col("kmer").rlike(S.RNA_PATTERN))
-        .select("srna_id", "s_start", S.reverse_complement(S.to_dna("kmer")).alias("seed_rc"))
+        .select("srna_id", "srna", "s_start", S.reverse_complement(S.to_dna("kmer")).alias("seed_rc"))
     )
 
 
+# M10
+def seed_index(srnas: DataFrame, seed: int) -> DataFrame:
+    """Reverse complement of each sRNA k-mer and its position; k-mers with other letters are skipped."""
+    return _exact_seeds(srnas, seed).drop("srna")
+
+
 def _oriented_kmers(contigs: DataFrame, seed: int, reach: int) -> DataFrame:
     """k-mers of both strands in the coordinates of each strand, with the bases that follow."""
     both = contigs.select(
@@ -210,7 +214,7 @@ def seed_and_extend(contigs: DataFrame, srnas: DataFrame, seed: int, max_gu: int
     table = srnas.select("srna_id", S.to_dna("srna").alias("srna"))
     table = table.withColumn("srna", F.when(F.length("srna") <= max_srna, F.col("srna")).otherwise(
         F.raise_error(F.lit(f"sRNA longer than max_srna={max_srna}")).cast("string")))
-    keyed = seed_index(table, seed).join(table, "srna_id")
+    keyed = _exact_seeds(table, seed)
     reach = F.length("srna")
     first = F.greatest(F.col("pos") - reach, F.col("cut") + 1)
     cand = spots.join(keyed, "seed_rc").select(

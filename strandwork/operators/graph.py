@@ -10,6 +10,8 @@ to gene. Spelling a group out as pairs would square its size.
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,56 +149,63 @@ def _reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def _pairs(chosen: DataFrame) -> DataFrame:
-    """Ordered pairs i < j of the chosen nodes (a handful of named genes)."""
-    a = chosen.select(F.col("node").alias("source"), F.col("ordinal").alias("_i"))
-    b = chosen.select(F.col("node").alias("target"), F.col("ordinal").alias("_j"))
-    return a.join(b, F.col("_i") < F.col("_j")).select("source", "target")
+def _chosen(edges: DataFrame, nodes: list) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(nodes)], f"node {kind}")
+
+
+def _pairs(edges: DataFrame, nodes: list) -> DataFrame:
+    """Ordered pairs of the named nodes, earlier before later. The list is typed in by a user."""
+    kind = edges.schema["src"].dataType.simpleString()
+    pairs = list(combinations(dict.fromkeys(nodes), 2))
+    return edges.sparkSession.createDataFrame(pairs, f"source {kind}, target {kind}")
 
 
 # G5
-def shortest_paths(edges: DataFrame, chosen: DataFrame, max_len: int = 16) -> DataFrame:
-    """(source, target, direct, n_paths, dist, example_path) for chosen nodes (node, ordinal), i before j."""
-    state = path_state(edges, chosen, max_len)
+def shortest_paths(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
+    """(source, target, direct, n_paths, dist, example_path) for every two of `nodes`, in list order."""
+    state = path_state(edges, _chosen(edges, nodes), max_len)
     hit = state.select("source", F.col("node").alias("target"), "dist", "n_paths", "example")
-    return _pairs(chosen).join(hit, ["source", "target"], "left").select(
+    return _pairs(edges, nodes).join(hit, ["source", "target"], "left").select(
         "source", "target", F.coalesce(F.col("dist") == 1, F.lit(False)).alias("direct"),
         F.coalesce("n_paths", F.lit(0)).alias("n_paths"), "dist",
         F.array_join(F.transform("example", lambda x: x.cast("string")), " -> ").alias("example_path"))
 
 
-def _through(edges: DataFrame, chosen: DataFrame, max_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _through(edges: DataFrame, nodes: list, max_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Forward state, backward state and the reachable pairs with their distance."""
+    chosen = _chosen(edges, nodes)
     fwd = path_state(edges, chosen, max_len)
     back = path_state(_reverse(edges), chosen, max_len).select(
         F.col("source").alias("target"), "node", F.col("dist").alias("to_go"), F.col("n_paths").alias("n_back"))
-    total = _pairs(chosen).join(fwd.select("source", F.col("node").alias("target"), F.col("dist").alias("total")), ["source", "target"])
+    total = _pairs(edges, nodes).join(
+        fwd.select("source", F.col("node").alias("target"), F.col("dist").alias("total")), ["source", "target"])
     return fwd, back, total
 
 
 # G6
-def intermediate_counts(edges: DataFrame, chosen: DataFrame, max_len: int = 16) -> DataFrame:
+def intermediate_counts(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
     """How many shortest paths between chosen pairs pass through each inner node.
 
     Paths through v are the paths to v times the paths from v; none is listed.
     """
-    fwd, back, total = _through(edges, chosen, max_len)
+    fwd, back, total = _through(edges, nodes, max_len)
     on = total.join(back, "target").join(fwd.drop("example"), ["source", "node"]).where(
         (F.col("dist") + F.col("to_go") == F.col("total")) & (F.col("node") != F.col("source")) & (F.col("node") != F.col("target")))
     return on.groupBy("node").agg(F.sum(F.col("n_paths") * F.col("n_back")).alias("n_paths"))
 
 
 # G9
-def path_nodes(edges: DataFrame, chosen: DataFrame, max_len: int = 16) -> DataFrame:
+def path_nodes(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
     """Nodes on any shortest path between chosen pairs, ends included."""
-    fwd, back, total = _through(edges, chosen, max_len)
+    fwd, back, total = _through(edges, nodes, max_len)
     return total.join(back, "target").join(fwd.drop("example"), ["source", "node"]).where(
         F.col("dist") + F.col("to_go") == F.col("total")).select("node").distinct()
 
 
-def path_edges(edges: DataFrame, chosen: DataFrame, max_len: int = 16) -> DataFrame:
+def path_edges(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
     """Edges on any shortest path between chosen pairs."""
-    fwd, back, total = _through(edges, chosen, max_len)
+    fwd, back, total = _through(edges, nodes, max_len)
     f = fwd.select("source", F.col("node").alias("src"), "dist")
     b = back.select("target", F.col("node").alias("dst"), "to_go")
     return edges.select("src", "dst").distinct().join(f, "src").join(b, "dst").join(total, ["source", "target"]).where(
@@ -204,7 +213,7 @@ def path_edges(edges: DataFrame, chosen: DataFrame, max_len: int = 16) -> DataFr
 
 
 # G8
-def feedback_loops(edges: DataFrame, chosen: DataFrame, max_len: int) -> DataFrame:
+def feedback_loops(edges: DataFrame, nodes: list, max_len: int) -> DataFrame:
     """Simple cycles of up to `max_len` nodes through a chosen node, as (length, loop) text.
 
     Paths grow from each chosen node and are kept only while the way back still fits, which
@@ -212,6 +221,7 @@ def feedback_loops(edges: DataFrame, chosen: DataFrame, max_len: int) -> DataFra
     its smallest node.
     """
     e = edges.select("src", "dst").distinct()
+    chosen = _chosen(e, nodes)
     back = path_state(_reverse(e), chosen, max_len).select(F.col("source").alias("start"), "node", F.col("dist").alias("to_go"))
     paths = cut(chosen.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
     loops = None

@@ -15,10 +15,6 @@ CHOSEN = "SELECT * FROM (VALUES (5, 0), (17, 1), (42, 2), (99, 3), (123, 4)) t(n
 WALK_LEN = 4
 
 
-def chosen(fx):
-    return fx.spark.createDataFrame([(n, i) for i, n in enumerate(NODES)], "node bigint, ordinal int")
-
-
 @query("g1_clique_edges", """
 SELECT DISTINCT x.gene AS a, y.gene AS b, CAST(NULL AS VARCHAR) AS via FROM {complexes} x JOIN {complexes} y ON y.complex_id = x.complex_id AND x.gene <> y.gene""")
 def _(fx):
@@ -69,13 +65,13 @@ SELECT p.source, p.target, coalesce(bool_or(o.d = 1), false) AS direct, count(o.
        array_to_string(min(o.path), ' -> ') AS example_path
 FROM pairs p LEFT JOIN onpath o ON o.source = p.source AND o.target = p.target GROUP BY p.source, p.target""", **GRAPH)
 def _(fx):
-    return N.shortest_paths(N.directed_graph(fx.regulations), chosen(fx), WALK_LEN)
+    return N.shortest_paths(N.directed_graph(fx.regulations), NODES, WALK_LEN)
 
 
 @query("g6_intermediate_counts", _WALK + """
 SELECT node, count(*) AS n_paths FROM (SELECT unnest(path[2:len(path) - 1]) AS node FROM onpath WHERE d >= 2) GROUP BY node""", **GRAPH)
 def _(fx):
-    return N.intermediate_counts(N.directed_graph(fx.regulations), chosen(fx), WALK_LEN)
+    return N.intermediate_counts(N.directed_graph(fx.regulations), NODES, WALK_LEN)
 
 
 @query("g7_edges_among_chosen", f"""
@@ -95,18 +91,18 @@ WITH RECURSIVE walk(source, path, closed) AS (
 SELECT DISTINCT len(path) AS length, array_to_string(list_concat(path[lo:len(path)], path[1:lo - 1]), ' -> ') AS loop
 FROM (SELECT path, list_position(path, list_min(path)) AS lo FROM walk WHERE closed)""", **GRAPH)
 def _(fx):
-    return N.feedback_loops(N.directed_graph(fx.regulations), chosen(fx), 4)
+    return N.feedback_loops(N.directed_graph(fx.regulations), NODES, 4)
 
 
 @query("g9_path_nodes", _WALK + "SELECT DISTINCT unnest(path) AS node FROM onpath", **GRAPH)
 def _(fx):
-    return N.path_nodes(N.directed_graph(fx.regulations), chosen(fx), WALK_LEN)
+    return N.path_nodes(N.directed_graph(fx.regulations), NODES, WALK_LEN)
 
 
 @query("g9_path_edges", _WALK + """
 SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM onpath)""", **GRAPH)
 def _(fx):
-    return N.path_edges(N.directed_graph(fx.regulations), chosen(fx), WALK_LEN)
+    return N.path_edges(N.directed_graph(fx.regulations), NODES, WALK_LEN)
 
 
 PAIRS = """
