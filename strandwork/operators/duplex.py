@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sequence as S
+from .scan import padded_chunks, whole_contigs
 
 # The Arrow function travels by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -59,15 +60,12 @@ def seed_index(srnas: DataFrame, seed: int) -> DataFrame:
 
 def _oriented_kmers(contigs: DataFrame, seed: int, reach: int) -> DataFrame:
     """k-mers of both strands in the coordinates of each strand, with the bases that follow."""
-    both = contigs.select(
-        "contig_id", F.length("seq").alias("contig_len"),
-        F.explode(F.array(
-            F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")),
-            F.struct(F.lit("-").alias("strand"), S.reverse_complement("seq").alias("s")),
-        )).alias("o"),
-    ).where(F.col("contig_len") >= seed)
+    both = whole_contigs(contigs, seed).select(
+        "contig_id", "contig_len", "whole", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand")).withColumn(
+        "whole", F.when(F.col("strand") == "+", F.col("whole")).otherwise(
+            S.reverse_complement(F.col("whole").cast("string")).cast("binary")))
     chunks = both.select(
-        "contig_id", "contig_len", "o.strand", F.col("o.s").cast("binary").alias("whole"),
+        "contig_id", "contig_len", "strand", "whole",
         F.explode(F.sequence(F.lit(0), F.col("contig_len") - seed, F.lit(CORE))).alias("offset"),
     ).select("contig_id", "contig_len", "strand", "offset",
              F.substring("whole", F.col("offset") + 1, F.lit(CORE + reach - 1)).alias("bases"))
@@ -196,15 +194,8 @@ def seed_and_extend(contigs: DataFrame, srnas: DataFrame, seed: int, max_gu: int
     extended over the flanks the sRNA can reach, which lie within `max_srna` bases.
     """
     src = contigs.select("contig_id", S.to_dna("seq").alias("seq"))
-    n = F.length("seq")
     chunks = (
-        src.where(n >= seed)
-        .select("contig_id", n.alias("contig_len"), F.col("seq").cast("binary").alias("whole"),
-                F.explode(F.sequence(F.lit(0), n - seed, F.lit(CORE))).alias("offset"))
-        .withColumn("cut", F.greatest(F.col("offset") - max_srna, F.lit(0)))
-        .select("contig_id", "contig_len", "offset", "cut",
-                F.substring("whole", F.col("cut") + 1,
-                            F.col("offset") - F.col("cut") + CORE + seed + max_srna).alias("bases"))
+        padded_chunks(src, seed, max_srna, max_srna + seed, CORE)
         .withColumn("pos", F.explode(F.sequence(
             F.col("offset") + 1, F.least(F.col("offset") + CORE, F.col("contig_len") - (seed - 1)))))
     )

@@ -18,24 +18,32 @@ CORE = 1 << 16
 HIT_KEYS = ["contig_id", "start", "end", "strand"]
 
 
+def whole_contigs(contigs: DataFrame, least: int, carry: list[str] | None = None) -> DataFrame:
+    """contig_id, contig_len, whole (the bases as BINARY) of contigs with at least `least` bases.
+
+    The one-element explode keeps the length test above the expression that makes `seq`. Pushed
+    below it, the test would parse or clean every sequence a second time.
+    """
+    one = contigs.select("contig_id", *(carry or []), F.explode(F.array(F.col("seq").cast("binary"))).alias("whole"))
+    return one.withColumn("contig_len", F.length("whole")).where(F.col("contig_len") >= least)
+
+
 def chunk(
-    contigs: DataFrame, window: int, core: int = CORE, carry: list[str] | None = None,
+    contigs: DataFrame, window: int, core: int = CORE, reach: int | None = None, carry: list[str] | None = None,
     spread: int | None = None,
 ) -> DataFrame:
     """One row per core of every contig that holds at least one window.
 
-    Columns: contig_id, contig_len, offset (bases before the chunk), bases (BINARY), and
-    the `carry` columns. `spread` repartitions the chunks, for a handful of very
-    long contigs that would otherwise stay in the tasks that read them.
+    Columns: contig_id, contig_len, offset (bases before the chunk), bases (BINARY), and the `carry`
+    columns. A chunk extends `reach` - 1 bases past its core (`window` - 1 by default).
+    `spread` repartitions the chunks, for a handful of very long contigs that would otherwise
+    stay in the tasks that read them.
     """
-    n = F.length("seq")
-    kept = ["contig_id", *(carry or [])]
+    kept = ["contig_id", *(carry or []), "contig_len"]
     cut = (
-        contigs.where(n >= window)
-        .select(*kept, n.alias("contig_len"), F.col("seq").cast("binary").alias("whole"),
-                F.explode(F.sequence(F.lit(0), n - window, F.lit(core))).alias("offset"))
-        .select(*kept, "contig_len", "offset",
-                F.substring("whole", F.col("offset") + 1, F.lit(core + window - 1)).alias("bases"))
+        whole_contigs(contigs, window, carry)
+        .select(*kept, "whole", F.explode(F.sequence(F.lit(0), F.col("contig_len") - window, F.lit(core))).alias("offset"))
+        .select(*kept, "offset", F.substring("whole", F.col("offset") + 1, F.lit(core + (reach or window) - 1)).alias("bases"))
     )
     return cut.repartition(spread, "contig_id", "offset") if spread else cut
 
@@ -45,6 +53,18 @@ def _positions(chunks: DataFrame, window: int) -> DataFrame:
     return chunks.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("bases") - (window - 1))))
 
 
+def padded_chunks(contigs: DataFrame, window: int, left: int, right: int, core: int = 4096) -> DataFrame:
+    """Chunks that carry `left` bases before their core and `right` after it; `cut` bases precede a chunk."""
+    return (
+        whole_contigs(contigs, window)
+        .select("contig_id", "contig_len", "whole",
+                F.explode(F.sequence(F.lit(0), F.col("contig_len") - window, F.lit(core))).alias("offset"))
+        .withColumn("cut", F.greatest(F.col("offset") - left, F.lit(0)))
+        .select("contig_id", "contig_len", "offset", "cut",
+                F.substring("whole", F.col("cut") + 1, F.col("offset") - F.col("cut") + (core + right)).alias("bases"))
+    )
+
+
 def with_other_strand(chunks: DataFrame) -> DataFrame:
     """Adds the chunk's reverse complement, so that '-' windows are slices too."""
     return chunks.withColumn("rc_bases", S.reverse_complement(F.col("bases").cast("string")).cast("binary"))
@@ -169,14 +189,7 @@ def batch_motif_hits(
     pos = F.col("offset") + at
     # The last windows of a contig are shorter than the longest query, so chunks are cut
     # for the shortest one and carry the difference.
-    n = F.length("seq")
-    chunks = (
-        contigs.where(n >= shortest)
-        .select("contig_id", n.alias("contig_len"), F.col("seq").cast("binary").alias("whole"),
-                F.explode(F.sequence(F.lit(0), n - shortest, F.lit(CORE))).alias("offset"))
-        .select("contig_id", "contig_len", "offset",
-                F.substring("whole", F.col("offset") + 1, F.lit(CORE + longest - 1)).alias("bases"))
-    )
+    chunks = chunk(contigs, shortest, CORE, longest)
     spots = with_other_strand(chunks).withColumn("at", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(CORE), F.col("contig_len") - F.col("offset") - (shortest - 1)))))
     rows = []
@@ -234,14 +247,8 @@ def batch_motif_join(
 
     # A chunk carries 256 bases on each side, so that a candidate can be cut where it is found.
     pad = 256
-    n = F.length("seq")
     spots = (
-        contigs.where(n >= seed)
-        .select("contig_id", n.alias("contig_len"), F.col("seq").cast("binary").alias("whole"),
-                F.explode(F.sequence(F.lit(0), n - seed, F.lit(4096))).alias("offset"))
-        .select("contig_id", "contig_len", "offset", F.greatest(F.col("offset") - pad, F.lit(0)).alias("cut"), "whole")
-        .select("contig_id", "contig_len", "offset", "cut",
-                F.substring("whole", F.col("cut") + 1, F.col("offset") - F.col("cut") + 4096 + pad).alias("bases"))
+        padded_chunks(contigs, seed, pad, pad)
         .withColumn("pos", F.explode(F.sequence(
             F.col("offset") + 1, F.least(F.col("offset") + 4096, F.col("contig_len") - (seed - 1)))))
         .select("contig_id", "contig_len", "pos",
@@ -300,15 +307,7 @@ def region_palindromes(
         (F.substring("seq", start, end - start + 1) if end else F.expr(f"substring(seq, {start})")).alias("seq"),
     )
     # Longer windows need bases past the ones the shortest window does.
-    n = F.length("seq")
-    chunks = (
-        region.where(n >= min_length)
-        .select("contig_id", n.alias("contig_len"), F.col("seq").cast("binary").alias("whole"),
-                F.explode(F.sequence(F.lit(0), n - min_length, F.lit(4096))).alias("offset"))
-        .select("contig_id", "contig_len", "offset",
-                F.substring("whole", F.col("offset") + 1, F.lit(4096 + max_length - 1)).alias("bases"))
-    )
-    chunks = with_other_strand(chunks)
+    chunks = with_other_strand(chunk(region, min_length, 4096, max_length))
     bases, rc, at, size = F.col("bases"), F.col("rc_bases"), F.col("at"), F.col("size")
     spots = (
         chunks.withColumn("size", F.explode(F.sequence(F.lit(min_length), F.lit(max_length))))
@@ -342,15 +341,8 @@ def fetch_region(
     so each row meets one small chunk, never its whole contig. `reach` must cover the
     distance from `start` to either end of the region.
     """
-    n = F.length("seq")
-    chunks = (
-        contigs.where(n >= 1)
-        .select("contig_id", n.alias("contig_len"), F.col("seq").cast("binary").alias("whole"),
-                F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(core))).alias("chunk_no", "offset"))
-        .withColumn("cut", F.greatest(F.col("offset") - reach, F.lit(0)))
-        .select("contig_id", "contig_len", F.col("chunk_no").cast("bigint").alias("chunk_no"), "cut",
-                F.substring("whole", F.col("cut") + 1, F.col("offset") - F.col("cut") + core + reach).alias("bases"))
-    )
+    chunks = padded_chunks(contigs, 1, reach, reach, core).select(
+        "contig_id", "contig_len", F.floor(F.col("offset") / core).cast("bigint").alias("chunk_no"), "cut", "bases")
     keyed = rows.withColumns({
         "_first": F.greatest(first, F.lit(1)), "_last": last,
         "chunk_no": F.floor((F.col("start") - 1) / core).cast("bigint"),

@@ -62,7 +62,7 @@ def test_strand_policy(contigs):
 
 @pytest.mark.parametrize("core", [16, 37, 128])
 def test_hits_do_not_depend_on_chunk_size(contigs, core, monkeypatch):
-    monkeypatch.setattr(scan.chunk, "__defaults__", (core, None, None))
+    monkeypatch.setattr(scan.chunk, "__defaults__", (core, None, None, None))
     monkeypatch.setattr(scan, "CORE", core)
     assert rows(scan.motif_hits(contigs, "TRTNAN", 1), *HIT) == brute("TRTNAN", 1)
     batch = scan.batch_motif_hits(contigs, {">a": "TRTNAN", ">b": "ACG"}, 1)
