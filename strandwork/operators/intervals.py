@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-STEP_BIN = 1 << 14
+STEP_BIN = 1 << 12
 # Bin widths of the interval join, 64 times wider at each level.
 BIN_SIZES = tuple(1 << b for b in (12, 18, 24, 33))
 
@@ -38,17 +38,24 @@ def _size(level: Column) -> Column:
 # J1
 def overlap_pairs(
     probes: DataFrame, targets: DataFrame, keys: list[str], probe: tuple[str, str] = ("start", "end"),
-    target: tuple[str, str] = ("g_start", "g_end"), how: str = "inner",
+    target: tuple[str, str] = ("g_start", "g_end"), how: str = "inner", longest: int | None = None,
 ) -> DataFrame:
     """Probe x target rows that share at least one position (inclusive ends) and the same keys.
 
-    With `how='left'` a probe also yields rows without a target, one or more; callers group them away.
+    With `how='left'` every probe yields at least one row, possibly one without a target besides
+    those with; callers group it away. `longest` states the length no target exceeds, which
+    spares probes the lookups at wider levels; a longer target is an error, never dropped.
     """
     (ps, pe), (ts, te) = probe, target
     t = targets.where(F.col(te) >= F.col(ts)).withColumn("_lvl", _level(F.col(te) - F.col(ts) + 1))
+    levels = len(BIN_SIZES)
+    if longest is not None:
+        levels = next((i + 1 for i, b in enumerate(BIN_SIZES) if longest <= b), levels)
+        t = t.withColumn("_lvl", F.when(F.col("_lvl") < levels, F.col("_lvl")).otherwise(
+            F.raise_error(F.lit(f"a target is longer than {longest}")).cast("int")))
     size = _size(F.col("_lvl"))
     t = t.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(ts) / size), F.floor(F.col(te) / size))))
-    sizes = F.array(*[F.struct(F.lit(i).alias("l"), F.lit(s).alias("s")) for i, s in enumerate(BIN_SIZES)])
+    sizes = F.array(*[F.struct(F.lit(i).alias("l"), F.lit(s).alias("s")) for i, s in enumerate(BIN_SIZES[:levels])])
     p = probes.withColumn("_s", F.explode(sizes))
     last = F.greatest(F.col(ps), F.col(pe))
     p = p.withColumn("_bin", F.explode(F.sequence(
@@ -60,19 +67,24 @@ def overlap_pairs(
     meet = (F.col(ps) <= F.col(te)) & (F.col(pe) >= F.col(ts)) & (F.col("_bin") == first_shared)
     for c in same:
         meet = c & meet
-    return p.join(t, meet, how).drop("_lvl", "_bin", *[f"_t_{c}" for c in [*keys, "_lvl", "_bin"]])
+    met = p.join(t, meet, how)
+    if how == "left":
+        # One empty lookup speaks for the probe; the others need not reach the aggregate.
+        met = met.where(F.col(ts).isNotNull() | (
+            (F.col("_lvl") == 0) & (F.col("_bin") == F.floor(F.col(ps) / BIN_SIZES[0]))))
+    return met.drop("_lvl", "_bin", *[f"_t_{c}" for c in [*keys, "_lvl", "_bin"]])
 
 
 def overlap_best(
     probes: DataFrame, targets: DataFrame, keys: list[str], aggs: dict[str, Column], probe: tuple[str, str] = ("start", "end"),
-    target: tuple[str, str] = ("g_start", "g_end"),
+    target: tuple[str, str] = ("g_start", "g_end"), longest: int | None = None,
 ) -> DataFrame:
     """Every probe row with aggregates over the targets it overlaps (null or 0 when there are none).
 
     Probes are a set: exact duplicate rows come out once. The aggregates must ignore nulls and
     repeated rows (min, max, min_by, collect_set).
     """
-    pairs = overlap_pairs(probes, targets, keys, probe, target, how="left")
+    pairs = overlap_pairs(probes, targets, keys, probe, target, "left", longest)
     return pairs.groupBy(*probes.columns).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
@@ -155,11 +167,11 @@ LAST_START = lambda: _gene(F.col("g_start"), F.col("ordinal"))
 
 
 # J2 (first half)
-def same_strand_overlap(hits: DataFrame, genes: DataFrame) -> DataFrame:
+def same_strand_overlap(hits: DataFrame, genes: DataFrame, longest: int | None = None) -> DataFrame:
     """Overlapping genes on the hit's strand: adds first_gene (in load order) and several."""
     g = genes.select("contig_id", "strand", "gene", "g_start", "g_end", "ordinal")
     found = overlap_best(hits, g, ["contig_id", "strand"], {
-        "first_gene": F.min_by("gene", "ordinal"), "several": F.min("ordinal") < F.max("ordinal")})
+        "first_gene": F.min_by("gene", "ordinal"), "several": F.min("ordinal") < F.max("ordinal")}, longest=longest)
     return found
 
 
@@ -177,13 +189,13 @@ def _between(up: str, down: str, line: str = "---", box: bool = False) -> Column
     return F.concat(F.lit("["), u, F.lit("]"), mid, F.lit("["), d, F.lit("]"))
 
 
-def located(hits: DataFrame, genes: DataFrame) -> DataFrame:
+def located(hits: DataFrame, genes: DataFrame, longest: int | None = None) -> DataFrame:
     """J2 + J3: loc_class (inside / overlap / intergenic) and the label of each stranded hit.
 
     One gene on the strand gives `[g](in)`, several give `[Overlap](first)`, none gives
-    `[up]---[down]` with start/end at the contig's edges.
+    `[up]---[down]` with start/end at the contig's edges. `longest` is the gene length bound of `overlap_pairs`.
     """
-    both = intergenic_neighbours(same_strand_overlap(hits, genes), genes)
+    both = intergenic_neighbours(same_strand_overlap(hits, genes, longest), genes)
     none = F.col("first_gene").isNull()
     return both.withColumns({
         "loc_class": F.when(none, "intergenic").when(F.col("several"), "overlap").otherwise("inside"),

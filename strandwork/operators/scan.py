@@ -276,7 +276,7 @@ def pattern_palindromes(contigs: DataFrame, pattern: str, max_mismatches: int =
     """M4: pattern hits that are palindromic within k, one row per locus, 1-based.
 
     `mismatches` counts pattern positions that differ letter by letter, so an
-    ambiguity code in the pattern always counts, as in the reference results.
+    ambiguity code in the pattern always counts.
     """
     pattern = S.check_pattern(pattern)
     width = len(pattern)

@@ -72,7 +72,7 @@ LOC_CTES = HIT_CTES | {"loc": LOCATED}
 
 @query("flagship_motif_to_location", "SELECT * FROM {loc}", **K1_CTES)
 def _(fx):
-    return filters.by_position(intervals.located(scan.motif_hits(fx.contigs, PATTERN, 1), fx.genes))
+    return filters.by_position(intervals.located(scan.motif_hits(fx.contigs, PATTERN, 1), fx.genes, longest=4096))
 
 
 # Scans -----------------------------------------------------------------------------
