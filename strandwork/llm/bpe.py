@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, word_hashes
+from .common import code_points, flat, pieces, word_hashes
 
 _NONE = np.int32(2**31 - 1)
 _SHORT = 64
@@ -93,16 +93,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     A piece is a contraction, a run of letters, of numbers or of other signs with one blank before it, or white space. Of
     several blanks before a sign, the last one goes with the sign if it is a space and stands alone if not.
     """
-    size = int(offsets[-1])
-    lead = np.flatnonzero((data[:size] & 0xC0) != 0x80)
-    code = data[lead].astype(np.int32)
-    for low, extra, keep in ((0xC0, 1, 0x1F), (0xE0, 2, 0x0F), (0xF0, 3, 0x07)):
-        wide = np.flatnonzero((code >= low) & (code < {0xC0: 0xE0, 0xE0: 0xF0, 0xF0: 0x100}[low]) & (data[lead] >= low))
-        value = code[wide] & keep
-        for k in range(1, extra + 1):
-            value = (value << 6) | (data[lead[wide] + k] & 0x3F)
-        code[wide] = value + (1 << 24)
-    code &= 0x1FFFFF
+    lead, code = code_points(data, offsets)
     n = len(code)
     edge = np.zeros(n + 1, dtype=bool)
     edge[np.searchsorted(lead, offsets)] = True

@@ -112,3 +112,18 @@ def inside(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     begins = np.concatenate(([0], np.cumsum(counts)))
     at = np.arange(begins[-1]) + np.repeat(first[:-1] - begins[:-1], counts)
     return at, begins
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and code point of each character; `data` ends in spare bytes."""
+    lead = np.flatnonzero((data[:int(offsets[-1])] & 0xC0) != 0x80)
+    code = data[lead].astype(np.int32)
+    wide = np.flatnonzero(code >= 0xC0)
+    first = code[wide]
+    for low, high, extra, keep in ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0x100, 3, 0x07)):
+        these = wide[(first >= low) & (first < high)]
+        value = code[these] & keep
+        for k in range(1, extra + 1):
+            value = (value << 6) | (data[lead[these] + k] & 0x3F)
+        code[these] = value
+    return lead, code

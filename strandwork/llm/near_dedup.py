@@ -4,8 +4,9 @@ Two small collections of r-wise minhash tuples are computed per document; the ta
 first and one of the second. With m tuples in each there are m * m keys from 2 * m * r minhashes, where plain banding takes
 2 * m * m * r. Two sets of similarity s share a key with probability (1 - (1 - s^r)^m)^2.
 
-Equal sets are one class from the start. In a bucket, members are first compared with few heads (a star), which settles
-large groups of copies with one row per member; then only members of different components are compared, whatever their number.
+Equal sets are one class from the start. In a bucket, members are first compared with its head (a star), which settles most of a large group of
+copies with one row per member. Members of one bucket that are still in different components are then compared in blocks of bounded size, each
+pair in the first bucket that it shares; blocks give back only the links of a spanning forest, so no row stands for a pair that is not linked.
 """
 from __future__ import annotations
 
@@ -108,7 +109,81 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, m: int = 11, r: int = 2) -> DataFrame:
+def _fine(table: pa.Table, m: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each cell (bucket and pair of blocks): its rows, and the pairs x, y of places in them that are to be compared here, by x.
+
+    A pair is compared in the first bucket it shares, between different components, if its sizes allow a link.
+    """
+    key, p, q, node, label, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "node", "label", "n"))
+    one, two = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, m) for c in "ab")
+    order = np.lexsort((node, q, p, key))
+    edge = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (p[order][1:] != p[order][:-1]) | (q[order][1:] != q[order][:-1]))))
+    for rows in np.split(order, edge[1:]):
+        if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
+            continue
+        # The place of this bucket among the tuples: all its rows agree there.
+        at = tuple(int(np.flatnonzero((c[rows] == c[rows[0]]).all(axis=0))[0]) for c in (one, two))
+        for x in range(len(rows) - 1):
+            y = np.arange(x + 1, len(rows))
+            a, b = rows[x], rows[y]
+            fits = (label[b] != label[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))
+            y = y[fits]
+            b = rows[y]
+            first = [((c[b] == c[a]).argmax(axis=1) == k) for c, k in zip((one, two), at, strict=True)]
+            y = y[first[0] & first[1]]
+            if len(y):
+                yield rows, np.array([x]), y, node
+
+
+def _needed(m: int, percent: int):
+    """Which rows of which cells have a pair to compare."""
+    def run(table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for rows, x, y, _ in _fine(table, m, percent):
+            keep[rows[x]] = keep[rows[y]] = True
+        return table.filter(pa.array(keep)).select(["key", "p", "q", "node"])
+
+    return run
+
+
+def _linked(m: int, percent: int):
+    """Links of a spanning forest of each cell."""
+    def run(table: pa.Table) -> pa.Table:
+        elements = table.column("elements").combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in elements]
+        found: list[tuple[int, int]] = []
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        held, values, begins = None, None, None
+        for rows, x, y, node in _fine(table, m, percent):
+            if held is not rows:
+                held, values = rows, np.concatenate([sets[r] for r in rows])
+                begins = np.concatenate(([0], np.cumsum([len(sets[r]) for r in rows])))
+            own = sets[rows[x[0]]]
+            if len(y) * 4 > len(rows):
+                place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                common = np.add.reduceat((own[place] == values).astype(np.int64), begins[:-1])[y]
+            else:
+                common = np.array([np.count_nonzero(own[np.minimum(np.searchsorted(own, sets[r]), len(own) - 1)] == sets[r]) for r in rows[y]])
+            total = len(own) + np.diff(begins)[y] - common
+            for z in y[100 * common >= percent * total]:
+                a, b = root(int(node[rows[x[0]]])), root(int(node[rows[z]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(node[rows[x[0]]]), int(node[rows[z]])))
+        columns = list(zip(*found, strict=True)) or [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, m: int = 11, r: int = 2, block: int = 512) -> DataFrame:
     """Link documents whose sets of distinct `size`-word shingles have 100 * common >= `percent` * union.
 
     Words are runs of other than ASCII white space, with A-Z lower-cased; a text of fewer words is one shingle; one without words or a
@@ -119,6 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every pair that shares a key is either confirmed on full sets or joined by confirmed links of others. The chance that a pair at exactly
     the threshold shares no key is 2 * (1 - s^r)^m, 1.5e-5 for the defaults, and falls fast above it.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds = "id long, n long, f1 long, f2 long, a array<long>, b array<long>"
     signed = stored(rows.mapInArrow(_signatures(size, m, r), kinds), "near-signatures")
@@ -144,28 +220,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
         return full.mapInArrow(_confirm(percent), "a long, b long")
 
-    tried = stored(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = stored(confirmed(tried), "near-links")
-    found = components(links, "near-components")
-    # Another star around another head, then all that is left between different components of a bucket.
-    for step in ("star", "rest"):
-        labelled = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(F.xxhash64("node"), "node")).getField("node").alias("head")).where("lo < hi")
-        open_ = stored(labelled.join(mixed_keys.select("key", "head"), "key"), "near-open")
-        if step == "star":
-            heads = open_.where("node = head").select("key", F.col("label").alias("head_label"))
-            pairs = open_.join(heads, "key").where("label <> head_label").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-        else:
-            open_ = open_.join(elements.select("node", "n"), "node")
-            one, two = (open_.select("key", F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-            fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            pairs = one.join(two, "key").where(fits).select("a", "b")
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.union(pairs)
-        more = stored(confirmed(pairs), "near-links")
+    star = stored(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    found = components(confirmed(star), "near-components")
+    # What is left: buckets whose members are in several components, in pairs of blocks.
+    labelled = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("count")).where("lo < hi")
+    parts = F.ceil(F.col("count") / block).cast("int")
+    open_ = labelled.join(open_keys.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    open_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    open_ = stored(open_.select("key", "node", "label", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "near-open")
+    rows_open = open_.count()
+    if rows_open:
+        coarse = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_open // 20_000))
+        task = F.pmod(F.xxhash64("key", "p", "q"), F.lit(coarse)).alias("task")
+        sketches = nodes.select("node", "n", "a", "b")
+        cells = open_.join(sketches, "node").select(task, "key", "p", "q", "node", "label", "n", "a", "b")
+        needed = stored(cells.groupBy("task").applyInArrow(_needed(m, percent), "key long, p int, q int, node long"), "near-needed")
+        full = needed.join(open_, ["key", "p", "q", "node"]).join(sketches, "node").join(sets, "node")
+        full = full.select(task, "key", "p", "q", "node", "label", "n", "a", "b", "elements")
+        more = stored(full.groupBy("task").applyInArrow(_linked(m, percent), "a long, b long").distinct(), "near-more")
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links, "near-components")
+            found = components(more.union(found.toDF("a", "b")), "near-components")
     named = found.join(sizes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     final = found.join(named, "component").select("node", "component_id")
     placed = members.select("id", "n", "rep", "node").join(final, "node", "left").select("id", "n", F.coalesce("component_id", "rep").alias("component_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality, secret_scan, sharding, top_k, url_rules
+from . import bpe, decontaminate, language_model, near_dedup, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
 from .common import table
 from .registry import query
 
@@ -28,6 +28,11 @@ def url_verdicts(spark, sf_dir):
     return url_rules.judge(pages, labelled, URL_RULES)
 
 
+@query("op3_qgram_bands")
+def qgram_bands(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_byte_bpe")
 def byte_bpe(spark, sf_dir):
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -46,9 +51,9 @@ def karmarkar_karp(spark, sf_dir):
 
 
 @query("op7_max_score", oracle="""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
@@ -65,3 +70,14 @@ def multipart_secrets(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(p.kind) for p in secret_scan.BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op9_de_bruijn")
+def de_bruijn(spark, sf_dir):
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_gated_recurrent")
+def gated_recurrent(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))

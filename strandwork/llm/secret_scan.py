@@ -106,8 +106,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     return rows.join(listed, ["id_", "hash_"], "left").select(F.col("own_").alias(id_col), F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """The rows of `docs` with each reported span of the text replaced by `mark`; overlapping spans become one mark."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None, **options) -> DataFrame:
+    """The rows of `docs` with each reported span of the text replaced by `mark`; overlapping spans become one mark.
+
+    With `length_col`, that column gets the new length of texts that changed.
+    """
     names = docs.columns
     listed = secret_spans(docs, id_col, text_col, **options).groupBy("id_", "hash_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans_"))
     # Spans that overlap or touch are merged into (start, end) in order.
@@ -118,4 +121,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
            f"cast(s.start - CASE WHEN i = 0 THEN 0 ELSE wide_[i - 1].end END AS int)), '{mark}')), ''), substring(text_, cast(element_at(wide_, -1).end + 1 AS int)))"
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row_"), *document_key(docs, id_col, text_col), F.col(text_col).cast("string").alias("text_"))
     done = inner.join(listed, ["id_", "hash_"], "left").withColumn("wide_", F.expr(wide))
-    return done.select(*(F.when(F.col("spans_").isNotNull(), F.expr(text)).otherwise(F.col("text_")).alias(c) if c == text_col else F.col(f"row_.`{c}`").alias(c) for c in names))
+    changed = F.col("spans_").isNotNull()
+    done = done.withColumn("new_", F.when(changed, F.expr(text)).otherwise(F.col("text_")))
+    own = lambda c: F.col(f"row_.`{c}`")
+    values = {text_col: F.col("new_")}
+    if length_col:
+        values[length_col] = F.when(changed, F.char_length("new_").cast(docs.schema[length_col].dataType)).otherwise(own(length_col))
+    return done.select(*(values.get(c, own(c)).alias(c) for c in names))

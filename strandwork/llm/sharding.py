@@ -1,14 +1,12 @@
-"""Shards of even bytes for indivisible groups by Karmarkar-Karp differencing, in blocks and levels.
+"""Shards of even bytes for indivisible groups by Karmarkar-Karp differencing over a bounded list of items.
 
 A partial partition is a vector of `shards` byte sums. Differencing takes the two partial partitions with the largest spread
-and adds them in opposite order. Groups are dealt to blocks by hash and each block is differenced in one task; what is left of
-a block is one partial partition, and `fan` of these are differenced in one task on the next level, until one is left. Spreads
-shrink from level to level, and no task or driver sees more than `block` groups.
+and adds them in opposite order, until one is left. It runs in one task on items of bounded number, whatever the input: each group large enough to matter
+to a shard, bundles of small groups dealt by hash, and a few thousand small groups by themselves, which even out what the bundles leave.
 """
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,40 +44,25 @@ def difference(sums: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leaves(shards: int):
+def _dealt(shards: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("gid", "ascending")])
+        table = table.sort_by([("size", "descending"), ("item", "ascending")])
         sizes = np.zeros((table.num_rows, shards), dtype=np.int64)
         sizes[:, 0] = table.column("size").to_numpy()
-        slot = difference(sizes)[:, 0] if table.num_rows else np.zeros(0, dtype=np.int64)
-        return pa.table({"gid": table.column("gid"), "block": table.column("block"), "size": table.column("size"), "entry": pa.array(slot, pa.int32())})
+        return pa.table({"item": table.column("item"), "shard": pa.array(difference(sizes)[:, 0], pa.int32())})
 
     return run
 
 
-def _inner(shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        blocks, at = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        sums = np.zeros((len(blocks), shards), dtype=np.int64)
-        entry = table.column("entry").to_numpy()
-        sums[at, entry] = table.column("bytes").to_numpy()
-        final = difference(sums)
-        up = np.full(blocks.size * shards, table.column("up")[0].as_py(), dtype=np.int64)
-        own = np.tile(np.arange(shards, dtype=np.int32), blocks.size)
-        return pa.table({"node": np.repeat(blocks, shards), "entry": own, "up": up, "next_entry": final.ravel().astype(np.int32), "bytes": sums.ravel()})
-
-    return run
-
-
-def even_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block: int = 4096, fan: int = 512, rows_per_run: int = 100_000) -> DataFrame:
+def even_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, large: int = 64, bundles: int = 4096, singles: int = 4096, rows_per_run: int = 100_000) -> DataFrame:
     """Deal all rows to `shards` shards of nearly equal bytes; rows of equal text stay together.
 
     Returns one row per input row: the id column, `size` (UTF-8 bytes plus `overhead`), `text_crc32`, `shard` and `slot` (gapless
     from 0 in each shard). A null text counts no bytes and has the checksum of an empty one, but is a group of its own.
-    A group is never split: one larger than a fair share fills a shard by itself and the others are evened among themselves.
+    A group of at least 1 / `large` of a shard is an item of its own; others are single items while there are no more than about `singles`, else they are dealt to
+    `bundles` and as many singles by hash. A group is never split: one larger than a fair share fills a shard by itself and the others are evened among themselves.
     Ids may be null or repeat: each row gets a slot of its own. Other columns are not carried.
     """
-    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("id_"),
@@ -88,24 +71,13 @@ def even_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
         F.coalesce(F.md5(text), F.lit("")).alias("gid"))
     rows = stored(rows, "shard-rows")
     groups = stored(rows.groupBy("gid").agg(F.sum("size_").alias("size")), "shard-groups")
-    blocks = -(-groups.count() // block) or 1
-    levels = []
-    leaf = stored(
-        groups.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(blocks))).groupBy("block")
-        .applyInArrow(_leaves(shards), "gid string, block long, size long, entry int"), "shard-leaves")
-    sums = leaf.groupBy(F.col("block").alias("node"), "entry").agg(F.sum("size").alias("bytes"))
-    while blocks > 1:
-        above = -(-blocks // fan)
-        level = stored(
-            sums.withColumn("up", F.pmod("node", F.lit(above))).groupBy("up")
-            .applyInArrow(_inner(shards), "node long, entry int, up long, next_entry int, bytes long"), "shard-level")
-        levels.append(level)
-        sums = level.groupBy(F.col("up").alias("node"), F.col("next_entry").alias("entry")).agg(F.sum("bytes").alias("bytes"))
-        blocks = above
-    at = leaf.select("gid", F.col("block").alias("node"), "entry")
-    for level in levels:
-        at = at.join(level.drop("bytes"), ["node", "entry"]).select("gid", F.col("up").alias("node"), F.col("next_entry").alias("entry"))
-    placed = stored(rows.join(at.select("gid", F.col("entry").alias("shard")), "gid"), "shard-placed")
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    alone = (F.col("size") * large * shards >= total) | (F.pmod(F.xxhash64("gid"), F.lit(max(n, 1))) < singles)
+    groups = groups.withColumn("item", F.when(alone, F.concat(F.lit("g"), "gid")).otherwise(F.concat(F.lit("b"), F.pmod(F.xxhash64(F.lit(1), "gid"), F.lit(bundles)))))
+    items = groups.groupBy("item").agg(F.sum("size").alias("size"))
+    dealt = stored(items.groupBy(F.lit(0).alias("one")).applyInArrow(_dealt(shards), "item string, shard int"), "shard-items")
+    at = groups.select("gid", "item").join(dealt, "item").select("gid", "shard")
+    placed = stored(rows.join(at, "gid"), "shard-placed")
     # Slots: each shard is cut into runs by a hash of the row; runs are numbered apart and shifted by the rows before them.
     runs = -(-placed.count() // (shards * rows_per_run)) * 4 or 1
     placed = placed.withColumn("run", F.pmod(F.xxhash64("id_", "gid"), F.lit(runs)))
