@@ -91,13 +91,14 @@ class Index:
                 cost[(start[:, None] + diagonals < 0) | (start[:, None] + diagonals > size[:, None])] = far
                 for i, sign in enumerate(pattern):
                     j = start[:, None] + diagonals + i
-                    inside_ = (j >= 0) & (j < size[:, None])
-                    same = inside_ & (code[np.minimum(base[:, None] + np.clip(j, 0, None), len(code) - 1)] == sign)
-                    step = np.where(inside_, cost + ~same, far)
-                    step[:, :-1] = np.minimum(step[:, :-1], np.where((j >= -1) & (j < size[:, None]), cost[:, 1:] + 1, far)[:, :-1])
-                    cost = np.minimum.accumulate(step - diagonals, axis=1) + diagonals
-                    # A cell whose end lies outside the text cannot be reached.
-                    cost = np.where((j + 1 >= 0) & (j + 1 <= size[:, None]), cost, far).astype(np.int32)
+                    there = (j >= 0) & (j < size[:, None])
+                    same = code[np.clip(base[:, None] + j, 0, len(code) - 1)] == sign
+                    step = np.where(there, cost + ~same, far)
+                    step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+                    # A place outside the text cannot be reached.
+                    ends = (j + 1 >= 0) & (j + 1 <= size[:, None])
+                    cost = np.minimum.accumulate(np.where(ends, step, far) - diagonals, axis=1) + diagonals
+                    cost = np.where(ends, cost, far).astype(np.int32)
                 least = cost.argmin(axis=1)
                 best[part] = cost[np.arange(len(part)), least]
                 end[part] = start + least + len(pattern)
@@ -166,5 +167,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1,
                     keep = pa.array([not x for x in index.found(part.column(width))], pa.bool_())
                     yield pa.RecordBatch.from_arrays([part.column(i) for i in range(width)], names).filter(keep)
 
-        docs = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, docs.schema)
+        docs = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("string").alias("searched")).mapInArrow(run, docs.schema)
     return docs

@@ -77,7 +77,7 @@ class Network:
         steps, lanes = inputs.shape
         n, p = self.hidden, self.p
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        kept, states = [], np.zeros((steps, lanes, n), dtype=np.float32)
+        kept, states = [], np.zeros((steps, lanes, n), dtype=h.dtype)
         for t in range(steps):
             before = h * ~fresh[t][:, None]
             h, *rest = self.step(before, inputs[t])
@@ -102,7 +102,7 @@ class Network:
             grads["w"][k], grads["wb"][k] = flat_states[own].T @ prob, prob.sum(axis=0)
             back[own] += prob @ p["w"][k].T
         back = back.reshape(steps, lanes, n)
-        ahead = np.zeros((lanes, n), dtype=np.float32)
+        ahead = np.zeros((lanes, n), dtype=h.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, new, bn = kept[t]
             dh = back[t] + ahead
@@ -120,8 +120,10 @@ class Network:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def train(self, tokens: np.ndarray, lanes: int = 32, window: int = 32, passes: int = 2, rate: float = 0.01) -> list[float]:
-        """Adam over windows of a stream of documents cut into lanes; the state of a lane goes on from window to window."""
+    def train(self, tokens: np.ndarray, lanes: int = 32, window: int = 32, updates: int = 800, rate: float = 0.01) -> list[float]:
+        """Adam over windows of a stream of documents cut into lanes; the state of a lane goes on from window to window. A small stream is passed over
+        again until there were about `updates` windows."""
+        lanes = max(1, min(lanes, len(tokens) // (8 * window)))
         length = len(tokens) // lanes
         if length < 2:
             return []
@@ -130,7 +132,9 @@ class Network:
         fresh = inputs == self.known + 1
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         t, losses = 0, []
-        total = passes * -(-length // window)
+        windows = -(-length // window)
+        passes = max(1, round(updates / windows))
+        total = passes * windows
         for _ in range(passes):
             h = np.zeros((lanes, self.hidden), dtype=np.float32)
             for a in range(0, length, window):

@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5,
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] < threshold)], [id_col, "p_text", "p_meta", "p_reject", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, *_columns(docs)).mapInArrow(run, f"`{id_col}` {kind}, p_text double, p_meta double, p_reject double, kept boolean")
+    return docs.select(F.col(id_col), *_columns(docs)).mapInArrow(run, f"`{id_col}` {kind}, p_text double, p_meta double, p_reject double, kept boolean")
 
 
 def keep(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5) -> DataFrame:
@@ -233,4 +233,4 @@ def keep(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5)
                 p = judged(model, *(part.column(width + i) for i in range(4)))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(width)], names).filter(pa.array(p[:, 2] < threshold))
 
-    return docs.select(*(F.col(f"`{c}`") for c in names), *_columns(docs)).mapInArrow(run, docs.schema)
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *_columns(docs)).mapInArrow(run, docs.schema)
