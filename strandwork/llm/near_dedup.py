@@ -183,7 +183,7 @@ def _linked(m: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, m: int = 11, r: int = 2, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, m: int = 11, r: int = 2, block: int = 2048) -> DataFrame:
     """Link documents whose sets of distinct `size`-word shingles have 100 * common >= `percent` * union.
 
     Words are runs of other than ASCII white space, with A-Z lower-cased; a text of fewer words is one shingle; one without words or a
