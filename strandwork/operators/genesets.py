@@ -301,12 +301,12 @@ def dot_key(dot: Column | str = "dot") -> Column:
 
 
 # G12
-def category_genes(categories: DataFrame, direct: DataFrame, max_depth: int = 16) -> DataFrame:
+def category_genes(categories: DataFrame, direct: DataFrame) -> DataFrame:
     """(category_id, gene) of every category: its own genes, else the union over its children.
 
     A category with genes of its own does not look at its children, so membership climbs
-    from each category to its parent only while the parent has none. One join per level;
-    `max_depth` only guards against a cyclic parent column.
+    from each category to its parent only while the parent has none. One join per level, as many as
+    the tree is deep; a category that reaches itself is an error.
     """
     own = direct.select("category_id", "gene").distinct()
     full = own.select("category_id").distinct()
@@ -318,14 +318,14 @@ def category_genes(categories: DataFrame, direct: DataFrame, max_depth: int = 16
     reach = full.select("category_id", F.col("category_id").alias("root"))
     frontier = cut(reach)
     levels = [frontier]
-    for _ in range(max_depth):
+    while True:
         frontier = cut(frontier.join(up.select(F.col("category_id").alias("root"), "up"), "root").select(
             "category_id", F.col("up").alias("root")).distinct())
         if frontier.isEmpty():
             break
+        if len(levels) % 16 == 0 and not frontier.join(levels[len(levels) // 2], ["category_id", "root"], "left_semi").isEmpty():
+            raise ValueError("category hierarchy is cyclic")
         levels.append(frontier)
-    else:
-        raise ValueError("category hierarchy is deeper than max_depth or cyclic")
     pairs = levels[0]
     for level in levels[1:]:
         pairs = pairs.unionByName(level)

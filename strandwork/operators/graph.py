@@ -10,7 +10,7 @@ to gene. Spelling a group out as pairs would square its size.
 """
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,13 +99,12 @@ def _advance(state: DataFrame, reached: DataFrame) -> DataFrame:
 
 # G3
 def neighbourhood(members: DataFrame, centres: DataFrame, radius: int, group: str = "complex_id", node: str = "gene") -> DataFrame:
-    """(centre, gene, layer) of genes within `radius` (0 to 7) group steps of each centre.
+    """(centre, gene, layer) of genes within `radius` group steps of each centre.
 
     A step goes from gene to group to gene. A group already used by a centre cannot reach
     anyone new, so each is visited once per centre.
     """
-    radius = max(0, min(7, radius))
-    m = members.select(F.col(group).alias("g"), F.col(node).alias("node")).distinct()
+    m = cut(members.select(F.col(group).alias("g"), F.col(node).alias("node")).distinct())
     state = cut(centres.select(F.col("gene").alias("source"), F.col("gene").alias("node"), F.lit(0).alias("layer")).distinct())
     frontier, seen = state, None
     for layer in range(1, radius + 1):
@@ -122,18 +121,19 @@ def neighbourhood(members: DataFrame, centres: DataFrame, radius: int, group: st
     return state.select(F.col("source").alias("centre"), F.col("node").alias("gene"), "layer")
 
 
-def path_state(edges: DataFrame, sources: DataFrame, max_len: int) -> DataFrame:
+def path_state(edges: DataFrame, sources: DataFrame, max_len: int | None = None) -> DataFrame:
     """(source, node, dist, n_paths, example): shortest distances, path counts and a smallest path.
 
     Counts add up over predecessors, so paths are counted without being listed. The
-    example holds the nodes of the path that is smallest in node order.
+    example holds the nodes of the path that is smallest in node order. The search ends by itself
+    when no new node is met, or at `max_len` steps where that is given.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     state = cut(sources.select(
         F.col("node").alias("source"), "node", F.lit(0).alias("dist"), F.lit(1).cast("bigint").alias("n_paths"),
         F.array("node").alias("example")).distinct())
     frontier = state
-    for d in range(1, max_len + 1):
+    for d in count(1) if max_len is None else range(1, max_len + 1):
         step = frontier.join(e, F.col("node") == F.col("src")).groupBy("source", "dst").agg(
             F.sum("n_paths").alias("n_paths"), F.min("example").alias("example")).select(
             "source", F.col("dst").alias("node"), F.lit(d).alias("dist"), "n_paths",
@@ -162,7 +162,7 @@ def _pairs(edges: DataFrame, nodes: list) -> DataFrame:
 
 
 # G5
-def shortest_paths(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
+def shortest_paths(edges: DataFrame, nodes: list, max_len: int | None = None) -> DataFrame:
     """(source, target, direct, n_paths, dist, example_path) for every two of `nodes`, in list order."""
     state = path_state(edges, _chosen(edges, nodes), max_len)
     hit = state.select("source", F.col("node").alias("target"), "dist", "n_paths", "example")
@@ -172,7 +172,7 @@ def shortest_paths(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFram
         F.array_join(F.transform("example", lambda x: x.cast("string")), " -> ").alias("example_path"))
 
 
-def _through(edges: DataFrame, nodes: list, max_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _through(edges: DataFrame, nodes: list, max_len: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Forward state, backward state and the reachable pairs with their distance."""
     chosen = _chosen(edges, nodes)
     fwd = path_state(edges, chosen, max_len)
@@ -184,7 +184,7 @@ def _through(edges: DataFrame, nodes: list, max_len: int) -> tuple[DataFrame, Da
 
 
 # G6
-def intermediate_counts(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
+def intermediate_counts(edges: DataFrame, nodes: list, max_len: int | None = None) -> DataFrame:
     """How many shortest paths between chosen pairs pass through each inner node.
 
     Paths through v are the paths to v times the paths from v; none is listed.
@@ -196,14 +196,14 @@ def intermediate_counts(edges: DataFrame, nodes: list, max_len: int = 16) -> Dat
 
 
 # G9
-def path_nodes(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
+def path_nodes(edges: DataFrame, nodes: list, max_len: int | None = None) -> DataFrame:
     """Nodes on any shortest path between chosen pairs, ends included."""
     fwd, back, total = _through(edges, nodes, max_len)
     return total.join(back, "target").join(fwd.drop("example"), ["source", "node"]).where(
         F.col("dist") + F.col("to_go") == F.col("total")).select("node").distinct()
 
 
-def path_edges(edges: DataFrame, nodes: list, max_len: int = 16) -> DataFrame:
+def path_edges(edges: DataFrame, nodes: list, max_len: int | None = None) -> DataFrame:
     """Edges on any shortest path between chosen pairs."""
     fwd, back, total = _through(edges, nodes, max_len)
     f = fwd.select("source", F.col("node").alias("src"), "dist")
@@ -220,7 +220,7 @@ def feedback_loops(edges: DataFrame, nodes: list, max_len: int) -> DataFrame:
     the backward distances tell exactly. A cycle found from several nodes is reported once, from
     its smallest node.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     chosen = _chosen(e, nodes)
     back = path_state(_reverse(e), chosen, max_len).select(F.col("source").alias("start"), "node", F.col("dist").alias("to_go"))
     paths = cut(chosen.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
@@ -243,7 +243,7 @@ def feedback_loops(edges: DataFrame, nodes: list, max_len: int) -> DataFrame:
 
 
 # G11
-def centrality(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def centrality(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, betweenness, closeness) of an undirected graph given as (a, b) edges.
 
     Betweenness sums path shares over ordered pairs that start in `sources`; it is exact when

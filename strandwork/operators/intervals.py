@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 STEP_BIN = 1 << 12
 # Bin widths of the interval join, 64 times wider at each level.
-BIN_SIZES = tuple(1 << b for b in (12, 18, 24, 33))
+BIN_SIZES = tuple(1 << b for b in (6, 12, 18, 24, 33))
 
 
 def _level(length: Column) -> Column:
@@ -57,6 +57,11 @@ def overlap_pairs(
     t = t.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(ts) / size), F.floor(F.col(te) / size))))
     sizes = F.array(*[F.struct(F.lit(i).alias("l"), F.lit(s).alias("s")) for i, s in enumerate(BIN_SIZES[:levels])])
     p = probes.withColumn("_s", F.explode(sizes))
+    # Levels that no target has cost nothing; the first one speaks for probes without any target.
+    used = t.select(F.col("_lvl").alias("_used")).distinct()
+    if how == "left":
+        used = used.union(used.sparkSession.range(1).select(F.col("id").cast("int"))).distinct()
+    p = p.join(used, F.col("_s.l") == F.col("_used"), "left_semi")
     last = F.greatest(F.col(ps), F.col(pe))
     p = p.withColumn("_bin", F.explode(F.sequence(
         F.floor(F.col(ps) / F.col("_s.s")), F.floor(last / F.col("_s.s"))))) \
@@ -81,11 +86,13 @@ def overlap_best(
 ) -> DataFrame:
     """Every probe row with aggregates over the targets it overlaps (null or 0 when there are none).
 
-    Probes are a set: exact duplicate rows come out once. The aggregates must ignore nulls and
-    repeated rows (min, max, min_by, collect_set).
+    Equal probe rows are looked up once and come out as often as they came in. The aggregates must
+    ignore nulls and repeated rows (min, max, min_by, collect_set).
     """
-    pairs = overlap_pairs(probes, targets, keys, probe, target, "left", longest)
-    return pairs.groupBy(*probes.columns).agg(*[c.alias(n) for n, c in aggs.items()])
+    counted = probes.groupBy(*probes.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    pairs = overlap_pairs(counted, targets, keys, probe, target, "left", longest)
+    found = pairs.groupBy(*probes.columns, "_copies").agg(*[c.alias(n) for n, c in aggs.items()])
+    return found.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_copies")
 
 
 def _steps(targets: DataFrame, keys: list[str], before: list[str], after: list[str], inclusive: bool, block: int) -> DataFrame:
@@ -170,8 +177,9 @@ LAST_START = lambda: _gene(F.col("g_start"), F.col("ordinal"))
 def same_strand_overlap(hits: DataFrame, genes: DataFrame, longest: int | None = None) -> DataFrame:
     """Overlapping genes on the hit's strand: adds first_gene (in load order) and several."""
     g = genes.select("contig_id", "strand", "gene", "g_start", "g_end", "ordinal")
+    row = F.when(F.col("g_start").isNotNull(), F.struct("ordinal", "gene", "g_start", "g_end"))
     found = overlap_best(hits, g, ["contig_id", "strand"], {
-        "first_gene": F.min_by("gene", "ordinal"), "several": F.min("ordinal") < F.max("ordinal")}, longest=longest)
+        "first_gene": F.min_by("gene", "ordinal"), "several": F.min(row) < F.max(row)}, longest=longest)
     return found
 
 
@@ -443,10 +451,16 @@ def chromosome(accession: Column | str) -> Column:
     return F.when(number != "", F.ltrim(number, F.lit("0")))
 
 
-def normalized_interval(df: DataFrame, start: str, end: str, low: int = 0, high: int = 250_000_000) -> DataFrame:
-    """Numeric, ordered and in-range start/end; rows that cannot be read are dropped."""
+def normalized_interval(df: DataFrame, start: str, end: str, low: int = 0, high: int | None = None) -> DataFrame:
+    """Numeric, ordered and in-range start/end; rows that cannot be read are dropped.
+
+    There is no upper bound unless `high` states one.
+    """
     a, b = F.col(start).try_cast("bigint"), F.col(end).try_cast("bigint")
-    return df.where(a.isNotNull() & b.isNotNull() & a.between(low, high) & b.between(low, high)).withColumns(
+    sound = a.isNotNull() & b.isNotNull() & (a >= low) & (b >= low)
+    if high is not None:
+        sound = sound & (a <= high) & (b <= high)
+    return df.where(sound).withColumns(
         {start: F.least(a, b), end: F.greatest(a, b)})
 
 

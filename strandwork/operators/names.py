@@ -156,7 +156,7 @@ def aliases(details: DataFrame) -> DataFrame:
         F.coalesce("synonyms", F.array().cast("array<string>")), F.array("subtilist", browser))))
     return details.where(F.coalesce(F.col("name"), F.lit("")) != "").select(
         "name", F.posexplode(every).alias("i", "synonym"), "ordinal").where(F.trim("synonym") != "").select(
-        "name", "synonym", (F.col("ordinal") * 1000 + F.col("i")).alias("ordinal"))
+        "name", "synonym", F.struct("ordinal", "i").alias("ordinal"))
 
 
 def map_name_sets_once(clusters: DataFrame, plots: DataFrame, alias_table: DataFrame) -> DataFrame:

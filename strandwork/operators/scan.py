@@ -173,16 +173,15 @@ def batch_motif_hits(
 ) -> DataFrame:
     """M7: several literal queries in a single pass over the genome.
 
-    Rows are tagged with the first 30 characters of the query's header. Use
-    `batch_motif_join` when the queries are a table.
+    Rows are tagged with the query's whole header. Use `batch_motif_join` when the queries are a table.
     """
     tests = []
     for name, raw in queries.items():
         pattern = S.check_pattern(raw)
         rc = S.reverse_complement_text(pattern)
-        tests.append((name[:30], "+", pattern, pattern))
+        tests.append((name, "+", pattern, pattern))
         if strand_policy == "both" or rc != pattern:
-            tests.append((name[:30], "-", pattern, rc))
+            tests.append((name, "-", pattern, rc))
     longest = max(len(t[2]) for t in tests)
     shortest = min(len(t[2]) for t in tests)
     bases, at = F.col("bases"), F.col("at")
@@ -225,7 +224,7 @@ def batch_motif_join(
     k = max_mismatches
     spelled = F.create_map(*[F.lit(x) for c, b in S.IUPAC.items() for x in (F.lit(c), F.array(*map(F.lit, b)))])
     q = queries.select(
-        F.substring("query", 1, 30).alias("query"), F.upper("pattern").alias("pattern"),
+        "query", F.upper("pattern").alias("pattern"),
     ).withColumn("rc", S.reverse_complement("pattern")).select(
         "query", "pattern",
         F.explode(F.array_compact(F.array(
@@ -245,31 +244,25 @@ def batch_motif_join(
         lambda acc, letters: F.flatten(F.transform(acc, lambda a: F.transform(letters, lambda b: F.concat(a, b)))),
     ))).select("query", "pattern", "strand", "scanned", "lead", "kmer")
 
-    # A chunk carries 256 bases on each side, so that a candidate can be cut where it is found.
-    pad = 256
+    # Only positions travel to the join; the windows of candidates are cut afterwards.
     spots = (
-        padded_chunks(contigs, seed, pad, pad)
+        padded_chunks(contigs, seed, 0, seed)
         .withColumn("pos", F.explode(F.sequence(
             F.col("offset") + 1, F.least(F.col("offset") + 4096, F.col("contig_len") - (seed - 1)))))
         .select("contig_id", "contig_len", "pos",
-                F.substring("bases", F.col("pos") - F.col("cut"), F.lit(seed)).cast("string").alias("kmer"),
-                F.least(F.lit(pad), F.col("pos") - 1 - F.col("cut")).alias("left"),
-                F.substring("bases", F.greatest(F.col("pos") - F.col("cut") - pad, F.lit(1)), F.lit(2 * pad)).alias("near"))
+                F.substring("bases", F.col("pos") - F.col("cut"), F.lit(seed)).cast("string").alias("kmer"))
     )
-    width = F.length("scanned")
-    start = F.col("pos") - F.col("lead")
-    cand = spots.join(seeds, "kmer").where((start >= 1) & (start + width - 1 <= F.col("contig_len")))
-    cand = cand.withColumn("window", F.substring(
-        "near", F.col("left") + 1 - F.col("lead"), width).cast("string"))
-    cand = cand.withColumn("window", F.when((width <= pad), F.col("window")).otherwise(
-        F.raise_error(F.lit(f"patterns longer than {pad} need a larger pad")).cast("string")))
+    start = (F.col("pos") - F.col("lead")).cast("bigint")
+    end = (start + F.length("scanned") - 1).cast("bigint")
+    cand = spots.join(seeds, "kmer").where((start >= 1) & (end <= F.col("contig_len"))).select(
+        "query", "contig_id", start.alias("start"), end.alias("end"), "strand", "pattern", "scanned").distinct()
+    cand = fetch_region(cand, contigs, F.col("start"), F.col("end"), "window")
     hits = cand.withColumn("mismatches", S.mismatch_count("scanned", "window")).where(F.col("mismatches") <= k)
     return hits.select(
-        "query", "contig_id", start.cast("bigint").alias("start"),
-        (start + width - 1).cast("bigint").alias("end"), "strand", "pattern",
+        "query", "contig_id", "start", "end", "strand", "pattern",
         F.when(F.col("strand") == "+", F.col("window")).otherwise(S.reverse_complement("window")).alias("found_seq"),
         "mismatches",
-    ).dropDuplicates(["query", "contig_id", "start", "end", "strand", "pattern"])
+    )
 
 
 def pattern_palindromes(contigs: DataFrame, pattern: str, max_mismatches: int = 0) -> DataFrame:
@@ -332,44 +325,45 @@ def region_palindromes(
 
 
 def fetch_region(
-    rows: DataFrame, contigs: DataFrame, first: Column, last: Column, reach: int, out: str = "region_seq",
-    core: int = 4096,
+    rows: DataFrame, contigs: DataFrame, first: Column, last: Column, out: str = "region_seq", core: int = 4096,
 ) -> DataFrame:
-    """Add the bases [first, last] (1-based, clipped to the contig) to each row.
+    """Add the bases [first, last] (1-based, clipped to the contig) to each row, whatever their number.
 
-    Joins on (contig, chunk) with chunks that carry `reach` bases on both sides of their core,
-    so each row meets one small chunk, never its whole contig. `reach` must cover the
-    distance from `start` to either end of the region.
+    A region is cut from each chunk that it touches and put together in chunk order, so no row
+    ever meets its whole contig. Equal regions are read once; rows of unknown contigs drop out.
     """
-    chunks = padded_chunks(contigs, 1, reach, reach, core).select(
-        "contig_id", "contig_len", F.floor(F.col("offset") / core).cast("bigint").alias("chunk_no"), "cut", "bases")
-    keyed = rows.withColumns({
-        "_first": F.greatest(first, F.lit(1)), "_last": last,
-        "chunk_no": F.floor((F.col("start") - 1) / core).cast("bigint"),
-    })
-    met = keyed.join(chunks, ["contig_id", "chunk_no"]).withColumn("_last", F.least("_last", "contig_len"))
-    return met.withColumn(out, F.substring(
-        "bases", (F.col("_first") - F.col("cut")).cast("int"),
-        F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)).cast("int")).cast("string"),
-    ).drop("bases", "cut", "chunk_no")
+    chunks = chunk(contigs, 1, core).withColumn("chunk_no", F.floor(F.col("offset") / core).cast("bigint"))
+    lengths = whole_contigs(contigs, 1).select("contig_id", "contig_len")
+    keyed = rows.withColumns({"_first": F.greatest(first, F.lit(1)).cast("bigint"), "_last": last.cast("bigint")}) \
+        .join(lengths, "contig_id").withColumn("_last", F.least("_last", "contig_len"))
+    at = ["contig_id", "_first", "_last"]
+    begin = F.greatest(F.col("_first") - F.col("offset"), F.lit(1))
+    end = F.least(F.col("_last") - F.col("offset"), F.lit(core))
+    pieces = (
+        keyed.where(F.col("_first") <= F.col("_last")).select(at).distinct()
+        .withColumn("chunk_no", F.explode(F.sequence(F.floor((F.col("_first") - 1) / core), F.floor((F.col("_last") - 1) / core))))
+        .join(chunks.drop("contig_len"), ["contig_id", "chunk_no"])
+        .select(*at, F.struct("chunk_no", F.substring("bases", begin.cast("int"), (end - begin + 1).cast("int")).cast("string").alias("part")).alias("p"))
+    )
+    whole = pieces.groupBy(at).agg(F.array_join(F.array_sort(F.collect_list("p"))["part"], "").alias(out))
+    return keyed.join(whole, at, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
 def palindrome_context(hits: DataFrame, contigs: DataFrame, context: int, max_mismatches: int = 0) -> DataFrame:
     """M6: extend each hit by `context` bases on both sides and test the whole."""
-    width = 1024 + context
-    wide = fetch_region(hits, contigs, F.col("start") - context, F.col("end") + context, width, "context_seq")
+    wide = fetch_region(hits, contigs, F.col("start") - context, F.col("end") + context, "context_seq")
     flag = S.is_palindrome("context_seq", max_mismatches)
     return wide.withColumn("is_palindrome", flag).withColumn(
         "palindrome_seq", F.when(F.col("is_palindrome"), F.col("context_seq")).otherwise("")
     ).drop("_first", "_last", "contig_len")
 
 
-def flanked_targets(hits: DataFrame, contigs: DataFrame, left: int, right: int, max_width: int = 1024) -> DataFrame:
+def flanked_targets(hits: DataFrame, contigs: DataFrame, left: int, right: int) -> DataFrame:
     """Strand-aware flanks around each hit, with the 0-based half-open label."""
     minus = F.col("strand") == "-"
     up = F.when(minus, right).otherwise(left)
     down = F.when(minus, left).otherwise(right)
-    wide = fetch_region(hits, contigs, F.col("start") - up, F.col("end") + down, max(left, right) + max_width, "flanked")
+    wide = fetch_region(hits, contigs, F.col("start") - up, F.col("end") + down, "flanked")
     return wide.withColumn("target_seq", F.when(minus, S.reverse_complement("flanked")).otherwise(F.col("flanked"))) \
         .withColumn("coordinates", F.concat_ws("-", F.col("_first") - 1, F.col("_last"))) \
         .drop("flanked", "_first", "_last", "contig_len")

@@ -176,7 +176,7 @@ def _batch_sql(k: int) -> tuple[str, dict[str, str]]:
         for strand, q, seq in (("+", p, "w"), ("-", rc, _rc("w"))):
             if strand == "-" and rc == p:
                 continue
-            parts.append(f"""SELECT '{name[:30]}' AS query, contig_id, start, "end", '{strand}' AS strand, '{p}' AS pattern,
+            parts.append(f"""SELECT '{name}' AS query, contig_id, start, "end", '{strand}' AS strand, '{p}' AS pattern,
  {seq} AS found_seq, {_mm('w', q)} AS mismatches FROM {{w{j}}} WHERE {_mm('w', q)} <= {k}""")
     return " UNION ALL ".join(parts), ctes
 
@@ -324,7 +324,7 @@ FROM {genes} g JOIN {contigs} c ON c.contig_id = g.contig_id WHERE length(seq) >
 
 def _gene_seqs(fx):
     rows = fx.genes.select("contig_id", "gene", F.col("g_start").alias("start"), F.col("g_end").alias("end"))
-    return scan.fetch_region(rows, fx.contigs, F.col("start"), F.col("end"), 1024, "gene_seq").select(
+    return scan.fetch_region(rows, fx.contigs, F.col("start"), F.col("end"), "gene_seq").select(
         "contig_id", "gene", "start", "end", "gene_seq")
 
 

@@ -1,15 +1,16 @@
 """Session helpers: a tuned local session and the shared checkpoint folder."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "strandwork") -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "strandwork", checkpoints: str | None = None) -> SparkSession:
     """A session for tests and benchmarks. On a cluster use the one you are given."""
+    builder = SparkSession.builder
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints).config("spark.sql.warehouse.dir", f"{checkpoints}/warehouse")
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -18,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "strandwork") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -28,9 +30,8 @@ def local_session(cores: int | str = "*", app: str = "strandwork") -> SparkSessi
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Point the session at its configured checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master without
-    that setting gets a temporary folder; a cluster must name a shared one,
-    because a machine-local folder is lost with its executor.
+    The folder comes from ``spark.checkpoint.dir``; where that is unset, it is one in the warehouse,
+    which the driver and all executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -38,9 +39,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative queries")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     sc.setCheckpointDir(folder)
     return folder
 

@@ -231,3 +231,29 @@ def test_filters(spark, contigs):
     nums = filters.number_hits(hits, 50).where("contig_id = 1").orderBy("match_no").collect()
     assert [r.match_no for r in nums] == list(range(1, len(nums) + 1))
     assert [(r.start, r.strand) for r in nums] == sorted((r.start, r.strand) for r in nums)
+
+
+@pytest.mark.parametrize("core", [16, 4096])
+def test_regions_of_any_length(spark, core):
+    rng = random.Random(5)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(n)) for k, n in ((1, 700), (2, 33))}
+    contigs = spark.createDataFrame(list(seqs.items()), "contig_id long, seq string")
+    rows = [(rng.choice([1, 2]), a := rng.randint(-20, 720), a + rng.randint(0, 500)) for _ in range(60)]
+    rows += [rows[0], rows[0], (1, 5, 10**9), (1, 800, 900), (9, 1, 5)]
+    df = spark.createDataFrame(rows, "contig_id long, start long, end long")
+    got = scan.fetch_region(df, contigs, F.col("start"), F.col("end"), core=core).collect()
+    want = [(c, a, b, seqs[c][max(a, 1) - 1:max(b, 0)]) for c, a, b in rows if c in seqs]
+    assert sorted((r.contig_id, r.start, r.end, r.region_seq) for r in got) == sorted(want)
+
+
+def test_queries_with_the_same_first_letters_stay_apart(spark):
+    contigs = spark.createDataFrame([(1, "ACGTTGCAACGTACGGTTAAGGCCAA" * 20)], "contig_id long, seq string")
+    names = ["x" * 40 + "a", "x" * 40 + "b"]
+    table = spark.createDataFrame([(n, "ACGTTGCA" * 1) for n in names], "query string, pattern string")
+    joined = scan.batch_motif_join(contigs, table, 1).collect()
+    listed = scan.batch_motif_hits(contigs, dict.fromkeys(names, "ACGTTGCA"), 1).collect()
+    assert {r.query for r in joined} == set(names)
+    key = lambda r: (r.query, r.start, r.strand, r.found_seq, r.mismatches)
+    assert sorted(map(key, joined)) == sorted(map(key, listed))
+    long = "ACGTTGCAACGTACGGTTAAGGCCAA" * 12
+    assert scan.batch_motif_join(contigs, spark.createDataFrame([("long", long)], table.schema), 1).count() > 0

@@ -201,3 +201,22 @@ def test_categories_stop_at_first_level_with_genes(spark):
     tree = genesets.hierarchy_rows(cats, full)
     assert [r.dot for r in genesets.children_of(tree, 4).collect()] == ["1.2.10", "1.2.2"]
     assert [r.dot for r in genesets.in_tree_order(tree).collect()] == ["1", "1.1", "1.1.1", "1.2", "1.2.2", "1.2.10"]
+
+
+def test_searches_end_by_themselves(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "src long, dst long")
+    row = graph.shortest_paths(chain, [0, 20]).first()
+    assert (row.dist, row.n_paths) == (20, 1)
+    assert graph.path_nodes(chain, [0, 20]).count() == 21
+    groups = spark.createDataFrame([(k, f"g{k + j}") for k in range(12) for j in (0, 1)], "complex_id long, gene string")
+    centre = spark.createDataFrame([("g0",)], "gene string")
+    assert graph.neighbourhood(groups, centre, 10).agg({"layer": "max"}).first()[0] == 10
+
+
+def test_deep_and_cyclic_categories(spark):
+    tree = spark.createDataFrame([(k, k - 1 if k else None) for k in range(20)], "id long, parent_id long")
+    own = spark.createDataFrame([(19, "g")], "category_id long, gene string")
+    assert genesets.category_genes(tree, own).count() == 20
+    ring = spark.createDataFrame([(k, (k + 1) % 3) for k in range(3)] + [(9, 0)], "id long, parent_id long")
+    with pytest.raises(ValueError):
+        genesets.category_genes(ring, spark.createDataFrame([(9, "g")], own.schema))
