@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, near_dedup, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
+from . import bpe, decontaminate, language_model, near_dedup, oracles, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
 from .common import table
 from .registry import query
 
@@ -39,7 +39,7 @@ def byte_bpe(spark, sf_dir):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op5_tensored_minhash")
+@query("op5_tensored_minhash", oracle=oracles.NEAR_DUPLICATES)
 def tensored_minhash(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -62,7 +62,7 @@ def max_score(spark, sf_dir):
     return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-@query("op8_multipart_secrets")
+@query("op8_multipart_secrets", oracle=oracles.SECRETS)
 def multipart_secrets(spark, sf_dir):
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["order"] < len(secret_scan.BASE))
@@ -72,7 +72,7 @@ def multipart_secrets(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-@query("op9_de_bruijn")
+@query("op9_de_bruijn", oracle=oracles.REPEATED_SPANS)
 def de_bruijn(spark, sf_dir):
     left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=13)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

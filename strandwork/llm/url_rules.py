@@ -41,14 +41,14 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
     """Rules from rows of (tokens, bad): columns `terms`, `verdict`, `confidence` and `support`.
 
-    A rule holds in at least `min_support` of the labelled rows, with `min_confidence`. Of rules for one verdict, one whose terms contain those
+    A rule holds in at least `min_support` of the labelled rows, with `min_confidence` and more often than its verdict does over all (lift above 1). Of rules for one verdict, one whose terms contain those
     of another rule of no less confidence is dropped. FP-growth runs on all labelled rows; an empty table gives no rules.
     """
     rows = labelled.where(F.col("bad").isNotNull()).select(F.array_union("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
     classes = F.array(F.lit(BAD), F.lit(GOOD))
-    rules = model.associationRules.where(F.col("consequent")[0].isin(BAD, GOOD) & ~F.arrays_overlap("antecedent", classes)).select(
-        F.array_sort("antecedent").alias("terms"), F.when(F.col("consequent")[0] == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support")
+    rules = model.associationRules.where((F.col("lift") > 1) & F.col("consequent")[0].isin(BAD, GOOD) & ~F.arrays_overlap("antecedent", classes)).select(
+        F.array_sort("antecedent").alias("terms"), F.when(F.col("consequent")[0] == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support", "lift")
     rules = stored(rules, "url-rules")
     # A general rule meets the rules that it makes needless under its first term.
     general = rules.select(F.col("terms").alias("g_terms"), F.col("verdict").alias("g_verdict"), F.col("confidence").alias("g_confidence"), F.col("terms")[0].alias("term"))
@@ -60,7 +60,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str = "key_") -> DataFrame:
-    """The best rule for each key of rows (key, tokens): highest confidence, then support, then `block`, then terms.
+    """The best rule for each key of rows (key, tokens): highest lift, then confidence, support, `block` and terms.
 
     Inverted index: a rule is listed under its rarest term only (ties: the smallest), a URL looks up its tokens, and the
     other terms are tested on the URL's own tokens. Keys without any rule have no row.
@@ -68,9 +68,9 @@ def match(urls: DataFrame, rules: DataFrame, key: str = "key_") -> DataFrame:
     posted = urls.select(key, "tokens", F.explode("tokens").alias("term"))
     frequency = posted.groupBy("term").agg(F.count("*").alias("n"))
     listed = rules.select("*", F.explode("terms").alias("term")).join(frequency, "term").groupBy("terms", "verdict").agg(
-        F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.min(F.struct("n", "term")).getField("term").alias("term"))
+        F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.first("lift").alias("lift"), F.min(F.struct("n", "term")).getField("term").alias("term"))
     hits = posted.join(listed, "term").where(F.size(F.array_except("terms", "tokens")) == 0)
-    rank = F.struct("confidence", "support", (F.col("verdict") == "block").alias("blocks"), "verdict", "terms")
+    rank = F.struct("lift", "confidence", "support", (F.col("verdict") == "block").alias("blocks"), "verdict", "terms")
     return hits.groupBy(key).agg(F.max(rank).alias("rule")).select(key, F.col("rule.verdict").alias("mined"), F.col("rule.terms").alias("mined_terms"), F.col("rule.confidence").alias("mined_confidence"))
 
 
