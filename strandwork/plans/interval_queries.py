@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import duplex, intervals, scan
+from ..streaming import enrich
 from .registry import query
 from .sequence_queries import HIT_CTES, LOCATED, LOC_CTES, _duplex_sql, _srna, oriented, exact_hits  # noqa: F401
 
@@ -221,6 +222,21 @@ def _(fx):
     return intervals.enrich_with_tss(results_table(fx), fx.tss, **RADII)
 
 
+@query("t1_enriched_batch", """
+SELECT concat('file_', l.start % 7) AS file, count(*) AS rows, count(*) FILTER (WHERE l.start % 11 = 0) AS failed,
+       CASE WHEN count(*) FILTER (WHERE l.start % 11 = 0) = count(*) THEN 'failed' ELSE 'success' END AS status,
+       count(*) FILTER (WHERE l.start % 11 <> 0 AND tss_coord IS NOT NULL) AS with_tss
+FROM {loc} l JOIN {near} n ON n.contig_id = l.contig_id AND n.start = l.start AND n.strand = l.strand GROUP BY 1""", **LOC_CTES, near=_TSS)
+def _(fx):
+    """What the folder stream does with a batch: reject, enrich, sum up by file."""
+    rows = results_table(fx).withColumns({
+        "file": F.concat(F.lit("file_"), F.col("Start") % 7), "Location": F.when(F.col("Start") % 11 != 0, F.col("Location"))})
+    done, rejected = enrich.enrich_batch(rows, lambda df: intervals.enrich_with_tss(df, fx.tss, **RADII))
+    found = done.select("file", F.lit(False).alias("bad"), (~F.col("Distance_from_TSS").startswith("No TSS")).alias("tss"))
+    every = found.union(rejected.select("file", F.lit(True), F.lit(False)))
+    return enrich.folder_summary(every, "bad").join(every.groupBy("file").agg(F.count_if("tss").alias("with_tss")), "file")
+
+
 @query("j13_enrichment_counts", """
 SELECT count(*) AS results, count(tss_coord) AS with_tss FROM {near}""", **HIT_CTES, near=_TSS)
 def _(fx):

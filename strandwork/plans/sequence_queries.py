@@ -282,6 +282,19 @@ def _(fx):
 REFS = {"Reference_1": "TATAATGN", "Reference_2": "ACGTNNACGTTTACGACGTACC"}
 
 
+@query("m13_long_regions", """
+SELECT contig_id, ordinal, length(s) AS n_bases, md5(s) AS bases_md5 FROM (
+  SELECT contig_id, ordinal, substr(seq, CAST(b AS INT), CAST(least(e, length(seq)) - b + 1 AS INT)) AS s FROM (
+    SELECT contig_id, ordinal, seq, 1 + ordinal * 7 % 500 AS b, 1 + ordinal * 7 % 500 + ordinal * 37 % 20000 AS e
+    FROM {genes} JOIN {contigs} USING (contig_id)) WHERE b <= length(seq))""")
+def _(fx):
+    """Regions of 1 to 20,000 bases, over any number of chunks."""
+    first = 1 + F.col("ordinal") * 7 % 500
+    rows = scan.fetch_region(fx.genes.select("contig_id", "ordinal"), fx.contigs, first, first + F.col("ordinal") * 37 % 20_000, core=512)
+    return rows.where(F.col("region_seq") != "").select(
+        "contig_id", "ordinal", F.length("region_seq").cast("bigint").alias("n_bases"), F.md5("region_seq").alias("bases_md5"))
+
+
 def _best_sql() -> str:
     parts = []
     for n, r in REFS.items():
@@ -466,11 +479,13 @@ def _(fx):
 
 
 @query("p11_alphabet_validation", """
-SELECT doc_id, coalesce(regexp_full_match(upper(w), '[ACGTRYSWKMBDHVN]+'), false) AS iupac, coalesce(regexp_full_match(upper(w), '[ACGTU]+'), false) AS rna
-FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents)""")
+SELECT doc_id, CAST(len([w FOR w IN ws IF regexp_full_match(upper(w), '[ACGTRYSWKMBDHVN]+')]) AS INT) AS n_iupac,
+       CAST(len([w FOR w IN ws IF regexp_full_match(upper(w), '[ACGTU]+')]) AS INT) AS n_rna
+FROM (SELECT doc_id, string_split(replace(text, 'ß', 'ss'), ' ') AS ws FROM documents)""")
 def _(fx):
-    return fx.documents.select("doc_id", F.split("text", " ")[0].alias("w")).select(
-        "doc_id", S.is_iupac("w").alias("iupac"), S.is_rna("w").alias("rna"))
+    words = F.split(F.replace("text", F.lit("ß"), F.lit("ss")), " ")
+    return fx.documents.select("doc_id", words.alias("ws")).select(
+        "doc_id", F.size(F.filter("ws", S.is_iupac)).alias("n_iupac"), F.size(F.filter("ws", S.is_rna)).alias("n_rna"))
 
 
 @query("w1_first_wins_dedup", """

@@ -199,3 +199,30 @@ SELECT concat('file_', user_id) AS file, count(*) AS rows, count(*) FILTER (WHER
 def _(fx):
     rows = fx.events.select(F.concat(F.lit("file_"), "user_id").alias("file"), (F.col("event_type") == "error").alias("bad"))
     return enrich.folder_summary(rows, "bad")
+
+
+@query("s7_gene_table", """
+SELECT concat('g', o_orderkey) AS gene, o_custkey AS g_start, o_custkey + 50 AS g_end, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'ACGT' END AS sequence FROM orders WHERE o_orderkey % 10 <> 9""")
+def _(fx):
+    lines = fx.sql("""SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'Gene,Start,End,Strand,Sequence' ELSE concat('g', o_orderkey, ',', o_custkey, ',', o_custkey + 50, ',',
+        CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END, ',', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '"ACGT"' END) END AS value FROM {orders}""")
+    return tables.parse_gene_table(lines)
+
+
+_SEPARATOR = "CASE o_orderkey % 5 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' WHEN 3 THEN '|' ELSE '' END"
+
+
+@query("s8_sniffed_delimiter", f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 4 THEN ',' ELSE {_SEPARATOR} END AS delimiter FROM orders")
+def _(fx):
+    lines = fx.sql(f"""SELECT o_orderkey, array(concat('gene', d, 'fc', d, 'p'), '  ', concat(o_custkey, d, '1.5', d, '0.1'),
+        CASE WHEN o_orderkey % 7 = 0 THEN concat('x', d, 'y', d, 'z', d) ELSE '' END) AS lines FROM (SELECT *, {_SEPARATOR} AS d FROM {{orders}})""")
+    return lines.select("o_orderkey", tables.delimiter_of(F.col("lines")).alias("delimiter"))
+
+
+@query("s10_file_columns", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 0 THEN concat('gene|c', o_custkey, chr(9), 'p') ELSE concat('gene,c', o_custkey, '|p') END AS columns FROM orders""")
+def _(fx):
+    files = fx.sql("""SELECT o_orderkey, concat('f', o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.TSV' WHEN 2 THEN '.txt' ELSE '.xls' END) AS file,
+        concat('gene,c', o_custkey, chr(9), 'p') AS header FROM {orders}""")
+    return files.select("o_orderkey", F.array_join(tables.header_columns(F.col("file"), F.col("header")), "|").alias("columns"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.expression import plot_points
@@ -12,8 +12,10 @@ GENE_SCHEMA = "Gene string, Start bigint, End bigint, Strand string, Sequence st
 # Separators an upload may use, in order of preference, and the accepted extensions.
 DELIMITERS = (",", "\t", ";", "|")
 EXTENSIONS = {"csv": ",", "tsv": "\t", "txt": "\t"}
+# The column names of exported results.
 RESULT_COLUMNS = ("Start", "End", "Strand", "Pattern", "Found_Sequence", "Location", "Distance_from_TSS", "Mismatches")
-MAP_RESULT_COLUMNS = ("Start", "End", "Strand", "Pattern", "Found Sequence", "RevComp", "Mismatches", "Location")
+MAP_# Fixed values: the column names of exported results.
+RESULT_COLUMNS = ("Start", "End", "Strand", "Pattern", "Found Sequence", "RevComp", "Mismatches", "Location")
 
 
 def _extension(path: str) -> str:
@@ -29,12 +31,22 @@ def write_gene_table(genes: DataFrame, path: str) -> None:
                  F.col("strand").alias("Strand"), F.col("sequence").alias("Sequence")).write.mode("overwrite").csv(path, header=True)
 
 
-def read_gene_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GENE_SCHEMA).csv(path, header=True).select(
+def _gene_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("Gene").alias("gene"), F.col("Start").alias("g_start"), F.col("End").alias("g_end"),
         F.col("Strand").alias("strand"), F.col("Sequence").alias("sequence"))
 
 
+def read_gene_table(spark: SparkSession, path: str) -> DataFrame:
+    return _gene_columns(spark.read.schema(GENE_SCHEMA).csv(path, header=True))
+
+
+def parse_gene_table(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The gene table of text rows; header lines are left out."""
+    header = ",".join(c.split()[0] for c in GENE_SCHEMA.split(", "))
+    return _gene_columns(lines.where(F.col(value) != header).select(F.from_csv(value, GENE_SCHEMA).alias("r")).select("r.*"))
+
+
 # S8
 def sniff_delimiter(lines: list[str]) -> str:
     """The separator that occurs equally often, and at all, in each sample line; else a comma."""
@@ -46,6 +58,16 @@ def sniff_delimiter(lines: list[str]) -> str:
     return ","
 
 
+def delimiter_of(lines: Column) -> Column:
+    """`sniff_delimiter` of an array of sample lines."""
+    sample = F.filter(lines, lambda ln: F.trim(ln) != "")
+    out = F.lit(",")
+    for d in reversed(DELIMITERS):
+        counts = F.array_distinct(F.transform(sample, lambda ln: F.length(ln) - F.length(F.replace(ln, F.lit(d)))))  # noqa: B023
+        out = F.when((F.size(counts) == 1) & (F.try_element_at(counts, F.lit(1)) != 0), d).otherwise(out)
+    return out
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """A delimited upload as strings, headers trimmed, all-blank rows dropped. Five lines are sampled."""
     sep = sniff_delimiter([r.value for r in spark.read.text(path).limit(5).collect()])
@@ -59,6 +81,15 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 
 
 # S10
+def header_columns(file: Column, header: Column) -> Column:
+    """Column names of a header line, split by what the file's ending says; null for other endings."""
+    ending = F.lower(F.regexp_extract(file, r"\.([^.]*)$", 1))
+    out = F.lit(None).cast("array<string>")
+    for name, sep in EXTENSIONS.items():
+        out = F.when(ending == name, F.split(header, sep)).otherwise(out)
+    return out
+
+
 def file_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True, sep=EXTENSIONS[_extension(path)]).columns
 

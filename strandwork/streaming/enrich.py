@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 RESULTS = "Start bigint, End bigint, Strand string, Pattern string, Found_Sequence string, Location string, Mismatches int"
 
 
+def enrich_batch(
+    batch: DataFrame, enrich: Callable[[DataFrame], DataFrame], required: tuple[str, ...] = ("Start", "End", "Strand", "Location"),
+) -> tuple[DataFrame, DataFrame]:
+    """The enriched rows of a batch, and the rejected ones, which lack a required value."""
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    return enrich(batch.where(~bad)), batch.where(bad)
+
+
 def enrich_folder(
     spark: SparkSession, folder: str, out: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame],
     schema: str = RESULTS, required: tuple[str, ...] = ("Start", "End", "Strand", "Location"),
@@ -22,12 +32,11 @@ def enrich_folder(
     rows = spark.readStream.schema(schema).option("header", True).csv(folder).withColumn("file", F.col("_metadata.file_path"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        bad = F.lit(False)
-        for c in required:
-            bad = bad | F.col(c).isNull()
-        done = enrich(batch.where(~bad))
+        batch = batch.persist()
+        done, rejected = enrich_batch(batch, enrich, required)
         done.write.mode("overwrite").parquet(f"{out}/enriched/batch={batch_id}")
-        batch.where(bad).write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        batch.unpersist()
 
     q = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
