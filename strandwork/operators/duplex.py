@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sequence as S
-from .scan import padded_chunks, whole_contigs
+from .scan import fetch_region, padded_chunks, whole_contigs
 
 # The Arrow function travels by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -159,58 +160,68 @@ _EXTENT = T.StructType([
 _PAIRS = {("A", "T"): 0, ("T", "A"): 0, ("C", "G"): 0, ("G", "C"): 0, ("G", "T"): 1, ("T", "G"): 1}
 
 
-def _walk(srna: str, target: str, i: int, j: int, di: int, left: int) -> tuple[int, int]:
-    """Steps that pair from (i, j) moving apart antiparallel, and the wobble budget left."""
-    steps = 0
-    while 0 <= i < len(srna) and 0 <= j < len(target):
-        cost = _PAIRS.get((srna[i], target[j]))
-        if cost is None or cost > left:
-            break
-        left -= cost
-        steps, i, j = steps + 1, i + di, j - di
+_COST = np.full((256, 256), 1 << 20, dtype=np.int64)
+for (_a, _b), _c in _PAIRS.items():
+    _COST[ord(_a), ord(_b)] = _c
+
+
+def _letters(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each text as a row of a matrix, and the lengths."""
+    raw = [t.encode() for t in texts]
+    width = max(map(len, raw), default=0)
+    rows = np.frombuffer(b"".join(t.ljust(width, b" ") for t in raw), dtype=np.uint8).reshape(len(raw), width)
+    return rows, np.array([len(t) for t in raw], dtype=np.int64)
+
+
+def _walk(srna: tuple, target: tuple, i: np.ndarray, j: np.ndarray, di: int, left: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the steps that pair from (i, j) moving apart antiparallel, and the wobble budget left; all rows step together."""
+    (s, n), (t, m) = srna, target
+    steps, left, at = np.zeros(len(n), dtype=np.int64), left.copy(), np.arange(len(n))
+    while len(at):
+        a, b = i[at] + di * steps[at], j[at] - di * steps[at]
+        ok = (a >= 0) & (a < n[at]) & (b >= 0) & (b < m[at])
+        if most is not None:
+            ok &= steps[at] < most[at]
+        at, a, b = at[ok], a[ok], b[ok]
+        cost = _COST[s[at, a], t[at, b]]
+        ok = cost <= left[at]
+        at = at[ok]
+        left[at] -= cost[ok]
+        steps[at] += 1
     return steps, left
 
 
 @F.pandas_udf(_EXTENT)
 def _extend(srna: pd.Series, target: pd.Series, s_at: pd.Series, t_at: pd.Series, seed: pd.Series, budget: pd.Series) -> pd.DataFrame:
-    rows = []
-    for s, t, i, j, k, b in zip(srna, target, s_at, t_at, seed, budget):
-        # The seed is checked first, then the 3' side of the sRNA, then its 5' side, on one budget.
-        got, left = _walk(s[: i + k], t, i, j, 1, b)
-        if got < k:
-            rows.append((-1, -1, -1, -1))
-            continue
-        right, left = _walk(s, t, i + k, j - k, 1, left)
-        before, _ = _walk(s, t, i - 1, j + 1, -1, left)
-        rows.append((i - before, i + k - 1 + right, j - k + 1 - right, j + before))
-    return pd.DataFrame(rows, columns=["srna_left", "srna_right", "target_left", "target_right"])
+    s, t = _letters(srna), _letters(target)
+    i, j, k, b = (x.to_numpy(dtype=np.int64) for x in (s_at, t_at, seed, budget))
+    # The seed is checked first, then the 3' side of the sRNA, then its 5' side, on one budget.
+    got, left = _walk(s, t, i, j, 1, b, k)
+    right, left = _walk(s, t, i + k, j - k, 1, left)
+    before, _ = _walk(s, t, i - 1, j + 1, -1, left)
+    found = np.stack([i - before, i + k - 1 + right, j - k + 1 - right, j + before], axis=1)
+    found[got < k] = -1
+    return pd.DataFrame(found.astype(np.int32), columns=["srna_left", "srna_right", "target_left", "target_right"])
 
 
 # M11
-def seed_and_extend(contigs: DataFrame, srnas: DataFrame, seed: int, max_gu: int, max_srna: int = 512) -> DataFrame:
+def seed_and_extend(contigs: DataFrame, srnas: DataFrame, seed: int, max_gu: int) -> DataFrame:
     """Antiparallel seed and extension on the forward strand with one wobble budget.
 
-    Exact seeds are an equi-join on the reverse-complement k-mer; each seed is then
-    extended over the flanks the sRNA can reach, which lie within `max_srna` bases.
+    Exact seeds are an equi-join on the reverse-complement k-mer, to which only positions travel; the bases that the
+    sRNA can reach from a seed are cut afterwards, whatever its length.
     """
     src = contigs.select("contig_id", S.to_dna("seq").alias("seq"))
-    chunks = (
-        padded_chunks(src, seed, max_srna, max_srna + seed, CORE)
+    spots = (
+        padded_chunks(src, seed, 0, seed, CORE)
         .withColumn("pos", F.explode(F.sequence(
             F.col("offset") + 1, F.least(F.col("offset") + CORE, F.col("contig_len") - (seed - 1)))))
+        .select("contig_id", "pos", F.substring("bases", F.col("pos") - F.col("cut"), F.lit(seed)).cast("string").alias("seed_rc"))
     )
-    spots = chunks.select(
-        "contig_id", "pos", F.substring("bases", F.col("pos") - F.col("cut"), F.lit(seed)).cast("string").alias("seed_rc"),
-        "bases", "cut")
-    table = srnas.select("srna_id", S.to_dna("srna").alias("srna"))
-    table = table.withColumn("srna", F.when(F.length("srna") <= max_srna, F.col("srna")).otherwise(
-        F.raise_error(F.lit(f"sRNA longer than max_srna={max_srna}")).cast("string")))
-    keyed = _exact_seeds(table, seed)
+    keyed = _exact_seeds(srnas.select("srna_id", S.to_dna("srna").alias("srna")), seed)
     reach = F.length("srna")
-    first = F.greatest(F.col("pos") - reach, F.col("cut") + 1)
-    cand = spots.join(keyed, "seed_rc").select(
-        "contig_id", "srna_id", "srna", "s_start", "pos", first.alias("lead"),
-        F.substring("bases", first - F.col("cut"), F.col("pos") - first + seed + reach).cast("string").alias("near"))
+    cand = spots.join(keyed, "seed_rc").select("contig_id", "srna_id", "srna", "s_start", "pos")
+    cand = fetch_region(cand, src, F.col("pos") - reach, F.col("pos") + (seed - 1) + reach, "near").withColumnRenamed("_first", "lead")
     ext = cand.withColumn("x", _extend(
         "srna", "near", F.col("s_start") - 1, F.col("pos") + (seed - 1) - F.col("lead"),
         F.lit(seed), F.lit(max_gu)))

@@ -186,24 +186,24 @@ def complex_members(raw: DataFrame) -> DataFrame:
 
 
 # A10
-def complexes_from_interactions(interactions: DataFrame, molecules: DataFrame, label_limit: int = 1000) -> DataFrame:
-    """(complex, gene) of interactions with at least two distinct proteins, keyed `Complex: A & B`.
+def complexes_from_interactions(interactions: DataFrame, molecules: DataFrame) -> DataFrame:
+    """(complex, gene) of interactions with at least two distinct proteins.
 
-    Interactions with the same members are one complex. Up to `label_limit` members are spelled out
-    in the key; a larger complex is keyed by its size and a hash of its members, which keeps
-    all its rows without ever joining them into one value.
+    Interactions with the same members are one complex. Its key is the number of members and two
+    hashes of the set, whatever its size; `complex_labels` spells out the names of chosen ones.
     """
     proteins = molecules.where(F.col("type") == "Protein").select(F.col("id").alias("molecule_id"), F.col("name").alias("gene"))
     members = interactions.join(proteins, "molecule_id").select("interaction_id", "gene").distinct()
-    sized = members.groupBy("interaction_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("gene")).alias("_h")).where(F.col("_n") >= 2)
-    rows = members.join(sized, "interaction_id")
-    small = rows.where(F.col("_n") <= label_limit).groupBy("interaction_id").agg(F.array_sort(F.collect_list("gene")).alias("genes"))
-    spelled = small.select(F.concat(F.lit("Complex: "), F.array_join("genes", " & ")).alias("complex"), "genes").distinct().select(
-        "complex", F.explode("genes").alias("gene"))
-    large = rows.where(F.col("_n") > label_limit).select(
-        F.format_string("Complex: %d members, %x", "_n", "_h").alias("complex"), "gene").distinct()
-    return spelled.unionByName(large)
+    keyed = members.groupBy("interaction_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("gene")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "gene")).alias("_y")).where("_n >= 2")
+    key = F.format_string("%d-%016x%016x", "_n", "_x", "_y").alias("complex")
+    return members.join(keyed.select("interaction_id", key), "interaction_id").select("complex", "gene").distinct()
+
+
+def complex_labels(complexes: DataFrame) -> DataFrame:
+    """(complex, label) of the complexes given, labelled `Complex: A & B`."""
+    names = complexes.groupBy("complex").agg(F.array_sort(F.collect_list("gene")).alias("genes"))
+    return names.select("complex", F.concat(F.lit("Complex: "), F.array_join("genes", " & ")).alias("label"))
 
 
 # J27

@@ -19,23 +19,24 @@ from ..session import cut
 
 
 # G1
-def clique_edges(members: DataFrame, group: str = "complex_id", node: str = "gene", pair_limit: int = 32) -> DataFrame:
-    """Undirected adjacency of groups as (a, b, via), both directions.
+def clique_edges(members: DataFrame, group: str = "complex_id", node: str = "gene") -> DataFrame:
+    """Undirected adjacency of groups of two or more members as stars (a, b, via), both directions.
 
-    Groups of up to `pair_limit` distinct members are spelled out as gene pairs (via null). A larger
-    one stays a star: (gene, hub) and (hub, gene) rows with `via` naming the hub, whose
-    two steps equal one step between any two of its members. Nothing is dropped; output stays
-    linear in the membership table.
+    A group is a hub: (gene, hub) and (hub, gene) rows with `via` naming the hub, whose two steps equal
+    one step between any two of its members. Output is linear in the membership table for groups of any
+    size; `neighbours_of` gives the pairs of chosen genes.
     """
-    m = members.select(F.col(group).cast("string").alias("_g"), F.col(node).alias("a")).distinct()
-    sizes = m.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    sized = m.join(sizes, "_g")
-    small = sized.where(F.col("_n").between(2, pair_limit)).select("_g", "a")
-    pairs = small.join(small.withColumnRenamed("a", "b"), "_g").where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    big = sized.where(F.col("_n") > pair_limit).select("a", F.concat(F.lit("group:"), "_g").alias("b"))
-    star = big.unionByName(big.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.withColumn("via", F.lit(None).cast("string")).unionByName(
-        star.withColumn("via", F.when(F.col("a").startswith("group:"), F.col("a")).otherwise(F.col("b"))))
+    m = members.select(F.concat(F.lit("group:"), F.col(group).cast("string")).alias("b"), F.col(node).alias("a")).distinct()
+    real = m.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
+    star = m.join(real, "b").select("a", "b")
+    return star.select("a", "b", F.col("b").alias("via")).union(star.select("b", "a", "b"))
+
+
+def neighbours_of(members: DataFrame, genes: DataFrame, group: str = "complex_id", node: str = "gene") -> DataFrame:
+    """(a, b): the fellow members b of each gene a of `genes` (gene), over all its groups."""
+    m = members.select(F.col(group).alias("g"), F.col(node).alias("b")).distinct()
+    mine = genes.select(F.col("gene").alias("a")).distinct().join(m.select("g", F.col("b").alias("a")), "a")
+    return mine.join(m, "g").where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
 
 # G2

@@ -217,7 +217,8 @@ SELECT DISTINCT concat('Complex: ', key) AS complex, gene FROM (
 JOIN {mem} m ON m.interaction_id = k.interaction_id WHERE n >= 2""",
        mem="SELECT DISTINCT interaction_id, name AS gene FROM {interactions} JOIN {molecules} ON id = molecule_id WHERE type = 'Protein'")
 def _(fx):
-    return G.complexes_from_interactions(fx.interactions, fx.molecules)
+    found = G.complexes_from_interactions(fx.interactions, fx.molecules)
+    return found.join(G.complex_labels(found), "complex").select(F.col("label").alias("complex"), "gene")
 
 
 @query("j27_pathway_genes", "SELECT DISTINCT pathway_id, gene FROM {pathway_members}")

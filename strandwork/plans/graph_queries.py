@@ -15,8 +15,16 @@ CHOSEN = "SELECT * FROM (VALUES (5, 0), (17, 1), (42, 2), (99, 3), (123, 4)) t(n
 WALK_LEN = 4
 
 
+@query("g1_neighbours_of", """
+SELECT DISTINCT x.gene AS a, y.gene AS b FROM {complexes} x JOIN {complexes} y ON y.complex_id = x.complex_id AND x.gene <> y.gene""")
+def _(fx):
+    return N.neighbours_of(fx.complexes, fx.complexes)
+
+
 @query("g1_clique_edges", """
-SELECT DISTINCT x.gene AS a, y.gene AS b, CAST(NULL AS VARCHAR) AS via FROM {complexes} x JOIN {complexes} y ON y.complex_id = x.complex_id AND x.gene <> y.gene""")
+WITH star AS (SELECT DISTINCT gene, concat('group:', complex_id) AS hub FROM {complexes} WHERE complex_id IN (
+  SELECT complex_id FROM {complexes} GROUP BY complex_id HAVING count(DISTINCT gene) > 1))
+SELECT gene AS a, hub AS b, hub AS via FROM star UNION ALL SELECT hub, gene, hub FROM star""")
 def _(fx):
     return N.clique_edges(fx.complexes)
 

@@ -138,15 +138,18 @@ def test_track_overwrites(spark):
 def test_large_groups_stay_stars(spark):
     members = [(1, f"m{i}") for i in range(50)] + [(2, "m0"), (2, "x"), (3, "x"), (3, "y"), (3, "x")]
     df = spark.createDataFrame(members, "complex_id bigint, gene string")
-    got = {tuple(r) for r in graph.clique_edges(df, pair_limit=8).collect()}
-    assert ("m0", "x", None) in got and ("y", "x", None) in got and ("m0", "group:1", "group:1") in got and len(got) == 4 + 100
+    got = {tuple(r) for r in graph.clique_edges(df).collect()}
+    assert ("m0", "group:2", "group:2") in got and ("group:3", "y", "group:3") in got and ("m0", "group:1", "group:1") in got and len(got) == 2 * 54
+    pairs = {tuple(r) for r in graph.neighbours_of(df, spark.createDataFrame([("x",), ("m7",)], "gene string")).collect()}
+    assert pairs == {("x", "m0"), ("x", "y")} | {("m7", f"m{i}") for i in range(50) if i != 7}
     centre = spark.createDataFrame([("y",), ("m7",)], "gene string")
     layers = {(r.centre, r.gene): r.layer for r in graph.neighbourhood(df, centre, 3).collect()}
     assert layers[("y", "m49")] == 3 and layers[("y", "m0")] == 2 and layers[("m7", "m8")] == 1 and layers[("m7", "y")] == 3
     mols = spark.createDataFrame([(i, f"p{i:03d}", "Protein") for i in range(60)], "id bigint, name string, type string")
     inter = spark.createDataFrame([(1, i) for i in range(30)] + [(2, i) for i in range(30)] + [(3, 1), (3, 2), (4, 5)], "interaction_id bigint, molecule_id bigint")
-    cx = genesets.complexes_from_interactions(inter, mols, label_limit=10).groupBy("complex").count().collect()
-    assert sorted(r["count"] for r in cx) == [2, 30] and "Complex: p001 & p002" in {r["complex"] for r in cx}
+    cx = genesets.complexes_from_interactions(inter, mols)
+    assert sorted(r["count"] for r in cx.groupBy("complex").count().collect()) == [2, 30]
+    assert "Complex: p001 & p002" in {r.label for r in genesets.complex_labels(cx).collect()}
 
 
 def test_paths_cycles_and_centrality(spark):
