@@ -309,7 +309,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path, pattern or "", pattern is None)
         for batch in batches:
-            for part in pieces(batch, 1, 8 << 20):
+            for part in pieces(batch, 1, 4 << 20):
                 data, offsets = flat(part.column(1))
                 ids, bounds = code.encode(data, offsets)
                 text, text_bounds = code.decode(ids, bounds)

@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: floa
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             index = Index(ids, texts, q, error)
             for batch in batches:
-                for part in pieces(batch, 1):
+                for part in pieces(batch, 1, 1 << 20):
                     more = [[{"item": ids[i], "edits": e, "end": z} for i, (e, z) in sorted(x.items())] for x in index.found(part.column(1))]
                     if any(more):
                         own = pa.array([a + b for a, b in zip(part.column(2).to_pylist(), more, strict=True)], part.column(2).type)
@@ -163,7 +163,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1,
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             index = Index(ids, texts, q, error)
             for batch in batches:
-                for part in pieces(batch, width):
+                for part in pieces(batch, width, 1 << 20):
                     keep = pa.array([not x for x in index.found(part.column(width))], pa.bool_())
                     yield pa.RecordBatch.from_arrays([part.column(i) for i in range(width)], names).filter(keep)
 

@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidde
         if weights:
             net.p = dict(np.load(io.BytesIO(weights)))
         for batch in batches:
-            for part in pieces(batch, 2, 8 << 20):
+            for part in pieces(batch, 2, 4 << 20):
                 hashes, first = _tokens(part.column(2))
                 n = part.num_rows
                 of = np.repeat(np.arange(n), np.diff(first))

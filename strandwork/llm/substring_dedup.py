@@ -71,7 +71,7 @@ def _read(table: pa.Table, column: str, kind: str) -> np.ndarray:
 def _send_anchors(k: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1, 8 << 20):
+            for part in pieces(batch, 1, 4 << 20):
                 _, anchors, row, _ = _windows(part.column(1), k, gram)
                 runs = _edges(anchors, row)
                 anchors, docs = anchors[runs], part.column(0).to_numpy()[row[runs]]
@@ -126,7 +126,7 @@ def _first_owner(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[
 def _send_windows(k: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 2, 8 << 20):
+            for part in pieces(batch, 2, 4 << 20):
                 ids, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
                 hashes, anchors, row, pos = _windows(part.column(2), k, gram)
                 lists = part.column(3)
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1, 8 << 20):
+            for part in pieces(batch, 1, 4 << 20):
                 texts, lists = part.column(1), part.column(2)
                 data, offsets = flat(texts)
                 starts, ends, first = word_bounds(data, offsets)
