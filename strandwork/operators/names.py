@@ -150,6 +150,7 @@ def aliases(details: DataFrame) -> DataFrame:
     """(name, synonym, ordinal) from details (name, synonyms, subtilist, expression_browser, ordinal).
 
     The browser id contributes the part before its first underscore. Blank and repeated aliases go.
+    `ordinal` becomes (ordinal, i), i being the place among the aliases of its row.
     """
     browser = F.when(F.contains("expression_browser", F.lit("_")), F.substring_index("expression_browser", "_", 1))
     every = F.array_distinct(F.array_compact(F.concat(

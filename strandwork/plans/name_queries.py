@@ -134,9 +134,9 @@ UNION ALL SELECT name, subtilist, ordinal * 1000 + 1 FROM {alias_rows}
 UNION ALL SELECT name, split_part(browser, '_', 1), ordinal * 1000 + 2 FROM {alias_rows} WHERE browser IS NOT NULL"""
 
 
-@query("j21_aliases", "SELECT * FROM {ali}", ali=ALIAS)
+@query("j21_aliases", "SELECT name, synonym, ordinal // 1000 AS ordinal, CAST(ordinal % 1000 AS INT) AS position FROM {ali}", ali=ALIAS)
 def _(fx):
-    return _aliases(fx)
+    return _aliases(fx).select("name", "synonym", F.col("ordinal.ordinal").alias("ordinal"), F.col("ordinal.i").alias("position"))
 
 
 @query("j21_extended_mapping", """
