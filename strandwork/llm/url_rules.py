@@ -38,14 +38,15 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: ~t.isin("h:", "d:", "s:")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 10) -> DataFrame:
     """Rules from rows of (tokens, bad): columns `terms`, `verdict`, `confidence` and `support`.
 
-    A rule holds in at least `min_support` of the labelled rows, with `min_confidence` and more often than its verdict does over all (lift above 1). Of rules for one verdict, one whose terms contain those
+    A rule holds in at least `min_support` of the labelled rows and in `min_rows` of them, with `min_confidence` and more often than its verdict does over all (lift above 1). Of rules for one verdict, one whose terms contain those
     of another rule of no less confidence is dropped. FP-growth runs on all labelled rows; an empty table gives no rules.
     """
     rows = labelled.where(F.col("bad").isNotNull()).select(F.array_union("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    support = min(1.0, max(min_support, min_rows / max(1, rows.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
     classes = F.array(F.lit(BAD), F.lit(GOOD))
     rules = model.associationRules.where((F.col("lift") > 1) & F.col("consequent")[0].isin(BAD, GOOD) & ~F.arrays_overlap("antecedent", classes)).select(
         F.array_sort("antecedent").alias("terms"), F.when(F.col("consequent")[0] == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support", "lift")

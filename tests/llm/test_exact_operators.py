@@ -321,7 +321,7 @@ def test_url_rules(spark):
 
 def test_mined_rules_equal_brute_force(spark):
     rows = [(["a", "b"], True)] * 6 + [(["a"], False)] * 4 + [(["b", "c"], True)] * 3 + [(["c"], False)] * 2
-    got = {(tuple(r.terms), r.verdict): r.confidence for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.1, 0.6).collect()}
+    got = {(tuple(r.terms), r.verdict): r.confidence for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.1, 0.6, 1).collect()}
     want = {}
     for terms in [("a",), ("b",), ("c",), ("a", "b"), ("b", "c")]:
         has = [bad for t, bad in rows if set(terms) <= set(t)]
