@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, code_points, flat, gram_hashes, inside, mixed, pieces
+from .common import U64, code_points, flat, inside, mixed, pieces
 
 _TABLE = 22
 
@@ -27,6 +27,20 @@ def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, np.searchsorted(lead, offsets), lead
 
 
+def rolled(values: np.ndarray, q: int, factor: int = 0x01000193) -> np.ndarray:
+    """A 32-bit hash of each q consecutive values, by doubling."""
+    h = values.astype(np.uint32) * np.uint32(0x9E3779B1)
+    out, have, power = h, 1, factor
+    for bit in bin(q)[3:]:
+        out = out[:max(0, len(out) - have)] * np.uint32(power) + out[have:]
+        have, power = 2 * have, power * power % 2**32
+        if bit == "1":
+            size = max(0, len(out) - 1)
+            out = out[:size] * np.uint32(factor) + h[have:have + size]
+            have, power = have + 1, power * factor % 2**32
+    return out
+
+
 class Index:
     """q-grams of a block of items."""
 
@@ -38,84 +52,131 @@ class Index:
         self.edits = np.maximum(np.minimum((self.lengths * error).astype(np.int64), (self.lengths - q) // q), 0)
         self.needed = self.lengths - q + 1 - q * self.edits
         at, _ = inside(self.first, q)
-        grams = gram_hashes(mixed(self.code.astype(U64)), q)[at]
+        grams = self._exact(self.code, at)
         item = np.searchsorted(self.first, at, side="right") - 1
         order = np.argsort(grams, kind="stable")
         self.grams, begins = np.unique(grams[order], return_index=True)
         self.begins = np.append(begins, len(order))
         self.item, self.place = item[order], (at - self.first[item])[order]
         self.seen = np.zeros(1 << _TABLE, dtype=bool)
-        self.seen[(self.grams >> U64(64 - _TABLE)).astype(np.int64)] = True
+        self.seen[rolled(self.code, q)[at] >> np.uint32(32 - _TABLE)] = True
+
+    def _exact(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the q-grams at some places."""
+        g = np.zeros(len(at), dtype=U64)
+        for j in range(self.q):
+            g = g * U64(0x9E3779B97F4A7C15) + mixed(code[at + j].astype(U64))
+        return g
 
-    def candidates(self, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, item and lowest diagonal of each band that reaches the bound."""
-        at, _ = inside(first, self.q)
-        grams = gram_hashes(mixed(code.astype(U64)), self.q)
-        maybe = at[self.seen[(grams[at] >> U64(64 - _TABLE)).astype(np.int64)]]
+    def candidates(self, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and lowest diagonal of each band that reaches the bound, and whether the item stands there as it is (then on that diagonal)."""
         none = np.zeros(0, dtype=np.int64)
-        if not len(maybe) or not len(self.grams):
-            return none, none, none
-        slot = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
-        hit = self.grams[slot] == grams[maybe]
-        slot, at = slot[hit], maybe[hit]
+        at = np.flatnonzero(self.seen[rolled(code, self.q) >> np.uint32(32 - _TABLE)])
+        text = np.searchsorted(first, at, side="right") - 1
+        keep = at + self.q <= first[text + 1]
+        at, text = at[keep], text[keep]
+        if not len(at) or not len(self.grams):
+            return none, none, none, none.astype(bool)
+        grams = self._exact(code, at)
+        slot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        hit = self.grams[slot] == grams
+        slot, at, text = slot[hit], at[hit], text[hit]
         counts = self.begins[slot + 1] - self.begins[slot]
         flatten = np.arange(counts.sum()) + np.repeat(self.begins[slot] - (np.cumsum(counts) - counts), counts)
-        text = np.searchsorted(first, np.repeat(at, counts), side="right") - 1
+        text = np.repeat(text, counts)
         item = self.item[flatten]
+        diagonal = np.repeat(at, counts) - first[text] - self.place[flatten]
+        # All q-grams of an item on one diagonal: it stands there as it is.
+        t, i, d, n = _counted(text, item, diagonal)
+        whole = n >= self.lengths[i] - self.q + 1
+        t, i, d = t[whole], i[whole], d[whole]
+        done = np.unique(t * len(self.ids) + i)
+        rest = ~np.isin(text * len(self.ids) + item, done)
+        text, item, diagonal = text[rest], item[rest], diagonal[rest]
         width = self.edits[item] + 1
-        band = (np.repeat(at, counts) - first[text] - self.place[flatten]) // width
-        rows = np.stack([np.tile(text, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
-        order = np.lexsort(rows[::-1])
-        rows = rows[:, order]
-        if not rows.shape[1]:
-            return none, none, none
-        edge = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
-        total = np.diff(np.append(edge, rows.shape[1]))
-        text, item, band = rows[:, edge]
-        enough = total >= self.needed[item]
-        return text[enough], item[enough], (band * (self.edits[item] + 1))[enough]
+        band = diagonal // width
+        t2, i2, b2, n2 = _counted(np.tile(text, 2), np.tile(item, 2), np.concatenate([band, band - 1]))
+        enough = n2 >= self.needed[i2]
+        t2, i2, b2 = t2[enough], i2[enough], b2[enough]
+        exact = np.arange(len(t) + len(t2)) < len(t)
+        return np.concatenate([t, t2]), np.concatenate([i, i2]), np.concatenate([d, b2 * (self.edits[i2] + 1)]), exact
 
     def aligned(self, code: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits of the item in the text within its band, and the end of the best place; all candidates of one item at once."""
+        """Least edits of each item in its text within its band, and the end of the best place; all candidates step together."""
         best, end = np.full(len(text), 1 << 30), np.zeros(len(text), dtype=np.int64)
-        for one in np.unique(item):
-            own = np.flatnonzero(item == one)
-            pattern = self.code[self.first[one]:self.first[one + 1]]
-            e = int(self.edits[one])
-            diagonals = np.arange(2 * (e + 1) + 2 * e)
-            for part in np.array_split(own, -(-len(own) // 4096)):
-                base, size = first[text[part]], np.diff(first)[text[part]]
-                start = low[part] - e
-                far = np.int32(1 << 20)
-                cost = np.zeros((len(part), len(diagonals)), dtype=np.int32)
-                cost[(start[:, None] + diagonals < 0) | (start[:, None] + diagonals > size[:, None])] = far
-                for i, sign in enumerate(pattern):
-                    j = start[:, None] + diagonals + i
-                    there = (j >= 0) & (j < size[:, None])
-                    same = code[np.clip(base[:, None] + j, 0, len(code) - 1)] == sign
-                    step = np.where(there, cost + ~same, far)
-                    step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-                    # A place outside the text cannot be reached.
-                    ends = (j + 1 >= 0) & (j + 1 <= size[:, None])
-                    cost = np.minimum.accumulate(np.where(ends, step, far) - diagonals, axis=1) + diagonals
-                    cost = np.where(ends, cost, far).astype(np.int32)
-                least = cost.argmin(axis=1)
-                best[part] = cost[np.arange(len(part)), least]
-                end[part] = start + least + len(pattern)
+        order = np.argsort(self.lengths[item], kind="stable")
+        for part in np.array_split(order, -(-len(order) // 2048)) if len(order) else []:
+            one, base, size = item[part], first[text[part]][:, None], np.diff(first)[text[part]][:, None]
+            edits, length = self.edits[one], self.lengths[one]
+            diagonals = np.arange(4 * int(edits.max()) + 2, dtype=np.int64)
+            start = (low[part] - edits)[:, None]
+            far = np.int64(1 << 20)
+            outside = diagonals >= (4 * edits + 2)[:, None]
+            place = start + diagonals
+            cost = np.where((place < 0) | (place > size) | outside, far, 0)
+            live = 0
+            for i in range(int(length.max())):
+                # Candidates are in order of length: those whose item has ended give their result and go.
+                stop = int(np.searchsorted(length, i, side="right"))
+                if stop > live:
+                    self._ended(cost[:stop - live], start[live:stop], length[live:stop], part[live:stop], best, end)
+                    cost, live = cost[stop - live:], stop
+                sign = self.code[self.first[one[live:]] + i][:, None]
+                j = start[live:] + diagonals + i
+                there = (j >= 0) & (j < size[live:])
+                same = code[np.clip(base[live:] + j, 0, len(code) - 1)] == sign
+                step = np.where(there, cost + ~same, far)
+                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+                # A place outside the text or the band cannot be reached.
+                barred = (j < -1) | (j >= size[live:]) | outside[live:]
+                step[barred] = far
+                cost = np.minimum.accumulate(step - diagonals, axis=1) + diagonals
+                cost[barred] = far
+            self._ended(cost, start[live:], length[live:], part[live:], best, end)
         return best, end
 
+    @staticmethod
+    def _ended(cost: np.ndarray, start: np.ndarray, length: np.ndarray, part: np.ndarray, best: np.ndarray, end: np.ndarray) -> None:
+        least = cost.argmin(axis=1)
+        best[part] = cost[np.arange(len(part)), least]
+        end[part] = start[:, 0] + least + length
+
     def found(self, texts: pa.Array) -> list[dict[int, tuple[int, int]]]:
         """For each text the items that it holds: edits and the end of the place, in characters."""
         code, first, _ = folded(texts)
         out: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(texts))]
-        text, item, low = self.candidates(code, first)
-        edits, end = self.aligned(code, first, text, item, low)
+        text, item, low, exact = self.candidates(code, first)
+        edits, end = np.zeros(len(text), dtype=np.int64), low + self.lengths[item]
+        edits[~exact], end[~exact] = self.aligned(code, first, text[~exact], item[~exact], low[~exact])
         for t, i, e, z in zip(text.tolist(), item.tolist(), edits.tolist(), end.tolist(), strict=True):
             if e <= self.edits[i] and (i not in out[t] or (e, z) < out[t][i]):
                 out[t][i] = (e, z)
         return out
 
 
+def _counted(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of the columns, sorted, and how often each occurs. The columns are packed into one number, which is sorted."""
+    if not len(columns[0]):
+        return [*columns, np.zeros(0, dtype=np.int64)]
+    lows = [int(c.min()) for c in columns]
+    spans = [int(c.max()) - low + 1 for c, low in zip(columns, lows, strict=True)]
+    room = 1
+    for span in spans:
+        room *= span
+    if room >= 2**62:
+        rows, counts = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+        return [*rows.T, counts]
+    key = np.zeros(len(columns[0]), dtype=np.int64)
+    for c, low, span in zip(columns, lows, spans, strict=True):
+        key = key * span + (c - low)
+    key, counts = np.unique(key, return_counts=True)
+    out = []
+    for low, span in zip(reversed(lows), reversed(spans), strict=True):
+        out.append(key % span + low)
+        key = key // span
+    return [*reversed(out), counts]
+
+
 def blocks_of(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
     """Items in blocks of about `block_chars` characters; the driver holds one block. Null texts and null ids are left out."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
