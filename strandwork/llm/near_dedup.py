@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = stored(open_.select("key", "node", "label", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "near-open")
     rows_open = open_.count()
     if rows_open:
-        coarse = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_open // 20_000))
+        coarse = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_open // 5_000))
         task = F.pmod(F.xxhash64("key", "p", "q"), F.lit(coarse)).alias("task")
         sketches = nodes.select("node", "n", "a", "b")
         cells = open_.join(sketches, "node").select(task, "key", "p", "q", "node", "label", "n", "a", "b")
