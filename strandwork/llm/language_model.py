@@ -1,11 +1,11 @@
 """Gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, state carried through whole documents.
 
 The network knows the end mark and the most frequent training words, in classes of equal size; all other words form one more class, in which
-a word has its add-one share of the corpus counts. Counts cover every training document and are joined by Spark; only the network weights are fitted on a bounded sample.
+a word has its add-one share of the corpus counts. Counts cover every training document and are joined by Spark. The network is fitted on every training document too: in each
+round all tasks go on from the same weights over documents of their own, and Spark averages the weights by token count.
 """
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, pieces, stored, word_bounds, word_hashes
+from .bpe import binary
+from .common import U64, flat, mixed, pieces, stored, word_bounds, word_hashes
+
+#: Tokens of one row of the training table, and of the stream that is laid out in lanes at a time.
+_PIECE, _STREAM = 1 << 16, 1 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,7 +106,7 @@ class Network:
             grads["w"][k], grads["wb"][k] = flat_states[own].T @ prob, prob.sum(axis=0)
             back[own] += prob @ p["w"][k].T
         back = back.reshape(steps, lanes, n)
-        ahead = np.zeros((lanes, n), dtype=h.dtype)
+        ahead, outers = np.zeros((lanes, n), dtype=h.dtype), np.zeros((steps, lanes, 3 * n), dtype=h.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, new, bn = kept[t]
             dh = back[t] + ahead
@@ -110,9 +114,13 @@ class Network:
             dz, dr = dh * (before - new) * z * (1 - z), dn * bn * r * (1 - r)
             outer = np.concatenate([dz, dr, dn], axis=1)
             inner = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grads["g"], inputs[t], outer)
+            outers[t] = outer
             grads["u"] += before.T @ inner
             ahead = (dh * z + inner @ p["u"].T) * ~fresh[t][:, None]
+        used = inputs.ravel()
+        order = np.argsort(used, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], used[order][1:] != used[order][:-1])))
+        grads["g"][used[order[begin]]] = np.add.reduceat(outers.reshape(-1, 3 * n)[order], begin, axis=0)
         return grads, h, float(loss / len(rows))
 
     @staticmethod
@@ -120,34 +128,40 @@ class Network:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def train(self, tokens: np.ndarray, lanes: int = 32, window: int = 32, updates: int = 800, rate: float = 0.01) -> list[float]:
-        """Adam over windows of a stream of documents cut into lanes; the state of a lane goes on from window to window. A small stream is passed over
-        again until there were about `updates` windows."""
-        lanes = max(1, min(lanes, len(tokens) // (8 * window)))
-        length = len(tokens) // lanes
-        if length < 2:
-            return []
-        targets = tokens[:length * lanes].reshape(lanes, length).T
-        inputs = np.concatenate([np.full((1, lanes), self.known + 1), np.where(targets[:-1] == 0, self.known + 1, targets[:-1])])
-        fresh = inputs == self.known + 1
+    def train(self, tokens: np.ndarray, lanes: int = 128, window: int = 32, updates: int = 200, rate: float = 0.01, begin: float = 0.0, end: float = 1.0) -> list[float]:
+        """Adam over windows of a stream of documents cut into lanes; the state of a lane goes on from window to window. A small stream has fewer lanes and
+        is passed over again, until there were about `updates` windows. The rate falls with the share of all training done, from `begin` to `end` here.
+
+        Long streams are laid out piece by piece; tokens that do not fill the lanes follow in one lane, so every token is a target.
+        """
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        lanes = max(1, min(lanes, len(tokens) // (updates * window)))
+        windows = sum(-(-(min(a + _STREAM, len(tokens)) - a) // (lanes * window)) for a in range(0, len(tokens), _STREAM))
+        passes = max(1, round(updates / max(windows, 1)))
+        before = np.concatenate(([self.known + 1], tokens[:-1]))
+        before[before == 0] = self.known + 1
         t, losses = 0, []
-        windows = -(-length // window)
-        passes = max(1, round(updates / windows))
-        total = passes * windows
         for _ in range(passes):
-            h = np.zeros((lanes, self.hidden), dtype=np.float32)
-            for a in range(0, length, window):
-                grads, h, loss = self.gradients(h, inputs[a:a + window], targets[a:a + window], fresh[a:a + window])
-                losses.append(loss)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                t += 1
-                now = rate * (1 - 0.9 * t / total)
-                for k, g in grads.items():
-                    g *= min(1.0, 1 / (norm + 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)
+            for a in range(0, len(tokens), _STREAM):
+                size = min(_STREAM, len(tokens) - a)
+                length = size // lanes
+                cuts = [(a, lanes, length), (a + lanes * length, 1, size - lanes * length)]
+                for at, wide, long in cuts:
+                    targets, inputs = (x[at:at + wide * long].reshape(wide, long).T for x in (tokens, before))
+                    fresh = inputs == self.known + 1
+                    h = np.zeros((wide, self.hidden), dtype=np.float32)
+                    for w in range(0, long, window):
+                        grads, h, loss = self.gradients(h, inputs[w:w + window], targets[w:w + window], fresh[w:w + window])
+                        losses.append(loss)
+                        part = min(window, long - w) * wide / (lanes * window)
+                        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                        t += 1
+                        now = part * rate * (1 - 0.9 * (begin + (end - begin) * min(1.0, t / (passes * windows))))
+                        for k, g in grads.items():
+                            g *= min(1.0, 1 / (norm + 1e-9))
+                            m[k] = 0.9 * m[k] + 0.1 * g
+                            v[k] = 0.999 * v[k] + 0.001 * g * g
+                            self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)
         return losses
 
     def score(self, tokens: np.ndarray, first: np.ndarray, lanes: int = 512, window: int = 64) -> np.ndarray:
@@ -237,13 +251,74 @@ class Vocabulary:
         return out, np.concatenate(([0], ends))
 
 
-def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidden: int = 32, listed: int = 1 << 17, sample_docs: int = 2000, sample_words: int = 800_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _encode(words: Vocabulary, tasks: int, rounds: int, kind: str):
+    """Tokens of each document in pieces of at most _PIECE, dealt over rounds and tasks by the document's key and the number of the piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1, 4 << 20):
+                tokens, begins = words.token_ids(*_tokens(part.column(1)))
+                counts = -(-np.diff(begins) // _PIECE)
+                row = np.repeat(np.arange(part.num_rows), counts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                cuts = np.append(begins[row] + piece * _PIECE, len(tokens))
+                key = part.column(0).to_numpy()[row]
+                dealt = mixed(mixed(key.view(U64)) + piece.astype(U64))
+                task, share = dealt % U64(tasks), dealt // U64(tasks) % U64(rounds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(share.astype(np.int32)), pa.array(task.astype(np.int32)), pa.array(key), pa.array(piece.astype(np.int32)), binary(tokens.astype(kind), np.dtype(kind).itemsize * cuts)],
+                    ["share", "task", "key", "piece", "tokens"])
+
+    return run
+
+
+def _fitted(training: DataFrame, words: Vocabulary, start: Network, total: int, rounds: int, task_tokens: int, blocks: int = 64) -> dict[str, np.ndarray]:
+    """Weights after `rounds` rounds of training in tasks and averaging. Weights travel in `blocks` rows for each task, so no task gathers all of them."""
+    names, kind = list(start.p), "<u2" if start.known + 2 <= 1 << 16 else "<u4"
+    tasks = max(1, round(total / task_tokens))
+    rows = training.select(F.xxhash64("by_", F.coalesce("text_", F.lit(""))).alias("key"), "text_")
+    coded = stored(rows.mapInArrow(_encode(words, tasks, rounds, kind), "share int, task int, key long, piece int, tokens binary"), "train-tokens")
+    flattened = np.concatenate([start.p[k].ravel() for k in names])
+    shapes = [start.p[k].shape for k in names]
+    ends = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+
+    def network(values: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: values[a:b].reshape(s).copy() for k, a, b, s in zip(names, ends[:-1], ends[1:], shapes, strict=True)}
+
+    def average(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        order = np.lexsort((table.column("task").to_numpy(), n))
+        parts = table.column("weights")
+        values = sum(np.frombuffer(parts[int(i)].as_py(), dtype="<f4").astype(np.float64) * n[i] for i in order) / n.sum()
+        return pa.table({"block": table.column("block").slice(0, 1), "weights": pa.array([values.astype("<f4").tobytes()], pa.binary())})
+
+    def trainer(now: np.ndarray, k: int):
+        def train(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("key", "ascending"), ("piece", "ascending")])
+            tokens = np.frombuffer(b"".join(x.as_py() for x in table.column("tokens")), dtype=kind).astype(np.int64)
+            net = Network(start.known, start.classes, start.hidden)
+            net.p = network(now)
+            net.train(tokens, begin=k / rounds, end=(k + 1) / rounds)
+            out = np.array_split(np.concatenate([net.p[x].ravel() for x in names]).astype("<f4"), blocks)
+            return pa.table({"block": pa.array(range(blocks), pa.int32()), "task": pa.array([table.column("task")[0].as_py()] * blocks, pa.int32()), "n": pa.array([len(tokens)] * blocks), "weights": pa.array([x.tobytes() for x in out], pa.binary())})
+
+        return train
+
+    for k in range(rounds):
+        trained = coded.where(F.col("share") == k).groupBy("task").applyInArrow(trainer(flattened, k), "block int, task int, n long, weights binary")
+        found = trained.groupBy("block").applyInArrow(average, "block int, weights binary").collect()
+        if found:
+            flattened = np.concatenate([np.frombuffer(bytes(r[1]), dtype="<f4") for r in sorted(found, key=lambda r: r[0])])
+    return network(flattened)
+
+
+def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidden: int = 32, listed: int = 1 << 17, sample_docs: int | None = None, rounds: int = 4, task_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """log10 probability of every whole document by an add-one unigram model (`base_score`) and by the network (`score`).
 
     Training documents are those whose crc32(id as text) mod 7 is not 2; a null id counts as an empty one. Tokens are words (runs of other than ASCII white space, A-Z
     lower-cased) and one end. Counts cover all training documents. `listed` bounds the word list that tasks hold (the most frequent words); counts of
-    other words are joined. The network is fitted on the training documents with the smallest hash of the id, `sample_docs` of them and, in that order, whole documents of at most
-    `sample_words` words together. A null text is empty: its only token is the end. Without training documents both scores are those of one unknown token after another.
+    other words are joined. The network is fitted on all training documents, or, where `sample_docs` is given, on that many with the smallest hash of the id. They are cut
+    into `rounds` shares, which all together use each document once; in a round about one task for each `task_tokens` training tokens goes on from the common weights, which are
+    then averaged by token count. A null text is empty: its only token is the end. Without training documents both scores are those of one unknown token after another.
     Returns one row per input row: the id column, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`. Other columns are not carried.
     """
     out_kind = docs.schema[id_col].dataType.simpleString()
@@ -262,32 +337,16 @@ def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidde
     bottom = np.log10(total + kinds + 1)
     other_bottom = np.log10(other_tokens + other_kinds + 1)
 
-    def fitted(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("by_", "ascending"), ("id_", "ascending")])
-        parts, held = [], 0
-        for text in table.column("text_").combine_chunks().cast(pa.large_string()):
-            hashes, first = _tokens(pa.array([text.as_py()], pa.string()))
-            if held + len(hashes) > sample_words and held:
-                break
-            parts.append(words.token_ids(hashes, first)[0])
-            held += len(hashes)
-        net = Network(known, classes, hidden)
-        share = np.zeros(known)
-        share[0], share[1:1 + len(words.counts[:known - 1])] = ends, words.counts[:known - 1]
-        net.start_from_counts(share, other_tokens)
-        net.train(np.concatenate(parts))
-        out = io.BytesIO()
-        np.savez(out, **net.p)
-        return pa.table({"net": pa.array([out.getvalue()], pa.binary())})
-
-    sample = training.where("text_ IS NOT NULL").orderBy("by_", "id_").limit(sample_docs).select("id_", "by_", "text_")
-    found = sample.groupBy(F.lit(0).alias("one")).applyInArrow(fitted, "net binary").first()
-    weights = bytes(found[0]) if found else None
+    share = np.zeros(known)
+    share[0], share[1:1 + len(words.counts[:known - 1])] = ends, words.counts[:known - 1]
+    net = Network(known, classes, hidden)
+    net.start_from_counts(share, other_tokens)
+    weights = _fitted(training.orderBy("by_", "id_").limit(sample_docs) if sample_docs is not None else training, words, net, total, rounds, task_tokens) if ends else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(known, classes, hidden)
         if weights:
-            net.p = dict(np.load(io.BytesIO(weights)))
+            net.p = weights
         for batch in batches:
             for part in pieces(batch, 2, 4 << 20):
                 hashes, first = _tokens(part.column(2))

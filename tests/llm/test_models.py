@@ -183,3 +183,27 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
 def test_helpers_of_the_stages_agree():
     assert near_dedup.shingle_sets(pa.array(["A b", None, "a B"]), 5)[1].tolist() == [0, 1, 1, 2]
     assert decontaminate.folded(pa.array(["É\tx"]))[0].tolist() == [201, 32, 120]
+
+
+def trained_rows(monkeypatch, spark, rows, **options):
+    """The training table and the number of tokens that the network is given."""
+    held = []
+    plain = language_model.stored
+
+    def kept(df, name):
+        out = plain(df, name)
+        if name == "train-tokens":
+            held.append(out)
+        return out
+
+    monkeypatch.setattr(language_model, "stored", kept)
+    scores = language_model.score_documents(spark.createDataFrame(rows, DOCS), known=33, classes=4, hidden=8, **options).collect()
+    return held[0].collect(), scores
+
+
+def test_network_learns_from_all_training_documents(spark, monkeypatch):
+    rows = [(i, f"a{i % 7} b c", "", "", 8) for i in range(3000)]
+    coded, scores = trained_rows(monkeypatch, spark, rows, task_tokens=3000)
+    n = sum(zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows)
+    assert n > 2000 and len(coded) == n and sum(len(r.tokens) // 2 for r in coded) == 4 * n == scores[0].train_tokens
+    assert {r.share for r in coded} == set(range(4)) and len({r.task for r in coded}) == 3
