@@ -185,8 +185,12 @@ def test_helpers_of_the_stages_agree():
     assert decontaminate.folded(pa.array(["É\tx"]))[0].tolist() == [201, 32, 120]
 
 
-def trained_rows(monkeypatch, spark, rows, **options):
-    """The training table and the number of tokens that the network is given."""
+class Enough(Exception):
+    pass
+
+
+def trained_rows(monkeypatch, spark, rows, only_table=False, **options):
+    """The table that the network is trained on, and the scores."""
     held = []
     plain = language_model.stored
 
@@ -194,10 +198,17 @@ def trained_rows(monkeypatch, spark, rows, **options):
         out = plain(df, name)
         if name == "train-tokens":
             held.append(out)
+            if only_table:
+                raise Enough
         return out
 
     monkeypatch.setattr(language_model, "stored", kept)
-    scores = language_model.score_documents(spark.createDataFrame(rows, DOCS), known=33, classes=4, hidden=8, **options).collect()
+    frame = spark.createDataFrame(rows, DOCS)
+    if only_table:
+        with pytest.raises(Enough):
+            language_model.score_documents(frame, known=33, classes=4, hidden=8, **options)
+        return held[0].collect(), []
+    scores = language_model.score_documents(frame, known=33, classes=4, hidden=8, **options).collect()
     return held[0].collect(), scores
 
 
@@ -207,3 +218,13 @@ def test_network_learns_from_all_training_documents(spark, monkeypatch):
     n = sum(zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows)
     assert n > 2000 and len(coded) == n and sum(len(r.tokens) // 2 for r in coded) == 4 * n == scores[0].train_tokens
     assert {r.share for r in coded} == set(range(4)) and len({r.task for r in coded}) == 3
+
+
+def test_a_long_document_does_not_end_training(spark, monkeypatch):
+    """Wherever it comes in hash order, a document of 900,000 words is trained on in pieces, and all others are too."""
+    rows = [(i, f"a{i % 7} b c", "", "", 8) for i in range(40)]
+    n = sum(zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows)
+    long = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 != 2)
+    coded, _ = trained_rows(monkeypatch, spark, [*rows, (long, "w " * 900_000, "", "", 0)], only_table=True, task_tokens=100_000)
+    assert sum(len(r.tokens) // 2 for r in coded) == 4 * n + 900_001
+    assert max(len(r.tokens) for r in coded) <= 2 * (1 << 16) and len({(r.share, r.task) for r in coded if r.piece}) > 4
