@@ -1,7 +1,7 @@
 """Gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, state carried through whole documents.
 
-The network knows the end mark and the most frequent training words, in classes of equal size; all other words form one more class, in which
-a word has its add-one share of the corpus counts. Counts cover every training document and are joined by Spark. The network is fitted on every training document too: in each
+The network knows the end mark and the most frequent training words each by itself, and the rest of the word list in groups of equal count mass: a group has an input and an
+output vector like a word, and a word has its add-one share of its group. Words outside the list form one more class, in which a word has its add-one share of the corpus counts. Counts cover every training document and are joined by Spark. The network is fitted on every training document too: in each
 round all tasks go on from the same weights over documents of their own, and Spark averages the weights by token count.
 """
 from __future__ import annotations
@@ -224,12 +224,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """The most frequent words, by hash: those the network knows come first by count, and counts of all of them."""
+    """The most frequent words, by hash, and their counts: those with a token of their own come first by count, the others share `groups` tokens.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, known: int):
+    Tokens are 0 for the end, 1 to `known` - 1 for single words, then the groups, and `others` for words outside the list.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, known: int, groups: int):
         self.order = np.argsort(words, kind="stable")
         self.sorted, self.counts = words[self.order], counts
-        self.known = known
+        self.others = known + groups
+        single, mass = np.arange(1, min(known, len(counts) + 1)), counts[known - 1:] + 1.0
+        middle = np.cumsum(mass) - mass / 2
+        group = np.minimum((middle * groups / max(mass.sum(), 1)).astype(np.int64), groups - 1)
+        self.token = np.concatenate((single, known + group))
+        #: Sum of counts of each token of listed words, with one more for each word of a group, and none for the end.
+        self.mass = np.bincount(self.token, weights=np.concatenate((counts[:known - 1], mass)), minlength=self.others)
+        # A word of a group has (its count + 1) / mass of it; the log10 of that divisor.
+        self.off = np.where(np.arange(self.others) < known, 0, np.log10(np.maximum(self.mass, 1)))
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each word in the list (0 the most frequent), or -1; and its count."""
@@ -242,7 +253,7 @@ class Vocabulary:
     def token_ids(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the network, an end mark behind each text, and the first token of each text."""
         rank, _ = self.find(words)
-        ids = np.where((rank >= 0) & (rank < self.known - 1), rank + 1, self.known)
+        ids = np.where(rank >= 0, self.token[rank], self.others) if len(self.token) else np.full(len(rank), self.others)
         ends = first[1:] + np.arange(1, len(first))
         out = np.zeros(len(words) + len(first) - 1, dtype=np.int64)
         keep = np.ones(len(out), dtype=bool)
@@ -311,12 +322,12 @@ def _fitted(training: DataFrame, words: Vocabulary, start: Network, total: int,
     return network(flattened)
 
 
-def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidden: int = 32, listed: int = 1 << 17, sample_docs: int | None = None, rounds: int = 4, task_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, known: int = 1024, groups: int = 1024, classes: int = 32, hidden: int = 32, listed: int = 1 << 17, sample_docs: int | None = None, rounds: int = 4, task_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """log10 probability of every whole document by an add-one unigram model (`base_score`) and by the network (`score`).
 
     Training documents are those whose crc32(id as text) mod 7 is not 2; a null id counts as an empty one. Tokens are words (runs of other than ASCII white space, A-Z
     lower-cased) and one end. Counts cover all training documents. `listed` bounds the word list that tasks hold (the most frequent words); counts of
-    other words are joined. The network is fitted on all training documents, or, where `sample_docs` is given, on that many with the smallest hash of the id. They are cut
+    other words are joined. The network has a token for each of the `known` - 1 most frequent words and `groups` tokens for the other listed ones. The network is fitted on all training documents, or, where `sample_docs` is given, on that many with the smallest hash of the id. They are cut
     into `rounds` shares, which all together use each document once; in a round about one task for each `task_tokens` training tokens goes on from the common weights, which are
     then averaged by token count. A null text is empty: its only token is the end. Without training documents both scores are those of one unknown token after another.
     Returns one row per input row: the id column, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`. Other columns are not carried.
@@ -331,20 +342,19 @@ def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidde
     total, kinds = n_words + ends, n_kinds + (ends > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(listed).collect()
     top.sort(key=lambda r: (-r[1], r[0]))
-    words = Vocabulary(np.array([r[0] for r in top], dtype=np.int64).view(U64), np.array([r[1] for r in top], dtype=np.int64), known)
-    in_network = int(words.counts[:known - 1].sum())
-    other_tokens, other_kinds = n_words - in_network, n_kinds - min(known - 1, len(top))
+    words = Vocabulary(np.array([r[0] for r in top], dtype=np.int64).view(U64), np.array([r[1] for r in top], dtype=np.int64), known, groups)
+    other_tokens, other_kinds = n_words - int(words.counts.sum()), n_kinds - len(top)
     bottom = np.log10(total + kinds + 1)
     other_bottom = np.log10(other_tokens + other_kinds + 1)
 
-    share = np.zeros(known)
-    share[0], share[1:1 + len(words.counts[:known - 1])] = ends, words.counts[:known - 1]
-    net = Network(known, classes, hidden)
+    share = words.mass - (np.arange(words.others) >= known)
+    share[0] = ends
+    net = Network(words.others, classes, hidden)
     net.start_from_counts(share, other_tokens)
     weights = _fitted(training.orderBy("by_", "id_").limit(sample_docs) if sample_docs is not None else training, words, net, total, rounds, task_tokens) if ends else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(known, classes, hidden)
+        net = Network(words.others, classes, hidden)
         if weights:
             net.p = weights
         for batch in batches:
@@ -357,11 +367,10 @@ def score_documents(docs: DataFrame, known: int = 1024, classes: int = 32, hidde
                 logs = np.log10(count + 1.0)
                 base = np.bincount(of, weights=logs, minlength=n) + np.log10(ends + 1)
                 tokens, begins = words.token_ids(hashes, first)
-                other = rank < 0
-                other |= rank >= known - 1
+                other = rank >= known - 1
                 if weights:
                     model = np.add.reduceat(net.score(tokens, begins), begins[:-1]) / np.log(10) if n else np.zeros(0)
-                    model = model + np.bincount(of[other], weights=logs[other] - other_bottom, minlength=n)
+                    model = model + np.bincount(of[other], weights=logs[other] - words.off[words.token[rank[other]]], minlength=n) - np.bincount(of[~seen], minlength=n) * other_bottom
                 else:
                     model = base - (np.diff(first) + 1) * bottom
                 far = np.flatnonzero(~seen)

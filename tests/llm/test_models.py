@@ -228,3 +228,19 @@ def test_a_long_document_does_not_end_training(spark, monkeypatch):
     coded, _ = trained_rows(monkeypatch, spark, [*rows, (long, "w " * 900_000, "", "", 0)], only_table=True, task_tokens=100_000)
     assert sum(len(r.tokens) // 2 for r in coded) == 4 * n + 900_001
     assert max(len(r.tokens) for r in coded) <= 2 * (1 << 16) and len({(r.share, r.task) for r in coded if r.piece}) > 4
+
+
+def test_words_beyond_the_most_frequent_have_context(spark):
+    """Words that have no token of their own are still told apart by what precedes them, and the words of a group share its probability."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        k = rng.randrange(40)
+        rows.append((i, " ".join(f"r{(k + j) % 40}" for j in range(60)), "", "", 0))
+    got = [r for r in language_model.score_documents(spark.createDataFrame(rows, DOCS), known=4, classes=8, hidden=16).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) > 0.5 * sum(r.n_tokens for r in got)
+    counts = np.sort(np.random.default_rng(1).integers(1, 500, 300))[::-1]
+    words_ = language_model.Vocabulary(np.arange(300).astype(U64), counts, known=21, groups=16)
+    rare = words_.token[20:]
+    shares = np.bincount(rare, weights=(counts[20:] + 1) / 10**words_.off[rare])[21:]
+    assert shares == pytest.approx(np.ones(16)) and words_.mass[21:].max() < 1.5 * words_.mass[21:].min()
