@@ -24,16 +24,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
 
-    Rows without id stay, as do texts without words; of rows that repeat an id one stays, the first by its text.
+    Rows without id stay, as do texts without words. Rows that repeat an id are judged by their own texts; of those that are near copies of each other the first by
+    its text stays.
     """
-    found = stored(near_dedup.near_duplicates(docs, size=5, percent=80), "stage-near")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return left
-    ranked = left.join(twice, "doc_id").withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source")))
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).union(ranked.where("rank_ = 1").select(docs.columns))
+    found = stored(near_dedup.near_duplicates(docs, size=5, percent=80, tell_texts=True), "stage-near")
+    row = ["doc_id", "text_key"]
+    gone = found.where("NOT kept").select(row).distinct()
+    left = docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string"))).join(gone, row, "left_anti")
+    shared = found.where("kept AND component IS NOT NULL").groupBy("doc_id", "component").count().where("count > 1").select("doc_id", "component")
+    if shared.isEmpty():
+        return left.select(docs.columns)
+    twice = stored(found.join(shared, ["doc_id", "component"]).select(*row, "component").distinct(), "stage-near-twice")
+    ranked = left.join(twice, row).withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id", "component").orderBy("text", "source")))
+    return left.join(twice, row, "left_anti").select(docs.columns).union(ranked.where("rank_ = 1").select(docs.columns))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def _print(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one.view(np.int64), np.bitwise_xor.reduceat(mixed(values + U64(13)), begins).view(np.int64)
 
 
-def _signatures(size: int, m: int, r: int, seed: int = 5):
+def _signatures(size: int, m: int, r: int, extra: list[str], seed: int = 5):
     rng = np.random.default_rng(seed)
     factors = rng.integers(1, 2**63, 2 * m * r, dtype=np.uint64) * U64(2) + U64(1)
     terms = rng.integers(0, 2**63, 2 * m * r, dtype=np.uint64)
@@ -74,8 +74,8 @@ def _signatures(size: int, m: int, r: int, seed: int = 5):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts), pa.array(prints[0]), pa.array(prints[1]),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(flatten[:, :m].ravel())),
-                     pa.ListArray.from_arrays(pa.array(lists), pa.array(flatten[:, m:].ravel()))],
-                    ["id", "n", "f1", "f2", "a", "b"])
+                     pa.ListArray.from_arrays(pa.array(lists), pa.array(flatten[:, m:].ravel())), *part.columns[2:]],
+                    ["id", "n", "f1", "f2", "a", "b", *extra])
 
     return run
 
@@ -183,7 +183,7 @@ def _linked(m: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, m: int = 11, r: int = 2, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, m: int = 11, r: int = 2, block: int = 2048, tell_texts: bool = False) -> DataFrame:
     """Link documents whose sets of distinct `size`-word shingles have 100 * common >= `percent` * union.
 
     Words are runs of other than ASCII white space, with A-Z lower-cased; a text of fewer words is one shingle; one without words or a
@@ -191,18 +191,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `component_id` (smallest id reachable) and `kept`. Rows that repeat an id are linked by their own texts. A row without id takes no
     part: its component and `kept` are null. Other columns are not carried. Sets are held as 64-bit shingle hashes.
 
+    With `tell_texts` there are two more columns: `text_key`, the xxhash64 of the text, and `component`, which tells components of one `component_id`
+    apart (an id with several texts can be the smallest of several components); it is null for rows that are linked with nothing.
+
     Every pair that shares a key is either confirmed on full sets or joined by confirmed links of others. The chance that a pair at exactly
     the threshold shares no key is 2 * (1 - s^r)^m, 1.5e-5 for the defaults, and falls fast above it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    kinds = "id long, n long, f1 long, f2 long, a array<long>, b array<long>"
-    signed = stored(rows.mapInArrow(_signatures(size, m, r), kinds), "near-signatures")
+    kinds, extra = "id long, n long, f1 long, f2 long, a array<long>, b array<long>", ["text_key"] if tell_texts else []
+    keyed = rows.select("*", *(F.xxhash64("text").alias(c) for c in extra))
+    signed = stored(keyed.mapInArrow(_signatures(size, m, r, extra), ", ".join([kinds, *(f"{c} long" for c in extra)])), "near-signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     # A class is named by its smallest id; if an id has several texts, by a negative name of its own.
     again = F.row_number().over(Window.partitionBy("rep").orderBy("f1", "f2")) > 1
     classes = classes.withColumn("node", F.when(again, -F.shiftrightunsigned(F.xxhash64("f1", "f2"), 1) - 1).otherwise(F.col("rep")))
-    members = stored(signed.join(classes, ["f1", "f2", "n"]).where("id IS NOT NULL").select("id", "node", "rep", "n", "f1", "a", "b"), "near-members")
+    members = stored(signed.join(classes, ["f1", "f2", "n"]).where("id IS NOT NULL").select("id", "node", "rep", "n", "f1", "a", "b", *extra), "near-members")
     nodes = members.where("id = rep").dropDuplicates(["node"])
     keys = nodes.select("node", "b", F.explode("a").alias("x")).select("node", "x", F.explode("b").alias("y")).select("node", F.xxhash64("x", "y").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("count")).where("count > 1").select("key", "head")
@@ -242,7 +246,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             found = components(more.union(found.toDF("a", "b")), "near-components")
     named = found.join(sizes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = found.join(named, "component").select("node", "component_id")
-    placed = members.select("id", "n", "rep", "node").join(final, "node", "left").select("id", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    alone = signed.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return placed.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    final = found.join(named, "component").select("node", "component_id", "component")
+    apart = [F.coalesce("component", "node").alias("component")] if tell_texts else []
+    placed = members.select("id", "n", "rep", "node", *extra).join(final, "node", "left").select("id", "n", F.coalesce("component_id", "rep").alias("component_id"), *extra, *apart)
+    alone = signed.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"), *extra, *([F.lit(None).cast("long").alias("component")] if tell_texts else []))
+    names = [*extra, "component"] if tell_texts else []
+    return placed.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"), *names)

@@ -244,3 +244,13 @@ def test_words_beyond_the_most_frequent_have_context(spark):
     rare = words_.token[20:]
     shares = np.bincount(rare, weights=(counts[20:] + 1) / 10**words_.off[rare])[21:]
     assert shares == pytest.approx(np.ones(16)) and words_.mass[21:].max() < 1.5 * words_.mass[21:].min()
+
+
+def test_near_dedup_judges_texts_of_one_id_apart(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join(f"p{rng.randrange(900)}" for _ in range(60))
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (4, e), (4, e + " more"), (4, e), (4, f), (5, None), (5, ""), (5, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], DOCS)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    assert got == collections.Counter([(1, a), (2, b), (3, c), (3, d), (4, e), (4, f), (5, None), (5, ""), (5, ""), (None, a)])
