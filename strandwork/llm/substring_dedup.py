@@ -8,7 +8,7 @@ compacted to one row with both coordinates; a Spark join brings the rows of a do
 continue each other become one long span.
 
 Each task combines before it sends: of equal windows in a batch only the first document's goes out, so a passage in a third of all documents costs one
-entry per batch.
+entry per batch. If that document's id has several texts, each text sends its own.
 """
 from __future__ import annotations
 
@@ -116,9 +116,9 @@ def _spans(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, src_doc: np.ndarra
     return [doc[begin], tag[begin], pos[begin], np.diff(np.append(begin, len(pos))), src_doc[begin], src_pos[begin]]
 
 
-def _first_owner(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by window, document and place, and for each place in that order the first of its window."""
-    order = np.lexsort((pos, doc, hashes))
+def _first_owner(hashes: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by window, document, text and place, and for each place in that order the first of its window."""
+    order = np.lexsort((pos, tag, doc, hashes))
     groups = _edges(hashes[order])
     return order, np.repeat(groups, np.diff(np.append(groups, len(order))))
 
@@ -134,13 +134,14 @@ def _send_windows(k: int, gram: int, buckets: int):
                 named = lambda a, r: mixed(a ^ (r.astype(U64) * U64(0x9E3779B97F4A7C15)))
                 keep = np.isin(named(anchors, row), named(np.ascontiguousarray(lists.flatten().to_numpy()).view(U64), wanted))
                 hashes, anchors, row, pos = hashes[keep], anchors[keep], row[keep], pos[keep]
-                doc = ids[row]
-                order, owner = _first_owner(hashes, doc, pos)
+                doc, tag = ids[row], tags[row]
+                order, owner = _first_owner(hashes, doc, tag, pos)
                 first = order[owner]
                 told = np.flatnonzero(doc[order] > doc[first])
-                spans = _spans(doc[order[told]], tags[row[order[told]]], pos[order[told]], doc[first[told]], pos[first[told]])
-                # The first of each window goes out, in runs of one anchor.
-                own = np.sort(order[owner == np.arange(len(order))])
+                spans = _spans(doc[order[told]], tag[order[told]], pos[order[told]], doc[first[told]], pos[first[told]])
+                # The first of each window in each text of its smallest id goes out, in runs of one anchor.
+                each = _edges(hashes[order], doc[order], tag[order])
+                own = np.sort(order[each[doc[order[each]] == doc[first[each]]]])
                 begin = _edges(row[own], pos[own] - np.arange(len(own)), anchors[own])
                 lengths = np.diff(np.append(begin, len(own)))
                 bucket = (anchors[own[begin]] % U64(buckets)).astype(np.int64)
@@ -168,7 +169,7 @@ def _match_windows(table: pa.Table) -> pa.Table:
     hashes = _read(table, "hashes", "<u8")
     doc, tag, pos = (np.repeat(_read(table, c, kind).astype(np.int64), lengths) for c, kind in (("docs", "<i8"), ("tags", "<u4"), ("places", "<i4")))
     pos = pos + np.arange(len(pos)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order, owner = _first_owner(hashes, doc, pos)
+    order, owner = _first_owner(hashes, doc, tag, pos)
     told = np.flatnonzero(doc[order] > doc[order[owner]])
     at, first = order[told], order[owner[told]]
     spans = _spans(doc[at], tag[at], pos[at], doc[first], pos[first])

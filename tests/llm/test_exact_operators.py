@@ -337,3 +337,18 @@ def test_mined_rules_equal_brute_force(spark):
 def test_hash_of_ids_is_little_endian(spark):
     row = bpe.encode(table(spark, [(1, "hello")]), RANKS).selectExpr("sha2(ids, 256) AS h", "ids").first()
     assert row.h == hashlib.sha256(np.frombuffer(row.ids, "<u4").astype("<u4").tobytes()).hexdigest()
+
+
+def test_each_text_of_an_id_sends_its_windows():
+    """Two texts of id 10 share a passage in one batch; the smaller id that has it is in another batch."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    batches = []
+    for rows in ([(10, 1, passage + " x"), (10, 2, "y z " + passage)], [(5, 3, passage)]):
+        texts = pa.array([t for _, _, t in rows])
+        lists = []
+        for t in texts:
+            lists.append(np.unique(substring_dedup._windows(pa.array([t]), 13, 4)[1]).view(np.int64).tolist())
+        batches.append(pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows]), pa.array([t for _, t, _ in rows]), texts, pa.array(lists, pa.list_(pa.int64()))], ["doc", "tag", "text", "anchors"]))
+    sent = pa.Table.from_batches(list(substring_dedup._send_windows(13, 4, 1)(iter(batches))))
+    got = sorted((r["doc"], r["tag"], r["pos"], r["len"], r["src_doc"], r["src_pos"]) for r in substring_dedup._match_windows(sent).to_pylist())
+    assert got == [(10, 1, 0, 8, 5, 0), (10, 2, 2, 8, 5, 0)]
