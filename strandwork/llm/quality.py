@@ -1,6 +1,7 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other, then calibrated views are combined.
 
-Both views are logistic models in numpy, fitted on a bounded sample of labelled and unlabelled documents; every document is scored.
+Both views are logistic models in numpy, fitted on a bounded sample of labelled documents, drawn for each class, and on the unlabelled ones that the views are most
+sure of, chosen by Spark from all of them; every document is scored.
 The text view has the presence of telling words and shape measures; the metadata view has language, source and length.
 """
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, mixed, pieces, word_bounds, word_hashes
+from .common import U64, flat, mixed, pieces, stored, word_bounds, word_hashes
 
 _CLASSES = np.full(256, 6, dtype=np.int64)  # other signs
 _CLASSES[[9, 10, 11, 12, 13, 32]] = 0
@@ -104,11 +105,12 @@ def platt(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(w[0], 0.0), w[1]])
 
 
-def co_train(words: list[np.ndarray], shape: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, terms: int = 1500, rounds: int = 3, confident: float = 0.97, per_round: int = 300) -> dict[str, np.ndarray]:
+def co_train(words: list[np.ndarray], shape: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, terms: int = 1500, rounds: int = 3, confident: float = 0.97, per_round: int = 300, taught: np.ndarray | None = None, shift: float = 0.0) -> dict[str, np.ndarray]:
     """Fit both views. `y` is 1 (reject), 0 (keep) or -1 (unlabelled); rows with `held` serve for calibration only.
 
     In each round every view labels the unlabelled rows that it is `confident` of, at most `per_round` of each class, for the other view's
-    next fit. With fewer than ten labelled rows of a class there is no model and everything is kept.
+    next fit. With fewer than ten labelled rows of a class, in either part, there is no model and everything is kept. `taught` has labels that the views already
+have from each other, a row for each view, -1 for none. `shift` is the log-odds of the classes among all labels, less those among the rows here.
     """
     train = np.flatnonzero((y >= 0) & ~held)
     test = np.flatnonzero((y >= 0) & held)
@@ -124,11 +126,11 @@ def co_train(words: list[np.ndarray], shape: np.ndarray, meta: np.ndarray, y: np
     chosen = np.sort(known[np.argsort(-z, kind="stable")[:terms]])
     mean, spread = shape[train].mean(axis=0), shape[train].std(axis=0) + 1e-6
     x = np.concatenate([presence(np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words]), len(words), chosen), (shape - mean) / spread], axis=1).astype(np.float32)
-    views, labels = (x, meta), [np.where(held, -1, y), np.where(held, -1, y)]
+    views, labels = (x, meta), [np.where(y < 0, -1 if taught is None else taught[k], np.where(held, -1, y)) for k in (0, 1)]
     pool = np.flatnonzero(y < 0)
     for step in range(rounds + 1):
         weights = [fit_logistic(v[own >= 0], own[own >= 0].astype(np.float64)) for v, own in zip(views, labels, strict=True)]
-        scales = [platt(linear(v[test], w), y[test]) for v, w in zip(views, weights, strict=True)]
+        scales = [platt(linear(v[test], w), y[test]) + [0, shift] for v, w in zip(views, weights, strict=True)]
         if step == rounds or not len(pool):
             break
         for k in (0, 1):
@@ -138,7 +140,7 @@ def co_train(words: list[np.ndarray], shape: np.ndarray, meta: np.ndarray, y: np
                 labels[1 - k][pool[order[sure[order] >= confident]]] = value
         pool = pool[(labels[0][pool] < 0) | (labels[1][pool] < 0)]
     prior = y[train].mean()
-    return {"terms": chosen, "mean": mean, "spread": spread, "text": weights[0], "meta": weights[1], "text_scale": scales[0], "meta_scale": scales[1], "prior": np.array([np.log(prior / (1 - prior))])}
+    return {"terms": chosen, "mean": mean, "spread": spread, "text": weights[0], "meta": weights[1], "text_scale": scales[0], "meta_scale": scales[1], "prior": np.array([np.log(prior / (1 - prior)) + shift])}
 
 
 def presence(words: np.ndarray, of: np.ndarray, n: int, terms: np.ndarray) -> np.ndarray:
@@ -163,44 +165,86 @@ def judged(model: dict[str, np.ndarray], texts: pa.Array, lang: pa.Array, source
     return sigmoid(np.stack([text, meta, text + meta - model["prior"][0]], axis=1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8000, unlabelled_rows: int = 4000, id_col: str = "doc_id") -> dict[str, np.ndarray]:
-    """Co-train on at most `labelled_rows` labelled and `unlabelled_rows` other documents, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8000, rounds: int = 3, confident: float = 0.97, per_round: int = 300, id_col: str = "doc_id") -> dict[str, np.ndarray]:
+    """Co-train on at most `labelled_rows` labelled documents and the unlabelled ones that the views teach each other.
 
+    Of each class at most half of `labelled_rows` are taken, more if the other has fewer, the first by a hash of the id; calibration is corrected for it. In each
+    round all unlabelled documents are scored, and the `per_round` of each class that a view is surest of, and `confident`, are labelled for the other view.
     `labels` has the id column, `quality` and `toxic` (0 or 1); a document is to be rejected if quality is 0 or toxic is 1. Conflicting labels
     of an id reject it; rows whose labels are both null are unlabelled. One task fits the bounded sample; the model is under 1 MB.
     """
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0))
     named = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(bad.alias("y")).where("y IS NOT NULL")
-    rank = [F.xxhash64("id"), "id"]
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL")
-    with_label = named.join(ids, "id", "left_semi").orderBy(*rank).limit(labelled_rows)
-    without = ids.join(named, "id", "left_anti").distinct().orderBy(*rank).limit(unlabelled_rows).select("id", F.lit(-1).alias("y"))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")).join(with_label.union(without), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_columns(docs)).where("id IS NOT NULL")
+    rows = rows.select("id", F.xxhash64("text_", "lang_", "source_", "n_chars_").alias("key"), "text_", "lang_", "source_", "n_chars_")
+    known = stored(named.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi").select("id", "y"), "quality-labels")
+    count = dict(known.groupBy("y").count().collect())
+    if min(count.get(0, 0), count.get(1, 0)) < 10:
+        return {}
+    take = [min(count[y], max(labelled_rows // 2, labelled_rows - count[1 - y])) for y in (0, 1)]
+    shift = float(np.log(count[1] / count[0]) - np.log(take[1] / take[0]))
+    first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(take[y]) for y in (0, 1)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1):
-                words, of, shape = trimmed_words(part.column(1))
+            for part in pieces(batch, 2):
+                words, of, shape = trimmed_words(part.column(2))
                 cuts = np.searchsorted(of, np.arange(part.num_rows + 1))
                 own = [np.unique(words[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(5), pa.array(own, pa.binary()), pa.array([s.tobytes() for s in shape], pa.binary()),
-                     pa.array([m.tobytes() for m in meta_features(part.column(2), part.column(3), part.column(4))], pa.binary())],
-                    ["id", "y", "words", "shape", "meta"])
-
-    def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("words", "ascending"), ("meta", "ascending")])
-        read = lambda c, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in table.column(c)]
-        ids = table.column("id").to_numpy()
-        held = mixed(ids.view(U64) + U64(17)) % U64(5) == U64(0)
-        model = co_train(read("words", "<u8"), np.stack(read("shape", "<f4")), np.stack(read("meta", "<i8")), table.column("y").to_numpy().astype(np.int64), held)
-        out = io.BytesIO()
-        np.savez(out, **model)
-        return pa.table({"model": pa.array([out.getvalue()], pa.binary())})
-
-    rows = sample.mapInArrow(features, "id long, y int, words binary, shape binary, meta binary")
-    fitted = rows.groupBy(F.lit(0).alias("one")).applyInArrow(train, "model binary").first()
-    return dict(np.load(io.BytesIO(bytes(fitted[0])))) if fitted else {}
+                    [part.column(0), part.column(1), part.column(6), pa.array(own, pa.binary()), pa.array([s.tobytes() for s in shape], pa.binary()),
+                     pa.array([m.tobytes() for m in meta_features(part.column(3), part.column(4), part.column(5))], pa.binary())],
+                    ["id", "key", "y", "words", "shape", "meta"])
+
+    def trainer(told: list[dict[tuple[int, int], int]]):
+        def train(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("id", "ascending"), ("words", "ascending"), ("meta", "ascending")])
+            read = lambda c, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in table.column(c)]
+            ids, y = table.column("id").to_numpy(), table.column("y").to_numpy().astype(np.int64)
+            held = mixed(ids.view(U64) + U64(17)) % U64(5) == U64(0)
+            names = list(zip(ids.tolist(), table.column("key").to_pylist(), strict=True))
+            taught = np.array([[t.get(name, -1) for name in names] for t in told])
+            model = co_train(read("words", "<u8"), np.stack(read("shape", "<f4")), np.stack(read("meta", "<i8")), y, held, rounds=0, taught=taught, shift=shift)
+            out = io.BytesIO()
+            np.savez(out, **model)
+            return pa.table({"model": pa.array([out.getvalue()], pa.binary())})
+
+        return train
+
+    def judge(model: dict[str, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, 2):
+                    p = judged(model, *(part.column(i) for i in range(2, 6)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p[:, 0]), pa.array(p[:, 1])], ["id", "key", "p0", "p1"])
+
+        return run
+
+    kinds = "id long, key long, y int, words binary, shape binary, meta binary"
+    sample = stored(rows.join(first[0].union(first[1]), "id").mapInArrow(features, kinds), "quality-sample")
+    told: list[dict[tuple[int, int], int]] = [{}, {}]
+    for step in range(rounds + 1):
+        model = sample.groupBy(F.lit(0).alias("one")).applyInArrow(trainer(told), "model binary").first()
+        model = dict(np.load(io.BytesIO(bytes(model[0]))))
+        if step == rounds or not model:
+            return model
+        sure = F.greatest("p0", 1 - F.col("p0"), "p1", 1 - F.col("p1")) >= confident
+        scored = stored(rows.mapInArrow(judge(model), "id long, key long, p0 double, p1 double").where(sure).join(known, "id", "left_anti").distinct(), "quality-scores")
+        new = set()
+        for k in (0, 1):
+            old = told[1 - k]
+            for value, p in ((1, F.col(f"p{k}")), (0, 1 - F.col(f"p{k}"))):
+                best = scored.where(p >= confident).orderBy(p.desc(), F.xxhash64("id"), "id", "key").limit(per_round + len(old)).select("id", "key").collect()
+                for name in [tuple(r) for r in best if tuple(r) not in old][:per_round]:
+                    new.add(name)
+                    old[name] = value
+        if not new:
+            return model
+        had = sample.where("y < 0").select("id", "key")
+        picked = rows.where(F.col("id").isin([i for i, _ in new]) & F.col("key").isin([key for _, key in new])).join(known, "id", "left_anti").dropDuplicates(["id", "key"]).join(had, ["id", "key"], "left_anti")
+        picked = picked.select("id", "key", "text_", "lang_", "source_", "n_chars_", F.lit(-1).alias("y"))
+        sample = sample.union(stored(picked.mapInArrow(features, kinds), "quality-taught"))
+    return {}
 
 
 def _columns(docs: DataFrame) -> list:

@@ -254,3 +254,31 @@ def test_near_dedup_judges_texts_of_one_id_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], DOCS)
     got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
     assert got == collections.Counter([(1, a), (2, b), (3, c), (3, d), (4, e), (4, f), (5, None), (5, ""), (5, ""), (None, a)])
+
+
+def test_rare_rejects_among_many_labels_are_learnt(spark):
+    """0.5 % of the labels reject: a sample by id alone would hold too few of them."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(12_000):
+        bad = i % 200 == 0
+        text = " ".join([f"w{rng.randrange(50)}" for _ in range(8)] + (["nastyword", "vileword"] if bad else []))
+        rows.append((i, text, "en", "src", len(text)))
+        labels.append((i, 1, int(bad)))
+    labels += [(12_000 + k, None, None) for k in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labelled_rows=600)
+    got = {r.doc_id: r.kept for r in quality.score(docs, model).collect()}
+    assert model and sum(not got[i] for i in range(0, 12_000, 200)) >= 55
+    assert sum(not k for i, k in got.items() if i % 200) <= 24
+
+
+def test_sure_rows_are_chosen_from_all_unlabelled_documents(spark, monkeypatch):
+    rows, labels = labelled_rows(6000, 5)
+    held = []
+    plain = quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: held.append((name, plain(df, name))) or held[-1][1])
+    model = quality.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels[:1000], "doc_id long, quality int, toxic int"))
+    scored = [df for name, df in held if name == "quality-scores"]
+    assert model and len(scored) == 3 and scored[0].count() > 4000 and scored[0].where("id < 1000").count() == 0
+    assert 300 <= sum(df.count() for name, df in held if name == "quality-taught") <= 3600
