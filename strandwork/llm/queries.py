@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, near_dedup, oracles, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
+from . import bpe, decontaminate, language_model, merkle, near_dedup, oracles, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
 from .common import table
 from .registry import query
 
@@ -81,3 +81,11 @@ def de_bruijn(spark, sf_dir):
 @query("op10_gated_recurrent")
 def gated_recurrent(spark, sf_dir):
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_slot_pivot", oracle=oracles.MANIFEST)
+def slot_pivot(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                           altered={"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return rows.drop("path")
