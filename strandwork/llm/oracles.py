@@ -97,3 +97,18 @@ SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, acc AS
 
 
 MANIFEST = _manifest()
+
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws FROM documents),
+g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS k, ws[i:i + {k - 1}] AS ph FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM p WHERE len(ws) >= {k})" for k in range(1, 6))}),
+f AS MATERIALIZED (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, ph, f AS a FROM f WHERE k >= 2),
+inner_ AS (SELECT lang, ph[i:i + m - 1] AS ph, max(a) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+cuts AS (SELECT lang, ph, a, unnest(range(1, k)) AS j, k FROM c),
+s AS (SELECT cuts.lang, cuts.ph, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts JOIN n USING (lang)
+  JOIN f x ON x.lang = cuts.lang AND x.ph = cuts.ph[1:j] JOIN f y ON y.lang = cuts.lang AND y.ph = cuts.ph[j + 1:cuts.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+z AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN inner_ i ON i.lang = b.lang AND i.ph = b.ph WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score FROM z
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""

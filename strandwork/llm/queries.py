@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, merkle, near_dedup, oracles, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
+from . import bpe, collocations, decontaminate, language_model, merkle, near_dedup, oracles, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
 from .common import table
 from .registry import query
 
@@ -89,3 +89,8 @@ def slot_pivot(spark, sf_dir):
     rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
                            altered={"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
     return rows.drop("path")
+
+
+@query("op12_collocations", oracle=oracles.COLLOCATIONS)
+def phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
