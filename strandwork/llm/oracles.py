@@ -112,3 +112,13 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY
 z AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN inner_ i ON i.lang = b.lang AND i.ph = b.ph WHERE most IS NULL OR 100 * most < 100 * a)
 SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score FROM z
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+#: Holds for the markup of the given pages: an article element of headings and paragraphs, with these character references.
+PAGE_TEXT = r"""
+WITH b AS (SELECT page_id, url, unnest(bs) AS x, generate_subscripts(bs, 1) AS i
+  FROM (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS bs FROM pages)),
+plain AS (SELECT page_id, url, i, replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' ') AS x FROM b),
+said AS (SELECT page_id, url, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM plain),
+one AS (SELECT page_id, url, i, trim(regexp_replace(x, '[\x09-\x0D\x20]+', ' ', 'g')) AS x FROM said),
+t AS (SELECT page_id, url, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE x <> ''), '') AS text FROM one GROUP BY page_id, url)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, language_model, merkle, near_dedup, oracles, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
+from . import bpe, collocations, decontaminate, language_model, merkle, near_dedup, oracles, page_text, quality, secret_scan, sharding, substring_dedup, top_k, url_rules
 from .common import table
 from .registry import query
 
@@ -94,3 +94,8 @@ def slot_pivot(spark, sf_dir):
 @query("op12_collocations", oracle=oracles.COLLOCATIONS)
 def phrase_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_wrapper_induction", oracle=oracles.PAGE_TEXT)
+def wrapper_induction(spark, sf_dir):
+    return page_text.extract(table(spark, sf_dir, "pages"))
