@@ -27,6 +27,7 @@ FILTER_BITS = 1 << 24
 _PROBES = (0, 20, 39)
 _GRAM = U64(0x9E3779B97F4A7C17)
 _HELD = 1 << 20
+_ROW, _LINE = 1 << 9, 1 << 18
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -77,8 +78,8 @@ def _tokens(groups: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     behind[:-1] = solid[1:]
     behind[inner - 1] = False
     ends = np.flatnonzero(solid & ~behind) + 1
-    breaks = np.zeros(size + 1, dtype=np.int64)
-    breaks[1:] = np.cumsum(kind == 2)
+    breaks = np.zeros(size + 1, dtype=np.int32)
+    np.cumsum(kind == 2, out=breaks[1:])
     doc = np.searchsorted(offsets, starts, side="right") - 1
     fresh = np.ones(len(starts), dtype=bool)
     fresh[1:] = (breaks[starts[1:]] != breaks[starts[:-1]]) | (doc[1:] != doc[:-1])
@@ -95,7 +96,7 @@ def _tokens(groups: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, word, c) of each distinct word of a batch; a null word has the number of all words."""
     for batch in batches:
-        for part in pieces(batch, 1, 8 << 20):
+        for part in pieces(batch, 1, 4 << 20):
             data, starts, ends, hashes, code, _, names = _tokens(part.column(0), part.column(1))
             if not len(starts):
                 continue
@@ -131,7 +132,10 @@ def _filter(rows: DataFrame, column: str = "h") -> Broadcast:
 
 
 def _coded(known: Broadcast) -> Callable:
-    """Texts as hashes of known words; one 0 stands for any break and for words that are not known."""
+    """Texts as hashes of known words; one 0 stands for any break and for words that are not known.
+
+    A row ends at a break behind some _ROW words, so that readers, which count rows, hold few bytes at once.
+    """
     def run(batches):
         for batch in batches:
             for part in pieces(batch, 1, 2 << 20):
@@ -143,8 +147,11 @@ def _coded(known: Broadcast) -> Callable:
                 keep = np.ones(len(line), dtype=bool)
                 keep[:-1:2] = fresh
                 line = line[keep]
-                line = line[(line != 0) | np.concatenate(([True], line[:-1] != 0))]
-                yield pa.RecordBatch.from_arrays([pa.array([line.tobytes()], pa.binary())], names=["t"])
+                line = np.concatenate((line[(line != 0) | np.concatenate(([True], line[:-1] != 0))], np.zeros(1, dtype=U64)))
+                ends = np.flatnonzero(line == 0) + 1
+                ends = ends[np.concatenate((ends[1:] // _ROW != ends[:-1] // _ROW, [True]))]
+                bounds = (np.concatenate(([0], ends)) * 8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(line)])], names=["t"])
     return run
 
 
@@ -159,9 +166,12 @@ def _grams(line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Neighbouring rows as one array, some _LINE words at a time. Each row ends with a break."""
     for batch in batches:
-        for value in batch.column(0):
-            yield np.frombuffer(value.as_buffer(), dtype=U64)
+        for part in pieces(batch, 0, 8 * _LINE):
+            values = part.column(0)
+            bounds = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset:values.offset + len(values) + 1]
+            yield np.frombuffer(values.buffers()[2], dtype=np.uint8)[bounds[0]:bounds[-1]].view(U64)
 
 
 def _grown(size: int, prefixes: Broadcast) -> Callable:
