@@ -42,14 +42,13 @@ def rolled(values: np.ndarray, q: int, factor: int = 0x01000193) -> np.ndarray:
 
 
 class Index:
-    """q-grams of a block of items."""
+    """q-grams of items that all allow at least one shared q-gram within their budget of `error` edits a character."""
 
-    def __init__(self, ids: list[int], texts: list[str], q: int, error: float):
-        self.q, self.ids = q, np.array(ids, dtype=np.int64)
+    def __init__(self, texts: list[str], q: int, error: float):
+        self.q = q
         self.code, self.first, _ = folded(pa.array(texts, pa.string()))
         self.lengths = np.diff(self.first)
-        # The budget is what the error rate allows, or less where the lemma could not count it.
-        self.edits = np.maximum(np.minimum((self.lengths * error).astype(np.int64), (self.lengths - q) // q), 0)
+        self.edits = (self.lengths * error).astype(np.int64)
         self.needed = self.lengths - q + 1 - q * self.edits
         at, _ = inside(self.first, q)
         grams = self._exact(self.code, at)
@@ -90,8 +89,8 @@ class Index:
         t, i, d, n = _counted(text, item, diagonal)
         whole = n >= self.lengths[i] - self.q + 1
         t, i, d = t[whole], i[whole], d[whole]
-        done = np.unique(t * len(self.ids) + i)
-        rest = ~np.isin(text * len(self.ids) + item, done)
+        done = np.unique(t * len(self.lengths) + i)
+        rest = ~np.isin(text * len(self.lengths) + item, done)
         text, item, diagonal = text[rest], item[rest], diagonal[rest]
         width = self.edits[item] + 1
         band = diagonal // width
@@ -154,6 +153,25 @@ class Index:
         return out
 
 
+class Block:
+    """A block of items, indexed by the longest grams up to `q` of which a place within the budget must share one: m >= q * (budget + 1)."""
+
+    def __init__(self, ids: list[int], texts: list[str], q: int, error: float):
+        sizes = np.diff(folded(pa.array(texts, pa.string()))[1])
+        grams = np.minimum(sizes // ((sizes * error).astype(np.int64) + 1), q)
+        self.ids, self.parts = ids, []
+        for size in np.unique(grams[grams > 0]).tolist():
+            own = np.flatnonzero(grams == size)
+            self.parts.append((own, Index([texts[i] for i in own], size, error)))
+
+    def found(self, texts: pa.Array) -> list[dict[int, tuple[int, int]]]:
+        out: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(texts))]
+        for own, index in self.parts:
+            for all_, some in zip(out, index.found(texts), strict=True):
+                all_.update((int(own[i]), x) for i, x in some.items())
+        return out
+
+
 def _counted(*columns: np.ndarray) -> list[np.ndarray]:
     """Distinct rows of the columns, sorted, and how often each occurs. The columns are packed into one number, which is sorted."""
     if not len(columns[0]):
@@ -191,9 +209,9 @@ def blocks_of(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str
 def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1, block_chars: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per input row: the id column, `contaminated`, and arrays `item_ids`, `edits` and `ends`.
 
-    An item of m characters is found where it occurs with at most min(error * m, (m - q) / q) edits (characters inserted, deleted or replaced), after
-    lower-casing A-Z and taking each ASCII white space as a space; `ends` is where its best place ends, in characters. An item of fewer than q characters has no
-    q-gram and is never found. Null and empty texts hold nothing; ids may be null or repeat; other columns are not carried.
+    An item of m characters is found where it occurs with at most error * m edits (characters inserted, deleted or replaced), rounded down, after
+    lower-casing A-Z and taking each ASCII white space as a space; `ends` is where its best place ends, in characters. Items too short for grams of q characters
+    are found by shorter ones, down to one character; an empty item is never found. Null and empty texts hold nothing; ids may be null or repeat; other columns are not carried.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"), F.expr("cast(array() as array<struct<item:bigint,edits:bigint,end:bigint>>)").alias("found_"))
@@ -201,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: floa
     for ids, texts in blocks_of(benchmark, block_chars, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            index = Index(ids, texts, q, error)
+            index = Block(ids, texts, q, error)
             for batch in batches:
                 for part in pieces(batch, 1, 1 << 20):
                     more = [[{"item": ids[i], "edits": e, "end": z} for i, (e, z) in sorted(x.items())] for x in index.found(part.column(1))]
@@ -218,15 +236,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: floa
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, error: float = 0.1, block_chars: int = 1 << 20, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all columns, that hold no item of `benchmark`."""
-    names, width = docs.columns, len(docs.columns)
     for ids, texts in blocks_of(benchmark, block_chars, "item_id", "text"):
+        docs = docs.where(_free(ids, texts, q, error)(F.col(text_col).cast("string")))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            index = Index(ids, texts, q, error)
-            for batch in batches:
-                for part in pieces(batch, width, 1 << 20):
-                    keep = pa.array([not x for x in index.found(part.column(width))], pa.bool_())
-                    yield pa.RecordBatch.from_arrays([part.column(i) for i in range(width)], names).filter(keep)
 
-        docs = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("string").alias("searched")).mapInArrow(run, docs.schema)
-    return docs
+def _free(ids: list[int], texts: list[str], q: int, error: float):
+    """A column function that tells whether a text holds none of the items; they are indexed once in a worker's task."""
+    made: list[Block] = []
+
+    @F.arrow_udf("boolean")
+    def free(column: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Block(ids, texts, q, error))
+        rows = pa.RecordBatch.from_arrays([column], ["text"])
+        return pa.array([not x for part in pieces(rows, 0, 1 << 20) for x in made[0].found(part.column(0))], pa.bool_())
+
+    return free

@@ -128,11 +128,11 @@ class Network:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def train(self, tokens: np.ndarray, lanes: int = 128, window: int = 32, updates: int = 200, rate: float = 0.01, begin: float = 0.0, end: float = 1.0) -> list[float]:
+    def train(self, tokens: np.ndarray, starts: np.ndarray | None = None, lanes: int = 256, window: int = 32, updates: int = 200, rate: float = 0.01, begin: float = 0.0, end: float = 1.0) -> list[float]:
         """Adam over windows of a stream of documents cut into lanes; the state of a lane goes on from window to window. A small stream has fewer lanes and
         is passed over again, until there were about `updates` windows. The rate falls with the share of all training done, from `begin` to `end` here.
 
-        Long streams are laid out piece by piece; tokens that do not fill the lanes follow in one lane, so every token is a target.
+        `starts` are the places where a text begins anew; one does behind every end mark. Long streams are laid out piece by piece; tokens that do not fill the lanes follow in one lane, so every token is a target.
         """
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         lanes = max(1, min(lanes, len(tokens) // (updates * window)))
@@ -140,6 +140,8 @@ class Network:
         passes = max(1, round(updates / max(windows, 1)))
         before = np.concatenate(([self.known + 1], tokens[:-1]))
         before[before == 0] = self.known + 1
+        if starts is not None:
+            before[starts] = self.known + 1
         t, losses = 0, []
         for _ in range(passes):
             for a in range(0, len(tokens), _STREAM):
@@ -223,6 +225,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "c"])
 
 
+def _most_frequent(counts: DataFrame, listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of the `listed` most frequent words, ties to the smaller hash. The driver gets two histograms and these rows, whatever the number of words."""
+    exact = 1 << 12
+    level = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log2(F.col("c").cast("double")) * 64).cast("long"))
+    levelled = counts.withColumn("level", level)
+    room, edge = listed, -1
+    for row in sorted(levelled.groupBy("level").count().collect(), key=lambda r: -r[0]):
+        if row[1] > room:
+            edge = row[0]
+            break
+        room -= row[1]
+    chosen = levelled.where(F.col("level") > edge).drop("level")
+    if edge >= 0:
+        last = levelled.where(F.col("level") == edge).drop("level")
+        if edge < exact:
+            # All of one count: whole ranges of hashes first.
+            some = last.withColumn("range", F.shiftright("word", 48))
+            cut = None
+            for row in sorted(some.groupBy("range").count().collect(), key=lambda r: r[0]):
+                cut = row[0]
+                if row[1] > room:
+                    break
+                room -= row[1]
+            chosen = chosen.union(some.where(F.col("range") < cut).drop("range"))
+            last = some.where(F.col("range") == cut).drop("range")
+        chosen = chosen.union(last.orderBy(F.desc("c"), "word").limit(room))
+    rows = stored(chosen, "word-list").toArrow()
+    words, found = rows["word"].to_numpy(), rows["c"].to_numpy()
+    order = np.lexsort((words, -found))
+    return words[order], found[order]
+
+
 class Vocabulary:
     """The most frequent words, by hash, and their counts: those with a token of their own come first by count, the others share `groups` tokens.
 
@@ -305,10 +339,13 @@ def _fitted(training: DataFrame, words: Vocabulary, start: Network, total: int,
     def trainer(now: np.ndarray, k: int):
         def train(table: pa.Table) -> pa.Table:
             table = table.sort_by([("key", "ascending"), ("piece", "ascending")])
-            tokens = np.frombuffer(b"".join(x.as_py() for x in table.column("tokens")), dtype=kind).astype(np.int64)
+            parts = [x.as_py() for x in table.column("tokens")]
+            tokens = np.frombuffer(b"".join(parts), dtype=kind).astype(np.int64)
+            # Neighbouring pieces are of different documents, or of distant places of one.
+            starts = np.cumsum([0, *(len(x) // np.dtype(kind).itemsize for x in parts[:-1])])
             net = Network(start.known, start.classes, start.hidden)
             net.p = network(now)
-            net.train(tokens, begin=k / rounds, end=(k + 1) / rounds)
+            net.train(tokens, starts, begin=k / rounds, end=(k + 1) / rounds)
             out = np.array_split(np.concatenate([net.p[x].ravel() for x in names]).astype("<f4"), blocks)
             return pa.table({"block": pa.array(range(blocks), pa.int32()), "task": pa.array([table.column("task")[0].as_py()] * blocks, pa.int32()), "n": pa.array([len(tokens)] * blocks), "weights": pa.array([x.tobytes() for x in out], pa.binary())})
 
@@ -340,10 +377,9 @@ def score_documents(docs: DataFrame, known: int = 1024, groups: int = 1024, clas
     ends = training.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = n_words + ends, n_kinds + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(listed).collect()
-    top.sort(key=lambda r: (-r[1], r[0]))
-    words = Vocabulary(np.array([r[0] for r in top], dtype=np.int64).view(U64), np.array([r[1] for r in top], dtype=np.int64), known, groups)
-    other_tokens, other_kinds = n_words - int(words.counts.sum()), n_kinds - len(top)
+    top = _most_frequent(counts, listed)
+    words = Vocabulary(top[0].view(U64), top[1], known, groups)
+    other_tokens, other_kinds = n_words - int(words.counts.sum()), n_kinds - len(top[0])
     bottom = np.log10(total + kinds + 1)
     other_bottom = np.log10(other_tokens + other_kinds + 1)
 

@@ -268,13 +268,11 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5,
 
 
 def keep(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all columns, that are not rejected."""
-    names, width = docs.columns, len(docs.columns)
+    """The rows of `docs`, with all columns, that are not rejected. Only what is judged goes to Python, and one boolean comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, width):
-                p = judged(model, *(part.column(width + i) for i in range(4)))
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(width)], names).filter(pa.array(p[:, 2] < threshold))
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, lang, source, n_chars], ["text", "lang", "source", "n_chars"])
+        return pa.concat_arrays([pa.array([], pa.bool_()), *(pa.array(judged(model, *part.columns)[:, 2] < threshold) for part in pieces(batch, 0))])
 
-    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *_columns(docs)).mapInArrow(run, docs.schema)
+    return docs.where(kept(*_columns(docs)))

@@ -51,12 +51,12 @@ def karmarkar_karp(spark, sf_dir):
 
 
 @query("op7_max_score", oracle="""
-WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS row_, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+pairs AS (SELECT q.vec_id AS query_id, q.row_, c.vec_id AS vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row_ ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY row_ ORDER BY score DESC, vec_id) <= 5""")
 def max_score(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)

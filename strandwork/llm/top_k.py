@@ -16,11 +16,11 @@ from .common import stored
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
-    """Rows (id, v) of vectors without null, NaN or infinite components. A repeated id counts once, with its smallest vector."""
+    """(id, v, copies) of vectors without null, NaN or infinite components; equal rows are counted."""
     x = F.col(vector_col)
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & sound)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")).groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -32,8 +32,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, span: int = 1024, chunk: int = 8) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best vectors for each query; ties go to smaller ids."""
+def max_score(queries: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, span: int = 1024, chunk: int = 8) -> list[tuple[int, int, int, int]]:
+    """(query id, query key, vector id, score) of the k best vectors for each query, none of its own id; ties go to smaller ids."""
     width = vectors.shape[1]
     exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * width < 2**52
     kind = np.float64 if exact else np.int64
@@ -42,7 +42,7 @@ def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, i
     blocks = [(np.asfortranarray(vectors[b:b + span]), ids[b:b + span]) for b in range(0, len(ids), span)]
     above = [(np.maximum(v.max(axis=0), 0), np.maximum(-v.min(axis=0), 0)) for v, _ in blocks]
     out = []
-    for q, own in zip(queries, query_ids, strict=True):
+    for q, own, key in zip(queries, query_ids, keys, strict=True):
         best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
         for (v, names), (up, down) in zip(blocks, above, strict=True):
             bounds = np.where(q > 0, q * up, -q * down)
@@ -68,7 +68,7 @@ def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, i
                 best_ids, best = np.concatenate((best_ids, names[alive])), np.concatenate((best, score))
                 top = np.lexsort((best_ids, -best))[:k]
                 best_ids, best = best_ids[top], best[top]
-        out += [(int(own), int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
+        out += [(int(own), int(key), int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
     return out
 
 
@@ -76,27 +76,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """The k rows of `vectors` with the highest inner product for each row of `queries`, the query's own id excepted.
 
     Components are floor(256 * x). Returns `query_id`, `rank` (from 1), `vec_id` and `score`; fewer than k rows if there are fewer candidates.
-    Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without id; a repeated id counts
-    once, with its smallest vector; a shorter vector ends in zeros. Scores are exact up to 63 bits. Blocks of queries meet shards of vectors, both of
+    Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without id; a shorter vector ends in zeros. Rows that repeat an id
+    are candidates and queries of their own: each query row has its list, without the rows of its id; equal rows follow each other. Scores are exact up to 63 bits. Blocks of queries meet shards of vectors, both of
     bounded size, so each vector is sent once per block of queries; other columns are not carried.
     """
     base = stored(quantised(vectors, id_col, vector_col), "top-vectors")
     asked = stored(quantised(queries, id_col, vector_col), "top-queries")
-    n, m = base.count(), asked.count()
+    n, m = base.agg(F.coalesce(F.sum(F.least("copies", F.lit(k))), F.lit(0))).first()[0], asked.count()
     width = max(x.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0] for x in (base, asked))
     shards, blocks = -(-n // shard_rows) or 1, -(-m // query_rows) or 1
-    parts = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    parts_of = lambda c, count: F.pmod(F.xxhash64("id", "v", c), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = base.withColumn("shard", parts("id", shards)).withColumn("block", every(blocks))
-    right = asked.withColumn("block", parts("id", blocks)).withColumn("shard", every(shards))
+    # No list has more than k copies of a row, and all copies of a query have the same list.
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k))))
+    left = base.select("id", "v", copies.alias("copy")).select("id", "v", parts_of("copy", shards).alias("shard"), every(blocks).alias("block"))
+    right = asked.select("id", "v", "copies", F.xxhash64("v").alias("key"), parts_of(F.lit(0), blocks).alias("block"))
+    sent = right.select("id", "v", "key", "block", every(shards).alias("shard"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
         if a.num_rows and b.num_rows:
-            found = max_score(_matrix(b.column("v"), width), b.column("id").to_numpy(), _matrix(a.column("v"), width), a.column("id").to_numpy(), k)
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+            found = max_score(_matrix(b.column("v"), width), b.column("id").to_numpy(), b.column("key").to_numpy(), _matrix(a.column("v"), width), a.column("id").to_numpy(), k)
+        columns = list(zip(*found, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "key", "vec_id", "score"])
 
-    best = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = left.groupBy("block", "shard").cogroup(sent.groupBy("block", "shard")).applyInArrow(run, "query_id long, key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
+    lists = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    several = right.where("copies > 1").select(F.col("id").alias("query_id"), "key", "copies")
+    lists = lists.join(several, ["query_id", "key"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))))
+    return lists.select("query_id", "rank", "vec_id", "score")

@@ -282,3 +282,26 @@ def test_sure_rows_are_chosen_from_all_unlabelled_documents(spark, monkeypatch):
     scored = [df for name, df in held if name == "quality-scores"]
     assert model and len(scored) == 3 and scored[0].count() > 4000 and scored[0].where("id < 1000").count() == 0
     assert 300 <= sum(df.count() for name, df in held if name == "quality-taught") <= 3600
+
+
+def test_pieces_of_other_documents_share_no_state():
+    """A piece without an end mark is followed by one that starts anew: the loss is that of the two pieces trained side by side."""
+    def fed(starts):
+        net, seen = language_model.Network(12, 3, 4, seed=3), []
+        plain = net.gradients
+        net.gradients = lambda h, inputs, targets, fresh: seen.append((inputs.copy(), fresh.copy())) or plain(h, inputs, targets, fresh)
+        net.train(np.array([5, 6, 7, 8, 9, 0]), starts, lanes=1, window=8, updates=1)
+        return seen[0]
+
+    inputs, fresh = fed(np.array([0, 3]))
+    assert inputs.ravel().tolist() == [13, 5, 6, 13, 8, 9] and fresh.ravel().tolist() == [True, False, False, True, False, False]
+    inputs, fresh = fed(None)
+    assert inputs.ravel().tolist() == [13, 5, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("listed", [1, 7, 40, 100, 5000])
+def test_most_frequent_words_with_ties(spark, listed):
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(64) - 2**63, rng.choice([1, 1, 1, 2, 3, 9, 5000, 5001, 70000])) for _ in range(300)]
+    words, counts = language_model._most_frequent(spark.createDataFrame(rows, "word long, c long").repartition(3), listed)
+    assert list(zip(words.tolist(), counts.tolist(), strict=True)) == sorted(rows, key=lambda r: (-r[1], r[0]))[:listed]
