@@ -25,7 +25,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
 
     Rows without id stay, as do texts without words. Rows that repeat an id are judged by their own texts; of those that are near copies of each other the first by
-    its text stays.
+    its text and then its other columns stays.
     """
     found = stored(near_dedup.near_duplicates(docs, size=5, percent=80, tell_texts=True), "stage-near")
     row = ["doc_id", "text_key"]
@@ -35,7 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if shared.isEmpty():
         return left.select(docs.columns)
     twice = stored(found.join(shared, ["doc_id", "component"]).select(*row, "component").distinct(), "stage-near-twice")
-    ranked = left.join(twice, row).withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id", "component").orderBy("text", "source")))
+    ranked = left.join(twice, row).withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id", "component").orderBy("text", *[c for c in docs.columns if c != "text"])))
     return left.join(twice, row, "left_anti").select(docs.columns).union(ranked.where("rank_ = 1").select(docs.columns))
 
 
