@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sequence as S
-from .scan import fetch_region, padded_chunks, whole_contigs
+from .scan import both_strands, chunk, fetch_region, padded_chunks, with_bases
 
 # The Arrow function travels by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,15 +61,7 @@ def seed_index(srnas: DataFrame, seed: int) -> DataFrame:
 
 def _oriented_kmers(contigs: DataFrame, seed: int, reach: int) -> DataFrame:
     """k-mers of both strands in the coordinates of each strand, with the bases that follow."""
-    both = whole_contigs(contigs, seed).select(
-        "contig_id", "contig_len", "whole", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand")).withColumn(
-        "whole", F.when(F.col("strand") == "+", F.col("whole")).otherwise(
-            S.reverse_complement(F.col("whole").cast("string")).cast("binary")))
-    chunks = both.select(
-        "contig_id", "contig_len", "strand", "whole",
-        F.explode(F.sequence(F.lit(0), F.col("contig_len") - seed, F.lit(CORE))).alias("offset"),
-    ).select("contig_id", "contig_len", "strand", "offset",
-             F.substring("whole", F.col("offset") + 1, F.lit(CORE + reach - 1)).alias("bases"))
+    chunks = chunk(both_strands(contigs), seed, CORE, reach, ["strand"])
     at = F.explode(F.sequence(F.lit(1), F.least(F.lit(CORE), F.col("contig_len") - F.col("offset") - (seed - 1))))
     return chunks.withColumn("at", at).select(
         "contig_id", "contig_len", "strand", (F.col("offset") + F.col("at")).alias("pos"),
@@ -109,7 +101,7 @@ def duplex_hits(
     """
     sizes = sorted({w for w in windows if w > 0})
     seed = min(seed or 8, sizes[0])
-    spots = _oriented_kmers(contigs.select("contig_id", S.to_dna("seq").alias("seq")), seed, sizes[-1])
+    spots = _oriented_kmers(with_bases(contigs, S.to_dna), seed, sizes[-1])
     cand = spots.join(srna_seeds(srnas, seed), "kmer").withColumn(
         "window", F.explode(F.array(*[F.lit(w) for w in sizes])))
     w = F.col("window")
@@ -211,12 +203,12 @@ def seed_and_extend(contigs: DataFrame, srnas: DataFrame, seed: int, max_gu: int
     Exact seeds are an equi-join on the reverse-complement k-mer, to which only positions travel; the bases that the
     sRNA can reach from a seed are cut afterwards, whatever its length.
     """
-    src = contigs.select("contig_id", S.to_dna("seq").alias("seq"))
+    src = with_bases(contigs, S.to_dna)
     spots = (
         padded_chunks(src, seed, 0, seed, CORE)
         .withColumn("pos", F.explode(F.sequence(
             F.col("offset") + 1, F.least(F.col("offset") + CORE, F.col("contig_len") - (seed - 1)))))
-        .select("contig_id", "pos", F.substring("bases", F.col("pos") - F.col("cut"), F.lit(seed)).cast("string").alias("seed_rc"))
+        .select("contig_id", "pos", F.substring("bases", (F.col("pos") - F.col("cut")).cast("int"), F.lit(seed)).cast("string").alias("seed_rc"))
     )
     keyed = _exact_seeds(srnas.select("srna_id", S.to_dna("srna").alias("srna")), seed)
     reach = F.length("srna")

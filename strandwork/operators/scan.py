@@ -4,6 +4,12 @@ A contig is cut into fixed cores; each chunk carries the bases that windows
 starting in its core need beyond it, so a hit belongs to exactly one chunk and
 none is lost at an edge. All window tests are evaluated in generated code on
 BINARY slices, and a selective exact motif first drops whole chunks by `rlike`.
+
+Contigs come in either of two forms, and every scan takes both: rows that hold a whole
+contig (contig_id, seq), or pieces of any size (contig_id, contig_len, at, bases), `at` being
+the number of bases before the piece. Pieces are what `sources.fasta.read_pieces` gives for
+files of any size; their chunks are put together from neighbouring pieces by one shuffle,
+so no row or task ever holds a contig.
 """
 from __future__ import annotations
 
@@ -13,11 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..session import cut
 
 CORE = 1 << 16
 HIT_KEYS = ["contig_id", "start", "end", "strand"]
 
 
+def in_pieces(contigs: DataFrame) -> bool:
+    return "seq" not in contigs.columns
+
+
 def whole_contigs(contigs: DataFrame, least: int, carry: list[str] | None = None) -> DataFrame:
     """contig_id, contig_len, whole (the bases as BINARY) of contigs with at least `least` bases.
 
@@ -28,24 +39,69 @@ def whole_contigs(contigs: DataFrame, least: int, carry: list[str] | None = None
     return one.withColumn("contig_len", F.length("whole")).where(F.col("contig_len") >= least)
 
 
-def chunk(
-    contigs: DataFrame, window: int, core: int = CORE, reach: int | None = None, carry: list[str] | None = None,
-    spread: int | None = None,
-) -> DataFrame:
+def with_bases(contigs: DataFrame, change) -> DataFrame:
+    """The contigs with `change` applied to their bases, in either form; it must keep every base's place."""
+    name = "bases" if in_pieces(contigs) else "seq"
+    return contigs.withColumn(name, change(F.col(name)))
+
+
+def both_strands(contigs: DataFrame) -> DataFrame:
+    """Every contig as read on each strand, with the column `strand`; places are those of that strand."""
+    two = contigs.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    minus = F.col("strand") == "-"
+    if not in_pieces(contigs):
+        return two.withColumn("seq", F.when(minus, S.reverse_complement("seq")).otherwise(F.col("seq")))
+    mirrored = F.col("contig_len") - F.col("at") - F.length("bases")
+    return two.withColumns({"at": F.when(minus, mirrored).otherwise(F.col("at")),
+                            "bases": F.when(minus, S.reverse_complement("bases")).otherwise(F.col("bases"))})
+
+
+def region_of(contigs: DataFrame, start: int, end: int | None) -> DataFrame:
+    """contig_id and the bases [start, end] (1-based; to the contig's end by default) in the form of `contigs`."""
+    if not in_pieces(contigs):
+        seq = F.substring("seq", start, end - start + 1) if end else F.expr(f"substring(seq, {start})")
+        return contigs.select("contig_id", seq.alias("seq"))
+    last = F.least(F.lit(end).cast("bigint"), F.col("contig_len")) if end else F.col("contig_len")
+    first = F.greatest(F.lit(start - 1).cast("bigint") - F.col("at"), F.lit(0))
+    kept = F.least(last - F.col("at"), F.length("bases").cast("bigint")) - first
+    return contigs.where(kept > 0).select(
+        "contig_id", (last - (start - 1)).alias("contig_len"), (F.col("at") + first - (start - 1)).alias("at"),
+        F.substring("bases", (first + 1).cast("int"), kept.cast("int")).alias("bases"))
+
+
+def _cores(contigs: DataFrame, window: int, core: int, left: int, right: int, carry: list[str]) -> DataFrame:
+    """Chunks with `left` bases before their core and `right` behind it: contig_id, carry, contig_len, offset, cut (bases before the chunk), bases."""
+    kept = ["contig_id", *carry, "contig_len"]
+    if not in_pieces(contigs):
+        return (
+            whole_contigs(contigs, window, carry)
+            .select(*kept, "whole", F.explode(F.sequence(F.lit(0), F.col("contig_len") - window, F.lit(core))).alias("offset"))
+            .withColumn("cut", F.greatest(F.col("offset") - left, F.lit(0)))
+            .select(*kept, "offset", "cut", F.substring("whole", F.col("cut") + 1, F.col("offset") - F.col("cut") + (core + right)).alias("bases"))
+        )
+    size = F.length("bases").cast("bigint")
+    low = F.greatest(F.floor((F.col("at") - right) / core), F.lit(0)).cast("bigint")
+    high = F.least(F.floor((F.col("at") + size - 1 + left) / core), F.floor((F.col("contig_len") - window) / core)).cast("bigint")
+    begin = F.greatest(F.col("at"), F.col("offset") - left)
+    end = F.least(F.col("at") + size, F.col("offset") + (core + right))
+    parts = (
+        contigs.where((size > 0) & (F.col("contig_len") >= window)).withColumn("low", low).withColumn("high", high).where("low <= high")
+        .withColumn("core_no", F.explode(F.sequence("low", "high"))).withColumn("offset", F.col("core_no") * core)
+        .select(*kept, "offset", F.struct(begin.alias("begin"), F.substring(
+            "bases", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("part")).alias("p"))
+    )
+    put = F.array_join(F.array_sort(F.collect_list("p"))["part"], "").cast("binary")
+    return parts.groupBy(*kept, "offset").agg(put.alias("bases")).withColumn(
+        "cut", F.greatest(F.col("offset") - left, F.lit(0).cast("bigint")))
+
+
+def chunk(contigs: DataFrame, window: int, core: int = CORE, reach: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per core of every contig that holds at least one window.
 
     Columns: contig_id, contig_len, offset (bases before the chunk), bases (BINARY), and the `carry`
     columns. A chunk extends `reach` - 1 bases past its core (`window` - 1 by default).
-    `spread` repartitions the chunks, for a handful of very long contigs that would otherwise
-    stay in the tasks that read them.
     """
-    kept = ["contig_id", *(carry or []), "contig_len"]
-    cut = (
-        whole_contigs(contigs, window, carry)
-        .select(*kept, "whole", F.explode(F.sequence(F.lit(0), F.col("contig_len") - window, F.lit(core))).alias("offset"))
-        .select(*kept, "offset", F.substring("whole", F.col("offset") + 1, F.lit(core + (reach or window) - 1)).alias("bases"))
-    )
-    return cut.repartition(spread, "contig_id", "offset") if spread else cut
+    return _cores(contigs, window, core, 0, (reach or window) - 1, carry or []).drop("cut")
 
 
 def _positions(chunks: DataFrame, window: int) -> DataFrame:
@@ -55,14 +111,7 @@ def _positions(chunks: DataFrame, window: int) -> DataFrame:
 
 def padded_chunks(contigs: DataFrame, window: int, left: int, right: int, core: int = 4096) -> DataFrame:
     """Chunks that carry `left` bases before their core and `right` after it; `cut` bases precede a chunk."""
-    return (
-        whole_contigs(contigs, window)
-        .select("contig_id", "contig_len", "whole",
-                F.explode(F.sequence(F.lit(0), F.col("contig_len") - window, F.lit(core))).alias("offset"))
-        .withColumn("cut", F.greatest(F.col("offset") - left, F.lit(0)))
-        .select("contig_id", "contig_len", "offset", "cut",
-                F.substring("whole", F.col("cut") + 1, F.col("offset") - F.col("cut") + (core + right)).alias("bases"))
-    )
+    return _cores(contigs, window, core, left, right, [])
 
 
 def with_other_strand(chunks: DataFrame) -> DataFrame:
@@ -86,7 +135,6 @@ def _tile(patterns: list[str]) -> int | None:
 
 def motif_hits(
     contigs: DataFrame, pattern: str, max_mismatches: int = 0, strand_policy: str = "both",
-    spread: int | None = None,
 ) -> DataFrame:
     """M1, M2, M3: windows of both strands within `max_mismatches` of an IUPAC pattern.
 
@@ -105,7 +153,7 @@ def motif_hits(
         strands.append(("-", rc))
 
     tile = _tile([p for _, p in strands]) if max_mismatches == 0 else None
-    chunks = chunk(contigs, width, tile or CORE, spread=spread)
+    chunks = chunk(contigs, width, tile or CORE)
     if tile:
         either = "|".join(sorted({S.iupac_regex(p) for _, p in strands}))
         chunks = chunks.where(bases.cast("string").rlike(either))
@@ -133,38 +181,64 @@ def with_rev_comp(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rev_comp", S.reverse_complement("found_seq"))
 
 
-def motif_hits_nonoverlapping(contigs: DataFrame, pattern: str) -> DataFrame:
-    """M1 parity form: left-to-right non-overlapping exact hits per strand.
+def _states(steps: Column, before: Column, free: Column) -> Column:
+    """Entry state of each (no, table) of a sorted list, walked from block `before` with the state `free`; a missing block lets every state end."""
+    none = F.expr("cast(array() as array<struct<no:bigint,free:int>>)")
+
+    def enter(acc: Column, t: Column) -> Column:
+        now = F.when(acc["no"] == t["no"] - 1, acc["free"]).otherwise(F.lit(0))
+        return F.struct(t["no"].alias("no"), t["table"][now].alias("free"), F.array_append(acc["all"], F.struct(t["no"].alias("no"), now.alias("free"))).alias("all"))
 
-    Which hits survive depends on every earlier one, so the walk over one contig is
-    the regular-expression engine's: `split` yields the text between matches, and the
-    starts are running sums of those lengths. A contig is one row already, so the
-    window below holds no more than that row did.
+    return F.aggregate(steps, F.struct(before.cast("bigint").alias("no"), free.cast("int").alias("free"), none.alias("all")), enter)["all"]
+
+
+def _handed_over(blocks: DataFrame, width: int, core: int, group: int) -> DataFrame:
+    """(contig_id, strand, no, free): the first offset of each block with hits at which a hit may begin.
+
+    A kept hit forbids the `width` - 1 starts behind it, some of which may lie in the next block. A block's table leads from
+    each entry offset (0 to width - 1) to the exit offset. The tables of `group` neighbouring blocks are composed to one; these few
+    are walked for each contig and strand, then the blocks of every group from the group's own entry.
     """
-    from pyspark.sql import Window
+    line = ["contig_id", "strand"]
+    entries = F.sequence(F.lit(0), F.lit(width - 1))
+
+    def leave(e: Column) -> Column:
+        free = F.aggregate("hits", e, lambda at, h: F.when(h["at"] >= at, h["at"] + width).otherwise(at))
+        return F.greatest(free - core, F.lit(0))
+
+    tables = blocks.select(*line, "no", F.transform(entries, leave).alias("table")).withColumn("super", F.floor(F.col("no") / group).cast("bigint"))
+    inner = tables.groupBy(*line, "super").agg(F.array_sort(F.collect_list(F.struct("no", "table"))).alias("steps"))
+
+    def compose(acc: Column, t: Column) -> Column:
+        now = F.transform(acc["state"], lambda e: F.when(acc["no"] == t["no"] - 1, e).otherwise(F.lit(0)))
+        return F.struct(t["no"].alias("no"), F.transform(now, lambda e: t["table"][e]).alias("state"))
+
+    whole = F.aggregate("steps", F.struct((F.col("super") * group - 1).alias("no"), entries.alias("state")), compose)
+    # A group whose last block has no hits lets every state end.
+    whole = F.when(whole["no"] == F.col("super") * group + (group - 1), whole["state"]).otherwise(F.transform(entries, lambda e: F.lit(0)))
+    supers = inner.select(*line, F.struct(F.col("super").alias("no"), whole.alias("table")).alias("s")).groupBy(*line).agg(F.array_sort(F.collect_list("s")).alias("steps"))
+    starts = supers.select(*line, F.inline(_states(F.col("steps"), F.lit(-1), F.lit(0)))).withColumnRenamed("no", "super")
+    return inner.join(starts, [*line, "super"]).select(*line, F.inline(_states(F.col("steps"), F.col("super") * group - 1, F.col("free"))))
 
+
+def motif_hits_nonoverlapping(contigs: DataFrame, pattern: str, core: int = CORE, group: int = 256) -> DataFrame:
+    """M1 parity form: left-to-right non-overlapping exact hits per strand.
+
+    Which hits survive depends on every earlier one, so blocks of `core` starts hand their state over by small tables
+    (`_handed_over`); no row, array or window covers a contig.
+    """
     pattern = S.check_pattern(pattern)
     width = len(pattern)
-    walks = [("+", pattern), ("-", S.reverse_complement_text(pattern))]
-    pieces = contigs.select(
-        "contig_id",
-        F.explode(F.array(*[
-            F.struct(F.lit(s).alias("strand"),
-                     F.transform(F.split("seq", S.iupac_regex(p), -1), F.length).alias("gaps"),
-                     F.regexp_extract_all("seq", F.lit(f"({S.iupac_regex(p)})"), F.lit(1)).alias("found"))
-            for s, p in walks
-        ])).alias("w"),
-    ).select("contig_id", "w.strand", F.posexplode(F.arrays_zip("w.gaps", "w.found")).alias("i", "z"))
-    run = Window.partitionBy("contig_id", "strand").orderBy("i")
-    return (
-        pieces.withColumn("start", (F.sum("z.gaps").over(run) + F.col("i") * width + 1).cast("bigint"))
-        .where(F.col("z.found").isNotNull())
-        .select("contig_id", "start", (F.col("start") + width - 1).cast("bigint").alias("end"), "strand",
-                F.lit(pattern).alias("pattern"),
-                F.when(F.col("strand") == "+", F.col("z.found"))
-                .otherwise(S.reverse_complement("z.found")).alias("found_seq"),
-                F.lit(0).alias("mismatches"))
-    )
+    core = max(core, width)
+    hit = F.struct(((F.col("start") - 1) % core).cast("int").alias("at"), "found_seq")
+    blocks = cut(motif_hits(contigs, pattern).withColumn("no", F.floor((F.col("start") - 1) / core).cast("bigint")).groupBy(
+        "contig_id", "strand", "no").agg(F.array_sort(F.collect_list(hit)).alias("hits")))
+    none = F.expr("cast(array() as array<struct<at:int,found_seq:string>>)")
+    walk = F.aggregate("hits", F.struct(F.col("free").alias("free"), none.alias("kept")), lambda acc, h: F.when(
+        h["at"] >= acc["free"], F.struct((h["at"] + width).alias("free"), F.array_append(acc["kept"], h).alias("kept"))).otherwise(acc))
+    kept = blocks.join(_handed_over(blocks, width, core, group), ["contig_id", "strand", "no"]).select("contig_id", "strand", "no", F.inline(walk["kept"]))
+    start = (F.col("no") * core + F.col("at") + 1).cast("bigint")
+    return kept.select("contig_id", start.alias("start"), (start + (width - 1)).alias("end"), "strand", F.lit(pattern).alias("pattern"), "found_seq", F.lit(0).alias("mismatches"))
 
 
 def batch_motif_hits(
@@ -250,7 +324,7 @@ def batch_motif_join(
         .withColumn("pos", F.explode(F.sequence(
             F.col("offset") + 1, F.least(F.col("offset") + 4096, F.col("contig_len") - (seed - 1)))))
         .select("contig_id", "contig_len", "pos",
-                F.substring("bases", F.col("pos") - F.col("cut"), F.lit(seed)).cast("string").alias("kmer"))
+                F.substring("bases", (F.col("pos") - F.col("cut")).cast("int"), F.lit(seed)).cast("string").alias("kmer"))
     )
     start = (F.col("pos") - F.col("lead")).cast("bigint")
     end = (start + F.length("scanned") - 1).cast("bigint")
@@ -295,10 +369,7 @@ def region_palindromes(
     A window is a palindrome on one strand exactly when it is on the other, so one test
     serves both rows; the '-' row reports the reverse complement.
     """
-    region = contigs.select(
-        "contig_id",
-        (F.substring("seq", start, end - start + 1) if end else F.expr(f"substring(seq, {start})")).alias("seq"),
-    )
+    region = region_of(contigs, start, end)
     # Longer windows need bases past the ones the shortest window does.
     chunks = with_other_strand(chunk(region, min_length, 4096, max_length))
     bases, rc, at, size = F.col("bases"), F.col("rc_bases"), F.col("at"), F.col("size")
@@ -327,26 +398,27 @@ def region_palindromes(
 def fetch_region(
     rows: DataFrame, contigs: DataFrame, first: Column, last: Column, out: str = "region_seq", core: int = 4096,
 ) -> DataFrame:
-    """Add the bases [first, last] (1-based, clipped to the contig) to each row, whatever their number.
+    """Add the bases [first, last] (1-based, clipped to the contig) to each row, whatever their number, and contig_len.
 
     A region is cut from each chunk that it touches and put together in chunk order, so no row
     ever meets its whole contig. Equal regions are read once; rows of unknown contigs drop out.
+    Chunk 0 is asked for as well: every contig has it, and it knows the contig's length.
     """
     chunks = chunk(contigs, 1, core).withColumn("chunk_no", F.floor(F.col("offset") / core).cast("bigint"))
-    lengths = whole_contigs(contigs, 1).select("contig_id", "contig_len")
-    keyed = rows.withColumns({"_first": F.greatest(first, F.lit(1)).cast("bigint"), "_last": last.cast("bigint")}) \
-        .join(lengths, "contig_id").withColumn("_last", F.least("_last", "contig_len"))
+    keyed = rows.withColumns({"_first": F.greatest(first, F.lit(1)).cast("bigint"), "_last": last.cast("bigint")})
     at = ["contig_id", "_first", "_last"]
     begin = F.greatest(F.col("_first") - F.col("offset"), F.lit(1))
     end = F.least(F.col("_last") - F.col("offset"), F.lit(core))
+    zero = F.array(F.lit(0).cast("bigint"))
+    numbers = F.when(F.col("_first") <= F.col("_last"), F.array_union(zero, F.sequence(
+        F.floor((F.col("_first") - 1) / core).cast("bigint"), F.floor((F.col("_last") - 1) / core).cast("bigint")))).otherwise(zero)
     pieces = (
-        keyed.where(F.col("_first") <= F.col("_last")).select(at).distinct()
-        .withColumn("chunk_no", F.explode(F.sequence(F.floor((F.col("_first") - 1) / core), F.floor((F.col("_last") - 1) / core))))
-        .join(chunks.drop("contig_len"), ["contig_id", "chunk_no"])
-        .select(*at, F.struct("chunk_no", F.substring("bases", begin.cast("int"), (end - begin + 1).cast("int")).cast("string").alias("part")).alias("p"))
+        keyed.select(at).distinct().withColumn("chunk_no", F.explode(numbers)).join(chunks, ["contig_id", "chunk_no"])
+        .select(*at, "contig_len", F.struct("chunk_no", F.when(end >= begin, F.substring(
+            "bases", begin.cast("int"), (end - begin + 1).cast("int")).cast("string")).otherwise("").alias("part")).alias("p"))
     )
-    whole = pieces.groupBy(at).agg(F.array_join(F.array_sort(F.collect_list("p"))["part"], "").alias(out))
-    return keyed.join(whole, at, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    whole = pieces.groupBy(at).agg(F.array_join(F.array_sort(F.collect_list("p"))["part"], "").alias(out), F.max("contig_len").alias("contig_len"))
+    return keyed.drop("contig_len").join(whole, at).withColumn("_last", F.least("_last", "contig_len"))
 
 
 def palindrome_context(hits: DataFrame, contigs: DataFrame, context: int, max_mismatches: int = 0) -> DataFrame:

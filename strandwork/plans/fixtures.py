@@ -10,7 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread_small
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -164,7 +163,8 @@ class Fixtures:
             if name in TABLES:
                 made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name == "contigs":
-                made = self.sql(VIEWS[name], documents=spread_small(self.documents, "doc_id"))
+                # A test table is one file; contigs of real genomes come in pieces (`fasta.read_pieces`), which every task reads.
+                made = self.sql(VIEWS[name], documents=self.documents.repartition("doc_id"))
             else:
                 made = self.sql(VIEWS[name])
             self._made[name] = made

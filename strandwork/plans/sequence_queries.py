@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import align, duplex, filters, intervals, scan
+from ..sources import fasta
 from .registry import query
 
 PATTERN = "TRTNAN"
@@ -101,6 +102,40 @@ def _(fx):
     return scan.motif_hits_nonoverlapping(fx.contigs, SELF)
 
 
+def _piece_lines(fx):
+    """The contigs as FASTA lines of 60 bases in five files, seven lines to a block, so that most contigs reach into several blocks."""
+    lines = F.concat(F.array(F.concat(F.lit(">c"), "contig_id", F.lit(" of "), F.length("seq"))), F.regexp_extract_all("seq", F.lit("(.{1,60})"), F.lit(1)))
+    rows = fx.contigs.select("contig_id", F.posexplode(lines).alias("i", "value"))
+    line = F.col("contig_id") * 100000 + F.col("i")
+    return rows.select(F.concat(F.lit("file"), F.col("contig_id") % 5).alias("file"), F.floor(line / 7).alias("block"), line.alias("line"), "value")
+
+
+@query("s1_sequence_pieces", """
+SELECT concat('c', contig_id) AS contig_id, length(seq) AS contig_len, o AS "offset", substr(seq, CAST(o AS INT) + 1, 256) AS bases
+FROM (SELECT contig_id, seq, unnest(range(0, length(seq), 256)) AS o FROM {contigs})""")
+def _(fx):
+    return scan.chunk(fasta.parse_pieces(_piece_lines(fx)), 1, 256).withColumn("bases", F.col("bases").cast("string"))
+
+
+@query("m1_motif_in_pieces", "SELECT * REPLACE (concat('c', contig_id) AS contig_id) FROM {hits}", win=WIN6, hits=hits_sql(PATTERN, 1))
+def _(fx):
+    return scan.motif_hits(fasta.parse_pieces(_piece_lines(fx)), PATTERN, 1)
+
+
+@query("m1_nonoverlapping_in_pieces", """
+SELECT concat('c', contig_id) AS contig_id, strand, CAST(sum(length(gap)) OVER (PARTITION BY contig_id, strand ORDER BY i) + (i - 1) * 4 + 1 AS BIGINT) AS start
+FROM (SELECT contig_id, strand, unnest(string_split_regex(seq, '[AG][CGT]T[ACGT]')) AS gap, unnest(range(1, len(string_split_regex(seq, '[AG][CGT]T[ACGT]')) + 1)) AS i,
+             len(string_split_regex(seq, '[AG][CGT]T[ACGT]')) AS n
+      FROM {contigs}, (VALUES ('+')) t(strand)
+      UNION ALL SELECT contig_id, strand, unnest(string_split_regex(seq, '[ACGT]A[ACG][CT]')), unnest(range(1, len(string_split_regex(seq, '[ACGT]A[ACG][CT]')) + 1)),
+             len(string_split_regex(seq, '[ACGT]A[ACG][CT]'))
+      FROM {contigs}, (VALUES ('-')) t(strand))
+QUALIFY i < n""")
+def _(fx):
+    """Blocks of 64 bases in groups of four, so that states are handed over between blocks and groups."""
+    return scan.motif_hits_nonoverlapping(fasta.parse_pieces(_piece_lines(fx)), "RBTN", 64, 4).select("contig_id", "strand", "start")
+
+
 @query("m2_mismatch_search", "SELECT * FROM {hits}", win=WIN6, hits=hits_sql(PATTERN, 1))
 def _(fx):
     return scan.motif_hits(fx.contigs, PATTERN, 1)

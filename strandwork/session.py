@@ -48,13 +48,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder and drop its lineage."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a source that has fewer files than the cluster has cores.
-
-    Reading such a source leaves most cores idle, and it is small or made of a few very
-    large files. Anything with more files already fills the cluster and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, *keys) if 0 < len(df.inputFiles()) < cores else df

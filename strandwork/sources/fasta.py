@@ -5,10 +5,16 @@ be used; `read_*` functions read files.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POLICIES = ("first_header", "all_headers", "bases_only")
+#: Bases in a piece of a sequence, at most.
+PIECE = 1 << 16
 
 
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -65,6 +71,92 @@ def read_genomes(spark: SparkSession, path: str | list[str], policy: str = "all_
     return raw.select(F.col("_metadata.file_path").alias("contig_id"), genome_text(policy).alias("seq"))
 
 
+# S1, files of any size
+def read_pieces(spark: SparkSession, path: str | list[str], policy: str = "records", piece: int = PIECE) -> DataFrame:
+    """Sequences as pieces (contig_id, contig_len, at, bases), read by byte ranges.
+
+    Every task reads the lines of its own blocks of the files, so one record of any length is read by all tasks; only a line is never
+    cut by a reader. `policy` is `records` for a contig per FASTA record, or one of `genome_text` for a contig per file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    return _placed(lines.mapInArrow(_gather(policy, piece), _GATHERED), policy)
+
+
+def parse_pieces(lines: DataFrame, policy: str = "records", piece: int = PIECE) -> DataFrame:
+    """`read_pieces` of a table of lines (file, block, line, value) in any order; blocks and lines are numbered upwards, a file's first block is 0."""
+    sorted_ = lines.select("file", "block", "line", "value").repartition("file", "block").sortWithinPartitions("file", "block", "line")
+    return _placed(sorted_.mapInArrow(_gather(policy, piece), _GATHERED), policy)
+
+
+_GATHERED = "file string, block long, record int, header string, at long, bases string"
+
+
+def _gather(policy: str, piece: int):
+    """Pieces of each block: their record's number in the block (0 goes on from earlier blocks) and the record's bases before them in the block.
+
+    A row without bases brings a header. Lines of a block come in order.
+    """
+    if policy not in (*POLICIES, "records"):
+        raise ValueError(f"unknown policy {policy!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, record, at, first = None, 0, 0, True
+        for batch in batches:
+            out: list[tuple] = []
+            held: list[str] = []
+
+            def close() -> None:
+                nonlocal at
+                text = re.sub(r"\s", "", "".join(held)).upper()
+                if policy == "bases_only":
+                    text = re.sub("[^ACGTU]", "", text)
+                out.extend((*now, record, None, at + i, text[i:i + piece]) for i in range(0, len(text), piece))
+                at += len(text)
+                held.clear()
+
+            for file, block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if now != (file, block):
+                    if now is not None:
+                        close()
+                    now, record, at, first = (file, block), 0, 0, block == 0
+                if value is None:
+                    continue
+                if value.startswith(">") and (policy != "first_header" or first):
+                    close()
+                    if policy == "records":
+                        record, at = record + 1, 0
+                        out.append((*now, record, value.replace("\r", "")[1:].strip(" "), 0, ""))
+                else:
+                    held.append(value)
+                first = False
+            if now is not None:
+                close()
+            names = ["file", "block", "record", "header", "at", "bases"]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _placed(pieces: DataFrame, policy: str) -> DataFrame:
+    """Pieces with places in their contig: sums over the records of a block, then over the blocks of a file."""
+    parts = pieces.groupBy("file", "block", "record").agg(F.max("header").alias("header"), F.sum(F.length("bases")).cast("bigint").alias("size"))
+    heads = parts.groupBy("file", "block").agg(F.max("record").alias("heads"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("file", "block", F.coalesce(F.sum("heads").over(earlier), F.lit(0)).alias("before"))
+    numbered = parts.join(heads, ["file", "block"]).withColumn("number", F.col("before") + F.col("record"))
+    # A record's rows are one per block that it reaches into.
+    whole = Window.partitionBy("file", "number")
+    run = whole.orderBy("block", "record").rowsBetween(Window.unboundedPreceding, -1)
+    header = F.max("header").over(whole)
+    own = F.col("file") if policy != "records" else F.coalesce(F.substring_index(header, " ", 1), F.col("file"))
+    rows = numbered.select("file", "block", "record", own.alias("contig_id"), F.sum("size").over(whole).alias("contig_len"), F.coalesce(F.sum("size").over(run), F.lit(0)).alias("shift"))
+    return pieces.where("bases <> ''").join(rows, ["file", "block", "record"]).select(
+        "contig_id", "contig_len", (F.col("at") + F.col("shift")).alias("at"), "bases")
+
+
 # S2
 def parse_queries(records: DataFrame) -> DataFrame:
     """(query, pattern): a repeated header restarts, so its last record counts."""
