@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import plotting as P
-from .intervals import overlap_pairs
+from .cover import best_over
 
 # The texts an upload may use for a missing p-value.
 NULL_TOKENS = ("", "NA", "NaN", "nan", "null", "None")
@@ -123,7 +123,8 @@ def _last_writer(spans: DataFrame, keys: list[str], window: int = 1 << 14) -> Da
     """Stretches of constant value where later spans overwrite earlier ones.
 
     Spans are cut at window edges, so every step works on one stretch of the axis. In it, the
-    sorted edges form elementary stretches; each takes the value of the last span over it.
+    sorted edges form elementary stretches; each takes the value of the last span over it, found
+    by dyadic blocks, so the work is linear however many spans pile up.
     """
     cut = spans.withColumn("_w", F.explode(F.sequence(F.floor(F.col("start") / window), F.floor(F.col("end") / window))))
     cut = cut.withColumns({
@@ -134,11 +135,9 @@ def _last_writer(spans: DataFrame, keys: list[str], window: int = 1 << 14) -> Da
     edges = cut.select(*keys, "_w", F.explode(F.array("start", F.col("end") + 1)).alias("at")).distinct()
     order = Window.partitionBy(*keys, "_w").orderBy("at")
     pieces = edges.withColumn("_until", F.lead("at").over(order) - 1).where(F.col("_until").isNotNull())
-    cover = overlap_pairs(
-        pieces.withColumnRenamed("at", "p_start").withColumnRenamed("_until", "p_end"), cut, [*keys, "_w"],
-        ("p_start", "p_end"), ("start", "end"))
-    return cover.groupBy(*keys, "_w", "p_start", "p_end").agg(F.max("_v").alias("_v")).select(
-        *keys, F.col("p_start").alias("start"), F.col("p_end").alias("end"), F.col("_v.value").alias("value"))
+    found = best_over(pieces, cut, [*keys, "_w"], "at", "start", "end", most={"_v": F.col("_v")})
+    return pieces.join(found, [*keys, "_w", "at"]).select(
+        *keys, F.col("at").alias("start"), F.col("_until").alias("end"), F.col("_v.value").alias("value"))
 
 
 # A11

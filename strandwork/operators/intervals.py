@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cover import best_over
+
 BLOCK = 1 << 20
 STEP_BIN = 1 << 12
 # Bin widths of the interval join, 64 times wider at each level.
@@ -95,8 +97,11 @@ def overlap_best(
     return found.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_copies")
 
 
-def _steps(targets: DataFrame, keys: list[str], before: list[str], after: list[str], inclusive: bool, block: int) -> DataFrame:
-    """Stretches [_lo, _hi] between the first and last target with the best values for a probe inside."""
+def _steps(
+    targets: DataFrame, keys: list[str], before: list[str], after: list[str], inclusive: bool, block: int, carry: list[str] | None = None,
+) -> DataFrame:
+    """Stretches [_lo, _hi] between the first and last target with the best values for a probe inside, and the `carry` columns of their first position."""
+    carry = carry or []
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     later = by_block.rowsBetween(1, Window.unboundedFollowing)
@@ -116,12 +121,12 @@ def _steps(targets: DataFrame, keys: list[str], before: list[str], after: list[s
     for n in after:
         cols[f"{n}_at"] = F.least(F.min(n).over(r.rowsBetween(*to_here)), F.col(f"_in_{n}"))
         cols[f"{n}_off"] = F.least(F.min(n).over(r.rowsBetween(*to_prev)), F.col(f"_in_{n}"))
-    run = targets.join(handed, [*keys, "_blk"]).select(*keys, "_pos", *[c.alias(n) for n, c in cols.items()])
+    run = targets.join(handed, [*keys, "_blk"]).select(*keys, "_pos", *carry, *[c.alias(n) for n, c in cols.items()])
     side = "at" if inclusive else "off"
-    point = F.struct(F.col("_pos").alias("_lo"), F.col("_pos").alias("_hi"),
+    point = F.struct(F.col("_pos").alias("_lo"), F.col("_pos").alias("_hi"), *carry,
                      *[F.col(f"{n}_{side}").alias(n) for n in [*before, *after]])
     gap = F.when(F.col("_next") > F.col("_pos") + 1, F.struct(
-        (F.col("_pos") + 1).alias("_lo"), (F.col("_next") - 1).alias("_hi"),
+        (F.col("_pos") + 1).alias("_lo"), (F.col("_next") - 1).alias("_hi"), *carry,
         *[F.col(f"{n}_at").alias(n) for n in before], *[F.col(f"{n}_off").alias(n) for n in after]))
     return run.select(*keys, F.explode(F.array_compact(F.array(point, gap))).alias("s")).select(*keys, "s.*")
 
@@ -197,13 +202,52 @@ def _between(up: str, down: str, line: str = "---", box: bool = False) -> Column
     return F.concat(F.lit("["), u, F.lit("]"), mid, F.lit("["), d, F.lit("]"))
 
 
-def located(hits: DataFrame, genes: DataFrame, longest: int | None = None) -> DataFrame:
+def _looked_up(hits: DataFrame, genes: DataFrame, keys: list[str], widest: int, block: int = BLOCK) -> DataFrame:
+    """Hits with the least and greatest gene row that they overlap (_low, _high) and, where there is none, the genes around them (_up, _down).
+
+    Gene edges cut each key's axis into stretches; a stretch knows the least and greatest gene over it, the last start before and the first
+    start behind. A bin row lists the stretches of two bins, so a hit no wider than a bin reads the row of its start and nothing else: one
+    equi-join, one more for hits beyond a key's outermost edges, and no aggregate over the hits. A row lists at most one stretch per position.
+    """
+    size = 1 << max(8, (widest - 1).bit_length())
+    row = F.struct("ordinal", "gene", "g_start", "g_end", *(["g_strand"] if "g_strand" in genes.columns else []))
+    g = genes.where(F.col("g_end") >= F.col("g_start")).withColumns({"_row": row, "_start": LAST_START()})
+    none = F.lit(None).cast(g.schema["_start"].dataType)
+    marks = g.select(*keys, F.col("g_start").cast("bigint").alias("_pos"), F.col("_start").alias("_up"), F.col("_start").alias("_down")).union(
+        g.select(*keys, (F.col("g_end") + 1).cast("bigint"), none, none))
+    marks = marks.groupBy(*keys, "_pos").agg(F.max("_up").alias("_up"), F.min("_down").alias("_down"))
+    over = best_over(marks, g, keys, "_pos", "g_start", "g_end", {"_high": F.col("_row")}, {"_low": F.col("_row")})
+    marks = marks.withColumn("_blk", F.floor(F.col("_pos") / block))
+    steps = _steps(marks.join(over, [*keys, "_pos"], "left"), keys, ["_up"], ["_down"], False, block, ["_low", "_high"])
+    bins = F.sequence(F.greatest(F.floor(F.col("_lo") / size) - 1, F.lit(0)), F.floor(F.col("_hi") / size))
+    listed = steps.withColumn("_bin", F.explode(bins)).groupBy(*keys, "_bin").agg(
+        F.collect_list(F.struct("_lo", "_hi", "_low", "_high", "_up", "_down")).alias("_steps"))
+    ends = marks.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.max("_pos").alias("_last"), F.max("_up").alias("_all_up"), F.min("_down").alias("_all_down"))
+    width = F.when(F.col("end") - F.col("start") < size, F.floor(F.col("start") / size)).otherwise(F.raise_error(F.lit(f"a hit is wider than {widest}")).cast("bigint"))
+    met = hits.withColumn("_bin", width).join(listed, [*keys, "_bin"], "left").join(ends, keys, "left")
+    touched = F.filter("_steps", lambda x: (x["_lo"] <= F.col("end")) & (x["_hi"] >= F.col("start")))
+    here = F.filter("_steps", lambda x: (x["_lo"] <= F.col("start")) & (x["_hi"] >= F.col("start")))
+    met = met.withColumns({"_touched": touched, "_here": F.try_element_at(here, F.lit(1))})
+    return met.select(
+        *hits.columns, F.array_min(F.transform("_touched", lambda x: x["_low"])).alias("_low"), F.array_max(F.transform("_touched", lambda x: x["_high"])).alias("_high"),
+        F.when(F.col("start") > F.col("_last"), F.col("_all_up")).otherwise(F.col("_here._up")).alias("_up"),
+        F.when(F.col("start") < F.col("_first"), F.col("_all_down")).otherwise(F.col("_here._down")).alias("_down"))
+
+
+def located(hits: DataFrame, genes: DataFrame, longest: int | None = None, widest: int | None = None) -> DataFrame:
     """J2 + J3: loc_class (inside / overlap / intergenic) and the label of each stranded hit.
 
-    One gene on the strand gives `[g](in)`, several give `[Overlap](first)`, none gives
-    `[up]---[down]` with start/end at the contig's edges. `longest` is the gene length bound of `overlap_pairs`.
+    One gene on the strand gives `[g](in)`, several give `[Overlap](first)`, none gives `[up]---[down]` with start/end at the
+    contig's edges. `widest` states the width that no hit exceeds, such as a pattern's length: then one lookup gives everything
+    (`_looked_up`); a wider hit is an error. `longest` is the gene length bound of `overlap_pairs`, used without `widest`.
     """
-    both = intergenic_neighbours(same_strand_overlap(hits, genes, longest), genes)
+    if widest is not None:
+        g = genes.select("contig_id", "strand", "gene", "g_start", "g_end", "ordinal")
+        both = _looked_up(hits, g, ["contig_id", "strand"], widest).withColumns({
+            "first_gene": F.col("_low.gene"), "several": F.col("_low") < F.col("_high"), "up_gene": F.col("_up.gene"), "down_gene": F.col("_down.gene"),
+        }).drop("_low", "_high", "_up", "_down")
+    else:
+        both = intergenic_neighbours(same_strand_overlap(hits, genes, longest), genes)
     none = F.col("first_gene").isNull()
     return both.withColumns({
         "loc_class": F.when(none, "intergenic").when(F.col("several"), "overlap").otherwise("inside"),
@@ -214,9 +258,12 @@ def located(hits: DataFrame, genes: DataFrame, longest: int | None = None) -> Da
 
 
 # M4 (second half)
-def strand_of_first_gene(loci: DataFrame, genes: DataFrame, default: str = "+") -> DataFrame:
-    """Strand of the first overlapping gene in load order, else `default`."""
+def strand_of_first_gene(loci: DataFrame, genes: DataFrame, default: str = "+", widest: int | None = None) -> DataFrame:
+    """Strand of the first overlapping gene in load order, else `default`. `widest` is that of `located`."""
     g = genes.select("contig_id", "g_start", "g_end", "ordinal", F.col("strand").alias("g_strand"))
+    if widest is not None:
+        found = _looked_up(loci, g.withColumn("gene", F.lit("")), ["contig_id"], widest)
+        return found.withColumn("strand", F.coalesce("_low.g_strand", F.lit(default))).drop("_low", "_high", "_up", "_down")
     found = overlap_best(loci, g, ["contig_id"], {"strand": F.min_by("g_strand", "ordinal")})
     return found.withColumn("strand", F.coalesce("strand", F.lit(default)))
 
@@ -235,11 +282,18 @@ def gene_context(hits: DataFrame, genes: DataFrame, stranded: bool = True) -> Da
 
 
 # J5
-def located_any_strand(hits: DataFrame, genes: DataFrame) -> DataFrame:
-    """First overlapping gene of either strand as `[g](in)`, else the unstranded context."""
+def located_any_strand(hits: DataFrame, genes: DataFrame, widest: int | None = None) -> DataFrame:
+    """First overlapping gene of either strand as `[g](in)`, else the unstranded context. `widest` is that of `located`."""
     g = genes.select("contig_id", "gene", "g_start", "g_end", "ordinal")
-    found = overlap_best(hits, g, ["contig_id"], {"first_gene": F.min_by("gene", "ordinal")})
-    return gene_context(found, genes, stranded=False).withColumn(
+    if widest is not None:
+        # Without an overlap, the last gene that starts before the hit also ends before it.
+        found = _looked_up(hits, g, ["contig_id"], widest).withColumns({
+            "first_gene": F.col("_low.gene"), "up_gene": F.col("_up.gene"), "down_gene": F.col("_down.gene")}).drop("_low", "_high", "_up", "_down")
+        found = found.withColumn("context", _between("up_gene", "down_gene"))
+    else:
+        found = overlap_best(hits, g, ["contig_id"], {"first_gene": F.min_by("gene", "ordinal")})
+        found = gene_context(found, genes, stranded=False)
+    return found.withColumn(
         "location", F.when(F.col("first_gene").isNotNull(), F.concat(F.lit("["), "first_gene", F.lit("](in)")))
         .otherwise(F.col("context"))).drop("up_gene", "down_gene", "context", "first_gene")
 

@@ -22,7 +22,7 @@ def _(fx):
 
 @query("j2_stranded_location", "SELECT contig_id, start, strand, loc_class, location FROM {loc}", **LOC_CTES)
 def _(fx):
-    return intervals.located(exact_hits(fx), fx.genes).select("contig_id", "start", "strand", "loc_class", "location")
+    return intervals.located(exact_hits(fx), fx.genes, widest=6).select("contig_id", "start", "strand", "loc_class", "location")
 
 
 @query("j3_intergenic_neighbours", """
@@ -65,7 +65,7 @@ FROM {ctx} c JOIN (SELECT h.contig_id, h.start, h.strand,
   FROM {hits} h LEFT JOIN {genes} g ON g.contig_id = h.contig_id GROUP BY h.contig_id, h.start, h.strand) o
 ON o.contig_id = c.contig_id AND o.start = c.start AND o.strand = c.strand""", **HIT_CTES, ctx=_CONTEXT.format(extra=""))
 def _(fx):
-    return intervals.located_any_strand(exact_hits(fx), fx.genes).select("contig_id", "start", "strand", "location")
+    return intervals.located_any_strand(exact_hits(fx), fx.genes, widest=6).select("contig_id", "start", "strand", "location")
 
 
 def _map_sql(running: bool) -> str:
@@ -208,7 +208,7 @@ def _(fx):
 
 def results_table(fx):
     """Located hits in the column names of the results file."""
-    return intervals.located(exact_hits(fx), fx.genes).select(
+    return intervals.located(exact_hits(fx), fx.genes, widest=6).select(
         "contig_id", F.col("start").alias("Start"), F.col("end").alias("End"), F.col("strand").alias("Strand"),
         F.col("pattern").alias("Pattern"), F.col("found_seq").alias("Found_Sequence"),
         F.col("location").alias("Location"), F.col("mismatches").alias("Mismatches"))

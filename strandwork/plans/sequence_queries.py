@@ -73,7 +73,7 @@ LOC_CTES = HIT_CTES | {"loc": LOCATED}
 
 @query("flagship_motif_to_location", "SELECT * FROM {loc}", **K1_CTES)
 def _(fx):
-    return filters.by_position(intervals.located(scan.motif_hits(fx.contigs, PATTERN, 1), fx.genes, longest=4096))
+    return filters.by_position(intervals.located(scan.motif_hits(fx.contigs, PATTERN, 1), fx.genes, widest=len(PATTERN)))
 
 
 # Scans -----------------------------------------------------------------------------
@@ -160,7 +160,7 @@ LEFT JOIN {{genes}} g ON g.contig_id = p.contig_id AND g.g_start <= p."end" AND
 GROUP BY p.contig_id, p.start, p."end", p.w""", win=WIN6)
 def _(fx):
     loci = scan.pattern_palindromes(fx.contigs, SELF, 1)
-    return intervals.strand_of_first_gene(loci, fx.genes)
+    return intervals.strand_of_first_gene(loci, fx.genes, widest=len(SELF))
 
 
 @query("m5_region_palindromes", f"""
@@ -476,7 +476,7 @@ def _(fx):
 
 # Filters and ordering --------------------------------------------------------------
 def _located(fx):
-    return intervals.located(exact_hits(fx), fx.genes)
+    return intervals.located(exact_hits(fx), fx.genes, widest=len(PATTERN))
 
 
 @query("p1_region_endpoint_filter", 'SELECT * FROM {hits} WHERE start BETWEEN 100 AND 102 OR "end" BETWEEN 100 AND 102', **HIT_CTES)
