@@ -23,7 +23,9 @@ def dyadic_blocks(start: Column, end: Column, levels: int = LEVELS) -> Column:
         right = F.when((low < high) & (high % 2 == 1), F.struct(j.alias("level"), (high - 1).alias("no")))
         return F.array(left, right)
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at)))
+    # No block is longer than the span.
+    top = F.floor(F.log2(F.greatest(e - s, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.least(top, F.lit(levels - 1))), at)))
 
 
 def best_over(
@@ -33,8 +35,12 @@ def best_over(
     """Distinct points (keys, at) under at least one span, with the maximum of each `most` and the minimum of each `least` over the spans."""
     most, least = most or {}, least or {}
     best = [F.max(n).alias(n) for n in most] + [F.min(n).alias(n) for n in least]
-    blocks = spans.select(*keys, *[c.alias(n) for n, c in (most | least).items()], F.inline(dyadic_blocks(F.col(start), F.col(end), levels)))
-    blocks = blocks.groupBy(*keys, "level", "no").agg(*best)
-    up = points.select(*keys, at).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    up = up.withColumn("no", F.call_function("shiftright", F.col(at).cast("bigint"), F.col("level")))
-    return up.join(blocks, [*keys, "level", "no"]).groupBy(*keys, at).agg(*best)
+    blocks = spans.select(*keys, *[c.alias(n) for n, c in (most | least).items()], F.explode(dyadic_blocks(F.col(start), F.col(end), levels)).alias("b"))
+    # Level and number as one key.
+    blocks = blocks.groupBy(*keys, (F.col("b.no") * 64 + F.col("b.level")).alias("block")).agg(*best)
+    # No block is longer than the longest span; the levels above it cost nothing.
+    size = (F.floor(F.log2((F.col(end) - F.col(start) + 1).cast("double"))) + 1).cast("int")
+    used = spans.where(F.col(end) >= F.col(start)).select(F.explode(F.sequence(F.lit(0), size)).alias("level")).distinct()
+    up = points.select(*keys, at).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).join(used, "level", "left_semi")
+    up = up.select(*keys, at, (F.call_function("shiftright", F.col(at).cast("bigint"), F.col("level")) * 64 + F.col("level")).alias("block"))
+    return up.join(blocks, [*keys, "block"]).groupBy(*keys, at).agg(*best)

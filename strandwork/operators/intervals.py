@@ -203,25 +203,28 @@ def _between(up: str, down: str, line: str = "---", box: bool = False) -> Column
 
 
 def _looked_up(hits: DataFrame, genes: DataFrame, keys: list[str], widest: int, block: int = BLOCK) -> DataFrame:
-    """Hits with the least and greatest gene row that they overlap (_low, _high) and, where there is none, the genes around them (_up, _down).
+    """Hits with the first gene in load order that they overlap (_low), whether there are `several`, and, where there is none, the genes around them (_up, _down).
 
-    Gene edges cut each key's axis into stretches; a stretch knows the least and greatest gene over it, the last start before and the first
+    Gene edges cut each key's axis into stretches; a stretch knows the first gene over it and whether there are more, the last start before and the first
     start behind. A bin row lists the stretches of two bins, so a hit no wider than a bin reads the row of its start and nothing else: one
     equi-join, one more for hits beyond a key's outermost edges, and no aggregate over the hits. A row lists at most one stretch per position.
     """
     size = 1 << max(8, (widest - 1).bit_length())
-    row = F.struct("ordinal", "gene", "g_start", "g_end", *(["g_strand"] if "g_strand" in genes.columns else []))
-    g = genes.where(F.col("g_end") >= F.col("g_start")).withColumns({"_row": row, "_start": LAST_START()})
+    told = ["gene", *(["g_strand"] if "g_strand" in genes.columns else [])]
+    g = genes.where(F.col("g_end") >= F.col("g_start")).withColumns({"_row": F.xxhash64("ordinal", "g_start", "g_end", *told), "_start": LAST_START()})
     none = F.lit(None).cast(g.schema["_start"].dataType)
     marks = g.select(*keys, F.col("g_start").cast("bigint").alias("_pos"), F.col("_start").alias("_up"), F.col("_start").alias("_down")).union(
         g.select(*keys, (F.col("g_end") + 1).cast("bigint"), none, none))
     marks = marks.groupBy(*keys, "_pos").agg(F.max("_up").alias("_up"), F.min("_down").alias("_down"))
-    over = best_over(marks, g, keys, "_pos", "g_start", "g_end", {"_high": F.col("_row")}, {"_low": F.col("_row")})
+    # Numbers only while spans and points meet; a hash tells whether two different rows are over a point.
+    over = best_over(marks, g, keys, "_pos", "g_start", "g_end", {"_h1": F.col("_row")}, {"_h0": F.col("_row"), "_ord": F.col("ordinal")})
+    first = g.groupBy(*keys, F.col("ordinal").alias("_ord")).agg(F.min(F.struct(*told)).alias("_gene"))
+    over = over.join(first, [*keys, "_ord"])
     marks = marks.withColumn("_blk", F.floor(F.col("_pos") / block))
-    steps = _steps(marks.join(over, [*keys, "_pos"], "left"), keys, ["_up"], ["_down"], False, block, ["_low", "_high"])
+    steps = _steps(marks.join(over, [*keys, "_pos"], "left"), keys, ["_up"], ["_down"], False, block, ["_ord", "_gene", "_h0", "_h1"])
     bins = F.sequence(F.greatest(F.floor(F.col("_lo") / size) - 1, F.lit(0)), F.floor(F.col("_hi") / size))
     listed = steps.withColumn("_bin", F.explode(bins)).groupBy(*keys, "_bin").agg(
-        F.collect_list(F.struct("_lo", "_hi", "_low", "_high", "_up", "_down")).alias("_steps"))
+        F.collect_list(F.struct("_lo", "_hi", "_ord", "_gene", "_h0", "_h1", "_up", "_down")).alias("_steps"))
     ends = marks.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.max("_pos").alias("_last"), F.max("_up").alias("_all_up"), F.min("_down").alias("_all_down"))
     width = F.when(F.col("end") - F.col("start") < size, F.floor(F.col("start") / size)).otherwise(F.raise_error(F.lit(f"a hit is wider than {widest}")).cast("bigint"))
     met = hits.withColumn("_bin", width).join(listed, [*keys, "_bin"], "left").join(ends, keys, "left")
@@ -229,7 +232,8 @@ def _looked_up(hits: DataFrame, genes: DataFrame, keys: list[str], widest: int,
     here = F.filter("_steps", lambda x: (x["_lo"] <= F.col("start")) & (x["_hi"] >= F.col("start")))
     met = met.withColumns({"_touched": touched, "_here": F.try_element_at(here, F.lit(1))})
     return met.select(
-        *hits.columns, F.array_min(F.transform("_touched", lambda x: x["_low"])).alias("_low"), F.array_max(F.transform("_touched", lambda x: x["_high"])).alias("_high"),
+        *hits.columns, F.array_min(F.transform(F.filter("_touched", lambda x: x["_ord"].isNotNull()), lambda x: F.struct(x["_ord"], x["_gene"].alias("gene"))))["gene"].alias("_low"),
+        (F.array_min(F.transform("_touched", lambda x: x["_h0"])) < F.array_max(F.transform("_touched", lambda x: x["_h1"]))).alias("several"),
         F.when(F.col("start") > F.col("_last"), F.col("_all_up")).otherwise(F.col("_here._up")).alias("_up"),
         F.when(F.col("start") < F.col("_first"), F.col("_all_down")).otherwise(F.col("_here._down")).alias("_down"))
 
@@ -244,8 +248,8 @@ def located(hits: DataFrame, genes: DataFrame, longest: int | None = None, wides
     if widest is not None:
         g = genes.select("contig_id", "strand", "gene", "g_start", "g_end", "ordinal")
         both = _looked_up(hits, g, ["contig_id", "strand"], widest).withColumns({
-            "first_gene": F.col("_low.gene"), "several": F.col("_low") < F.col("_high"), "up_gene": F.col("_up.gene"), "down_gene": F.col("_down.gene"),
-        }).drop("_low", "_high", "_up", "_down")
+            "first_gene": F.col("_low.gene"), "up_gene": F.col("_up.gene"), "down_gene": F.col("_down.gene"),
+        }).drop("_low", "_up", "_down")
     else:
         both = intergenic_neighbours(same_strand_overlap(hits, genes, longest), genes)
     none = F.col("first_gene").isNull()
@@ -263,7 +267,7 @@ def strand_of_first_gene(loci: DataFrame, genes: DataFrame, default: str = "+",
     g = genes.select("contig_id", "g_start", "g_end", "ordinal", F.col("strand").alias("g_strand"))
     if widest is not None:
         found = _looked_up(loci, g.withColumn("gene", F.lit("")), ["contig_id"], widest)
-        return found.withColumn("strand", F.coalesce("_low.g_strand", F.lit(default))).drop("_low", "_high", "_up", "_down")
+        return found.withColumn("strand", F.coalesce("_low.g_strand", F.lit(default))).drop("_low", "several", "_up", "_down")
     found = overlap_best(loci, g, ["contig_id"], {"strand": F.min_by("g_strand", "ordinal")})
     return found.withColumn("strand", F.coalesce("strand", F.lit(default)))
 
@@ -288,7 +292,7 @@ def located_any_strand(hits: DataFrame, genes: DataFrame, widest: int | None = N
     if widest is not None:
         # Without an overlap, the last gene that starts before the hit also ends before it.
         found = _looked_up(hits, g, ["contig_id"], widest).withColumns({
-            "first_gene": F.col("_low.gene"), "up_gene": F.col("_up.gene"), "down_gene": F.col("_down.gene")}).drop("_low", "_high", "_up", "_down")
+            "first_gene": F.col("_low.gene"), "up_gene": F.col("_up.gene"), "down_gene": F.col("_down.gene")}).drop("_low", "several", "_up", "_down")
         found = found.withColumn("context", _between("up_gene", "down_gene"))
     else:
         found = overlap_best(hits, g, ["contig_id"], {"first_gene": F.min_by("gene", "ordinal")})

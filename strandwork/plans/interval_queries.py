@@ -21,6 +21,11 @@ def _(fx):
 
 
 @query("j2_stranded_location", "SELECT contig_id, start, strand, loc_class, location FROM {loc}", **LOC_CTES)
+def _(fx):
+    return intervals.located(exact_hits(fx), fx.genes).select("contig_id", "start", "strand", "loc_class", "location")
+
+
+@query("j2_one_lookup", "SELECT contig_id, start, strand, loc_class, location FROM {loc}", **LOC_CTES)
 def _(fx):
     return intervals.located(exact_hits(fx), fx.genes, widest=6).select("contig_id", "start", "strand", "loc_class", "location")
 
@@ -208,7 +213,7 @@ def _(fx):
 
 def results_table(fx):
     """Located hits in the column names of the results file."""
-    return intervals.located(exact_hits(fx), fx.genes, widest=6).select(
+    return intervals.located(exact_hits(fx), fx.genes).select(
         "contig_id", F.col("start").alias("Start"), F.col("end").alias("End"), F.col("strand").alias("Strand"),
         F.col("pattern").alias("Pattern"), F.col("found_seq").alias("Found_Sequence"),
         F.col("location").alias("Location"), F.col("mismatches").alias("Mismatches"))

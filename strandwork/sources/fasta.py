@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .order import numbered_lines
+
 POLICIES = ("first_header", "all_headers", "bases_only")
 #: Bases in a piece of a sequence, at most.
 PIECE = 1 << 16
@@ -193,5 +195,4 @@ def parse_annotations(headers: DataFrame, key_by_locus: bool = False) -> DataFra
 
 
 def read_annotations(spark: SparkSession, path: str, key_by_locus: bool = False) -> DataFrame:
-    lines = spark.read.text(path).where(F.col("value").startswith(">"))
-    return parse_annotations(lines.withColumn("ordinal", F.monotonically_increasing_id()), key_by_locus)
+    return parse_annotations(numbered_lines(spark, path).where(F.col("value").startswith(">")), key_by_locus)

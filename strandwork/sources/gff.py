@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import numbered_lines
+
 COLUMNS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 # Where each field of a start-site comment is found.
 TSS_ID = r"ID=([^;]+)"
@@ -33,7 +35,7 @@ def parse_genes(lines: DataFrame) -> DataFrame:
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
-    return parse_genes(spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()))
+    return parse_genes(numbered_lines(spark, path))
 
 
 # S5
@@ -50,4 +52,4 @@ def parse_tss(lines: DataFrame) -> DataFrame:
 
 
 def read_tss(spark: SparkSession, path: str) -> DataFrame:
-    return parse_tss(spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()))
+    return parse_tss(numbered_lines(spark, path))

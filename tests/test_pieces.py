@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions import sequence as S
 from strandwork.operators import duplex, scan
-from strandwork.sources import fasta
+from strandwork.sources import fasta, gff
 
 RNG = random.Random(21)
 SEQS = {"a": "".join(RNG.choice("ACGT") for _ in range(900)), "b": "AT" * 60, "c": "ACG", "d": "", "e": "ACGTNNTATAATGN" * 9, "f": "TA" * 200}
@@ -93,3 +93,20 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, policy):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == sorted((r.contig_id, len(r.seq), i, r.seq[i:i + 128]) for r in want for i in range(0, len(r.seq), 128))
+
+
+def test_load_order_goes_by_file_and_place(spark, tmp_path):
+    """Small files are packed with others and large ones are cut; the order stays that of names and places."""
+    texts = {f"g{k}.gff": [f"c\tx\tgene\t{i + 1}\t{i + 9}\t.\t+\t.\tID=1;Name=n{k}_{i}" for i in range(n)] for k, n in enumerate((3, 120, 1, 40))}
+    for name, rows_ in texts.items():
+        (tmp_path / name).write_text("\n".join(rows_) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sorted((r.ordinal, r.gene) for r in gff.read_genes(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [f"n{k}_{i}" for k, name in enumerate(texts) for i in range(len(texts[name]))]
+    assert got == list(enumerate(want))
