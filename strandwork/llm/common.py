@@ -1,6 +1,7 @@
 """Shared helpers: tables, written intermediates, and words of Arrow text columns as numpy arrays."""
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _M1, _M2, _GRAM = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C17)
 _LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -45,8 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers are used again by later stages and would keep what an earlier one had at its peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of `batch` with about `limit` bytes of text each; one longer text is a slice of its own."""
+    release()
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
     begin = 0
     while begin < batch.num_rows:
@@ -54,6 +65,7 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator
         end = max(begin + 1, int(np.searchsorted(sizes, base + limit, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    release()
 
 
 def flat(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
