@@ -67,7 +67,7 @@ _CELLS = 1 << 24
 
 
 def _padded(texts: list[str], fill: int) -> np.ndarray:
-    width = max(map(len, texts))
+    width = max(1, *map(len, texts))
     flat = b"".join(t.encode().ljust(width, bytes([fill])) for t in texts)
     return np.frombuffer(flat, dtype=np.uint8).reshape(len(texts), width)
 
@@ -117,13 +117,76 @@ def _align_group(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
     ]
 
 
+def _next_row(above: np.ndarray, letter: int, y: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    row = np.empty_like(above)
+    row[0] = above[0] + GAP
+    row[1:] = np.maximum(above[:-1] + np.where(y == letter, MATCH, MISMATCH), above[1:] + GAP)
+    row -= slope
+    np.maximum.accumulate(row, out=row)
+    row += slope
+    return row
+
+
+def _trace(x: np.ndarray, y: np.ndarray, top: np.ndarray) -> tuple[list[int], int]:
+    """Moves (0 diagonal, 1 up, 2 left) from the last cell up to the row `top`, and the column where that is met.
+
+    A table of up to `_CELLS` cells is held whole. A larger one keeps the rows at 16 cuts only and is traced strip by strip from the last, each computed
+    again from the row above it and only as wide as the path has come, so memory grows with the width and not with the product.
+    """
+    slope = np.arange(len(y) + 1, dtype=np.int32) * GAP
+    if len(x) > 1 and (len(x) + 1) * (len(y) + 1) > _CELLS:
+        cuts = np.unique(np.linspace(0, len(x), min(len(x), 16) + 1).astype(np.int64))
+        rows, row = [top], top
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            for letter in x[a:b]:
+                row = _next_row(row, letter, y, slope)
+            rows.append(row)
+        moves: list[int] = []
+        j = len(y)
+        for k in range(len(rows) - 1, -1, -1):
+            part, j = _trace(x[cuts[k]:cuts[k + 1]], y[:j], rows[k][:j + 1])
+            moves += part
+        return moves, j
+    table = np.empty((len(x) + 1, len(y) + 1), dtype=np.int32)
+    table[0] = top
+    for i, letter in enumerate(x):
+        table[i + 1] = _next_row(table[i], letter, y, slope)
+    moves, i, j = [], len(x), len(y)
+    while i > 0:
+        here = table[i, j]
+        if j > 0 and here == table[i - 1, j - 1] + (MATCH if x[i - 1] == y[j - 1] else MISMATCH):
+            moves.append(0)
+            i, j = i - 1, j - 1
+        elif j == 0 or here == table[i - 1, j] + GAP:
+            moves.append(1)
+            i -= 1
+        else:
+            moves.append(2)
+            j -= 1
+    return moves, j
+
+
+def _align_long(a: str, b: str) -> tuple[str, str, int]:
+    """The alignment of `_align_group` for one pair whose table is too large to hold."""
+    x, y = (np.frombuffer(t.encode(), dtype=np.uint8) for t in (a, b))
+    moves, j = _trace(x, y, np.arange(len(y) + 1, dtype=np.int32) * GAP)
+    way = np.array(moves + [2] * j, dtype=np.uint8)[::-1]
+    top, bottom = np.full(len(way), ord("-"), dtype=np.uint8), np.full(len(way), ord("-"), dtype=np.uint8)
+    top[way != 2], bottom[way != 1] = x, y
+    score = int(np.where(way != 0, GAP, np.where(top == bottom, MATCH, MISMATCH)).sum())
+    return top.tobytes().decode(), bottom.tobytes().decode(), score
+
+
 def _align_all(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
-    """Pairs of similar length go together; a group's tables stay within `_CELLS`."""
+    """Pairs of similar length go together; a group's tables stay within `_CELLS`, and a pair beyond that goes alone."""
     order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
     out: list = [None] * len(a)
     group: list[int] = []
     wide = 0
     for k in order:
+        if (len(a[k]) + 1) * (len(b[k]) + 1) > _CELLS:
+            out[k] = _align_long(a[k], b[k])
+            continue
         reach = max(wide, len(b[k]))
         if group and (len(group) + 1) * (len(a[k]) + 1) * (reach + 1) > _CELLS:
             for g, res in zip(group, _align_group([a[g] for g in group], [b[g] for g in group])):
@@ -151,7 +214,7 @@ def _align_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def pairwise_align(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", spread: int | None = None) -> DataFrame:
     """Global alignment of each row's two sequences; adds aligned_a, aligned_b, score.
 
-    The cost and memory of a row grow with the product of its lengths. `spread` shuffles the rows into
+    The cost of a row grows with the product of its lengths; its memory only up to `_CELLS` cells, and with the length of `b` beyond that. `spread` shuffles the rows into
     that many round-robin partitions when long pairs are clustered in the input.
     """
     rows = pairs.repartition(spread) if spread else pairs

@@ -6,14 +6,23 @@ of parts is the size of a selection.
 """
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .filters import numbered
+from .hierarchy import ancestors
 
 
 # P8, W4
+def _ranked(hits: DataFrame, q: str, limit: int, limit_before_rank: bool) -> DataFrame:
+    if limit_before_rank:
+        hits = hits.orderBy("ordinal").limit(limit)
+    return hits.select("name").distinct().orderBy(
+        F.when(F.lower("name").startswith(q), 0).otherwise(1), F.length("name"), F.lower("name"), "name").limit(limit)
+
+
 def search_genes(genes: DataFrame, text: str, limit: int = 50, limit_before_rank: bool = False) -> DataFrame:
     """Names that contain `text`, ignoring case: prefix matches first, then shorter, then alphabetical.
 
@@ -22,11 +31,61 @@ def search_genes(genes: DataFrame, text: str, limit: int = 50, limit_before_rank
     if len(text) < 2:
         return genes.select("name").limit(0)
     q = text.lower()
-    hits = genes.where(F.lower("name").contains(q))
-    if limit_before_rank:
-        hits = hits.orderBy("ordinal").limit(limit)
-    return hits.select("name").distinct().orderBy(
-        F.when(F.lower("name").startswith(q), 0).otherwise(1), F.length("name"), F.lower("name"), "name").limit(limit)
+    return _ranked(genes.where(F.lower("name").contains(q)), q, limit, limit_before_rank)
+
+
+#: Folders of a stored name index.
+GRAM_PARTS = 64
+
+
+def name_grams(genes: DataFrame) -> DataFrame:
+    """Postings of the names: the columns of `genes`, `gram` and `part`; one row for each different two- and three-letter gram of a name, in lower case."""
+    low = F.lower("name")
+
+    def grams(width: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(low) - (width - 1)), lambda i: F.substring(low, i, F.lit(width)))
+        return F.when(F.length(low) >= width, every).otherwise(F.array().cast("array<string>"))
+
+    listed = genes.where(F.col("name").isNotNull()).withColumn("gram", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))))
+    return listed.withColumn("part", (F.crc32("gram") % GRAM_PARTS).cast("int"))
+
+
+def write_name_index(genes: DataFrame, path: str) -> None:
+    """Store the postings in one folder per part, sorted by gram, so that a search reads the folders of its grams and skips row groups inside them."""
+    name_grams(genes).repartition("part").sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def matching_names(postings: DataFrame, text: str) -> DataFrame:
+    """Rows whose name contains `text`, ignoring case, with the columns that `name_grams` was given.
+
+    Texts of three letters and more look up their trigrams, shorter ones a bigram. Only the rows of the rarest gram are read for names, and each is verified;
+    a gram without rows ends the search.
+    """
+    q, kept = text.lower(), [c for c in postings.columns if c not in ("gram", "part")]
+    width = min(3, len(q))
+    grams = sorted({q[i:i + width] for i in range(len(q) - width + 1)}) if width >= 2 else []
+    part = {g: zlib.crc32(g.encode()) % GRAM_PARTS for g in grams}
+    rows = lambda some: postings.where(F.col("part").isin([part[g] for g in some]) & F.col("gram").isin(some))
+    sizes = {r["gram"]: r["count"] for r in rows(grams).groupBy("gram").count().collect()} if len(grams) > 1 else dict.fromkeys(grams, 1)
+    if not grams or len(sizes) < len(grams):
+        return postings.select(kept).limit(0)
+    rarest = min(grams, key=lambda g: (sizes[g], g))
+    return rows([rarest]).where(F.lower("name").contains(q)).select(kept)
+
+
+def search_postings(postings: DataFrame, text: str, limit: int = 50, limit_before_rank: bool = False) -> DataFrame:
+    """`search_genes` over stored postings."""
+    return _ranked(matching_names(postings, text), text.lower(), limit, limit_before_rank)
+
+
+# U1
+def union_passes(passes: dict[str, DataFrame], tag: str = "part") -> DataFrame:
+    """All rows of several passes, with the name of the pass. A column that a pass lacks is null there; equal rows of two passes both stay."""
+    out = None
+    for name, rows in passes.items():
+        rows = rows.withColumn(tag, F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 # A20, S16
@@ -159,6 +218,11 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return per.withColumn("branch", F.substring("cluster", 1, 1))
 
 
+def cluster_members(clusters: DataFrame) -> DataFrame:
+    """(branch, cluster, gene): the clusters of each gene turned into the genes of each cluster."""
+    return clusters.select(F.substring("cluster", 1, 1).alias("branch"), "cluster", "gene").distinct()
+
+
 # A8, A9
 def set_sizes(names: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Name and distinct gene count of each set with at least one gene."""
@@ -186,14 +250,25 @@ def complex_members(raw: DataFrame) -> DataFrame:
 
 
 # A10
-def complexes_from_interactions(interactions: DataFrame, molecules: DataFrame) -> DataFrame:
-    """(complex, gene) of interactions with at least two distinct proteins.
+def protein_names(proteins: DataFrame, genes: DataFrame) -> DataFrame:
+    """(protein_id, gene) of (protein_id, gene_id, name): the name of the protein's gene, else the protein's own."""
+    look = genes.select(F.col("id").alias("gene_id"), F.nullif("name", F.lit("")).alias("_gene"))
+    return proteins.join(look, "gene_id", "left").select("protein_id", F.coalesce("_gene", F.nullif("name", F.lit(""))).alias("gene"))
+
+
+def complexes_from_interactions(interactions: DataFrame, molecules: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(complex, gene) of interactions with at least two distinct genes.
 
-    Interactions with the same members are one complex. Its key is the number of members and two
+    A protein's gene is its molecule's `gene_name`, `name` or `gene.name`, the first that is there and not empty, else the gene that `names`
+    (`protein_names`) gives; proteins without any take no part. Interactions with the same members are one complex. Its key is the number of members and two
     hashes of the set, whatever its size; `complex_labels` spells out the names of chosen ones.
     """
-    proteins = molecules.where(F.col("type") == "Protein").select(F.col("id").alias("molecule_id"), F.col("name").alias("gene"))
-    members = interactions.join(proteins, "molecule_id").select("interaction_id", "gene").distinct()
+    told = [F.nullif(c, F.lit("")) for c in ("gene_name", "name", "gene.name") if c.split(".")[0] in molecules.columns]
+    proteins = molecules.where(F.col("type") == "Protein").select(F.col("id").alias("molecule_id"), F.coalesce(*told).alias("gene"))
+    if names is not None:
+        other = names.select(F.col("protein_id").alias("molecule_id"), F.col("gene").alias("_gene"))
+        proteins = proteins.join(other, "molecule_id", "left").select("molecule_id", F.coalesce("gene", "_gene").alias("gene"))
+    members = interactions.join(proteins.where("gene IS NOT NULL"), "molecule_id").select("interaction_id", "gene").distinct()
     keyed = members.groupBy("interaction_id").agg(
         F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("gene")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "gene")).alias("_y")).where("_n >= 2")
     key = F.format_string("%d-%016x%016x", "_n", "_x", "_y").alias("complex")
@@ -305,30 +380,16 @@ def category_genes(categories: DataFrame, direct: DataFrame) -> DataFrame:
     """(category_id, gene) of every category: its own genes, else the union over its children.
 
     A category with genes of its own does not look at its children, so membership climbs
-    from each category to its parent only while the parent has none. One join per level, as many as
-    the tree is deep; a category that reaches itself is an error.
+    from each category to its parent only while the parent has none. Pairs of category and ancestor come by
+    pointer doubling, in log2(depth) rounds; a category that reaches itself is an error.
     """
     own = direct.select("category_id", "gene").distinct()
     full = own.select("category_id").distinct()
     # Where each category hands its genes: the parent, if that has none of its own.
-    up = categories.where(F.col("parent_id").isNotNull()).select(
-        F.col("id").alias("category_id"), F.col("parent_id").cast("bigint").alias("up")).join(
-        full.select(F.col("category_id").alias("up")), "up", "left_anti")
+    up = categories.where(F.col("parent_id").isNotNull()).select("id", F.col("parent_id").cast("bigint").alias("parent_id")).join(
+        full.select(F.col("category_id").cast("bigint").alias("parent_id")), "parent_id", "left_anti")
     # Category-to-ancestor pairs are few next to the genes, so they are walked alone.
-    reach = full.select("category_id", F.col("category_id").alias("root"))
-    frontier = cut(reach)
-    levels = [frontier]
-    while True:
-        frontier = cut(frontier.join(up.select(F.col("category_id").alias("root"), "up"), "root").select(
-            "category_id", F.col("up").alias("root")).distinct())
-        if frontier.isEmpty():
-            break
-        if len(levels) % 16 == 0 and not frontier.join(levels[len(levels) // 2], ["category_id", "root"], "left_semi").isEmpty():
-            raise ValueError("category hierarchy is cyclic")
-        levels.append(frontier)
-    pairs = levels[0]
-    for level in levels[1:]:
-        pairs = pairs.unionByName(level)
+    pairs = ancestors(up, full.select(F.col("category_id").alias("id"))).select(F.col("id").alias("category_id"), F.col("ancestor").alias("root")).distinct()
     return own.join(pairs, "category_id").select(F.col("root").alias("category_id"), "gene").distinct()
 
 

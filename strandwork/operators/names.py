@@ -145,6 +145,13 @@ def unmapped_plot_genes(plots: DataFrame, mapping: DataFrame) -> DataFrame:
     return plots.select("gene").distinct().join(used, "gene", "left_anti")
 
 
+def compared_names(ours: DataFrame, theirs: DataFrame, ours_only: str, theirs_only: str, both: str = "both", name: str = "gene") -> DataFrame:
+    """(name, side): each different name of two tables with where it occurs, by one aggregate over both. Nulls count as a name."""
+    rows = ours.select(name, F.lit(True).alias("_a"), F.lit(False).alias("_b")).union(theirs.select(name, F.lit(False), F.lit(True)))
+    met = rows.groupBy(name).agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b"))
+    return met.select(name, F.when(F.col("_a") & F.col("_b"), both).when(F.col("_a"), ours_only).otherwise(theirs_only).alias("side"))
+
+
 # J21
 def aliases(details: DataFrame) -> DataFrame:
     """(name, synonym, ordinal) from details (name, synonyms, subtilist, expression_browser, ordinal).

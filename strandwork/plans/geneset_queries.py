@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import genesets as G
-from ..operators import names
+from ..operators import hierarchy, names
 from .registry import query
 
 CHOSEN = ["cat_1", "cat_2", "cat_3"]
@@ -17,7 +17,21 @@ def chosen(fx):
 
 @query("p8_gene_search", "SELECT name FROM {gene_ids} WHERE lower(name) LIKE '%77%'")
 def _(fx):
-    return fx.gene_ids.where(F.lower("name").contains("77")).select("name")
+    return G.matching_names(G.name_grams(fx.gene_ids), "77").select("name")
+
+
+@query("p8_trigram_search", "SELECT id, name FROM {gene_ids} WHERE lower(name) LIKE '%g123%'")
+def _(fx):
+    return G.matching_names(G.name_grams(fx.gene_ids), "G123")
+
+
+@query("w4_trigram_ranking", """
+SELECT name, row_number() OVER (ORDER BY CASE WHEN lower(name) LIKE '123%' THEN 0 ELSE 1 END, length(name), lower(name), name) AS place
+FROM (SELECT DISTINCT name FROM {gene_ids} WHERE lower(name) LIKE '%123%') QUALIFY place <= 50""")
+def _(fx):
+    ranked = G.search_postings(G.name_grams(fx.gene_ids), "123", 50)
+    # The place in the sorted result, so that its order is compared too: at most 50 rows in one partition.
+    return ranked.coalesce(1).select("name", (F.monotonically_increasing_id() + 1).alias("place"))
 
 
 @query("w4_search_ranking", """
@@ -105,8 +119,7 @@ def _(fx):
 @query("u1_union_of_passes", """
 SELECT gene, 'clusters' AS part FROM {clusters} UNION ALL SELECT gene, 'categories' FROM {category_genes}""")
 def _(fx):
-    return fx.clusters.select("gene", F.lit("clusters").alias("part")).unionByName(
-        fx.category_genes.select("gene", F.lit("categories").alias("part")))
+    return G.union_passes({"clusters": fx.clusters.select("gene"), "categories": fx.category_genes.select("gene")})
 
 
 @query("a1_regulator_groups", """
@@ -181,7 +194,7 @@ def _(fx):
 
 @query("a7_cluster_inversion", "SELECT DISTINCT substr(cluster, 1, 1) AS branch, cluster, gene FROM {clusters}")
 def _(fx):
-    return fx.clusters.select(F.substring("cluster", 1, 1).alias("branch"), "cluster", "gene").distinct()
+    return G.cluster_members(fx.clusters)
 
 
 @query("a8_pathway_list", """
@@ -221,6 +234,24 @@ def _(fx):
     return found.join(G.complex_labels(found), "complex").select(F.col("label").alias("complex"), "gene")
 
 
+RAW_MOLECULES = """
+SELECT id, type, CASE WHEN id % 4 = 0 THEN concat('gn', id) ELSE '' END AS gene_name, CASE WHEN id % 4 = 1 THEN name END AS name,
+       CASE WHEN id % 4 = 2 THEN concat('st', id) END AS inner_name FROM {molecules}"""
+PROTEINS = "SELECT m.id AS protein_id, gene_id, concat('pr', m.id) AS name FROM {molecules} m LEFT JOIN {protein_genes} p ON p.protein_id = m.id"
+
+
+@query("a10_name_fallback", """
+SELECT DISTINCT concat('Complex: ', key) AS complex, gene FROM (
+  SELECT interaction_id, string_agg(gene, ' & ' ORDER BY gene) AS key, count(*) AS n FROM {mem} GROUP BY interaction_id) k
+JOIN {mem} m ON m.interaction_id = k.interaction_id WHERE n >= 2""", raw=RAW_MOLECULES, prot=PROTEINS,
+       mem="""SELECT DISTINCT interaction_id, coalesce(nullif(gene_name, ''), r.name, inner_name, g.name, p.name) AS gene
+FROM {interactions} JOIN {raw} r ON r.id = molecule_id JOIN {prot} p ON p.protein_id = r.id LEFT JOIN {gene_ids} g ON g.id = p.gene_id WHERE type = 'Protein'""")
+def _(fx):
+    raw = fx.sql(RAW_MOLECULES).withColumn("gene", F.struct(F.col("inner_name").alias("name"))).drop("inner_name")
+    found = G.complexes_from_interactions(fx.interactions, raw, G.protein_names(fx.sql(PROTEINS), fx.gene_ids))
+    return found.join(G.complex_labels(found), "complex").select(F.col("label").alias("complex"), "gene")
+
+
 @query("j27_pathway_genes", "SELECT DISTINCT pathway_id, gene FROM {pathway_members}")
 def _(fx):
     return G.pathway_genes(fx.pathway_members, fx.clusters.select(F.col("cluster").alias("pathway_id"), "gene"))
@@ -337,6 +368,25 @@ def _(fx):
     return G.root_paths(fx.categories)
 
 
+@query("g14_parent_chains", """
+WITH RECURSIVE up(id, ancestor, d) AS (
+  SELECT id, id, 0 FROM {categories} UNION ALL SELECT up.id, parent_id, d + 1 FROM up JOIN {categories} c ON c.id = up.ancestor WHERE parent_id IS NOT NULL)
+SELECT up.id, max(d) OVER (PARTITION BY up.id) - d + 1 AS step, ancestor, name FROM up JOIN {categories} c ON c.id = up.ancestor""")
+def _(fx):
+    return hierarchy.root_paths_by_parent(fx.categories)
+
+
+DEEP = "SELECT o_orderkey AS id, o_orderkey - 1 - o_orderkey % 97 AS parent_id, concat('n', o_orderkey) AS name FROM {orders}"
+
+
+@query("g14_deep_roots", """
+WITH RECURSIVE up(id, ancestor, d) AS (
+  SELECT id, id, 1 FROM {deep} UNION ALL SELECT up.id, c.parent_id, d + 1 FROM up JOIN {deep} c ON c.id = up.ancestor JOIN {deep} p ON p.id = c.parent_id)
+SELECT id, arg_max(ancestor, d) AS root, max(d) AS depth FROM up GROUP BY id""", deep=DEEP)
+def _(fx):
+    return hierarchy.roots(fx.sql(DEEP))
+
+
 @query("a22_gene_categories", """
 SELECT gene, id, name, dot, len(string_split(dot, '.')) AS level, row_number() OVER (PARTITION BY gene ORDER BY len(string_split(dot, '.')), name, id) AS position
 FROM (SELECT DISTINCT category_id, gene FROM {category_genes}) JOIN {categories} ON id = category_id""")

@@ -128,6 +128,9 @@ def _(fx):
     return N.degree(N.protein_edges(fx.interactions, fx.molecules))
 
 
+LINKED = "SELECT DISTINCT a AS src, b AS dst FROM {supplier_links} WHERE a <> b UNION SELECT b, a FROM {supplier_links} WHERE a <> b"
+
+
 @query("g11_centrality", """
 WITH RECURSIVE reach(s, v, d) AS (
   SELECT DISTINCT src, src, 0 FROM {linked} UNION SELECT s, dst, d + 1 FROM reach JOIN {linked} ON src = v WHERE d < 12),
@@ -141,7 +144,7 @@ FROM (SELECT DISTINCT src AS node FROM {linked}) k
 LEFT JOIN (SELECT x.v AS node, sum(x.n * y.n / z.n::DOUBLE) AS b FROM sigma x JOIN sigma y ON y.s = x.v JOIN sigma z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
            WHERE x.v <> x.s AND x.v <> y.v GROUP BY x.v) t1 ON t1.node = k.node
 LEFT JOIN (SELECT v AS node, sum(1.0::DOUBLE / d) AS c FROM dist WHERE d > 0 GROUP BY v) t2 ON t2.node = k.node""",
-       linked="SELECT DISTINCT a AS src, b AS dst FROM {supplier_links} WHERE a <> b UNION SELECT b, a FROM {supplier_links} WHERE a <> b")
+       linked=LINKED)
 def _(fx):
     links = fx.supplier_links
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -149,6 +152,17 @@ def _(fx):
     return out.select("node", F.round("betweenness", 6).alias("betweenness"), F.round("closeness", 6).alias("closeness"))
 
 
+@query("g11_closeness_sketch", """
+WITH RECURSIVE reach(s, v, d) AS (
+  SELECT DISTINCT src, src, 0 FROM {linked} UNION SELECT s, dst, d + 1 FROM reach JOIN {linked} ON src = v WHERE d < 12)
+SELECT v AS node, round(sum(1.0::DOUBLE / d), 6) AS exact, true AS within_5_percent FROM (SELECT s, v, min(d) AS d FROM reach GROUP BY s, v) WHERE d > 0 GROUP BY v""", linked=LINKED)
+def _(fx):
+    links = fx.supplier_links
+    exact = N.centrality(links, links.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", F.col("closeness").alias("exact"))
+    both = exact.join(N.closeness_by_sketch(links), "node")
+    return both.select("node", F.round("exact", 6).alias("exact"), (F.abs(F.col("closeness") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_5_percent"))
+
+
 @query("a27_graph_summary", """
 SELECT count(*) AS molecules, count(*) FILTER (WHERE type = 'Protein') AS proteins, (SELECT count(DISTINCT interaction_id) FROM {interactions}) AS interactions FROM {molecules}""")
 def _(fx):

@@ -118,9 +118,7 @@ SELECT gene, 'both' AS side FROM (SELECT gene FROM {cluster_names} INTERSECT SEL
 UNION ALL SELECT gene, 'cluster only' FROM (SELECT gene FROM {cluster_names} EXCEPT SELECT gene FROM {plot_genes})
 UNION ALL SELECT gene, 'plot only' FROM (SELECT gene FROM {plot_genes} EXCEPT SELECT gene FROM {cluster_names})""")
 def _(fx):
-    c, p = fx.cluster_names.select("gene"), fx.plot_genes.select("gene")
-    tag = lambda df, side: df.withColumn("side", F.lit(side))
-    return tag(c.intersect(p), "both").unionByName(tag(c.subtract(p), "cluster only")).unionByName(tag(p.subtract(c), "plot only"))
+    return names.compared_names(fx.cluster_names, fx.plot_genes, "cluster only", "plot only")
 
 
 def _aliases(fx):

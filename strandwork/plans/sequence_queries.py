@@ -381,13 +381,36 @@ def _(fx):
     return _gene_seqs(fx).where("gene_seq <> ''")
 
 
-@query("m16_pairwise_alignment")
-def _(fx):
+ALIGN_TO = "ACGTTTACCAGTACGATCAGGA"
+
+
+def _aligned(fx):
     pairs = _gene_seqs(fx).where(F.length("gene_seq") > 0).select(
-        "contig_id", "gene", F.col("gene_seq").alias("seq_a"), F.lit("ACGTTTACCAGTACGATCAGGA").alias("seq_b"))
+        "contig_id", "gene", F.col("gene_seq").alias("seq_a"), F.lit(ALIGN_TO).alias("seq_b"))
     return align.pairwise_align(pairs)
 
 
+@query("m16_pairwise_alignment")
+def _(fx):
+    return _aligned(fx)
+
+
+# One row of the score table a step: the best of diagonal and up, then a running maximum for gaps in the row.
+@query("m16_alignment_scores", f"""
+WITH RECURSIVE dp(contig_id, gene, s, i, line) AS (
+  SELECT contig_id, gene, gene_seq, 0, [-2 * j FOR j IN range(0, {len(ALIGN_TO) + 1})] FROM {{gs}} WHERE gene_seq <> ''
+  UNION ALL
+  SELECT contig_id, gene, s, i, [list_max([best[q + 1] + 2 * q FOR q IN range(0, j + 1)]) - 2 * j FOR j IN range(0, {len(ALIGN_TO) + 1})] FROM (
+    SELECT contig_id, gene, s, i + 1 AS i, list_concat([line[1] - 2], [greatest(
+      line[j] + CASE WHEN substr(s, CAST(i + 1 AS INT), 1) = substr('{ALIGN_TO}', CAST(j AS INT), 1) THEN 2 ELSE -1 END, line[j + 1] - 2) FOR j IN range(1, {len(ALIGN_TO) + 1})]) AS best
+    FROM dp WHERE i < length(s)))
+SELECT contig_id, gene, CAST(line[{len(ALIGN_TO) + 1}] AS INT) AS score, true AS rows_kept, true AS adds_up FROM dp WHERE i = length(s)""", gs=GENE_SEQS)
+def _(fx):
+    cost = F.zip_with(F.split("aligned_a", ""), F.split("aligned_b", ""), lambda x, y: F.when(x == "", 0).when((x == "-") | (y == "-"), -2).when(x == y, 2).otherwise(-1))
+    kept = (F.replace("aligned_a", F.lit("-")) == F.col("seq_a")) & (F.replace("aligned_b", F.lit("-")) == F.col("seq_b"))
+    return _aligned(fx).select("contig_id", "gene", "score", kept.alias("rows_kept"), (F.aggregate(cost, F.lit(0), lambda s, c: s + c) == F.col("score")).alias("adds_up"))
+
+
 @query("m17_consensus", """
 SELECT contig_id, string_agg(base, '' ORDER BY i) AS consensus FROM (
   SELECT contig_id, i, CASE WHEN a = m THEN 'A' WHEN t = m THEN 'T' WHEN g = m THEN 'G' ELSE 'C' END AS base FROM (

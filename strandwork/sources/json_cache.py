@@ -11,11 +11,17 @@ GENE = "map<string, struct<start: bigint, `end`: bigint, strand: string, sequenc
 def parse_gene_json(docs: DataFrame) -> DataFrame:
     """(gene, g_start, g_end, strand, sequence, ordinal) of JSON objects keyed by gene name.
 
-    `ordinal` keeps the order of the keys, which decides what "first gene" means. Genes
-    without coordinates are left out.
+    `ordinal` keeps the order of the keys, which decides what "first gene" means. A key that an object
+    repeats keeps its first place and its last value. Genes without coordinates are left out.
     """
     rest = [c for c in docs.columns if c != "value"]
-    rows = docs.select(*rest, F.posexplode(F.map_entries(F.from_json("value", GENE))).alias("ordinal", "e"))
+    keys = docs.select(*rest, F.array_sort(F.transform(
+        F.map_entries(F.from_json("value", GENE)), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))).alias("_k"))
+    other = lambda x, i: F.get("_k", i)["key"].isNull() | (F.get("_k", i)["key"] != x["key"])
+    firsts = F.filter("_k", lambda x, i: other(x, i - 1))
+    lasts = F.filter("_k", lambda x, i: other(x, i + 1))
+    once = F.zip_with(firsts, lasts, lambda a, b: F.struct(a["at"].alias("at"), b["key"].alias("key"), b["value"].alias("value")))
+    rows = keys.select(*rest, F.posexplode(F.array_sort(once)).alias("ordinal", "e"))
     return rows.select(*rest, F.col("e.key").alias("gene"), F.col("e.value.start").alias("g_start"),
                        F.col("e.value.end").alias("g_end"), F.col("e.value.strand").alias("strand"),
                        F.col("e.value.sequence").alias("sequence"), "ordinal").where(
