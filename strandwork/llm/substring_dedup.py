@@ -71,41 +71,51 @@ def _read(table: pa.Table, column: str, kind: str) -> np.ndarray:
 def _send_anchors(k: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1, 4 << 20):
-                _, anchors, row, _ = _windows(part.column(1), k, gram)
+            for part in pieces(batch, 2, 4 << 20):
+                _, anchors, row, _ = _windows(part.column(2), k, gram)
                 runs = _edges(anchors, row)
-                anchors, docs = anchors[runs], part.column(0).to_numpy()[row[runs]]
-                order = np.lexsort((docs, anchors))
-                anchors, docs = anchors[order], docs[order]
-                once = _edges(anchors, docs)
-                anchors, docs = anchors[once], docs[once]
+                anchors, row = anchors[runs], row[runs]
+                docs, tags = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
+                order = np.lexsort((tags, docs, anchors))
+                anchors, docs, tags = anchors[order], docs[order], tags[order]
+                once = _edges(anchors, docs, tags)
+                anchors, docs, tags = anchors[once], docs[once], tags[once]
                 groups = _edges(anchors)
                 sizes = np.diff(np.append(groups, len(anchors)))
-                # One entry per anchor, marked if the batch alone shows that it repeats; its other documents pass through.
+                # An anchor that the batch alone shows to repeat is sent once and marked; all its texts pass through. Of others each text is sent.
+                local = np.repeat(docs[groups] != docs[groups + sizes - 1], sizes)
+                head = np.zeros(len(anchors), dtype=bool)
+                head[groups] = True
                 bucket = (anchors % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket[groups], kind="stable")
-                sent, many = groups[order], sizes[order] > 1
-                local = np.repeat(sizes > 1, sizes)
-                through = np.flatnonzero(local)[np.argsort(bucket[local], kind="stable")]
                 every = np.arange(buckets + 1)
-                cuts, cuts2 = np.searchsorted(bucket[sent], every), np.searchsorted(bucket[through], every)
+
+                def dealt(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    at = np.flatnonzero(chosen)
+                    at = at[np.argsort(bucket[at], kind="stable")]
+                    return at, np.searchsorted(bucket[at], every)
+
+                (sent, cuts), (through, cuts2) = dealt(head | ~local), dealt(local)
                 full = np.flatnonzero(np.diff(cuts) > 0)
-                out = [pa.array(every[:-1].astype(np.int32)), _bytes(anchors[sent], cuts), _bytes(docs[sent], cuts), _bytes(many, cuts), _bytes(anchors[through], cuts2), _bytes(docs[through], cuts2)]
-                yield pa.RecordBatch.from_arrays(out, ["bucket", "anchors", "docs", "many", "known", "known_docs"]).take(pa.array(full))
+                out = [pa.array(every[:-1].astype(np.int32)), *(_bytes(c[sent], cuts) for c in (anchors, docs, tags, local)), *(_bytes(c[through], cuts2) for c in (anchors, docs, tags))]
+                yield pa.RecordBatch.from_arrays(out, ["bucket", "anchors", "docs", "tags", "many", "known", "known_docs", "known_tags"]).take(pa.array(full))
 
     return run
 
 
 def _match_anchors(table: pa.Table) -> pa.Table:
-    anchors, docs, many = _read(table, "anchors", "<u8"), _read(table, "docs", "<i8"), _read(table, "many", "?")
+    """Each text (doc, tag) with its anchors that also occur under another id. Several texts of one id alone are no repeat."""
+    anchors, docs, tags, many = _read(table, "anchors", "<u8"), _read(table, "docs", "<i8"), _read(table, "tags", "<i8"), _read(table, "many", "?")
     order = np.argsort(anchors, kind="stable")
-    anchors, docs, many = anchors[order], docs[order], many[order]
+    anchors, docs, tags, many = anchors[order], docs[order], tags[order], many[order]
     groups = _edges(anchors)
-    sizes = np.diff(np.append(groups, len(anchors)))
-    repeats = np.repeat((sizes > 1) | np.logical_or.reduceat(many, groups), sizes) & ~many if len(groups) else many
+    repeats = np.zeros(0, dtype=bool)
+    if len(groups):
+        several = (np.minimum.reduceat(docs, groups) != np.maximum.reduceat(docs, groups)) | np.logical_or.reduceat(many, groups)
+        repeats = np.repeat(several, np.diff(np.append(groups, len(anchors)))) & ~many
     doc = np.concatenate((docs[repeats], _read(table, "known_docs", "<i8")))
+    tag = np.concatenate((tags[repeats], _read(table, "known_tags", "<i8")))
     anchor = np.concatenate((anchors[repeats], _read(table, "known", "<u8")))
-    return pa.table({"doc": doc, "anchor": anchor.view(np.int64)})
+    return pa.table({"doc": doc, "tag": tag, "anchor": anchor.view(np.int64)})
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, src_doc: np.ndarray, src_pos: np.ndarray) -> list[np.ndarray]:
@@ -157,7 +167,7 @@ def _send_windows(k: int, gram: int, buckets: int):
                 cuts2 = np.searchsorted(spans[0] % buckets, every)
                 full = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(cuts2) > 0))
                 kinds = ("<i8", "<i8", "<i4", "<i4", "<i8", "<i4")
-                out = [pa.array(every[:-1].astype(np.int32)), _bytes(hashes[own][flatten], wide), _bytes(doc[head], cuts), _bytes(tags[row[head]].astype("<u4"), cuts), _bytes(pos[head].astype("<i4"), cuts), _bytes(lengths.astype("<i4"), cuts)]
+                out = [pa.array(every[:-1].astype(np.int32)), _bytes(hashes[own][flatten], wide), _bytes(doc[head], cuts), _bytes(tags[row[head]].astype("<i8"), cuts), _bytes(pos[head].astype("<i4"), cuts), _bytes(lengths.astype("<i4"), cuts)]
                 out += [_bytes(s.astype(kind), cuts2) for s, kind in zip(spans, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(out, ["bucket", "hashes", "docs", "tags", "places", "lengths", *(f"s{i}" for i in range(6))]).take(pa.array(full))
 
@@ -167,7 +177,7 @@ def _send_windows(k: int, gram: int, buckets: int):
 def _match_windows(table: pa.Table) -> pa.Table:
     lengths = _read(table, "lengths", "<i4").astype(np.int64)
     hashes = _read(table, "hashes", "<u8")
-    doc, tag, pos = (np.repeat(_read(table, c, kind).astype(np.int64), lengths) for c, kind in (("docs", "<i8"), ("tags", "<u4"), ("places", "<i4")))
+    doc, tag, pos = (np.repeat(_read(table, c, kind).astype(np.int64), lengths) for c, kind in (("docs", "<i8"), ("tags", "<i8"), ("places", "<i4")))
     pos = pos + np.arange(len(pos)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     order, owner = _first_owner(hashes, doc, tag, pos)
     told = np.flatnonzero(doc[order] > doc[order[owner]])
@@ -179,9 +189,9 @@ def _match_windows(table: pa.Table) -> pa.Table:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns doc, tag (a checksum that tells texts of one id apart) and text."""
+    """Columns doc, tag (a 64-bit hash that tells texts of one id apart) and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(text).alias("tag"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def repeated_paths(docs: DataFrame, k: int = 13, gram: int = 4, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,10 +201,11 @@ def repeated_paths(docs: DataFrame, k: int = 13, gram: int = 4, bucket_bytes: in
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    anchors = rows.select("doc", "text").mapInArrow(_send_anchors(k, gram, buckets), "bucket int, anchors binary, docs binary, many binary, known binary, known_docs binary")
-    repeats = anchors.groupBy("bucket").applyInArrow(_match_anchors, "doc long, anchor long")
-    wanted = repeats.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    found = rows.join(wanted, "doc").select("doc", "tag", "text", "anchors")
+    anchors = rows.mapInArrow(_send_anchors(k, gram, buckets), "bucket int, anchors binary, docs binary, tags binary, many binary, known binary, known_docs binary, known_tags binary")
+    repeats = anchors.groupBy("bucket").applyInArrow(_match_anchors, "doc long, tag long, anchor long")
+    # One list for each different text, with no more entries than the text has anchors, however many rows and batches hold it.
+    wanted = repeats.groupBy("doc", "tag").agg(F.collect_set("anchor").alias("anchors"))
+    found = rows.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "anchors")
     sent = found.mapInArrow(_send_windows(k, gram, buckets), "bucket int, hashes binary, docs binary, tags binary, places binary, lengths binary, s0 binary, s1 binary, s2 binary, s3 binary, s4 binary, s5 binary")
     return sent.groupBy("bucket").applyInArrow(_match_windows, _SPAN)
 
@@ -208,8 +219,11 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     carried. Windows are compared by 64-bit hash.
     """
     paths = repeated_paths(docs, k, id_col=id_col, text_col=text_col, **options)
-    listed = paths.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "len", "src_doc", "src_pos")).alias("paths"))
-    rows = _keyed(docs, id_col, text_col).join(listed, ["doc", "tag"], "left").select("doc", "text", "paths")
+    listed = paths.groupBy("doc", "tag").agg(F.collect_set(F.struct("pos", "len", "src_doc", "src_pos")).alias("paths"))
+    every = _keyed(docs, id_col, text_col)
+    # Rows with an id go through the same shuffle as in `repeated_paths`, which Spark makes once.
+    rows = every.where("doc IS NOT NULL").join(listed, ["doc", "tag"], "left").select("doc", "text", "paths")
+    rows = rows.union(every.where("doc IS NULL").select("doc", "text", F.lit(None).cast(listed.schema["paths"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +267,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
 
 def _joined(pos: np.ndarray, length: np.ndarray, src_doc: np.ndarray, src_pos: np.ndarray, k: int) -> list[dict]:
     """Join path pieces whose coordinates continue each other in both documents; lengths in words."""
-    order = np.argsort(pos, kind="stable")
+    order = np.lexsort((src_pos, src_doc, length, pos))
     pos, length, src_doc, src_pos = pos[order], length[order], src_doc[order], src_pos[order]
     fresh = np.ones(len(pos), dtype=bool)
     fresh[1:] = (pos[1:] != pos[:-1] + length[:-1]) | (src_doc[1:] != src_doc[:-1]) | (src_pos[1:] != src_pos[:-1] + length[:-1])

@@ -340,6 +340,28 @@ def test_hash_of_ids_is_little_endian(spark):
     assert row.h == hashlib.sha256(np.frombuffer(row.ids, "<u4").astype("<u4").tobytes()).hexdigest()
 
 
+def test_texts_of_one_id_are_no_repeat(spark):
+    """Equal rows and texts of one id in several batches make no anchors wanted; each different text gets each anchor once."""
+    passage = " ".join(f"p{k}" for k in range(20))
+
+    def matched(*batches):
+        send = substring_dedup._send_anchors(13, 4, 1)
+        cut = [pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in b]), pa.array([t for _, t, _ in b]), pa.array([t for _, _, t in b])], ["doc", "tag", "text"]) for b in batches]
+        got = substring_dedup._match_anchors(pa.Table.from_batches([r for batch in cut for r in send(iter([batch]))]))
+        return collections.Counter((r["doc"], r["tag"]) for r in got.to_pylist() if r["anchor"] in own)
+
+    own = set(np.unique(substring_dedup._windows(pa.array([passage]), 13, 4)[1]).view(np.int64).tolist())
+    one = [(7, 1, passage), (7, 2, passage + " x"), (7, 1, passage)]
+    assert not matched(one, one, [(7, 3, "y " + passage)])
+    told = matched(one, [(7, 3, "y " + passage)], [(9, 4, passage)])
+    assert set(told) == {(7, 1), (7, 2), (7, 3), (9, 4)} and set(told.values()) == {len(own)}
+    told = matched([*one, (9, 4, passage)], [(8, 5, passage)])
+    assert set(told) == {(7, 1), (7, 2), (9, 4), (8, 5)} and set(told.values()) == {len(own)}
+    rows = [(7, passage + f" {n % 5}") for n in range(60)] + [(8, passage)]
+    listed = substring_dedup.remove_repeats(table(spark, rows).repartition(9))
+    assert collections.Counter((r.doc_id, r.n_removed) for r in listed.collect()) == {(7, 0): 60, (8, 20): 1}
+
+
 def test_each_text_of_an_id_sends_its_windows():
     """Two texts of id 10 share a passage in one batch; the smaller id that has it is in another batch."""
     passage = " ".join(f"p{k}" for k in range(20))
