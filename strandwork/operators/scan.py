@@ -284,18 +284,26 @@ def batch_motif_hits(
         oriented(F.col("strand"), at, width).alias("found_seq"), "mismatches")
 
 
+#: A seed of this many letters meets a random position with probability 4 ** -8; spelled out it has 65,536 forms at most.
+LONGEST_SEED = 8
+
+
 def batch_motif_join(
-    contigs: DataFrame, queries: DataFrame, max_mismatches: int = 0, seed: int = 4,
+    contigs: DataFrame, queries: DataFrame, max_mismatches: int = 0, seed: int | None = None,
     strand_policy: str = "skip_palindrome",
 ) -> DataFrame:
     """M7 for a table of queries (query, pattern): a seeded equi-join, not a product.
 
     A window with at most k mismatches leaves one of k+1 disjoint pieces of the pattern
     intact. Each piece's first `seed` letters, with ambiguity codes spelled out, become join
-    keys against the genome's k-mers; candidates are then verified in full. Every pattern
+    keys against the genome's k-mers; candidates are then verified in full. Unless given, `seed` is the whole piece of the
+    shortest pattern, at most `LONGEST_SEED` letters, so that chance candidates are few and keys many. Every pattern
     needs at least (k+1)*seed letters; shorter ones raise at run time.
     """
     k = max_mismatches
+    if seed is None:
+        shortest = queries.agg(F.min(F.length("pattern"))).first()[0] or 0
+        seed = max(1, min(LONGEST_SEED, shortest // (k + 1)))
     spelled = F.create_map(*[F.lit(x) for c, b in S.IUPAC.items() for x in (F.lit(c), F.array(*map(F.lit, b)))])
     q = queries.select(
         "query", F.upper("pattern").alias("pattern"),

@@ -228,7 +228,7 @@ def _(fx):
 @query("m7_batch_motif_join", _b1, **_c1)
 def _(fx):
     rows = [f"SELECT '{n}' AS query, '{p}' AS pattern" for n, p in BATCH.items()]
-    return scan.batch_motif_join(fx.contigs, fx.spark.sql(" UNION ALL ".join(rows)), 1, seed=3)
+    return scan.batch_motif_join(fx.contigs, fx.spark.sql(" UNION ALL ".join(rows)), 1)
 
 
 def _srna(fx):
@@ -284,7 +284,25 @@ def _(fx):
     return duplex.seed_index(fx.contigs.selectExpr("contig_id AS srna_id", "seq AS srna"), 7)
 
 
-@query("m11_seed_and_extend")
+# Every exact seed walks on by itself, one pair a step: phase 0 towards the 3' end of the sRNA, phase 1 towards its 5' end, on one budget of wobbles.
+_RNA = SRNA.replace("U", "T")
+
+
+@query("m11_seed_and_extend", f"""
+WITH RECURSIVE seeds AS (
+  SELECT i AS s_start, reverse(translate(substr('{_RNA}', CAST(i AS INT), 6), 'ACGT', 'TGCA')) AS seed_rc FROM range(1, {len(_RNA) - 6 + 2}) t(i)),
+walk(contig_id, s_start, pos, ahead, behind, phase, r, l, budget) AS (
+  SELECT w.contig_id, s_start, w.start, reverse(substr(seq, CAST(greatest(w.start - {len(_RNA)}, 1) AS INT), CAST(least({len(_RNA)}, w.start - 1) AS INT))),
+         substr(seq, CAST(w.start + 6 AS INT), {len(_RNA)}), 0, 0, 0, 2
+  FROM {{win}} w JOIN seeds ON w = seed_rc JOIN {{contigs}} c ON c.contig_id = w.contig_id
+  UNION ALL
+  SELECT contig_id, s_start, pos, ahead, behind, CASE WHEN cost <= budget THEN phase ELSE phase + 1 END, r + CASE WHEN cost <= budget AND phase = 0 THEN 1 ELSE 0 END,
+         l + CASE WHEN cost <= budget AND phase = 1 THEN 1 ELSE 0 END, budget - CASE WHEN cost <= budget THEN cost ELSE 0 END
+  FROM (SELECT *, CASE WHEN pair IN ('AT', 'TA', 'CG', 'GC') THEN 0 WHEN pair IN ('GT', 'TG') THEN 1 ELSE 99 END AS cost FROM (
+    SELECT *, CASE WHEN phase = 0 THEN concat(substr('{_RNA}', CAST(s_start + 6 + r AS INT), 1), substr(ahead, r + 1, 1))
+                   WHEN s_start - 1 - l >= 1 THEN concat(substr('{_RNA}', CAST(s_start - 1 - l AS INT), 1), substr(behind, l + 1, 1)) END AS pair FROM walk WHERE phase < 2)))
+SELECT contig_id, 'rna1' AS srna_id, CAST(s_start AS INT) AS s_start, pos AS seed_start, CAST(s_start - l AS INT) AS srna_start, CAST(s_start + 5 + r AS INT) AS srna_end,
+       pos - r AS start, pos + 5 + l AS "end" FROM walk WHERE phase = 2""", win=WIN6)
 def _(fx):
     return duplex.seed_and_extend(fx.contigs, _srna(fx), 6, 2)
 
