@@ -28,10 +28,12 @@ def ancestors(links: DataFrame, starts: DataFrame) -> DataFrame:
     Each distance is a sum of different powers of two, so every pair is made by one path through the jump tables and no round repeats another's work.
     """
     reach = starts.select(F.col("id").cast("bigint")).where("id IS NOT NULL").distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("distance"))
-    for k, jump in enumerate(_jumps(links)):
+    jumps = _jumps(links)
+    for k, jump in enumerate(jumps):
         step = jump.select(F.col("id").alias("ancestor"), "up")
-        further = cut(reach.join(step, "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance")))
-        reach = reach.unionByName(further)
+        further = reach.join(step, "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
+        # The last round is read by the caller only.
+        reach = reach.unionByName(cut(further) if k + 1 < len(jumps) else further)
     return reach
 
 

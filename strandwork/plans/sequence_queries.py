@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, duplex, filters, intervals, scan
+from ..operators import align, duplex, filters, genesets, intervals, scan
 from ..sources import fasta
 from .registry import query
 
@@ -231,6 +231,18 @@ def _(fx):
     return scan.batch_motif_join(fx.contigs, fx.spark.sql(" UNION ALL ".join(rows)), 1)
 
 
+@query("u1_scan_passes", f"""
+SELECT contig_id, start, "end", strand, pattern, found_seq, mismatches, concat('strand ', strand) AS part, NULL AS query FROM {{hits}}
+UNION ALL SELECT contig_id, start, "end", strand, pattern, found_seq, mismatches, 'mismatches', NULL FROM ({hits_sql(PATTERN, 1)})
+UNION ALL SELECT contig_id, start, "end", strand, pattern, found_seq, mismatches, 'batch', query FROM ({_b1})""", **(HIT_CTES | _c1))
+def _(fx):
+    exact = exact_hits(fx)
+    cols = ["contig_id", "start", "end", "strand", "pattern", "found_seq", "mismatches"]
+    return genesets.union_passes({
+        "strand +": exact.where("strand = '+'").select(cols), "strand -": exact.where("strand = '-'").select(cols),
+        "mismatches": scan.motif_hits(fx.contigs, PATTERN, 1).select(cols), "batch": scan.batch_motif_hits(fx.contigs, BATCH, 1).select(*cols, "query")})
+
+
 def _srna(fx):
     return fx.spark.sql(f"SELECT 'rna1' AS srna_id, '{SRNA}' AS srna")
 
