@@ -86,7 +86,8 @@ def _tokens(groups: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     coded = groups.dictionary_encode()
     names, code = coded.dictionary, np.asarray(coded.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
     bytes_, bounds = flat(names)
-    seeds = word_hashes(bytes_, bounds[:-1], bounds[1:])
+    # Mixed once more: a plain hash would make word `es` of group `de` equal to word `de` of group `es`.
+    seeds = mixed(word_hashes(bytes_, bounds[:-1], bounds[1:]) * _GRAM)
     code = code[doc]
     hashes = mixed(word_hashes(data, starts, ends) ^ (seeds[code] if len(seeds) else U64(0)))
     hashes[hashes == 0] = 1
@@ -296,18 +297,17 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", least
     totals = counted.where("word IS NULL").select("g", F.col("f").alias("n"))
     words = counted.where((F.col("f") >= least) & F.col("word").isNotNull())
     tokens = stored(rows.mapInArrow(_coded(_filter(words)), "t binary"), "phrase-tokens")
-    state, found, turn = stored(_first_round(words, totals), "phrase-state"), None, 0
+    state, found = stored(_first_round(words, totals), "phrase-state"), None
     while True:
         open_ = state.where("low < high")
         if open_.isEmpty():
             break
-        turn += 1
         scored = _round(tokens, words, open_, least, longest)
         found = scored if found is None else found.union(scored)
         beaten = _ranked(found.select("g", "score"), top, F.desc("score")).groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("new"))
         tau = F.when(F.col("m") >= top, F.col("new"))
-        # A first word that occurs more often than this cannot begin a phrase with such a score.
-        need = F.when(tau.isNotNull(), F.least("most", F.expr("1000 * n div greatest(new, 1)"))).otherwise(F.least("most", "half") if turn == 1 else F.col("most"))
+        # A first word that occurs more often than this cannot begin a phrase with such a score. A round that half of the words would not widen goes on to all of them.
+        need = F.when(tau.isNotNull(), F.least("most", F.expr("1000 * n div greatest(new, 1)"))).otherwise(F.when(F.col("half") > F.col("high"), F.least("most", "half")).otherwise(F.col("most")))
         state = stored(state.join(beaten, "g", "left").select(
             "g", "n", F.col("high").alias("low"), F.greatest("high", need).alias("high"), "half", "most", tau.alias("tau")), "phrase-state")
     if found is None:

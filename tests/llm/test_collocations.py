@@ -77,3 +77,18 @@ def test_filters_that_let_all_through_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_passes", lambda bits, hashes: hashes == hashes)
     assert sorted(tuple(r) for r in collocations.collocations(docs, least=3, top=50).collect()) == plain(rows, 3, 50)
     assert collocations.collocations(docs.limit(0)).collect() == []
+
+
+def test_words_that_are_names_of_groups(spark):
+    """`es` in German and `de` in Spanish texts are different words, as are `de` in `de` and `es` in `es`."""
+    rows = [("es war es ist es gibt de es. von de", "de"), ("de la casa de es la de. es de", "es")] * 30 + [("de es und", None), ("und de", "fr")] * 20
+    docs = spark.createDataFrame([(i, t, g, "g", "h", "w", "n", "r") for i, (t, g) in enumerate(rows)], SCHEMA).repartition(3)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, least=5).collect()) == plain(rows, 5, 2000)
+
+
+def test_first_words_behind_a_round_that_half_of_the_words_does_not_widen(spark):
+    rows = [("a x a y b. z a w", "en")] * 30
+    docs = spark.createDataFrame([(i, t, g, "g", "h", "w", "n", "r") for i, (t, g) in enumerate(rows)], SCHEMA).repartition(3)
+    want = plain(rows, 5, 2000)
+    assert any(r[2].startswith("a ") for r in want)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, least=5).collect()) == want
