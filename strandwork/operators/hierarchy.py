@@ -37,21 +37,44 @@ def ancestors(links: DataFrame, starts: DataFrame) -> DataFrame:
     return reach
 
 
+def _links(categories: DataFrame) -> DataFrame:
+    """(id, parent_id) of categories whose parent is in the table."""
+    known = categories.select(F.col("id").cast("bigint").alias("parent_id")).distinct()
+    return categories.select(F.col("id").cast("bigint").alias("id"), F.col("parent_id").cast("bigint").alias("parent_id")).join(known, "parent_id", "left_semi")
+
+
 # G14
 def root_paths_by_parent(categories: DataFrame) -> DataFrame:
     """(id, step, ancestor, name): every ancestor of every category from its root (step 1) down to itself, by `parent_id` alone.
 
     A category whose parent is not in the table is a root.
     """
-    known = categories.select(F.col("id").cast("bigint").alias("parent_id")).distinct()
-    links = categories.select("id", F.col("parent_id").cast("bigint").alias("parent_id")).join(known, "parent_id", "left_semi")
-    up = cut(ancestors(links, categories))
+    up = cut(ancestors(_links(categories), categories))
     depth = up.groupBy("id").agg(F.max("distance").alias("_depth"))
     named = categories.select(F.col("id").cast("bigint").alias("ancestor"), "name")
     return up.join(depth, "id").join(named, "ancestor").select("id", (F.col("_depth") - F.col("distance") + 1).alias("step"), "ancestor", "name")
 
 
 def roots(categories: DataFrame) -> DataFrame:
-    """(id, root, depth) of every category; a root has depth 1."""
-    paths = root_paths_by_parent(categories)
-    return paths.groupBy("id").agg(F.min_by("ancestor", "step").alias("root"), F.max("step").alias("depth"))
+    """(id, root, depth) of every category; a root has depth 1.
+
+    Each category holds one row: the step to its root or, if that is farther, over the 1, 2, 4, ... next parents. A round joins the steps that have not ended with
+    the steps from where they lead, so a chain of depth d takes log2(d) rounds and no round lists ancestors. With several parents there is a row for each
+    ancestor so far away, and the farthest root counts.
+    """
+    ids = categories.select(F.col("id").cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
+    links = cut(_links(categories).where("id IS NOT NULL").distinct())
+    most, tree = links.count(), links.groupBy("id").count().where("count > 1").isEmpty()
+    root = F.col("parent_id").isNull()
+    state = cut(ids.join(links, "id", "left").select("id", F.coalesce("parent_id", "id").alias("up"), F.when(root, 0).otherwise(1).cast("bigint").alias("distance"), root.alias("done")))
+    rounds = 0
+    while not state.where("NOT done").isEmpty():
+        # A step over more links than there are can only exist on a ring.
+        if 1 << rounds > most:
+            raise ValueError("category hierarchy is cyclic")
+        onward = state.select(F.col("id").alias("up"), F.col("up").alias("_far"), F.col("distance").alias("_more"), F.col("done").alias("_done"))
+        moved = state.where("NOT done").select("id", "up", "distance").join(onward, "up").select(
+            "id", F.col("_far").alias("up"), (F.col("distance") + F.col("_more")).alias("distance"), F.col("_done").alias("done"))
+        state = cut(state.where("done").unionByName(moved if tree else moved.distinct()))
+        rounds += 1
+    return state.groupBy("id").agg(F.max_by("up", "distance").alias("root"), (F.max("distance") + 1).alias("depth"))

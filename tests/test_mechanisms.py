@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.operators import align, genesets, graph, hierarchy, names
+from strandwork.operators import align, cover, genesets, graph, hierarchy, intervals, names, scan
 from strandwork.sources import json_cache
 
 RNG = random.Random(11)
@@ -152,3 +152,16 @@ def test_compared_and_united(spark):
     assert {tuple(r) for r in names.compared_names(a, b, "a", "b").collect()} == {("p", "a"), ("q", "both"), ("r", "b"), (None, "a")}
     both = genesets.union_passes({"one": a, "two": b.withColumn("n", F.lit(1))})
     assert both.count() == 7 and both.where("part = 'one' AND n IS NULL").count() == 4
+
+
+def test_roots_keep_one_row_for_each_category(spark, monkeypatch):
+    sizes, cut = [], hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    chain = spark.range(1, 301).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"), F.lit("n").alias("name"))
+    assert {tuple(r) for r in hierarchy.roots(chain).collect()} == {(n, 1, n) for n in range(1, 301)}
+    assert max(sizes) <= 300
+    # Two parents, of which the farther root counts.
+    rows = [(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (9, None, "z"), (3, 9, "c"), (4, 3, "d"), (4, 3, "d"), (None, 1, "x"), (5, 77, "e")]
+    assert {tuple(r) for r in hierarchy.roots(spark.createDataFrame(rows, CATEGORY)).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 3), (9, 9, 1), (4, 1, 4), (5, 5, 1)}
+    with pytest.raises(ValueError, match="cyclic"):
+        hierarchy.roots(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], CATEGORY))
