@@ -411,6 +411,7 @@ def fetch_region(
     A region is cut from each chunk that it touches and put together in chunk order, so no row
     ever meets its whole contig. Equal regions are read once; rows of unknown contigs drop out.
     Chunk 0 is asked for as well: every contig has it, and it knows the contig's length.
+    Both joins are merges: Spark takes rows and chunks for as small as their compressed files and would send them all through the driver.
     """
     chunks = chunk(contigs, 1, core).withColumn("chunk_no", F.floor(F.col("offset") / core).cast("bigint"))
     keyed = rows.withColumns({"_first": F.greatest(first, F.lit(1)).cast("bigint"), "_last": last.cast("bigint")})
@@ -421,12 +422,12 @@ def fetch_region(
     numbers = F.when(F.col("_first") <= F.col("_last"), F.array_union(zero, F.sequence(
         F.floor((F.col("_first") - 1) / core).cast("bigint"), F.floor((F.col("_last") - 1) / core).cast("bigint")))).otherwise(zero)
     pieces = (
-        keyed.select(at).distinct().withColumn("chunk_no", F.explode(numbers)).join(chunks, ["contig_id", "chunk_no"])
+        keyed.select(at).distinct().withColumn("chunk_no", F.explode(numbers)).join(chunks.hint("merge"), ["contig_id", "chunk_no"])
         .select(*at, "contig_len", F.struct("chunk_no", F.when(end >= begin, F.substring(
             "bases", begin.cast("int"), (end - begin + 1).cast("int")).cast("string")).otherwise("").alias("part")).alias("p"))
     )
     whole = pieces.groupBy(at).agg(F.array_join(F.array_sort(F.collect_list("p"))["part"], "").alias(out), F.max("contig_len").alias("contig_len"))
-    return keyed.drop("contig_len").join(whole, at).withColumn("_last", F.least("_last", "contig_len"))
+    return keyed.drop("contig_len").hint("merge").join(whole, at).withColumn("_last", F.least("_last", "contig_len"))
 
 
 def palindrome_context(hits: DataFrame, contigs: DataFrame, context: int, max_mismatches: int = 0) -> DataFrame:

@@ -165,3 +165,14 @@ def test_roots_keep_one_row_for_each_category(spark, monkeypatch):
     assert {tuple(r) for r in hierarchy.roots(spark.createDataFrame(rows, CATEGORY)).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 3), (9, 9, 1), (4, 1, 4), (5, 5, 1)}
     with pytest.raises(ValueError, match="cyclic"):
         hierarchy.roots(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], CATEGORY))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+def test_regions_do_not_pass_through_the_driver(spark):
+    contigs = spark.createDataFrame([(1, "ACGT" * 300)], "contig_id long, seq string")
+    rows = spark.range(50).select(F.lit(1).cast("long").alias("contig_id"), F.col("id").alias("at"))
+    got = scan.fetch_region(rows, contigs, F.col("at") + 1, F.col("at") + 600, core=512)
+    assert "BroadcastExchange" not in _plan(got)
+    assert {(r["at"], r["region_seq"]) for r in got.collect()} == {(i, ("ACGT" * 300)[i:i + 600]) for i in range(50)}
