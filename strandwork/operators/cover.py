@@ -41,6 +41,7 @@ def best_over(
     # No block is longer than the longest span; the levels above it cost nothing.
     size = (F.floor(F.log2((F.col(end) - F.col(start) + 1).cast("double"))) + 1).cast("int")
     used = spans.where(F.col(end) >= F.col(start)).select(F.explode(F.sequence(F.lit(0), size)).alias("level")).distinct()
-    up = points.select(*keys, at).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).join(used, "level", "left_semi")
+    # `used` has `levels` rows at most; joined by shuffle, all points of a level would meet in one task.
+    up = points.select(*keys, at).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).join(F.broadcast(used), "level", "left_semi")
     up = up.select(*keys, at, (F.call_function("shiftright", F.col(at).cast("bigint"), F.col("level")) * 64 + F.col("level")).alias("block"))
     return up.join(blocks, [*keys, "block"]).groupBy(*keys, at).agg(*best)

@@ -170,6 +170,21 @@ def test_roots_keep_one_row_for_each_category(spark, monkeypatch):
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
+
+def test_probes_are_not_dealt_by_level(spark):
+    """With few levels in many partitions AQE would undo a broadcast of its own choice."""
+    genes = spark.createDataFrame([(1, "g", 5, 90, "+", 1)], "contig_id long, gene string, g_start long, g_end long, strand string, ordinal long")
+    hits = spark.range(100).select(F.lit(1).cast("long").alias("contig_id"), F.col("id").alias("start"), F.col("id").alias("end"), F.lit("+").alias("strand"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = intervals.overlap_pairs(hits, genes, ["contig_id"], how="left")
+        under = cover.best_over(hits, genes, ["contig_id"], "start", "g_start", "g_end", {"best": F.col("ordinal")})
+        assert "BroadcastHashJoin [_s" in _plan(found) and "BroadcastHashJoin [level" in _plan(under)
+        assert found.where("gene IS NOT NULL").count() == 86 and under.count() == 86
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_regions_do_not_pass_through_the_driver(spark):
     contigs = spark.createDataFrame([(1, "ACGT" * 300)], "contig_id long, seq string")
     rows = spark.range(50).select(F.lit(1).cast("long").alias("contig_id"), F.col("id").alias("at"))
