@@ -34,7 +34,8 @@ PLAIN_NETWORK = {
 
 def pattern_share(name: Column, category: str) -> Column:
     """Share of a category's patterns found in the name, ignoring case."""
-    rules = PATTERNS[category]
+    # A search finds the same names without a leading `.*`, which would try every rest of the name from each letter.
+    rules = [r.removeprefix(".*") for r in PATTERNS[category]]
     return total([F.when(name.rlike(f"(?i){r}"), 1).otherwise(0) for r in rules]) / len(rules)
 
 

@@ -51,7 +51,8 @@ SELECT id, position, function, confidence FROM (
   SELECT l.id, l.function, round(share * 0.8, 6) AS confidence, row_number() OVER (PARTITION BY l.id ORDER BY share DESC, rank) AS position
   FROM {lg} l JOIN {pred} p ON p.id = l.id WHERE l.function <> p.predicted_function AND share * 0.8 > 0.1) WHERE position <= 3""", **CTES)
 def _(fx):
-    return C.predict(genes(fx)).select("id", F.posexplode("alternatives").alias("i", "a")).select(
+    # From a plain explode Spark infers a filter that repeats all patterns on every name.
+    return C.predict(genes(fx)).select("id", F.posexplode_outer("alternatives").alias("i", "a")).where("i IS NOT NULL").select(
         "id", (F.col("i") + 1).alias("position"), "a.function", F.round("a.confidence", 6).alias("confidence"))
 
 

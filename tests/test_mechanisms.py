@@ -191,3 +191,12 @@ def test_regions_do_not_pass_through_the_driver(spark):
     got = scan.fetch_region(rows, contigs, F.col("at") + 1, F.col("at") + 600, core=512)
     assert "BroadcastExchange" not in _plan(got)
     assert {(r["at"], r["region_seq"]) for r in got.collect()} == {(i, ("ACGT" * 300)[i:i + 600]) for i in range(50)}
+
+
+def test_alternatives_read_each_pattern_once(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"part {i}", f"b{i}", f"t{i}", i % 50) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    plan = entry.queries()["r2_alternatives"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("RLIKE") <= 36 and "RLIKE (?i).*" not in plan
