@@ -375,3 +375,26 @@ def test_each_text_of_an_id_sends_its_windows():
     sent = pa.Table.from_batches(list(substring_dedup._send_windows(13, 4, 1)(iter(batches))))
     got = sorted((r["doc"], r["tag"], r["pos"], r["len"], r["src_doc"], r["src_pos"]) for r in substring_dedup._match_windows(sent).to_pylist())
     assert got == [(10, 1, 0, 8, 5, 0), (10, 2, 2, 8, 5, 0)]
+
+
+def test_encoder_slices_hold_a_megabyte_of_text(spark, monkeypatch):
+    """The encoder's arrays take tens of bytes for each byte of text, so a worker's memory follows the slice."""
+    from strandwork.llm import bpe as module
+
+    sizes, cut = [], module.pieces
+    monkeypatch.setattr(module, "pieces", lambda batch, column, limit: sizes.append(limit) or cut(batch, column, limit))
+
+    class Rows:
+        def __init__(self):
+            self.schema = {"doc_id": type("f", (), {"dataType": type("t", (), {"simpleString": staticmethod(lambda: "bigint")})()})()}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c", None])], ["doc_id", "text_"])])))
+
+    import public_tokenizers
+    got = module.encode(Rows(), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert [b.column(3).to_pylist() for b in got] == [[b"a b c", b""]] and max(sizes) <= 1 << 20
