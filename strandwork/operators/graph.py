@@ -10,12 +10,13 @@ to gene. Spelling a group out as pairs would square its size.
 """
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Scratch, cut
 
 
 # G1
@@ -258,35 +259,97 @@ def feedback_loops(edges: DataFrame, nodes: list, max_len: int) -> DataFrame:
 
 
 # G11
-def centrality(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+#: Pairs of a source and a node that `centrality` holds at once.
+PAIRS = 1 << 25
+
+
+def _two_ways(edges: DataFrame) -> DataFrame:
+    e = edges.where(F.col("a") != F.col("b"))
+    return e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+
+
+def _numbered(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, no) with numbers from 0 without gaps, and the edges (src, dst) in these numbers. Rows are counted per partition and shifted."""
+    place = F.monotonically_increasing_id()
+    placed = cut(both.select(F.col("src").alias("node")).distinct()).select("node", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_at"))
+    placed = cut(placed)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    nodes = cut(placed.join(shifts, "_part").select("node", (F.col("_before") + F.col("_at")).alias("no")))
+    ends = both.join(nodes.select(F.col("node").alias("src"), F.col("no").alias("_s")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("no").alias("_d")), "dst")
+    return nodes, cut(ends.select(F.col("_s").alias("src"), F.col("_d").alias("dst")))
+
+
+def _shares(both: DataFrame, sources: DataFrame, max_depth: int | None, room: Scratch) -> DataFrame:
+    """(no, betweenness, closeness) as far as `sources` (no) give it, a node once for each level it lies on.
+
+    Edges lead both ways, so the neighbours of a level lie on it, on the one before or are new.
+    """
+    levels = [room.keep(sources.select(F.col("no").alias("source"), F.col("no").alias("node"), F.lit(1).cast("bigint").alias("n_paths")))]
+    for _ in count(1) if max_depth is None else range(max_depth):
+        step = levels[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("n_paths").alias("n_paths"))
+        for known in levels[-2:]:
+            step = step.join(known.select("source", "node"), ["source", "node"], "left_anti")
+        step = room.keep(step)
+        if step.isEmpty():
+            break
+        levels.append(step)
+    # Shares flow back one level at a time: a node passes each predecessor its part.
+    below, parts = None, []
+    for d in range(len(levels) - 1, 0, -1):
+        if below is None:
+            below = levels[d].withColumn("delta", F.lit(0.0))
+        else:
+            give = below.select("source", F.col("node").alias("dst"), ((F.col("delta") + 1) / F.col("n_paths")).alias("unit"))
+            got = give.join(both, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum("unit").alias("unit"))
+            below = room.keep(levels[d].join(got, ["source", "node"], "left").select(
+                "source", "node", "n_paths", (F.col("n_paths") * F.coalesce("unit", F.lit(0.0))).alias("delta")))
+        parts.append(below.groupBy(F.col("node").alias("no")).agg(F.sum("delta").alias("betweenness"), (F.count(F.lit(1)) / d).alias("closeness")))
+    return reduce(DataFrame.unionByName, parts) if parts else levels[0].select(F.col("node").alias("no"), F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("closeness"))
+
+
+def centrality(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, pairs: int = PAIRS) -> DataFrame:
     """(node, betweenness, closeness) of an undirected graph given as (a, b) edges.
 
     Betweenness sums path shares over ordered pairs that start in `sources`; it is exact when
-    these are all nodes. Closeness is the sum of 1/distance from the sources that reach a node.
-    State is |sources| x |nodes| rows, so `sources` sets the cost.
+    these are all nodes. Closeness is the sum of 1/distance from the sources that reach a node; `closeness` gives it for less.
+    The work is |sources| x |nodes|. Sources go in batches of about `pairs` such rows, whose tables are deleted before the next batch, so only one batch and
+    one row per node and batch lie on disk.
     """
-    e = edges.where(F.col("a") != F.col("b"))
-    both = cut(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-        e.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
-    state = cut(path_state(both, sources, max_depth).drop("example"))
-    deepest = state.agg(F.max("dist")).first()[0] or 0
-    # Shares flow back one level at a time: a node passes each predecessor its part.
-    level = state.where(F.col("dist") == deepest).select("source", "node", F.lit(0.0).alias("delta"), "n_paths")
-    parts = [level]
-    for d in range(deepest, 0, -1):
-        give = level.select("source", F.col("node").alias("dst"), ((F.col("delta") + 1) / F.col("n_paths")).alias("unit"))
-        above = state.where(F.col("dist") == d - 1)
-        got = give.join(both, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum("unit").alias("unit"))
-        level = cut(above.join(got, ["source", "node"], "left").select(
-            "source", "node", (F.col("n_paths") * F.coalesce("unit", F.lit(0.0))).alias("delta"), "n_paths"))
-        parts.append(level)
-    share = parts[0]
-    for part in parts[1:]:
-        share = share.unionByName(part)
-    between = share.where(F.col("source") != F.col("node")).groupBy("node").agg(F.sum("delta").alias("betweenness"))
-    close = state.where(F.col("dist") > 0).groupBy("node").agg(F.sum(1 / F.col("dist")).alias("closeness"))
-    nodes = both.select(F.col("src").alias("node")).distinct()
-    return nodes.join(between, "node", "left").join(close, "node", "left").fillna(0.0, ["betweenness", "closeness"])
+    both = cut(_two_ways(edges))
+    nodes, both = _numbered(both)
+    starts = cut(nodes.join(sources.select("node").distinct(), "node").select("no"))
+    batches = max(1, -(-starts.count() * nodes.count() // pairs))
+    done = None
+    for i in range(batches):
+        room = Scratch(edges.sparkSession)
+        part = _shares(both, starts.where(F.pmod(F.xxhash64("no"), F.lit(batches)) == i), max_depth, room)
+        part = cut(part.groupBy("no").agg(F.sum("betweenness").alias("betweenness"), F.sum("closeness").alias("closeness")))
+        room.clear()
+        done = part if done is None else done.unionByName(part)
+    total = done.groupBy("no").agg(F.sum("betweenness").alias("betweenness"), F.sum("closeness").alias("closeness"))
+    return nodes.join(total, "no", "left").select("node", "betweenness", "closeness").fillna(0.0)
+
+
+def closeness(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, closeness) of ALL nodes of an undirected graph, exactly: the sum of 1/distance to every other node.
+
+    A node holds the set of nodes within d steps as bitmaps of 32,768 numbers each, and a round unites them with its neighbours' that grew in the round before. For n nodes
+    the state is n * n / 8 bytes, in rows of 4 KB, and a node's closeness is the sum of (new members / d).
+    """
+    nodes, both = _numbered(cut(_two_ways(edges)))
+    state = cut(nodes.select(F.col("no").alias("node"), F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")).groupBy("node", "bucket").agg(
+        F.bitmap_construct_agg("bit").alias("ball")).select("*", F.lit(1).cast("bigint").alias("size"), F.lit(0.0).alias("closeness"), F.lit(True).alias("grew")))
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
+        met = both.join(state.where("grew").select(F.col("node").alias("src"), "bucket", "ball"), "src").select(F.col("dst").alias("node"), "bucket", "ball")
+        merged = state.drop("grew").unionByName(met, allowMissingColumns=True).groupBy("node", "bucket").agg(
+            F.bitmap_or_agg("ball").alias("ball"), F.coalesce(F.max("size"), F.lit(0)).alias("old"), F.coalesce(F.max("closeness"), F.lit(0.0)).alias("closeness"))
+        merged = merged.withColumn("size", F.bitmap_count("ball"))
+        state = cut(merged.select("node", "bucket", "ball", "size", (F.col("closeness") + (F.col("size") - F.col("old")) / d).alias("closeness"), (F.col("size") > F.col("old")).alias("grew")))
+        if state.where("grew").isEmpty():
+            break
+    total = state.groupBy(F.col("node").alias("no")).agg(F.sum("closeness").alias("closeness"))
+    return nodes.join(total, "no").select("node", "closeness")
 
 
 def closeness_by_sketch(edges: DataFrame, max_depth: int | None = None, log_k: int = 12) -> DataFrame:
@@ -296,8 +359,7 @@ def closeness_by_sketch(edges: DataFrame, max_depth: int | None = None, log_k: i
     2^`log_k` bytes or so per node, whatever their number. The standard error of a count, and so of a node's closeness at most, is about 1.04 / sqrt(2^`log_k`): 1.6 % by default; up
     to some hundred nodes the sketches are exact. Ends when no count grows any more, or after `max_depth` rounds.
     """
-    e = edges.where(F.col("a") != F.col("b"))
-    both = cut(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
+    both = cut(_two_ways(edges))
     state = cut(both.groupBy(F.col("src").alias("node")).agg(
         F.hll_sketch_agg(F.col("src").cast("string"), F.lit(log_k)).alias("ball"), F.lit(1).cast("bigint").alias("size"), F.lit(0.0).alias("closeness")))
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
@@ -315,7 +377,7 @@ def closeness_by_sketch(edges: DataFrame, max_depth: int | None = None, log_k: i
 def sampled_betweenness(edges: DataFrame, pivots: int) -> DataFrame:
     """(node, betweenness) estimated from the paths of `pivots` nodes, those of least hash, times nodes / pivots; exact if there are no more nodes than that.
 
-    State is pivots x nodes. With probability 1 - p a node's estimate is off by at most n (n - 2) sqrt(ln(2 / p) / (2 pivots)), n being the number of nodes.
+    The work is pivots x nodes. With probability 1 - p a node's estimate is off by at most n (n - 2) sqrt(ln(2 / p) / (2 pivots)), n being the number of nodes.
     """
     nodes = cut(edges.where(F.col("a") != F.col("b")).select(F.explode(F.array("a", "b")).alias("node")).distinct())
     picked = cut(nodes.orderBy(F.xxhash64("node"), "node").limit(pivots))

@@ -1,6 +1,8 @@
 """Session helpers: a tuned local session and the shared checkpoint folder."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +50,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder and drop its lineage."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables in a folder of their own below the checkpoint folder, deleted together when their work is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{use_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write `df` as Parquet and read it back, which cuts its lineage."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the tables. Spark deletes shuffle files when the driver collects their plans as garbage, which a short loop may not do by itself."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()

@@ -1,5 +1,6 @@
 """Pointer doubling, loops from half paths, closeness sketches, name postings, alignment of long pairs, repeated keys."""
 import json
+import os
 import random
 
 import pytest
@@ -94,6 +95,40 @@ def test_closeness_sketches(spark):
     assert bad.isEmpty()
 
 
+def test_exact_closeness_by_bitmaps(spark):
+    links = spark.createDataFrame([(RNG.randrange(16), RNG.randrange(16)) for _ in range(18)], "a bigint, b bigint")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    for depth in (None, 2):
+        want = {r.node: r.closeness for r in graph.centrality(links, nodes, depth).collect()}
+        assert {r.node: pytest.approx(r.closeness) for r in graph.closeness(links, depth).collect()} == want
+
+
+def test_centrality_in_batches_leaves_no_batch_behind(spark):
+    links = spark.createDataFrame([(RNG.randrange(12), RNG.randrange(12)) for _ in range(20)], "a bigint, b bigint")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = {r.node: (r.betweenness, r.closeness) for r in graph.centrality(links, nodes).collect()}
+    made, plain = [], graph.Scratch
+
+    class Seen(plain):
+        def __init__(self, session):
+            super().__init__(session)
+            made.append(self)
+
+        def keep(self, df):
+            out = super().keep(df)
+            self.most = max(getattr(self, "most", 0), out.count())
+            return out
+
+    graph.Scratch = Seen
+    try:
+        got = graph.centrality(links, nodes, pairs=50).collect()
+    finally:
+        graph.Scratch = plain
+    assert {r.node: (pytest.approx(r.betweenness), pytest.approx(r.closeness)) for r in got} == one
+    assert len(made) >= 2 and max(m.most for m in made) < len(one) ** 2
+    assert not any(os.path.exists(m.folder.removeprefix("file:")) for m in made)
+
+
 def test_sampled_betweenness(spark):
     links = spark.createDataFrame([(RNG.randrange(20), RNG.randrange(20)) for _ in range(35)], "a bigint, b bigint")
     nodes = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
