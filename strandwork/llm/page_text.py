@@ -2,9 +2,9 @@
 
 Each page becomes a tree of its block elements; runs of equal siblings (paragraphs, list items, cells) are one repeated node, so trees stay as small as the page's layout.
 The commonest tree of a host is its wrapper. Every other tree of the host is aligned with it by simple tree matching: equal labels match, and children are matched in order
-with the largest total. Texts are then counted per wrapper node over the host's distinct pages. A text that stands in a node on nearly all of them is template, texts that
-vary are its slot. A page's main text is the text of its slots, less what markup calls a menu, header, footer, sidebar, notice, advert, form or reader comments. Inside an
-article element paragraphs, headings, lists and tables are content even where pages repeat them.
+with the largest total. All texts of the pages, menus and articles alike, are then counted per wrapper node over the host's distinct pages. A text that stands in a node on
+nearly all of them is template, texts that vary are its slot. A page's main text is the text of its slots, checked against markup afterwards: what it calls a menu, header,
+footer, sidebar, notice, advert, form or reader comments goes, and inside an article element paragraphs, headings, lists and tables stay even where pages repeat them.
 
 Trees are aligned once per host and distinct tree, never per page, and counts are partial sums, so a hot host does not gather in one task. Pages meet the template nodes of
 their host by a join that is salted on both sides; a host without any adds no rows there.
@@ -158,10 +158,11 @@ def _tree(source: str) -> _Node:
     return root
 
 
-def parse(source: str) -> tuple[str, list[tuple[int, bool, str]], int]:
-    """Tree of a page as text (level and label of each node in page order), its candidate blocks and a hash of them.
+def parse(source: str) -> tuple[str, list[tuple[int, bool, str]], int, list[tuple[int, int, bool]]]:
+    """Tree of a page as text (level and label of each node in page order), the blocks markup lets pass, a hash of them, and (node, hash, open) of every text.
 
-    A block is (node, firm, text). Markup has left out what is no article; `firm` blocks are content wherever they repeat.
+    A block is (node, firm, text). The wrapper is learnt from every text of the page; markup only checks what it gives: blocks it rules out are not listed, and `firm`
+    blocks are content wherever they repeat. A text is open if it stands in a listed block that is not firm.
     """
     root = _tree(source)
     holds, mains, every = set(), [], [root]
@@ -179,6 +180,7 @@ def parse(source: str) -> tuple[str, list[tuple[int, bool, str]], int]:
     region = {id(n) for n in (articles or mains)}
     labels: list[str] = []
     blocks: list[tuple[int, bool, str]] = []
+    texts: dict[tuple[int, int], bool] = {}
 
     def number(group: list[_Node], level: int) -> None:
         """Numbers nodes of equal label together and then their children, runs of equal ones as one node."""
@@ -207,22 +209,28 @@ def parse(source: str) -> tuple[str, list[tuple[int, bool, str]], int]:
             walk.pop()
         elif isinstance(part, list):
             text = " ".join("".join(part).split())
-            if text and not off and (inside or not region):
-                blocks.append((node.no, node.tag == "h1" or (inside and (node.tag in _FIRM or id(node) in region)), text))
+            passes = bool(text) and not off and (inside or not region)
+            firm = node.tag == "h1" or (inside and (node.tag in _FIRM or id(node) in region))
+            if text:
+                said = (node.no, _hash(text))
+                texts[said] = texts.get(said, False) or (passes and not firm)
+            if passes:
+                blocks.append((node.no, firm, text))
         else:
             walk.append((part, iter(part.parts), off or part.off, inside or id(part) in region))
-    return "\n".join(labels), blocks, _hash("\n".join(b[2] for b in blocks))
+    return "\n".join(labels), blocks, _hash("\n".join(b[2] for b in blocks)), [(n, h, o) for (n, h), o in texts.items()]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("text", pa.string())]))
+    said = pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("open", pa.bool_())]))
     for batch in batches:
         for part in pieces(batch, 2):
             done = [parse(t or "") for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array([d[0] for d in done], pa.string()),
-                pa.array([[{"node": n, "hash": None if firm else _hash(t), "text": t} for n, firm, t in d[1]] for d in done], kind), pa.array([d[2] for d in done], pa.int64())],
-                names=["page_id", "url", "form", "blocks", "body"])
+                pa.array([[{"node": n, "hash": None if firm else _hash(t), "text": t} for n, firm, t in d[1]] for d in done], kind), pa.array([d[2] for d in done], pa.int64()),
+                pa.array([[{"node": n, "hash": h, "open": o} for n, h, o in d[3]] for d in done], said)], names=["page_id", "url", "form", "blocks", "body", "texts"])
 
 
 def _children(form: str) -> tuple[list[str], list[list[int]], list[int]]:
@@ -311,6 +319,35 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(rows, pa.list_(pa.int32()))], names=["host", "form_id", "n", "at"])
 
 
+def _read(pages: DataFrame) -> DataFrame:
+    """page_id, url, form, blocks, body, texts of each page (`parse`), with its host and a hash of its form."""
+    parsed = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(
+        _parsed, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, form string, blocks array<struct<node:int,hash:long,text:string>>, body long, "
+                 "texts array<struct<node:int,hash:long,open:boolean>>")
+    host = F.translate(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return parsed.withColumns({"host": F.when(host != "", host), "form_id": F.xxhash64("form")})
+
+
+def _wrappers(parsed: DataFrame, share: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(host, form_id, node, at): the place of each tree's nodes in the wrapper; and (host, at, hash, open): the template texts there."""
+    key = ["host", "form_id"]
+    # Distinct pages, by all their candidate blocks.
+    seen = parsed.where(F.col("host").isNotNull()).select(*key, "form", "body", "texts")
+    seen = stored(seen.groupBy(*key, "body").agg(F.first("form").alias("form"), F.min("texts").alias("texts")), "page-forms")
+    forms = seen.groupBy(*key).agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("n"))
+    hosts = forms.groupBy("host").agg(F.max_by("form", F.struct("n", "form_id")).alias("wrapper"), F.sum("n").alias("pages"))
+    hosts = hosts.where(F.col("pages") >= least).select("host", "wrapper")
+    aligned = stored(forms.join(hosts, "host").select(*key, "wrapper", "form", "n").mapInArrow(_matched, "host string, form_id long, n long, at array<int>"), "page-aligned")
+    nodes = aligned.select(*key, "n", F.posexplode("at").alias("node", "at")).where("at >= 0")
+    # Runs of equal siblings share a node, so texts are counted by the pages that hold them there.
+    met = nodes.groupBy("host", "at").agg(F.sum("n").alias("of"))
+    said = seen.select(*key, "texts").join(aligned.select(*key, F.col("at").alias("places")), key).select("host", "places", F.inline("texts"))
+    # Two nodes of a tree never lie at one node of the wrapper, so a page counts once.
+    said = said.select("host", F.get("places", "node").alias("at"), "hash", "open").where("at >= 0").groupBy("host", "at", "hash").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open"))
+    fixed = said.where(F.col("c") >= share * least).join(met, ["host", "at"]).where((F.col("of") >= least) & (F.col("c") >= share * F.col("of"))).select("host", "at", "hash", "open")
+    return nodes.drop("n"), fixed
+
+
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of `pages` (page_id, url, html).
 
@@ -318,28 +355,13 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataF
     Pages without a host (null url, no `://`) have no wrapper and keep all that markup leaves. A host with fewer than `least` distinct pages has no template texts; copies
     count once. Repeated rows and ids are kept, an empty table gives no rows, other columns are ignored.
     """
-    parsed = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(
-        _parsed, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, form string, blocks array<struct<node:int,hash:long,text:string>>, body long")
-    host = F.translate(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parsed = parsed.withColumns({"host": F.when(host != "", host), "form_id": F.xxhash64("form")})
+    parsed = _read(pages)
     key = ["host", "form_id"]
-    # Distinct pages, by all their candidate blocks, with the texts that may be template.
-    open_ = F.array_distinct(F.transform(F.filter("blocks", lambda b: b["hash"].isNotNull()), lambda b: F.struct(b["node"].alias("node"), b["hash"].alias("hash"))))
-    seen = parsed.where(F.col("host").isNotNull()).select(*key, "form", "body", open_.alias("texts"))
-    seen = stored(seen.groupBy(*key, "body").agg(F.first("form").alias("form"), F.first("texts").alias("texts")), "page-forms")
-    forms = seen.groupBy(*key).agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("n"), F.max(F.size("texts") > 0).alias("any_"))
-    hosts = forms.groupBy("host").agg(F.max_by("form", F.struct("n", "form_id")).alias("wrapper"), F.sum("n").alias("pages"), F.max("any_").alias("any_"))
-    hosts = hosts.where(F.col("any_") & (F.col("pages") >= least)).select("host", "wrapper")
-    aligned = stored(forms.join(hosts, "host").select(*key, "wrapper", "form", "n").mapInArrow(_matched, "host string, form_id long, n long, at array<int>"), "page-aligned")
-    nodes = aligned.select(*key, "n", F.posexplode("at").alias("node", "at")).where("at >= 0")
-    # Runs of equal siblings share a node, so texts are counted by the pages that hold them there.
-    met = nodes.groupBy("host", "at").agg(F.sum("n").alias("of"))
-    said = seen.select(*key, F.inline("texts")).groupBy(*key, "node", "hash").agg(F.count(F.lit(1)).alias("c"))
-    said = said.join(nodes.drop("n"), [*key, "node"]).groupBy("host", "at", "hash").agg(F.sum("c").alias("c"))
-    fixed = said.join(met, ["host", "at"]).where((F.col("of") >= least) & (F.col("c") >= share * F.col("of"))).select("host", "at", "hash")
-    template = nodes.join(fixed, ["host", "at"]).groupBy(*key).agg(F.collect_set(F.struct("node", "hash")).alias("template"))
+    nodes, fixed = _wrappers(parsed, share, least)
+    # Template texts that markup rules out or keeps on every page need no lookup.
+    template = nodes.join(fixed.where("open"), ["host", "at"]).groupBy(*key).agg(F.collect_set(F.struct("node", "hash")).alias("template"))
     template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("url", "body", F.col("page_id")), F.lit(_SALTS)).cast("int"))
+    salted = parsed.drop("texts").withColumn("salt", F.pmod(F.xxhash64("url", "body", F.col("page_id")), F.lit(_SALTS)).cast("int"))
     slots = F.filter("blocks", lambda b: b["hash"].isNull() | F.col("template").isNull() | ~F.array_contains(
         F.col("template"), F.struct(b["node"].alias("node"), b["hash"].alias("hash"))))
     text = F.array_join(F.transform(slots, lambda b: b["text"]), "\n")

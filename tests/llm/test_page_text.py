@@ -62,6 +62,15 @@ def test_template_needs_several_distinct_pages(spark):
     assert page_text.extract(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_wrapper_is_learnt_from_every_text(spark):
+    """Menus and paragraphs of a marked article are nodes of the wrapper like all others; markup checks its slots afterwards."""
+    rows = [(i, "http://a/", f"<nav>Menu</nav><article><h1>Title {i}</h1><p>Always</p><div>Advice</div></article>", *"123456") for i in range(4)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    fixed = page_text._wrappers(page_text._read(pages), page_text.SHARE, page_text.PAGES)[1].collect()
+    assert {(r.hash, r.open) for r in fixed} == {(page_text._hash("Menu"), False), (page_text._hash("Always"), False), (page_text._hash("Advice"), True)}
+    assert {r.page_id: r.text for r in page_text.extract(pages).collect()} == {i: f"Title {i}\nAlways" for i in range(4)}
+
+
 @pytest.mark.parametrize("source, text", [
     ("<p>a<p>b<table><tr><td>c<td>d<tr><td>e</table>f", "a\nb\nc\nd\ne\nf"), ("x<br>y&nbsp;z", "x y z"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
     ("<p title='>'>q</p><p title=\"<p>\">r", "q\nr"), ("a < b &amp;lt; &am &amp", "a < b &lt; &am &"), ("<div hidden>no</div><span class=ads>no</span>yes", "yes"),
