@@ -42,21 +42,27 @@ def srna_seeds(srnas: DataFrame, seed: int, wobble: bool = True) -> DataFrame:
     return base.select("srna_id", "srna", "s_start", F.explode(spelled).alias("kmer"))
 
 
-def _exact_seeds(srnas: DataFrame, seed: int) -> DataFrame:
-    return (
-        srnas.select("srna_id", F.upper("srna").alias("srna"))
-        .where(F.length("srna") >= seed)
-        .withColumn("s_start", F.explode(F.sequence(F.lit(1), F.length("srna") - (seed - 1))))
-        .withColumn("kmer", F.substring("srna", F.col("s_start"), F.lit(seed)))
-        .where(F.col("kmer").rlike(S.RNA_PATTERN))
-        .select("srna_id", "srna", "s_start", S.reverse_complement(S.to_dna("kmer")).alias("seed_rc"))
-    )
+def _exact_seeds(srnas: DataFrame, seed: int, carry: list[str] | None = None) -> DataFrame:
+    """srna_id, `carry` (of srna), s_start and seed_rc of each k-mer.
+
+    k-mers are slices of chunks of bytes, at equal cost wherever they lie in a sequence, and a chunk is turned around once for all of them.
+    """
+    # Places count characters, and no character of several bytes is part of a seed.
+    plain = F.when(F.octet_length("srna") == F.length("srna"), F.col("srna")).otherwise(F.regexp_replace("srna", r"[^\x00-\x7F]", "?"))
+    rows = srnas.select(F.col("srna_id").alias("contig_id"), F.upper("srna").alias("srna")).withColumn("seq", plain)
+    text, at = F.col("bases").cast("string"), F.col("at")
+    chunks = chunk(rows, seed, CORE, None, carry).withColumns({"clean": text.rlike(S.RNA_PATTERN), "rc": S.reverse_complement(S.to_dna(text)).cast("binary")})
+    spots = chunks.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("bases") - (seed - 1))))
+    spots = spots.where(F.col("clean") | F.substring("bases", at, F.lit(seed)).cast("string").rlike(S.RNA_PATTERN))
+    return spots.select(
+        F.col("contig_id").alias("srna_id"), *(carry or []), (F.col("offset") + at).cast("int").alias("s_start"),
+        F.substring("rc", F.length("rc") - at - (seed - 2), F.lit(seed)).cast("string").alias("seed_rc"))
 
 
 # M10
 def seed_index(srnas: DataFrame, seed: int) -> DataFrame:
     """Reverse complement of each sRNA k-mer and its position; k-mers with other letters are skipped."""
-    return _exact_seeds(srnas, seed).drop("srna")
+    return _exact_seeds(srnas, seed)
 
 
 def _oriented_kmers(contigs: DataFrame, seed: int, reach: int) -> DataFrame:
@@ -210,7 +216,7 @@ def seed_and_extend(contigs: DataFrame, srnas: DataFrame, seed: int, max_gu: int
             F.col("offset") + 1, F.least(F.col("offset") + CORE, F.col("contig_len") - (seed - 1)))))
         .select("contig_id", "pos", F.substring("bases", (F.col("pos") - F.col("cut")).cast("int"), F.lit(seed)).cast("string").alias("seed_rc"))
     )
-    keyed = _exact_seeds(srnas.select("srna_id", S.to_dna("srna").alias("srna")), seed)
+    keyed = _exact_seeds(srnas.select("srna_id", S.to_dna("srna").alias("srna")), seed, ["srna"])
     reach = F.length("srna")
     cand = spots.join(keyed, "seed_rc").select("contig_id", "srna_id", "srna", "s_start", "pos")
     cand = fetch_region(cand, src, F.col("pos") - reach, F.col("pos") + (seed - 1) + reach, "near").withColumnRenamed("_first", "lead")

@@ -2,11 +2,12 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.operators import align, cover, genesets, graph, hierarchy, intervals, names, scan
+from strandwork.operators import align, cover, duplex, genesets, graph, hierarchy, intervals, names, scan
 from strandwork.sources import json_cache
 
 RNG = random.Random(11)
@@ -235,3 +236,19 @@ def test_alternatives_read_each_pattern_once(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     plan = entry.queries()["r2_alternatives"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("RLIKE") <= 36 and "RLIKE (?i).*" not in plan
+
+
+def test_seeds_of_long_and_odd_sequences(spark):
+    """Chunk borders, wide characters and other letters; a k-mer costs the same wherever it lies (300,000 bases took minutes as slices of a string)."""
+    odd = "acgu" * 1100 + "é" + "ACGTAC" * 700 + "N" + "😀ACGUACGA" + "G" * 3
+    rows = [("a", odd), ("b", "ACG"), ("c", None), ("d", "éACGTACGT"), ("d", "ACGTACGT"), ("e", "")]
+    got = sorted((r.srna_id, r.s_start, r.seed_rc) for r in duplex.seed_index(spark.createDataFrame(rows, "srna_id string, srna string"), 7).collect())
+    turned = str.maketrans("ACGT", "TGCA")
+    want = [(i, p + 1, s.upper().replace("U", "T")[p:p + 7].translate(turned)[::-1]) for i, s in rows if s for p in range(len(s) - 6)
+            if set(s.upper()[p:p + 7]) <= set("ACGTU")]
+    assert got == sorted(want)
+    long = spark.range(1).select(F.lit("l").alias("srna_id"), F.expr("repeat('ACGTTGCATT', 30000)").alias("srna"))
+    began = time.monotonic()
+    assert duplex.seed_index(long, 7).count() == 299_994
+    assert duplex.seed_index(long, 7).agg(F.sum(F.hash("seed_rc"))).first()[0] is not None
+    assert time.monotonic() - began < 20
