@@ -32,21 +32,19 @@ def best_windows(targets: DataFrame, references: dict[str, str], seq: str = "tar
     """Fewest IUPAC mismatches of each reference over all windows of each target, leftmost on ties.
 
     A target shorter than the reference is compared over its own length. The windows of one
-    target are ranked inside its row, so no shuffle is needed.
+    target are ranked inside its row, so no shuffle is needed. References that a filter leaves out are not scored.
     """
-    text = F.col(seq).cast("binary")
-    scored = []
+    text, on = F.col(seq).cast("binary"), F.col("reference")
+    named, best = [], []
     for name, raw in references.items():
         ref = S.check_pattern(raw)
-        width = len(ref)
-
-        last = F.greatest(F.length(text) - (width - 1), F.lit(1))
-        best = F.array_min(F.transform(F.sequence(F.lit(1), last), _scorer(text, ref)))
-        scored.append(F.struct(F.lit(name).alias("reference"), F.lit(ref).alias("ref_seq"), best.alias("best")))
-    rows = targets.withColumn("r", F.explode(F.array(*scored)))
+        last = F.greatest(F.length(text) - (len(ref) - 1), F.lit(1))
+        named.append(F.struct(F.lit(name).alias("reference"), F.lit(ref).alias("ref_seq")))
+        best.append((on == name, F.array_min(F.transform(F.sequence(F.lit(1), last), _scorer(text, ref)))))
+    # Scores come after the references, so that a filter on these comes first.
+    rows = targets.select(*targets.columns, F.inline(F.array(*named))).withColumn("_best", S.by_case(best))
     return rows.select(
-        *targets.columns, F.col("r.reference").alias("reference"), F.col("r.ref_seq").alias("ref_seq"),
-        F.col("r.best.best_mm").alias("best_mm"), F.col("r.best.best_at").alias("best_at"),
+        *targets.columns, "reference", "ref_seq", F.col("_best.best_mm").alias("best_mm"), F.col("_best.best_at").alias("best_at"),
     ).withColumn("best_window", F.substring(F.col(seq), F.col("best_at"), F.length("ref_seq")))
 
 

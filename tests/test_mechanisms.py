@@ -252,3 +252,13 @@ def test_seeds_of_long_and_odd_sequences(spark):
     assert duplex.seed_index(long, 7).count() == 299_994
     assert duplex.seed_index(long, 7).agg(F.sum(F.hash("seed_rc"))).first()[0] is not None
     assert time.monotonic() - began < 20
+
+
+def test_references_left_out_are_not_scored(spark):
+    targets = spark.createDataFrame([("ACGTACGTTT",), ("AC",)], "target_seq string")
+    scored = align.best_windows(targets, {"one": "TTT", "two": "ACGTNNACGTTTACGACGTACC"})
+    assert {(r.target_seq, r.reference, r.best_mm, r.best_at, r.best_window) for r in scored.where("target_seq <> 'AC'").collect()} == {
+        ("ACGTACGTTT", "one", 0, 8, "TTT"), ("ACGTACGTTT", "two", 3, 1, "ACGTACGTTT")}
+    plan = scored.where("reference = 'one'")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Filter", 1)[1]
+    assert "array_min" in plan and "array_min" not in below
