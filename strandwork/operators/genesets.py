@@ -79,11 +79,14 @@ def search_postings(postings: DataFrame, text: str, limit: int = 50, limit_befor
 
 
 # U1
-def union_passes(passes: dict[str, DataFrame], tag: str = "part") -> DataFrame:
-    """All rows of several passes, with the name of the pass. A column that a pass lacks is null there; equal rows of two passes both stay."""
+def union_passes(passes: dict[str, DataFrame], tag: str = "part", names: dict[str, Column] | None = None) -> DataFrame:
+    """All rows of several passes, with the name of the pass. A column that a pass lacks is null there; equal rows of two passes both stay.
+
+    `names` names the rows of a pass one by one, so that parts which come from one scan are not scanned for apart.
+    """
     out = None
     for name, rows in passes.items():
-        rows = rows.withColumn(tag, F.lit(name))
+        rows = rows.withColumn(tag, (names or {}).get(name, F.lit(name)))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

@@ -262,3 +262,12 @@ def test_references_left_out_are_not_scored(spark):
     plan = scored.where("reference = 'one'")._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("Filter", 1)[1]
     assert "array_min" in plan and "array_min" not in below
+
+
+def test_parts_of_one_pass_are_scanned_once(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["u1_scan_passes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 3
+    rows = spark.createDataFrame([(1, "+"), (2, "-")], "n int, strand string")
+    both = genesets.union_passes({"a": rows, "b": rows}, names={"a": F.concat(F.lit("strand "), F.col("strand"))})
+    assert sorted((r.n, r.part) for r in both.collect()) == [(1, "b"), (1, "strand +"), (2, "b"), (2, "strand -")]
