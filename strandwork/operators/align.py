@@ -60,8 +60,10 @@ def top_targets(scored: DataFrame, n: int = 100, name: str = "name") -> DataFram
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-# Cells of the score tables held at once: 64 MB of int32.
+# Cells of the tables held at once: 64 MB of int32, or 16 MB of moves.
 _CELLS = 1 << 24
+# Cells of one row of all pairs of a group; a few such rows stay in a core's cache.
+_ROW = 1 << 16
 
 
 def _padded(texts: list[str], fill: int) -> np.ndarray:
@@ -71,25 +73,43 @@ def _padded(texts: list[str], fill: int) -> np.ndarray:
 
 
 def _align_group(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
-    """Align many pairs at once: every step works on one row (or one move) of all of them."""
-    x, y = _padded(a, 0), _padded(b, 1)
-    count, n, m = len(a), x.shape[1], y.shape[1]
-    slope = np.arange(m + 1, dtype=np.int32) * GAP
-    table = np.empty((count, n + 1, m + 1), dtype=np.int32)
-    table[:, 0] = slope
-    for i in range(1, n + 1):
-        above, row = table[:, i - 1], table[:, i]
-        row[:, 0] = i * GAP
-        row[:, 1:] = np.maximum(above[:, :-1] + np.where(y == x[:, i - 1, None], MATCH, MISMATCH), above[:, 1:] + GAP)
-        # A run of gaps in `a` is a running maximum once the gap slope is taken out.
-        row -= slope
-        np.maximum.accumulate(row, axis=1, out=row)
-        row += slope
-    r = np.arange(count)
-    i = np.array([len(t) for t in a])
-    j = np.array([len(t) for t in b])
-    score = table[r, i, j]
-    top = np.full((count, n + m), ord("-"), dtype=np.uint8)
+    """Align many pairs at once: every step works on one row (or one move) of all of them.
+
+    Pairs lie side by side along the last axis. Two rows of scores and the moves (0 diagonal, 1 up, 2 left) are all that is held.
+    """
+    x, y = (np.ascontiguousarray(_padded(t, f).T) for t, f in ((a, 0), (b, 1)))
+    (n, count), m = x.shape, y.shape[0]
+    # The slope is taken out of scores of at most MATCH a letter.
+    kind = np.int16 if 4 * (n + m + 1) < 1 << 15 else np.int32
+    slope = (np.arange(m + 1) * GAP).astype(kind)[:, None]
+    len_a, len_b, r = np.array([len(t) for t in a]), np.array([len(t) for t in b]), np.arange(count)
+    score = np.zeros(count, dtype=np.int64)
+    above = np.repeat(slope, count, axis=1)
+    row = np.empty_like(above)
+    moves = np.empty((n + 1, m + 1, count), dtype=np.uint8)
+    moves[0], moves[1:, 0] = 2, 1
+    for i in range(n + 1):
+        if i:
+            step = (y == x[i - 1]).astype(kind)
+            step *= MATCH - MISMATCH
+            step += MISMATCH
+            step += above[:-1]
+            up = above[1:] + kind(GAP)
+            row[0] = i * GAP
+            np.maximum(step, up, out=row[1:])
+            # A run of gaps in `a` is a running maximum once the gap slope is taken out.
+            row -= slope
+            np.maximum.accumulate(row, axis=0, out=row)
+            row += slope
+            other = row[1:] != step
+            np.add(other, other & (row[1:] != up), out=moves[i, 1:], dtype=np.uint8)
+            above, row = row, above
+        ends = np.flatnonzero(len_a == i)
+        score[ends] = above[len_b[ends], ends]
+    flat, letters_a, letters_b = moves.reshape(-1), x.reshape(-1), y.reshape(-1)
+    # Places in the flat tables; a step in `a` or `b` is a fixed stride.
+    i, j = len_a * count, len_b * count
+    top = np.full((n + m, count), ord("-"), dtype=np.uint8)
     bottom = top.copy()
     used = np.zeros(count, dtype=np.int64)
     at = n + m
@@ -99,16 +119,14 @@ def _align_group(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
             break
         at -= 1
         used += live
-        pi, pj = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        xa, yb, here = x[r, pi], y[r, pj], table[r, i, j]
-        both = (i > 0) & (j > 0) & (here == table[r, pi, pj] + np.where(xa == yb, MATCH, MISMATCH))
-        first = live & ~both & (i > 0) & ((j == 0) | (here == table[r, pi, j] + GAP))
-        second = live & ~both & ~first
-        top[:, at] = np.where(both | first, xa, top[:, at])
-        bottom[:, at] = np.where(both | second, yb, bottom[:, at])
-        i = i - (both | first)
-        j = j - (both | second)
+        move = flat[i * (m + 1) + j + r]
+        in_a, in_b = live & (move != 2), live & (move != 1)
+        i -= in_a * count
+        j -= in_b * count
+        np.copyto(top[at], letters_a[np.minimum(i + r, n * count - 1)], where=in_a)
+        np.copyto(bottom[at], letters_b[np.minimum(j + r, m * count - 1)], where=in_b)
     end = n + m
+    top, bottom = np.ascontiguousarray(top.T), np.ascontiguousarray(bottom.T)
     return [
         (top[k, end - used[k]:].tobytes().decode(), bottom[k, end - used[k]:].tobytes().decode(), int(score[k]))
         for k in range(count)
@@ -176,7 +194,7 @@ def _align_long(a: str, b: str) -> tuple[str, str, int]:
 
 
 def _align_all(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
-    """Pairs of similar length go together; a group's tables stay within `_CELLS`, and a pair beyond that goes alone."""
+    """Pairs of similar length go together; a group stays within `_CELLS` and its rows within `_ROW`, and a pair beyond the former goes alone."""
     order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
     out: list = [None] * len(a)
     group: list[int] = []
@@ -186,7 +204,8 @@ def _align_all(a: list[str], b: list[str]) -> list[tuple[str, str, int]]:
             out[k] = _align_long(a[k], b[k])
             continue
         reach = max(wide, len(b[k]))
-        if group and (len(group) + 1) * (len(a[k]) + 1) * (reach + 1) > _CELLS:
+        row = (len(group) + 1) * (reach + 1)
+        if group and (row * (len(a[k]) + 1) > _CELLS or row > _ROW):
             for g, res in zip(group, _align_group([a[g] for g in group], [b[g] for g in group])):
                 out[g] = res
             group, reach = [], len(b[k])

@@ -3,6 +3,7 @@ import json
 import os
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,18 @@ def test_name_postings(spark, tmp_path):
     assert "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part#") or "part#" in plan.split("PartitionFilters")[1][:80]
 
 
+def test_many_alignments_hold_moves_not_scores():
+    rng = random.Random(11)
+    pairs = [("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 60))), "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 22)))) for _ in range(8000)]
+    tracemalloc.start()
+    got = align._align_all(*map(list, zip(*pairs)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20
+    for k in rng.sample(range(len(pairs)), 100):
+        assert got[k] == align._align_long(*pairs[k])
+
+
 def test_long_alignments(monkeypatch):
     pairs = [("".join(RNG.choices("ACGT", k=RNG.randrange(0, 60))), "".join(RNG.choices("ACGT", k=RNG.randrange(0, 60)))) for _ in range(60)]
     pairs += [("", ""), ("A", ""), ("", "CC"), ("A" * 50, "A"), ("A", "A" * 50)]
