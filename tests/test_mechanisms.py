@@ -284,3 +284,10 @@ def test_parts_of_one_pass_are_scanned_once(spark):
     rows = spark.createDataFrame([(1, "+"), (2, "-")], "n int, strand string")
     both = genesets.union_passes({"a": rows, "b": rows}, names={"a": F.concat(F.lit("strand "), F.col("strand"))})
     assert sorted((r.n, r.part) for r in both.collect()) == [(1, "b"), (1, "strand +"), (2, "b"), (2, "strand -")]
+
+
+def test_contigs_travel_without_other_letters(spark):
+    plan = entry.queries()["f3_mismatch_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Cleaned below the exchange, and counted without a function for each letter of each window.
+    assert plan.index("RepartitionByExpression") < plan.index("regexp_replace")
+    assert "aggregate(" not in plan and "lambda" not in plan
