@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import duplex, intervals, scan
 from ..streaming import enrich
 from .registry import query
-from .sequence_queries import HIT_CTES, LOCATED, LOC_CTES, _duplex_sql, _srna, oriented, exact_hits  # noqa: F401
+from .sequence_queries import HIT_CTES, LOCATED, LOC_CTES, _duplex_sql, _srna, contig_lengths, oriented, exact_hits  # noqa: F401
 
 RADII = {"radius": 200, "strand_radius": 50, "radius_text": "200bp"}
 BIG = 1_000_000_000
@@ -27,7 +27,7 @@ def _(fx):
 
 @query("j2_one_lookup", "SELECT contig_id, start, strand, loc_class, location FROM {loc}", **LOC_CTES)
 def _(fx):
-    return intervals.located(exact_hits(fx), fx.genes, widest=6).select("contig_id", "start", "strand", "loc_class", "location")
+    return intervals.located(exact_hits(fx), fx.genes, widest=6, lengths=contig_lengths(fx)).select("contig_id", "start", "strand", "loc_class", "location")
 
 
 @query("j3_intergenic_neighbours", """
@@ -70,7 +70,7 @@ FROM {ctx} c JOIN (SELECT h.contig_id, h.start, h.strand,
   FROM {hits} h LEFT JOIN {genes} g ON g.contig_id = h.contig_id GROUP BY h.contig_id, h.start, h.strand) o
 ON o.contig_id = c.contig_id AND o.start = c.start AND o.strand = c.strand""", **HIT_CTES, ctx=_CONTEXT.format(extra=""))
 def _(fx):
-    return intervals.located_any_strand(exact_hits(fx), fx.genes, widest=6).select("contig_id", "start", "strand", "location")
+    return intervals.located_any_strand(exact_hits(fx), fx.genes, widest=6, lengths=contig_lengths(fx)).select("contig_id", "start", "strand", "location")
 
 
 def _map_sql(running: bool) -> str:
