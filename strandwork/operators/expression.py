@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import plotting as P
+from ..session import cut as stored
 from .cover import best_over
 
 # The texts an upload may use for a missing p-value.
@@ -129,8 +130,8 @@ def _last_writer(spans: DataFrame, keys: list[str], window: int = 1 << 14) -> Da
     cut = spans.withColumn("_w", F.explode(F.sequence(F.floor(F.col("start") / window), F.floor(F.col("end") / window))))
     cut = cut.withColumns({
         "start": F.greatest("start", F.col("_w") * window), "end": F.least("end", (F.col("_w") + 1) * window - 1)})
-    # Of equal spans only the last can show.
-    cut = cut.groupBy(*keys, "_w", "start", "end").agg(F.max(F.struct("ordinal", "value")).alias("_v"))
+    # Of equal spans only the last can show. Edges, blocks and their levels are read from here, and each would make the spans anew.
+    cut = stored(cut.groupBy(*keys, "_w", "start", "end").agg(F.max(F.struct("ordinal", "value")).alias("_v")))
     # Edges per window are distinct positions, at most twice the window width.
     edges = cut.select(*keys, "_w", F.explode(F.array("start", F.col("end") + 1)).alias("at")).distinct()
     order = Window.partitionBy(*keys, "_w").orderBy("at")

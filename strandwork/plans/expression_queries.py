@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import plotting as P
 from ..operators import expression as X
 from ..operators import filters, genesets, names, scan
+from ..session import cut
 from .registry import query
+from .sequence_queries import contig_lengths
 
 POINTS = "SELECT gene, log2fc AS x, p, row_no FROM {expression} WHERE p > 0"
 CHOSEN = ["cat_1", "cat_2", "cat_3"]
@@ -158,7 +160,8 @@ FROM (SELECT contig_id, n, unnest(range(0, (n + 99) // 100)) AS b FROM (SELECT c
 
 
 def _bins(fx):
-    return scan.genome_bins(fx.contigs.select("contig_id", F.length("seq").alias("contig_len")), 100)
+    # Used twice, and a length costs the cleaning of a whole document.
+    return scan.genome_bins(cut(contig_lengths(fx)), 100)
 
 
 @query("a11_bin_means", """
