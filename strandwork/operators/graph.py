@@ -33,11 +33,15 @@ def clique_edges(members: DataFrame, group: str = "complex_id", node: str = "gen
     return star.select("a", "b", F.col("b").alias("via")).union(star.select("b", "a", "b"))
 
 
-def neighbours_of(members: DataFrame, genes: DataFrame, group: str = "complex_id", node: str = "gene") -> DataFrame:
-    """(a, b): the fellow members b of each gene a of `genes` (gene), over all its groups."""
+def neighbours_of(members: DataFrame, genes: DataFrame, group: str = "complex_id", node: str = "gene", task_rows: int = 250_000) -> DataFrame:
+    """(a, b): the fellow members b of each gene a of `genes` (gene), over all its groups.
+
+    Members make many pairs in the task that joins them, which the bytes it reads do not tell, so the number of tasks grows with the members: about one for `task_rows`.
+    """
+    tasks = 1 + members.count() // task_rows
     m = members.select(F.col(group).alias("g"), F.col(node).alias("b")).distinct()
     mine = genes.select(F.col("gene").alias("a")).distinct().join(m.select("g", F.col("b").alias("a")), "a")
-    return mine.join(m, "g").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    return mine.repartition(tasks, "g").join(m.repartition(tasks, "g"), "g").where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
 
 # G2

@@ -300,3 +300,15 @@ def test_tracks_make_their_spans_once(spark):
     import __spark_entry__ as entry
     plan = entry.queries()["a13_comparative_matrix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_returnflag" not in plan and "regexp_replace" not in plan
+
+
+def test_tasks_grow_with_rows_that_multiply(spark):
+    regions = spark.createDataFrame([("NC_000001.11", 10 * i, 10 * i + 12) for i in range(90)], "accession string, start bigint, end bigint")
+    genes = spark.createDataFrame([("1", f"g{i}", 7 * i, 7 * i + 20) for i in range(60)], "chrom string, gene string, g_start bigint, g_end bigint")
+    members = spark.createDataFrame([(i // 3, f"p{i * 7 % 40}") for i in range(90)], "complex_id int, gene string")
+    dealt = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    few, many = intervals.annotate_regions(regions, genes), intervals.annotate_regions(regions, genes, task_rows=10)
+    assert "RepartitionByExpression [chrom" in dealt(many) and "], 10" in dealt(many) and rows(few) == rows(many)
+    few, many = graph.neighbours_of(members, members), graph.neighbours_of(members, members, task_rows=10)
+    assert dealt(many).count("], 10") == 2 and rows(few) == rows(many)
