@@ -336,9 +336,12 @@ def batch_motif_join(
     )
     start = (F.col("pos") - F.col("lead")).cast("bigint")
     end = (start + F.length("scanned") - 1).cast("bigint")
+    # What follows from the pattern is made again afterwards; candidates are many and travel twice.
     cand = spots.join(seeds, "kmer").where((start >= 1) & (end <= F.col("contig_len"))).select(
-        "query", "contig_id", start.alias("start"), end.alias("end"), "strand", "pattern", "scanned").distinct()
-    cand = fetch_region(cand, contigs, F.col("start"), F.col("end"), "window")
+        "query", "contig_id", start.alias("start"), "strand", "pattern").distinct()
+    end = (F.col("start") + F.length("pattern") - 1).cast("bigint")
+    cand = fetch_region(cand, contigs, F.col("start"), end, "window").withColumns({
+        "end": end, "scanned": F.when(F.col("strand") == "+", F.col("pattern")).otherwise(S.reverse_complement("pattern"))})
     hits = cand.withColumn("mismatches", S.mismatch_count("scanned", "window")).where(F.col("mismatches") <= k)
     return hits.select(
         "query", "contig_id", "start", "end", "strand", "pattern",
