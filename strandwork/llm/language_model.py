@@ -6,6 +6,7 @@ round all tasks go on from the same weights over documents of their own, and Spa
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,27 +21,66 @@ from .common import U64, flat, mixed, pieces, stored, word_bounds, word_hashes
 _PIECE, _STREAM = 1 << 16, 1 << 20
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+#: Columns of the softmax and elements of the weights that are worked on at a time: they stay in a core's cache, and OpenBLAS multiplies matrices below 10^6 products without packing them.
+_COLUMNS, _ELEMENTS = 448, 1 << 14
+#: States that are kept in scoring until their softmax is due.
+_STATES = 1 << 14
+#: Tokens behind which documents are scored, many at a time, since the longest one decides the number of steps.
+_SCORED = 1 << 21
+
+
+def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of each one's rows. Runs of eight rows are added side by side, then runs of their sums."""
+    place = np.argsort(keys, kind="stable")
+    ordered = keys[place]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    distinct, counts = ordered[begin], np.diff(np.append(begin, len(keys)))
+    while True:
+        runs = -(-counts // 8)
+        first = np.cumsum(runs) - runs
+        within = 8 * (np.arange(first[-1] + runs[-1]) - np.repeat(first, runs))
+        start, length = np.repeat(begin, runs) + within, np.minimum(np.repeat(counts, runs) - within, 8)
+        by = np.argsort((8 - length).astype(np.uint8), kind="stable")
+        start, more = start[by], len(length) - np.cumsum(np.bincount(length, minlength=9))
+        total = rows.take(place[start], axis=0)
+        for j in range(1, 8):
+            if not more[j]:
+                break
+            total[:more[j]] += rows.take(place[start[:more[j]] + j], axis=0)
+        back = np.empty(len(by), dtype=np.int64)
+        back[by] = np.arange(len(by))
+        if len(by) == len(distinct):
+            return distinct, total.take(back, axis=0)
+        rows, place, begin, counts = total, back, first, runs
 
 
 class Network:
     """GRU with an input table for each known token, the other words and the start, and a two-level softmax.
 
-    Token 0 is the end mark, token `known` stands for all other words and `known + 1` for the start of a document.
+    Token 0 is the end mark, token `known` stands for all other words and `known + 1` for the start of a document. Weights of the update gate, the reset gate and the
+    new state lie one behind the other, and logits have a column for each token, so that numpy works on long contiguous rows.
     """
 
     def __init__(self, known: int, classes: int, hidden: int, seed: int = 11):
         self.known, self.classes, self.hidden = known, classes, hidden
         self.size = -(-known // classes)
+        self.held: dict[str, np.ndarray] = {}
         rng = np.random.default_rng(seed)
         scale = 1 / np.sqrt(hidden)
+        in_three = lambda x: x.reshape(-1, 3, hidden).transpose(1, 0, 2)
         self.p = {
-            "g": rng.normal(0, 0.1, (known + 2, 3 * hidden)), "u": rng.normal(0, scale, (hidden, 3 * hidden)),
+            "g": in_three(rng.normal(0, 0.1, (known + 2, 3 * hidden))), "u": in_three(rng.normal(0, scale, (hidden, 3 * hidden))),
             "c": rng.normal(0, 0.1, (hidden, classes + 1)), "cb": np.zeros(classes + 1),
             "w": rng.normal(0, 0.1, (classes, hidden, self.size)), "wb": np.zeros((classes, self.size)),
         }
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.p = {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in self.p.items()}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is kept for the next call under this name; its content is left over."""
+        size, kind = math.prod(shape), self.p["u"].dtype
+        if name not in self.held or self.held[name].size < size or self.held[name].dtype != kind:
+            self.held[name] = np.empty(size, dtype=kind)
+        return self.held[name][:size].reshape(shape)
 
     def start_from_counts(self, counts: np.ndarray, others: float) -> None:
         """Biases that make the untrained network a unigram model; slots without a token get no mass."""
@@ -51,82 +91,155 @@ class Network:
             self.p["wb"][:] = np.maximum(np.log(grid / np.maximum(grid.sum(axis=1, keepdims=True), 1)), -30)
             self.p["cb"][:] = np.maximum(np.log(np.append(grid.sum(axis=1), others + 1) / (full.sum() + others + 1)), -30)
 
-    def step(self, h: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = self.hidden
-        a, b = self.p["g"][inputs], h @ self.p["u"]
-        gates = _sigmoid(a[:, :2 * n] + b[:, :2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n:] + r * b[:, 2 * n:])
-        return new + z * (h - new), z, r, new, b[:, 2 * n:]
+    def step(self, before: np.ndarray, inputs: np.ndarray, out: np.ndarray | None = None, gates: np.ndarray | None = None, new: np.ndarray | None = None, given: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The next state; both gates and the product that the reset gate scales; and the proposed state. Results go to the arrays given, the last of which is for the inputs."""
+        a = self.p["g"].take(inputs, axis=1, out=given, mode="clip")
+        gates = np.matmul(before, self.p["u"], out=gates)
+        both = gates[:2]
+        both += a[:2]
+        both *= 0.5
+        np.tanh(both, out=both)
+        both *= 0.5
+        both += 0.5
+        new = np.multiply(gates[1], gates[2], out=new)
+        new += a[2]
+        np.tanh(new, out=new)
+        out = np.subtract(before, new, out=out)
+        out *= gates[0]
+        out += new
+        return out, gates, new
+
+    @staticmethod
+    def _small(weights: np.ndarray, bias: np.ndarray, widest: float) -> bool:
+        """Whether logits of states with no element beyond `widest` can neither overflow nor vanish as exponentials, so that the largest need not be taken off first."""
+        return float((np.abs(weights).sum(axis=-2) * widest + np.abs(bias)).max()) < 60
+
+    def by_class(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in the order of their targets' classes: that order, states, classes, places in the class, and the first row of each class."""
+        group = np.where(targets == self.known, self.classes, np.minimum(targets // self.size, self.classes - 1)).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        group = group[order].astype(np.int64)
+        own = np.take(states, order, axis=0, out=self.room("by class", *states.shape), mode="clip")
+        return order, own, group, targets[order] - group * self.size, np.searchsorted(group, np.arange(self.classes + 2))
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target; of another word, that of its class."""
-        logits = states @ self.p["c"] + self.p["cb"]
-        top = logits.max(axis=1)
-        group = np.minimum(targets // self.size, self.classes)
-        group[targets == self.known] = self.classes
-        out = logits[np.arange(len(targets)), group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
+        order, own, group, place, cuts = self.by_class(states, targets)
+        found = np.zeros(len(targets), dtype=states.dtype)
+        widest = max(1.0, float(np.abs(states).max(initial=0)))
+        self._add_log_probs(self.p["c"], self.p["cb"], own, group, found, widest)
         for k in range(self.classes):
-            own = order[cuts[k]:cuts[k + 1]]
-            if len(own):
-                logits = states[own] @ self.p["w"][k] + self.p["wb"][k]
-                top = logits.max(axis=1)
-                out[own] += logits[np.arange(len(own)), targets[own] - k * self.size] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            these = slice(cuts[k], cuts[k + 1])
+            self._add_log_probs(self.p["w"][k], self.p["wb"][k], own[these], place[these], found[these], widest)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def _add_log_probs(self, weights: np.ndarray, bias: np.ndarray, states: np.ndarray, at: np.ndarray, found: np.ndarray, widest: float) -> None:
+        small = self._small(weights, bias, widest)
+        for a in range(0, len(states), _COLUMNS):
+            some, to = states[a:a + _COLUMNS], at[a:a + _COLUMNS]
+            logits = np.matmul(weights.T, some.T, out=self.room("logits", len(bias), len(some)))
+            logits += bias[:, None]
+            if not small:
+                logits -= logits.max(axis=0)
+            found[a:a + _COLUMNS] += logits.reshape(-1)[to * len(to) + np.arange(len(to))]
+            np.exp(logits, out=logits)
+            found[a:a + _COLUMNS] -= np.log(logits.sum(axis=0))
+
+    def _errors(self, weights: np.ndarray, bias: np.ndarray, states: np.ndarray, at: np.ndarray, found: np.ndarray, to: tuple[np.ndarray, ...], small: bool) -> None:
+        """Probabilities of the targets of one softmax, and the gradients of the summed loss by weights, bias and states."""
+        ones = np.ones(min(_COLUMNS, len(states)), dtype=states.dtype)
+        for a in range(0, len(states), _COLUMNS):
+            some, own = states[a:a + _COLUMNS], found[a:a + _COLUMNS]
+            wide = len(some)
+            error = np.matmul(weights.T, some.T, out=self.room("logits", len(bias), wide))
+            error += bias[:, None]
+            if not small:
+                error -= error.max(axis=0)
+            np.exp(error, out=error)
+            error /= error.sum(axis=0)
+            flattened, spots = error.reshape(-1), at[a:a + _COLUMNS] * wide + np.arange(wide)
+            own[:] = flattened[spots]
+            flattened[spots] = own - 1
+            if a:
+                to[0][:] += some.T @ error.T
+                to[1][:] += error @ ones[:wide]
+            else:
+                np.matmul(some.T, error.T, out=to[0])
+                np.matmul(error, ones[:wide], out=to[1])
+            np.matmul(error.T, weights.T, out=to[2][a:a + _COLUMNS])
+
     def gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients over one window (time by lanes), the state behind it, and the loss for each token."""
         steps, lanes = inputs.shape
-        n, p = self.hidden, self.p
+        n, p, total = self.hidden, self.p, inputs.size
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        kept, states = [], np.zeros((steps, lanes, n), dtype=h.dtype)
+        states, news, zeroed = self.room("states", steps + 1, lanes, n), self.room("news", steps, lanes, n), self.room("zeroed", lanes, n)
+        states[0] = h
+        widest = max(1.0, float(np.abs(h).max(initial=0)))
+        gates, given = self.room("gates", steps, 3, lanes, n), self.room("given", 3, lanes, n)
+        begins = [np.flatnonzero(x) for x in fresh]
         for t in range(steps):
-            before = h * ~fresh[t][:, None]
-            h, *rest = self.step(before, inputs[t])
-            kept.append((before, *rest))
-            states[t] = h
-        flat_states, flat_targets = states.reshape(-1, n), targets.reshape(-1)
-        rows = np.arange(len(flat_targets))
-        group = np.where(flat_targets == self.known, self.classes, np.minimum(flat_targets // self.size, self.classes - 1))
-        prob = self._softmax(flat_states @ p["c"] + p["cb"])
-        loss = -np.log(np.maximum(prob[rows, group], 1e-30)).sum()
-        prob[rows, group] -= 1
-        prob /= len(rows)
-        grads["c"], grads["cb"] = flat_states.T @ prob, prob.sum(axis=0)
-        back = prob @ p["c"].T
-        for k in np.unique(group[group < self.classes]):
-            own = np.flatnonzero(group == k)
-            place = flat_targets[own] - k * self.size
-            prob = self._softmax(flat_states[own] @ p["w"][k] + p["wb"][k])
-            loss -= np.log(np.maximum(prob[np.arange(len(own)), place], 1e-30)).sum()
-            prob[np.arange(len(own)), place] -= 1
-            prob /= len(rows)
-            grads["w"][k], grads["wb"][k] = flat_states[own].T @ prob, prob.sum(axis=0)
-            back[own] += prob @ p["w"][k].T
-        back = back.reshape(steps, lanes, n)
-        ahead, outers = np.zeros((lanes, n), dtype=h.dtype), np.zeros((steps, lanes, 3 * n), dtype=h.dtype)
+            before = states[t]
+            if len(begins[t]):
+                zeroed[:] = before
+                zeroed[begins[t]] = 0
+                before = zeroed
+            self.step(before, inputs[t], states[t + 1], gates[t], news[t], given)
+        order, own, group, place, cuts = self.by_class(states[1:].reshape(-1, n), targets.reshape(-1))
+        back, inside, found, within = self.room("back", total, n), self.room("back inside", total, n), self.room("found", total), self.room("found inside", total)
+        self._errors(p["c"], p["cb"], own, group, found, (grads["c"], grads["cb"], back), self._small(p["c"], p["cb"], widest))
+        small = self._small(p["w"], p["wb"], widest)
+        for k in range(self.classes):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                self._errors(p["w"][k], p["wb"][k], own[a:b], place[a:b], within[a:b], (grads["w"][k], grads["wb"][k], inside[a:b]), small)
+        listed = cuts[self.classes]
+        loss = -float(np.log(np.maximum(found, 1e-30)).sum() + np.log(np.maximum(within[:listed], 1e-30)).sum())
+        back[:listed] += inside[:listed]
+        back /= total
+        for k in ("c", "cb", "w", "wb"):
+            grads[k] /= total
+        errors = self.room("errors", steps, lanes, n)
+        turned = np.empty(total, dtype=np.int64)
+        turned[order] = np.arange(total)
+        back.take(turned, axis=0, out=errors.reshape(-1, n), mode="clip")
+        ahead, some, left, parts = self.room("ahead", lanes, n), self.room("some", lanes, n), self.room("left", lanes, n), self.room("parts", 2, lanes, n)
+        ahead.fill(0)
+        turned = np.ascontiguousarray(p["u"].transpose(0, 2, 1))
+        # Gradients take the place of the gates, and that of the product in the reset gate the place of the proposed state.
         for t in range(steps - 1, -1, -1):
-            before, z, r, new, bn = kept[t]
-            dh = back[t] + ahead
-            dn = dh * (1 - z) * (1 - new * new)
-            dz, dr = dh * (before - new) * z * (1 - z), dn * bn * r * (1 - r)
-            outer = np.concatenate([dz, dr, dn], axis=1)
-            inner = np.concatenate([dz, dr, dn * r], axis=1)
-            outers[t] = outer
-            grads["u"] += before.T @ inner
-            ahead = (dh * z + inner @ p["u"].T) * ~fresh[t][:, None]
-        used = inputs.ravel()
-        order = np.argsort(used, kind="stable")
-        begin = np.flatnonzero(np.concatenate(([True], used[order][1:] != used[order][:-1])))
-        grads["g"][used[order[begin]]] = np.add.reduceat(outers.reshape(-1, 3 * n)[order], begin, axis=0)
-        return grads, h, float(loss / len(rows))
-
-    @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+            (z, r, bn), new, dh = gates[t], news[t], errors[t]
+            dh += ahead
+            np.subtract(1, z, out=left)
+            left *= dh
+            np.multiply(dh, z, out=ahead)
+            np.subtract(states[t + 1], new, out=z)
+            z *= left
+            np.multiply(new, new, out=some)
+            np.subtract(1, some, out=some)
+            left *= some
+            np.multiply(left, r, out=new)
+            np.subtract(1, r, out=r)
+            r *= bn
+            r *= new
+            bn[:] = left
+            np.matmul(gates[t, :2], turned[:2], out=parts)
+            ahead += parts[0]
+            ahead += parts[1]
+            ahead += np.matmul(new, turned[2], out=some)
+            if len(begins[t]):
+                ahead[begins[t]] = 0
+        for k, side in enumerate((gates[:, 0], gates[:, 1], news)):
+            np.matmul(states[:-1].transpose(0, 2, 1), side, out=self.room("by step", steps, n, n)).sum(axis=0, out=grads["u"][k])
+            # A text that begins anew had zeros before.
+            grads["u"][k] -= states[:-1][fresh].T @ side[fresh]
+        rows = self.room("rows", steps, lanes, 3, n)
+        rows[:] = gates.transpose(0, 2, 1, 3)
+        used, sums = _sums(rows.reshape(-1, 3 * n), inputs.ravel().astype(np.uint16 if self.known + 2 <= 1 << 16 else np.int64))
+        grads["g"][:, used] = sums.reshape(-1, 3, n).transpose(1, 0, 2)
+        return grads, states[steps].copy(), loss / total
 
     def train(self, tokens: np.ndarray, starts: np.ndarray | None = None, lanes: int = 256, window: int = 32, updates: int = 200, rate: float = 0.01, begin: float = 0.0, end: float = 1.0) -> list[float]:
         """Adam over windows of a stream of documents cut into lanes; the state of a lane goes on from window to window. A small stream has fewer lanes and
@@ -156,16 +269,33 @@ class Network:
                         grads, h, loss = self.gradients(h, inputs[w:w + window], targets[w:w + window], fresh[w:w + window])
                         losses.append(loss)
                         part = min(window, long - w) * wide / (lanes * window)
-                        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
                         t += 1
                         now = part * rate * (1 - 0.9 * (begin + (end - begin) * min(1.0, t / (passes * windows))))
                         for k, g in grads.items():
-                            g *= min(1.0, 1 / (norm + 1e-9))
-                            m[k] = 0.9 * m[k] + 0.1 * g
-                            v[k] = 0.999 * v[k] + 0.001 * g * g
-                            self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)
+                            self._adam(*(x.reshape(-1) for x in (self.p[k], m[k], v[k], g)), min(1.0, 1 / (norm + 1e-9)), now, t)
         return losses
 
+    def _adam(self, p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, clip: float, rate: float, t: int) -> None:
+        """One step of Adam. `m` and `v` are the running sums without the factors 0.1 and 0.001, which go into the rate."""
+        scale = math.sqrt(0.001 / (1 - 0.999**t))
+        rate *= 0.1 / (1 - 0.9**t) / scale
+        for a in range(0, len(p), _ELEMENTS):
+            part, mean, square, now = (x[a:a + _ELEMENTS] for x in (p, m, v, g))
+            change = self.room("change", len(part))
+            if clip < 1:
+                now *= clip
+            mean *= 0.9
+            mean += now
+            now *= now
+            square *= 0.999
+            square += now
+            np.sqrt(square, out=change)
+            change += 1e-6 / scale
+            np.divide(mean, change, out=change)
+            change *= rate
+            part -= change
+
     def score(self, tokens: np.ndarray, first: np.ndarray, lanes: int = 512, window: int = 64) -> np.ndarray:
         """Natural log-probability of each token of whole documents; `first` has each one's first token and ends with their number.
 
@@ -189,28 +319,45 @@ class Network:
         places = [np.concatenate([np.arange(first[d], first[d + 1]) for d in queues[q]]) for q in by]
         begins = np.zeros(len(tokens) + 1, dtype=bool)
         begins[first[:-1]] = True
-        before = np.concatenate(([self.known + 1], tokens[:-1]))
+        before = np.roll(tokens, 1)
         before[begins[:-1]] = self.known + 1
-        h = np.zeros((lanes, self.hidden), dtype=np.float32)
+        states, spots, filled = self.room("states", _STATES + lanes, self.hidden), [], 0
+        h, wide = np.zeros((lanes, self.hidden), dtype=states.dtype), 0
         for a in range(0, int(load[0]), window):
-            live = int((load > a).sum())
             steps = min(window, int(load[0]) - a)
-            grid = np.full((steps, live), len(tokens), dtype=np.int64)
-            for lane in range(live):
+            live = np.searchsorted(-load, -np.arange(a, a + steps)).tolist()
+            grid = np.zeros((steps, live[0]), dtype=np.int64)
+            for lane in range(live[0]):
                 own = places[lane][a:a + steps]
                 grid[:len(own), lane] = own
-            states, spots = [], []
-            for t in range(steps):
-                n = int((load > a + t).sum())
-                at = grid[t, :n]
-                h[:n] = self.step(h[:n] * ~begins[at][:, None], before[at])[0]
-                states.append(h[:n].copy())
-                spots.append(at)
+            inputs, fresh = before[grid].astype(np.int64), begins[grid]
+            some = fresh.any(axis=1).tolist()
+            for t, n in enumerate(live):
+                if n != wide:
+                    wide, into = n, [self.room(name, *shape) for name, shape in (("gates", (3, n, self.hidden)), ("news", (n, self.hidden)), ("given", (3, n, self.hidden)))]
+                h = h[:n]
+                if some[t]:
+                    h = h.copy()
+                    h[fresh[t, :n]] = 0
+                h = self.step(h, inputs[t, :n], states[filled:filled + n], *into)[0]
+                spots.append(grid[t, :n])
+                filled += n
+                if filled > _STATES:
+                    h = h.copy()
+                    at = np.concatenate(spots)
+                    out[at] = self.log_probs(states[:filled], tokens[at])
+                    spots, filled = [], 0
+        if filled:
             at = np.concatenate(spots)
-            out[at] = self.log_probs(np.concatenate(states), tokens[at])
+            out[at] = self.log_probs(states[:filled], tokens[at])
         return out
 
 
+def _kind(known: int) -> str:
+    """Integers that hold every token of a network with `known` tokens."""
+    return "<u2" if known + 2 <= 1 << 16 else "<u4"
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, lower-cased, and the first word of each text."""
     data, offsets = flat(texts, lower=True)
@@ -266,6 +413,9 @@ class Vocabulary:
     def __init__(self, words: np.ndarray, counts: np.ndarray, known: int, groups: int):
         self.order = np.argsort(words, kind="stable")
         self.sorted, self.counts = words[self.order], counts
+        #: First listed word at or behind each value of a hash's upper 18 bits, and the list with an end behind it.
+        self.begin = np.searchsorted(self.sorted, np.arange(1 << 18, dtype=U64) << U64(46)).astype(np.int32)
+        self.ended = np.append(self.sorted, ~U64(0))
         self.others = known + groups
         single, mass = np.arange(1, min(known, len(counts) + 1)), counts[known - 1:] + 1.0
         middle = np.cumsum(mass) - mass / 2
@@ -280,13 +430,19 @@ class Vocabulary:
         """Rank of each word in the list (0 the most frequent), or -1; and its count."""
         if not len(self.sorted):
             return np.full(len(words), -1), np.zeros(len(words), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        at = self.begin[(words >> U64(46)).astype(np.int64)].astype(np.int64)
+        less = np.flatnonzero(self.ended[at] < words)
+        while len(less):
+            at[less] += 1
+            less = less[self.ended[at[less]] < words[less]]
+        at = np.minimum(at, len(self.sorted) - 1)
         rank = np.where(self.sorted[at] == words, self.order[at], -1)
         return rank, np.where(rank >= 0, self.counts[rank], 0)
 
-    def token_ids(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def token_ids(self, words: np.ndarray, first: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the network, an end mark behind each text, and the first token of each text."""
-        rank, _ = self.find(words)
+        if rank is None:
+            rank, _ = self.find(words)
         ids = np.where(rank >= 0, self.token[rank], self.others) if len(self.token) else np.full(len(rank), self.others)
         ends = first[1:] + np.arange(1, len(first))
         out = np.zeros(len(words) + len(first) - 1, dtype=np.int64)
@@ -318,7 +474,7 @@ def _encode(words: Vocabulary, tasks: int, rounds: int, kind: str):
 
 def _fitted(training: DataFrame, words: Vocabulary, start: Network, total: int, rounds: int, task_tokens: int, blocks: int = 64) -> dict[str, np.ndarray]:
     """Weights after `rounds` rounds of training in tasks and averaging. Weights travel in `blocks` rows for each task, so no task gathers all of them."""
-    names, kind = list(start.p), "<u2" if start.known + 2 <= 1 << 16 else "<u4"
+    names, kind = list(start.p), _kind(start.known)
     tasks = max(1, round(total / task_tokens))
     rows = training.select(F.xxhash64("by_", F.coalesce("text_", F.lit(""))).alias("key"), "text_")
     coded = stored(rows.mapInArrow(_encode(words, tasks, rounds, kind), "share int, task int, key long, piece int, tokens binary"), "train-tokens")
@@ -389,11 +545,25 @@ def score_documents(docs: DataFrame, known: int = 1024, groups: int = 1024, clas
     net.start_from_counts(share, other_tokens)
     weights = _fitted(training.orderBy("by_", "id_").limit(sample_docs) if sample_docs is not None else training, words, net, total, rounds, task_tokens) if ends else None
 
+    kind = _kind(words.others)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(words.others, classes, hidden)
         if weights:
             net.p = weights
+
+        def finished(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if weights and waiting:
+                lengths = np.concatenate([w[3] for w in waiting])
+                begins = np.concatenate(([0], np.cumsum(lengths)))
+                model = np.add.reduceat(net.score(np.concatenate([w[2] for w in waiting]), begins), begins[:-1]) / np.log(10)
+                cuts = np.cumsum([len(w[3]) for w in waiting])[:-1]
+                waiting = [(w[0], w[1] + own, *w[2:]) for w, own in zip(waiting, np.split(model, cuts), strict=True)]
+            for columns, model, *_ in waiting:
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(model), columns[-1]], ["id_", "held_out", "n_tokens", "known", "base", "model", "tail"])
+
         for batch in batches:
+            waiting = []
             for part in pieces(batch, 2, 4 << 20):
                 hashes, first = _tokens(part.column(2))
                 n = part.num_rows
@@ -402,13 +572,13 @@ def score_documents(docs: DataFrame, known: int = 1024, groups: int = 1024, clas
                 seen = rank >= 0
                 logs = np.log10(count + 1.0)
                 base = np.bincount(of, weights=logs, minlength=n) + np.log10(ends + 1)
-                tokens, begins = words.token_ids(hashes, first)
                 other = rank >= known - 1
                 if weights:
-                    model = np.add.reduceat(net.score(tokens, begins), begins[:-1]) / np.log(10) if n else np.zeros(0)
-                    model = model + np.bincount(of[other], weights=logs[other] - words.off[words.token[rank[other]]], minlength=n) - np.bincount(of[~seen], minlength=n) * other_bottom
+                    tokens, begins = words.token_ids(hashes, first, rank)
+                    tokens, lengths = tokens.astype(kind), np.diff(begins)
+                    model = np.bincount(of[other], weights=logs[other] - words.off[words.token[rank[other]]], minlength=n) - np.bincount(of[~seen], minlength=n) * other_bottom
                 else:
-                    model = base - (np.diff(first) + 1) * bottom
+                    tokens, lengths, model = hashes[:0], first[:0], base - (np.diff(first) + 1) * bottom
                 far = np.flatnonzero(~seen)
                 order = far[np.lexsort((hashes[far], of[far]))]
                 change = np.ones(len(order), dtype=bool)
@@ -417,9 +587,12 @@ def score_documents(docs: DataFrame, known: int = 1024, groups: int = 1024, clas
                 times = np.diff(np.append(begin, len(order)))
                 lists = np.searchsorted(of[order[begin]], np.arange(n + 1)).astype(np.int32)
                 tail = pa.StructArray.from_arrays([pa.array(hashes[order[begin]].view(np.int64)), pa.array(times)], ["word", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(first) + 1), pa.array(np.bincount(of[seen], minlength=n) + (ends > 0)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(lists), tail)],
-                    ["id_", "held_out", "n_tokens", "known", "base", "model", "tail"])
+                columns = [part.column(0), part.column(1), pa.array(np.diff(first) + 1), pa.array(np.bincount(of[seen], minlength=n) + (ends > 0)), pa.array(base), pa.ListArray.from_arrays(pa.array(lists), tail)]
+                waiting.append((columns, model, tokens, lengths))
+                if sum(len(w[2]) for w in waiting) >= _SCORED:
+                    yield from finished(waiting)
+                    waiting = []
+            yield from finished(waiting)
 
     scored = rows.select("id_", "held_out", "text_").mapInArrow(run, f"id_ {out_kind}, held_out boolean, n_tokens long, known long, base double, model double, tail array<struct<word:long,n:long>>")
     scored = stored(scored.withColumn("row_", F.monotonically_increasing_id()), "scored")

@@ -305,3 +305,47 @@ def test_most_frequent_words_with_ties(spark, listed):
     rows = [(rng.getrandbits(64) - 2**63, rng.choice([1, 1, 1, 2, 3, 9, 5000, 5001, 70000])) for _ in range(300)]
     words, counts = language_model._most_frequent(spark.createDataFrame(rows, "word long, c long").repartition(3), listed)
     assert list(zip(words.tolist(), counts.tolist(), strict=True)) == sorted(rows, key=lambda r: (-r[1], r[0]))[:listed]
+
+
+def test_the_network_works_on_many_texts_at_a_time(spark, monkeypatch):
+    """Softmax calls grow with the tokens, not with the length of the longest text, and slices of a batch are scored together."""
+    net, calls = language_model.Network(40, 4, 8, seed=4), []
+    plain = net.log_probs
+    net.log_probs = lambda states, targets: calls.append(len(targets)) or plain(states, targets)
+    tokens = np.random.default_rng(0).integers(1, 41, 20_000 + 200 * 10)
+    first = np.concatenate(([0], 20_000 + 10 * np.arange(201)))
+    tokens[first[1:] - 1] = 0
+    got = net.score(tokens, first)
+    assert sum(calls) == len(tokens) and len(calls) <= 2
+    alone = np.concatenate([net.score(tokens[a:b], np.array([0, b - a])) for a, b in zip(first[:-1], first[1:], strict=True)])
+    assert got == pytest.approx(alone, abs=1e-4)
+
+
+def test_sums_of_rows_by_key_and_steep_logits():
+    rng = np.random.default_rng(6)
+    for high in (1, 5, 300):
+        rows, keys = rng.normal(size=(700, 5)), rng.integers(0, high, 700).astype(np.uint16)
+        found, sums = language_model._sums(rows, keys)
+        expected = np.zeros((high, 5))
+        np.add.at(expected, keys, rows)
+        assert found.tolist() == sorted(set(keys.tolist())) and sums == pytest.approx(expected[found])
+    net = language_model.Network(10, 3, 4, seed=2)
+    net.start_from_counts(np.arange(10), 7.0)
+    net.p["c"] *= 5000
+    states = rng.normal(0, 1, (1, 4)).astype(np.float32)
+    for p in (1.0, 1e-3):
+        net.p["c"] *= p
+        total = sum(math.exp(net.log_probs(states, np.array([t]))[0]) for t in range(11))
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_words_are_found_in_the_list():
+    rng = np.random.default_rng(7)
+    listed = np.unique(np.concatenate((rng.integers(0, 2**64, 500, dtype=U64), np.array([0, 2**64 - 1], dtype=U64))))
+    counts = np.arange(len(listed))[::-1] + 1
+    words_ = language_model.Vocabulary(listed[rng.permutation(len(listed))], counts, known=20, groups=8)
+    asked = np.concatenate((listed, rng.integers(0, 2**64, 500, dtype=U64), listed + U64(1)))
+    rank, count = words_.find(asked)
+    place = {int(w): int(words_.order[k]) for k, w in enumerate(words_.sorted)}
+    assert rank.tolist() == [place.get(int(w), -1) for w in asked]
+    assert count.tolist() == [counts[place[int(w)]] if int(w) in place else 0 for w in asked]
