@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, cut
+from . import allpairs
 
 
 # G1
@@ -263,7 +264,7 @@ def feedback_loops(edges: DataFrame, nodes: list, max_len: int) -> DataFrame:
 
 
 # G11
-#: Pairs of a source and a node that `centrality` holds at once.
+#: Pairs of a source and a node that `centrality` holds at once. A task holds the whole graph if eight pairs for each node, and the edges, are a quarter of it.
 PAIRS = 1 << 25
 
 
@@ -284,6 +285,12 @@ def _numbered(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(ends.select(F.col("_s").alias("src"), F.col("_d").alias("dst")))
 
 
+def _held(nodes: DataFrame, both: DataFrame, pairs: int) -> allpairs.Graph | None:
+    """The graph in the driver's memory, 4 bytes an edge and 12 a node, if it is small enough to be held by every task."""
+    size = nodes.count()
+    return allpairs.hold(both, size) if size and 8 * size + both.count() <= pairs >> 2 else None
+
+
 def _shares(both: DataFrame, sources: DataFrame, max_depth: int | None, room: Scratch) -> DataFrame:
     """(no, betweenness, closeness) as far as `sources` (no) give it, a node once for each level it lies on.
 
@@ -317,12 +324,17 @@ def centrality(edges: DataFrame, sources: DataFrame, max_depth: int | None = Non
 
     Betweenness sums path shares over ordered pairs that start in `sources`; it is exact when
     these are all nodes. Closeness is the sum of 1/distance from the sources that reach a node; `closeness` gives it for less.
-    The work is |sources| x |nodes|. Sources go in batches of about `pairs` such rows, whose tables are deleted before the next batch, so only one batch and
-    one row per node and batch lie on disk.
+    The work is |sources| x |edges|. Where a task can hold the graph (`_held`), every task takes a share of the sources and sums up what they give, so nothing but one row for
+    each task and node lies on disk. In larger graphs sources go in batches of about `pairs` rows of a source and a node, whose tables are deleted before the next batch.
     """
     both = cut(_two_ways(edges))
     nodes, both = _numbered(both)
     starts = cut(nodes.join(sources.select("node").distinct(), "node").select("no"))
+    held = _held(nodes, both, pairs)
+    if held is not None:
+        found = allpairs.betweenness(edges.sparkSession, held, starts.toArrow()["no"].to_numpy(), max_depth)
+        total = cut(found.groupBy("no").agg(F.sum("betweenness").alias("betweenness"), F.sum("closeness").alias("closeness")))
+        return nodes.join(total, "no", "left").select("node", "betweenness", "closeness").fillna(0.0)
     batches = max(1, -(-starts.count() * nodes.count() // pairs))
     done = None
     for i in range(batches):

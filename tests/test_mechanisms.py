@@ -131,6 +131,43 @@ def test_centrality_in_batches_leaves_no_batch_behind(spark):
     assert not any(os.path.exists(m.folder.removeprefix("file:")) for m in made)
 
 
+def plain_centrality(links, sources, depth=None):
+    """Betweenness and closeness by one search from each source."""
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    found = {n: [0.0, 0.0] for n in near}
+    for s in sources:
+        dist, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v] if depth is None or dist[v] < depth else ():
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            found[w][0] += share[w]
+            found[w][1] += 1 / dist[w]
+            for v in near[w]:
+                if dist.get(v) == dist[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+    return {n: tuple(map(pytest.approx, x)) for n, x in found.items()}
+
+
+def test_centrality_keeps_no_pairs_where_tasks_hold_the_graph(spark, monkeypatch):
+    links = [(0, n) for n in range(1, 91)] + [(RNG.randrange(1, 91), RNG.randrange(1, 91)) for _ in range(120)] + [(n, n + 1) for n in range(200, 500)] + [(600, 601), (600, 600)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    ends = sorted({n for a, b in links for n in (a, b)})
+    monkeypatch.setattr(graph, "Scratch", None)
+    for starts, depth in ((ends, None), (ends[::3], 2), ([7, 10_000], None)):
+        got = graph.centrality(df, spark.createDataFrame([(n,) for n in starts], "node bigint"), depth).collect()
+        assert {r.node: (r.betweenness, r.closeness) for r in got} == plain_centrality(links, [n for n in starts if n in ends], depth)
+
+
 def test_sampled_betweenness(spark):
     links = spark.createDataFrame([(RNG.randrange(20), RNG.randrange(20)) for _ in range(35)], "a bigint, b bigint")
     nodes = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
