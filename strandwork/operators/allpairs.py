@@ -219,3 +219,105 @@ def closeness(spark: SparkSession, graph: Graph, max_depth: int | None) -> DataF
             yield from _rows({"no": g.no.astype(np.int64), "closeness": out})
 
     return _tasks(spark, -(-len(graph.no) // (8 * WIDE)), 4).mapInArrow(run, "no long, closeness double")
+
+
+def _changes(g: Graph, state: np.ndarray, max_depth: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(d, rows, sums, zeros): how the registers of the nodes within d steps change the sum of 2^-register over those in use, and the number of those that are not.
+
+    Registers take the highest of the neighbours', and change when the whole level is known. Depth 0 has the nodes themselves.
+    """
+    worth = np.concatenate(([0.0], 0.5 ** np.arange(1, 256)))
+    fresh = np.empty_like(state)
+    sums, zeros = np.empty(len(g.no)), np.empty(len(g.no), dtype=np.int32)
+    grew = every = np.arange(len(g.no))
+    for a in range(0, len(every), ROWS):
+        sums[a:a + ROWS], zeros[a:a + ROWS] = _at(worth, state[a:a + ROWS]).sum(axis=1), (state[a:a + ROWS] == 0).sum(axis=1)
+    yield 0, every, sums.copy(), zeros.copy()
+    for d in _rounds(max_depth):
+        rows, found = g.touched(grew), []
+        for a in range(0, len(rows), ROWS):
+            these = rows[a:a + ROWS]
+            got = fresh[a:a + ROWS][:len(these)]
+            got[:] = _merged(np.maximum, state, g, these)
+            more = np.flatnonzero((got != _at(state, these)).any(axis=1))
+            if len(more):
+                found.append(these[more])
+                s, z = _at(worth, got[more]).sum(axis=1), (got[more] == 0).sum(axis=1, dtype=np.int32)
+                yield d, found[-1], s - sums[found[-1]], z - zeros[found[-1]]
+                sums[found[-1]], zeros[found[-1]] = s, z
+        for a in range(0, len(rows), ROWS):
+            state[rows[a:a + ROWS]] = fresh[a:a + ROWS][:len(rows) - a]
+        if not found:
+            break
+        grew = np.concatenate(found)
+
+
+def _sizes(sums: np.ndarray, zeros: np.ndarray, registers: int, nodes: int) -> np.ndarray:
+    """Numbers of distinct nodes by Ertl's estimate; where each node has a register of its own, the registers in use are counted."""
+    if nodes <= registers:
+        return (registers - zeros).astype(float)
+    x = np.arange(registers) / registers
+    few, power = x.copy(), 1.0
+    while x[-1] > 1e-300:
+        x = x * x
+        few += x * power
+        power *= 2
+    return registers * registers / (2 * np.log(2) * (registers * few[np.minimum(zeros, registers - 1)] + sums))
+
+
+def closeness_by_sketch(spark: SparkSession, graph: Graph, hashes: np.ndarray, max_depth: int | None, log_k: int) -> DataFrame:
+    """(no, closeness) of all nodes, estimated from a sketch of 2^`log_k` registers of the nodes within d steps; `hashes` are 64 bits by node number.
+
+    A register depends on the same register of the neighbours only, so tasks take slices of them and give, for each level and node, what its slices add to the
+    estimate. Up to as many nodes as registers, each node has its own and the result is exact.
+    """
+    registers, nodes = 1 << log_k, len(graph.no)
+    held, coded = _sent(spark, graph), spark.sparkContext.broadcast(hashes)
+    kind = "part int, depth int, levels int, sums binary, zeros binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _opened(held)
+        h = coded.value[g.no].view(np.uint64)
+        own = g.no.astype(np.int64) if nodes <= registers else (h & np.uint64(registers - 1)).astype(np.int64)
+        # The place of the lowest bit that is set, above those that chose the register.
+        rest = (h >> np.uint64(log_k)) | np.uint64(1 << (63 - log_k))
+        rank = (np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)) + 1).astype(np.uint8)
+
+        def given(depth: int, kept: list) -> Iterator[pa.RecordBatch]:
+            for a in range(0, nodes, PART):
+                sums, zeros = (np.stack([x[i][a:a + PART] for x in kept]) for i in (0, 1))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([a // PART], pa.int32()), "depth": pa.array([depth], pa.int32()), "levels": pa.array([len(kept)], pa.int32()),
+                                                  "sums": pa.array([sums.tobytes()]), "zeros": pa.array([zeros.tobytes()])})
+
+        for task, tasks in _numbers(batches):
+            # Most graphs end within LEVELS, and all slices of a task are added up before any is given.
+            base, kept = 0, []
+            for low in range(task * WIDE, registers, tasks * WIDE):
+                wide = min(WIDE, registers - low)
+                state, own_here = np.zeros((nodes, wide), dtype=np.uint8), np.flatnonzero((own >= low) & (own < low + wide))
+                state[own_here, own[own_here] - low] = rank[own_here]
+                for d, rows, sums, zeros in _changes(g, state, max_depth):
+                    if not base <= d < base + LEVELS:
+                        yield from given(base, kept)
+                        base, kept = d // LEVELS * LEVELS, []
+                    while len(kept) <= d - base:
+                        kept.append((np.zeros(nodes), np.zeros(nodes, dtype=np.int32)))
+                    kept[d - base][0][rows] += sums
+                    kept[d - base][1][rows] += zeros
+            yield from given(base, kept)
+
+    def combine(part: pa.Table) -> pa.Table:
+        a = part["part"][0].as_py() * PART
+        no = held.value[2][a:a + PART]
+        deep = max(d + n for d, n in zip(part["depth"].to_pylist(), part["levels"].to_pylist()))
+        sums, zeros = np.zeros((deep, len(no))), np.zeros((deep, len(no)), dtype=np.int64)
+        for row in part.to_pylist():
+            here = slice(row["depth"], row["depth"] + row["levels"])
+            sums[here] += np.frombuffer(row["sums"]).reshape(-1, len(no))
+            zeros[here] += np.frombuffer(row["zeros"], dtype=np.int32).reshape(-1, len(no))
+        size = _sizes(np.cumsum(sums, axis=0), np.cumsum(zeros, axis=0), registers, nodes)
+        size[0] = 1.0
+        more = np.diff(np.maximum.accumulate(size, axis=0), axis=0)
+        return pa.table({"no": no.astype(np.int64), "closeness": (more / np.arange(1, deep)[:, None]).sum(axis=0)})
+
+    return _tasks(spark, -(-registers // WIDE), 1).mapInArrow(run, kind).groupBy("part").applyInArrow(combine, "no long, closeness double")

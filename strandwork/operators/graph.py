@@ -347,13 +347,18 @@ def centrality(edges: DataFrame, sources: DataFrame, max_depth: int | None = Non
     return nodes.join(total, "no", "left").select("node", "betweenness", "closeness").fillna(0.0)
 
 
-def closeness(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def closeness(edges: DataFrame, max_depth: int | None = None, pairs: int = PAIRS) -> DataFrame:
     """(node, closeness) of ALL nodes of an undirected graph, exactly: the sum of 1/distance to every other node.
 
-    A node holds the set of nodes within d steps as bitmaps of 32,768 numbers each, and a round unites them with its neighbours' that grew in the round before. For n nodes
-    the state is n * n / 8 bytes, in rows of 4 KB, and a node's closeness is the sum of (new members / d).
+    Where a task can hold the graph (`_held`), every task takes a share of the nodes as sources, a bit each, and one row for each task and node lies on disk. In larger graphs a
+    node holds the set of nodes within d steps as bitmaps of 32,768 numbers each, and a round unites them with its neighbours' that grew in the round before. For n nodes that
+    state is n * n / 8 bytes, in rows of 4 KB, and a node's closeness is the sum of (new members / d).
     """
     nodes, both = _numbered(cut(_two_ways(edges)))
+    held = _held(nodes, both, pairs)
+    if held is not None:
+        total = cut(allpairs.closeness(edges.sparkSession, held, max_depth).groupBy("no").agg(F.sum("closeness").alias("closeness")))
+        return nodes.join(total, "no").select("node", "closeness")
     state = cut(nodes.select(F.col("no").alias("node"), F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")).groupBy("node", "bucket").agg(
         F.bitmap_construct_agg("bit").alias("ball")).select("*", F.lit(1).cast("bigint").alias("size"), F.lit(0.0).alias("closeness"), F.lit(True).alias("grew")))
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
@@ -368,14 +373,23 @@ def closeness(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return nodes.join(total, "no").select("node", "closeness")
 
 
-def closeness_by_sketch(edges: DataFrame, max_depth: int | None = None, log_k: int = 12) -> DataFrame:
+def closeness_by_sketch(edges: DataFrame, max_depth: int | None = None, log_k: int = 12, pairs: int = PAIRS) -> DataFrame:
     """(node, closeness) of ALL nodes of an undirected graph: the estimated sum of 1/distance to every other node.
 
     Each node holds one distinct-count sketch of the nodes within d steps, and a round merges it with its neighbours', so the state is one sketch of at most
     2^`log_k` bytes or so per node, whatever their number. The standard error of a count, and so of a node's closeness at most, is about 1.04 / sqrt(2^`log_k`): 1.6 % by default; up
     to some hundred nodes the sketches are exact. Ends when no count grows any more, or after `max_depth` rounds.
+
+    Where a task can hold the graph (`_held`), tasks take slices of the registers, and only what a slice adds to each node's estimates lies on disk; graphs of up to 2^`log_k` nodes
+    come out exact. In larger graphs the sketches of all nodes are joined with the edges in every round.
     """
     both = cut(_two_ways(edges))
+    nodes, numbered = _numbered(both)
+    held = _held(nodes, numbered, pairs)
+    if held is not None:
+        coded = nodes.select(F.col("no").cast("int").alias("no"), F.xxhash64("node").alias("h")).toArrow()
+        hashes = coded["h"].to_numpy()[coded["no"].to_numpy().argsort()]
+        return nodes.join(cut(allpairs.closeness_by_sketch(edges.sparkSession, held, hashes, max_depth, log_k)), "no").select("node", "closeness")
     state = cut(both.groupBy(F.col("src").alias("node")).agg(
         F.hll_sketch_agg(F.col("src").cast("string"), F.lit(log_k)).alias("ball"), F.lit(1).cast("bigint").alias("size"), F.lit(0.0).alias("closeness")))
     for d in count(1) if max_depth is None else range(1, max_depth + 1):

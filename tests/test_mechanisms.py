@@ -168,6 +168,26 @@ def test_centrality_keeps_no_pairs_where_tasks_hold_the_graph(spark, monkeypatch
         assert {r.node: (r.betweenness, r.closeness) for r in got} == plain_centrality(links, [n for n in starts if n in ends], depth)
 
 
+def test_closeness_keeps_no_sets_where_tasks_hold_the_graph(spark, monkeypatch):
+    links = [(0, n) for n in range(1, 91)] + [(RNG.randrange(1, 91), RNG.randrange(1, 91)) for _ in range(120)] + [(n, n + 1) for n in range(200, 500)] + [(600, 601), (600, 600)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    joined = {r.node: r.closeness for r in graph.closeness(df, 3, pairs=1).collect()}
+    kept, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda table: kept.extend(table.columns) or plain(table))
+    for depth in (None, 3):
+        want = {n: c for n, (_, c) in plain_centrality(links, {n for link in links for n in link}, depth).items()}
+        assert {r.node: r.closeness for r in graph.closeness(df, depth).collect()} == want
+        assert {r.node: r.closeness for r in graph.closeness_by_sketch(df, depth).collect()} == want
+    assert joined == want and kept and "ball" not in kept
+
+
+def test_sketches_of_more_nodes_than_registers(spark):
+    links = spark.range(5000).select(F.col("id").alias("a"), F.explode(F.array((F.col("id") * 7 + 3) % 5000, (F.col("id") * 3 + 1) % 5000)).alias("b"))
+    exact = graph.closeness(links).withColumnRenamed("closeness", "exact")
+    off = exact.join(graph.closeness_by_sketch(links, log_k=10), "node").select(F.abs(F.col("closeness") / F.col("exact") - 1).alias("off"))
+    assert off.count() == 5000 and 0 < off.agg(F.max("off")).first()[0] < 4 * 1.04 / 32
+
+
 def test_sampled_betweenness(spark):
     links = spark.createDataFrame([(RNG.randrange(20), RNG.randrange(20)) for _ in range(35)], "a bigint, b bigint")
     nodes = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
